@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 from tallyspark.llm.bpe import bpe_decode, bpe_encode
 from tallyspark.llm.common import read
 from tallyspark.llm.jaccard import jaccard_classes
+from tallyspark.llm.packing import best_fit_pack, token_pieces
 from tallyspark.llm.substrings import remove_repeats
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    out = best_fit_pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     out = bpe_decode(bpe_encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
@@ -31,6 +38,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
