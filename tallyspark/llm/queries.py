@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.bpe import bpe_decode, bpe_encode
 from tallyspark.llm.common import read
+from tallyspark.llm.hosts import judge
 from tallyspark.llm.jaccard import jaccard_classes
+from tallyspark.llm.lines import drop_aligned_lines
 from tallyspark.llm.packing import best_fit_pack, token_pieces
 from tallyspark.llm.substrings import remove_repeats
 
@@ -21,6 +23,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return judge(docs, F.col("source")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     out = bpe_decode(bpe_encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
@@ -37,17 +44,41 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_aligned_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_host_rules": op4_host_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 #: Words are runs of characters other than \x20 and \x09-\x0D.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
+    "op4_host_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+windows AS (SELECT r, s, array_to_string(w[s:s + 4], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS s FROM d WHERE len(w) >= 5)),
+twice AS (SELECT r, k FROM windows GROUP BY r, k HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest(range(s, s + 5)) AS i FROM windows JOIN twice USING (r, k)) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+      FROM d LEFT JOIN covered USING (r) LEFT JOIN lines USING (r)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+hosts AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
+w AS (SELECT count(*) AS h, sum(n) AS sn, sum(f) AS sf, sum(n * n) AS snn, sum(f * f / n) AS sff, sum(f) / sum(n) AS m FROM hosts),
+p AS (SELECT m, CASE WHEN sn - snn / sn > 0 THEN (sff - sf * sf / sn - m * (1 - m) * (h - 1)) / (sn - snn / sn) ELSE 0 END AS v FROM w),
+q AS (SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 0) END AS a FROM p),
+bad AS (SELECT source FROM hosts, q WHERE coalesce((f + m * a) / (n + a), m) > 0.5)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.source IS NULL AS kept
+FROM b LEFT JOIN bad ON b.source = bad.source""",
     "op6_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 windows AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
