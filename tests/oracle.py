@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def compare(spark, name, sf_dir, query, sql):
     """None if both give the same multiset of rows, else a short difference."""
     import duckdb
+    import pandas as pd
 
     got = query(spark, sf_dir).toPandas()
     con = duckdb.connect()
@@ -22,7 +23,7 @@ def compare(spark, name, sf_dir, query, sql):
     cols = sorted(got.columns)
 
     def rows(df):
-        return sorted(tuple("null" if v is None or v != v else f"{float(v):.6f}" if isinstance(v, float) or type(v).__name__ == "Decimal" else str(v) for v in r) for r in df[cols].astype(object).itertuples(index=False))
+        return sorted(tuple("null" if pd.isna(v) is True or v is pd.NA else f"{float(v):.6f}" if isinstance(v, float) or type(v).__name__ == "Decimal" else str(v) for v in r) for r in df[cols].astype(object).itertuples(index=False))
 
     a, b = rows(got), rows(want)
     if a != b:
