@@ -39,18 +39,46 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends here, and lost
-    executors cost nothing that was finished before. Its shuffle files go once it is written."""
+def _written(df: DataFrame, name: str, by: str | None = None) -> str:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyspark/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     try:
         spark.conf.set(CLEANUP, "true")
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: lineage ends here, and lost
+    executors cost nothing that was finished before. Its shuffle files go once it is written."""
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name))
+
+
+def materialize_kinds(df: DataFrame, name: str, kinds: int) -> list[tuple[DataFrame, str]]:
+    """The rows of each value from 0 of the column `kind`, as tables of their own, with their folders."""
+    spark, path = df.sparkSession, _written(df, name, "kind")
+    schema = df.drop("kind").schema
+    made = {r["kind"] for r in spark.read.schema(df.schema).parquet(path).select("kind").distinct().collect()} if kinds else set()
+    return [(spark.read.schema(schema).parquet(f"{path}/kind={k}") if k in made else spark.createDataFrame([], schema), f"{path}/kind={k}") for k in range(kinds)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of materialize that nothing reads any more."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Byte planes of integers: those of small numbers are nearly all zero and vanish when compressed."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from tallyspark.llm.bpe import bpe_decode, bpe_encode
 from tallyspark.llm.common import read
 from tallyspark.llm.hosts import judge
+from tallyspark.llm.html import main_texts
 from tallyspark.llm.jaccard import jaccard_classes
 from tallyspark.llm.lines import drop_aligned_lines
 from tallyspark.llm.packing import best_fit_pack, token_pieces
 from tallyspark.llm.substrings import remove_repeats
+from tallyspark.llm.warc import archive_round_trip
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(read(spark, sf_dir, "pages"))
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return judge(docs, F.col("source")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -44,6 +50,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_aligned_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -51,10 +61,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_warc": op3_warc,
     "op4_host_rules": op4_host_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_html_extraction": op8_html_extraction,
     "op9_line_dedup": op9_line_dedup,
 }
 
@@ -62,6 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
+    "op3_warc": """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to FROM q""",
     "op4_host_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
 windows AS (SELECT r, s, array_to_string(w[s:s + 4], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS s FROM d WHERE len(w) >= 5)),
