@@ -13,9 +13,11 @@ from tallyspark.llm.common import read
 from tallyspark.llm.hosts import judge
 from tallyspark.llm.html import main_texts
 from tallyspark.llm.jaccard import jaccard_classes
+from tallyspark.llm.licences import NOTICES, licence_matches, notices
 from tallyspark.llm.lines import drop_aligned_lines
 from tallyspark.llm.packing import best_fit_pack, token_pieces
 from tallyspark.llm.substrings import remove_repeats
+from tallyspark.llm.topk import top_k
 from tallyspark.llm.warc import archive_round_trip
 
 
@@ -25,6 +27,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_matches(read(spark, sf_dir, "documents"), notices(spark))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read(spark, sf_dir, "pages"))
 
@@ -59,8 +65,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = read(spark, sf_dir, "embeddings")
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    whole = x.where(finite).select("vec_id", F.transform("embedding", lambda v: F.floor(v.cast("double") * 1024)).alias("vec"))
+    return top_k(whole, F.col("vec_id") % 100 == 0, k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_licence_scans": op2_licence_scans,
     "op3_warc": op3_warc,
     "op4_host_rules": op4_host_rules,
     "op5_byte_bpe": op5_byte_bpe,
@@ -68,12 +82,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_html_extraction": op8_html_extraction,
     "op9_line_dedup": op9_line_dedup,
+    "op10_pivot_top_k": op10_pivot_top_k,
 }
 
 #: Words are runs of characters other than \x20 and \x09-\x0D.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+TEMPLATES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(NOTICES))
+TOKENS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
+
 ORACLES: dict[str, str] = {
+    "op2_licence_scans": rf"""
+WITH t AS (SELECT template, licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM (SELECT template, licence, {TOKENS.format("text")} AS w FROM (VALUES {TEMPLATES}) v(template, licence, text))),
+d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+s AS (SELECT r, doc_id, 0 AS segment, text AS part FROM d UNION ALL SELECT r, doc_id, unnest(generate_series(1, len(l))) AS segment, unnest(l) AS part FROM d WHERE len(l) > 1),
+g AS (SELECT r, doc_id, segment, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM (SELECT r, doc_id, segment, {TOKENS.format("part")} AS w FROM s) WHERE len(w) > 1),
+m AS (SELECT r, doc_id, segment, licence, template, len(list_intersect(a, b)) AS n, len(a) AS na, len(b) AS nb FROM g JOIN t ON len(a) * 120 >= len(b) * 80 AND len(a) * 80 <= len(b) * 120),
+k AS (SELECT *, row_number() OVER (PARTITION BY r, segment ORDER BY n / (na + nb) DESC, template) AS pos FROM m WHERE 200 * n >= 80 * (na + nb))
+SELECT doc_id, CAST(segment AS INTEGER) AS segment, licence, CAST(template AS INTEGER) AS template, CAST(n AS BIGINT) AS n_common, CAST(na AS BIGINT) AS n_segment, CAST(nb AS BIGINT) AS n_template FROM k WHERE pos = 1""",
+    "op10_pivot_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
     "op3_warc": """
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 q AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS top FROM p)
