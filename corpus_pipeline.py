@@ -1,20 +1,79 @@
-"""The corpus pipeline: documents -> quality rules -> line dedup -> near duplicates -> substring dedup -> packing."""
+"""The corpus pipeline: documents -> quality rules -> line dedup -> near duplicates -> substring dedup -> packing.
+
+Every stage takes all that the one before kept and returns the columns of documents, but for the last, which
+returns the packed pieces. A document that a stage leaves without words goes.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.llm.common import materialize, read
+from tallyspark.llm.hosts import judge
+from tallyspark.llm.jaccard import jaccard_classes
+from tallyspark.llm.lines import drop_aligned_lines
+from tallyspark.llm.packing import best_fit_pack, token_pieces
+from tallyspark.llm.substrings import remove_repeats
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _with_words(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and the verdict on their source keep, unchanged."""
+    row = F.xxhash64("doc_id", "text", "source")
+    judged = judge(docs.select("doc_id", "text", "source", row.alias("row_hash")), F.col("source"))
+    gone = judged.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("row_hash").alias("gone_row")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (row == F.col("gone_row")), "left_anti").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the blocks of lines that an earlier document has."""
+    return _with_words(drop_aligned_lines(docs, keep=("doc_id", "lang", "source")))
 
-STAGES: list = []
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates (five-word shingles, similarity 0.8): the smallest doc_id.
+    Documents without doc_id stay; of rows that repeat a doc_id one stays."""
+    classes = jaccard_classes(docs, n=5, num=80, den=100)
+    gone = classes.where("component_id < doc_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 50 words or more that start earlier in the corpus."""
+    return _with_words(remove_repeats(docs, length=50, keep=("doc_id", "lang", "source")).withColumnRenamed("kept", "text"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    packed = best_fit_pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("packing", packing),
+]
+#: The tokenizer of the last stage and the alignment of the second can't be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over the documents table, each stage written and read again."""
-    from tallyspark.llm.common import materialize, read
-
     docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
