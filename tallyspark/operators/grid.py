@@ -40,7 +40,8 @@ def shift_left(df: DataFrame, column: int, cells: str = "cells", test=has_date)
 def move_cell(df: DataFrame, source: Column, target: int, when: Column, cells: str = "cells", flag: str | None = None) -> DataFrame:
     """Moves the cell at `source` to `target` and leaves null behind, where `when` holds."""
     out = df.withColumn("_from", F.when(when, source))
-    moved = F.transform(cells, lambda c, i: F.when(i == target, F.get(F.col(cells), F.col("_from"))).when(i == F.col("_from"), None).otherwise(c))
+    wide = F.concat(F.col(cells), F.array_repeat(F.lit(None).cast("string"), F.greatest(F.lit(target + 1) - F.size(cells), F.lit(0))))
+    moved = F.transform(wide, lambda c, i: F.when(i == target, F.get(F.col(cells), F.col("_from"))).when(i == F.col("_from"), None).otherwise(c))
     out = out.withColumn("_hit", F.col("_from").isNotNull()).withColumn(cells, F.when(F.col("_hit"), moved).otherwise(F.col(cells)))
     return (out.withColumnRenamed("_hit", flag) if flag else out.drop("_hit")).drop("_from")
 
