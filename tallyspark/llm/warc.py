@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import blocks, bounded_batches, materialize, shared_dir
+from tallyspark.llm.common import blocks, bounded_batches, materialize, remove, shared_dir
 
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 20
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_SHARED = 1000
+#: So many classes of equal payloads at most (about 60 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_CLASSES = 200_000
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "path string, offset bigint, length bigint, record_id string, record_type string, target_uri string"
@@ -180,6 +182,9 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
     keyed = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.sha1(F.coalesce("html", F.lit(""))).alias("d"), F.octet_length(F.coalesce("html", F.lit(""))).alias("s")).where(f"s >= {LEAST_SHARED}")
     shared = keyed.groupBy("d", "s").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null").select("d", "s", "top")
+    shared = materialize(shared, "warc-shared")
+    if shared.count() <= BROADCAST_CLASSES:
+        shared = F.broadcast(shared)
     joined = own.join(shared, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left")
     return joined.select("page_id", "url", "html", "digest", F.expr("if(page_id = top, null, top)").alias("refers_to"))
 
@@ -212,6 +217,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/tallyspark/warc-{uuid.uuid4().hex}"
     index = normalise(write_archives(with_revisits(pages), f"{folder}/whole"), f"{folder}/members")
+    remove(spark, f"{folder}/whole")
     back = read_records(index).select("page_id", F.length("payload").cast("bigint").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     back = materialize(back, "warc-read")
     sizes = back.where("record_type = 'response' and page_id is not null").join(back.where("refers_to is not null").select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi").groupBy(F.col("page_id").alias("of")).agg(F.max("payload_bytes").alias("bytes"))
