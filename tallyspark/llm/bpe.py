@@ -1,32 +1,35 @@
 """Operator 5: byte-level BPE encoding and decoding by a shuffle of distinct words.
 
-Documents are cut into pre-tokens in blocks of a bounded size. A block keeps, as one row of a written table,
-its distinct pre-tokens and the sequence of positions as numbers into them (the most frequent number is the
-smallest, so the bytes compress well). The pre-tokens are exploded with their place in the block, each distinct
-one in the corpus is encoded once, its ids are joined back, and the block is reassembled by position. What is
-shuffled per frequent pre-token is one row for each block, not for each occurrence. Decoding joins the ids of a
-document with the table of token bytes, which has a fixed size (that of the vocabulary).
+Documents are cut into pre-tokens in blocks of a bounded size. A block is written as one row that holds its
+positions, as numbers of its distinct pre-tokens (the most frequent number is the smallest, so the bytes
+compress well), and as one row of packed distinct pre-tokens for each hash bin. A bin meets every occurrence of
+its words over all blocks, encodes each distinct word once and joins the ids back to the blocks that have it; a
+block is then reassembled by position. A frequent word is shuffled once for each block, not for each
+occurrence. Decoding joins the ids with the table of token bytes, whose size is that of the vocabulary.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import blocks, bounded_batches, list_array, materialize
+from tallyspark.llm.common import blocks, bounded_batches, from_planes, materialize, materialize_kinds, planes, remove
 
-#: Bytes of text in a block; each block has one row.
-BLOCK = 16 << 20
+#: Bytes of text in a block.
+BLOCK = 8 << 20
 OUT_BYTES = 4 << 20
+BINS_A_PARTITION = 4
+SPLIT = "kind int, block string, doc_ids array<bigint>, lengths array<int>, sequence binary, bin int, words binary, no binary"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,77 +46,146 @@ class Numbers(dict):
         return n
 
 
-def _split(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
-    import regex
+def _pack(*parts: bytes) -> bytes:
+    """Parts of bytes, compressed one by one: each has its own distribution."""
+    out = [zstandard.ZstdCompressor(level=6).compress(p) for p in parts]
+    return struct.pack(f"<{len(out)}I", *map(len, out)) + b"".join(out)
 
-    cut = regex.compile(pattern).findall
+
+def _unpack(data: bytes, n: int) -> list[bytes]:
+    ends = np.cumsum([4 * n, *struct.unpack_from(f"<{n}I", data)]).tolist()
+    return [zstandard.ZstdDecompressor().decompress(data[i:j]) for i, j in zip(ends, ends[1:])]
+
+
+def _pack_sequence(x: np.ndarray) -> bytes:
+    """Numbers as their high bytes, the low bytes of those under 256 and the low bytes of the others."""
+    low, high = x.astype(np.uint8), x >> 8
+    return _pack(planes(high), low[high == 0].tobytes(), low[high > 0].tobytes())
+
+
+def _unpack_sequence(data: bytes) -> np.ndarray:
+    high, small, large = _unpack(data, 3)
+    x = from_planes(high, np.uint32) << np.uint32(8)
+    under = x == 0
+    x[under] = np.frombuffer(small, np.uint8)
+    x[~under] |= np.frombuffer(large, np.uint8)
+    return x
+
+
+def cut_by(pattern: str) -> Callable[[], Callable[[str], list]]:
+    """Makes, on an executor, the function that finds the pattern's matches."""
+
+    def make() -> Callable[[str], list]:
+        import regex
+
+        return regex.compile(pattern).findall
+
+    return make
+
+
+def _split(batches: Iterator[pa.RecordBatch], cutter: Callable[[], Callable[[str], list]], bins: int) -> Iterator[pa.RecordBatch]:
+    cut = cutter()
+    kinds = [pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    schema = pa.schema([(c.split()[0], k) for c, k in zip(SPLIT.split(", "), kinds, strict=True)])
     for t in blocks(batches, limit=BLOCK):
         numbers, parts = Numbers(), []
         for text in t.column("text"):
             words = cut(text.as_py() or "")
-            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
         sequence = np.concatenate(parts)
-        order = np.argsort(-np.bincount(sequence, minlength=len(numbers)), kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        words = pa.array(list(numbers), pa.string()).take(pa.array(order))
-        planes = rank[sequence].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-        packed = zstandard.ZstdCompressor(level=3).compress(planes)
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), one(t.column("doc_id").combine_chunks()), one(pa.array([len(p) for p in parts], pa.int32())), one(words), pa.array([packed], pa.binary())], names=["block", "doc_ids", "lengths", "words", "sequence"])
+        order = np.argsort(-np.bincount(sequence, minlength=len(numbers)), kind="stable").astype(np.int32)
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        packed = _pack_sequence(rank[sequence])
+        block = uuid.uuid4().hex
+        yield pa.RecordBatch.from_pylist([{"kind": 0, "block": block, "doc_ids": t.column("doc_id").to_pylist(), "lengths": [len(p) for p in parts], "sequence": packed}], schema)
+        words = [w if isinstance(w, bytes) else w.encode() for w in numbers]
+        del sequence, parts, numbers, packed
+        where = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.uint32, len(words))[order] % bins
+        by_bin = np.argsort(where, kind="stable")
+        edges = np.searchsorted(where[by_bin], np.arange(bins + 1))
+        rows = []
+        for b in np.flatnonzero(np.diff(edges)):
+            no = by_bin[edges[b] : edges[b + 1]]  # rising
+            own = [words[k] for k in order[no]]
+            rows.append({"kind": 1, "block": block, "bin": int(b), "words": _pack(planes(np.array([len(w) for w in own], np.int32)), b"".join(own)), "no": _pack(planes(np.diff(no, prepend=0).astype(np.int32)))})
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 _coders: dict[int, object] = {}
 
 
-def _coder(ranks: dict[bytes, int]):
+def _rank_encoder(ranks) -> Callable[[list[bytes]], list[list[int]]]:
+    """Encodes words by the broadcast ranks; a process keeps one encoder."""
     import tiktoken
 
-    if id(ranks) not in _coders:
-        _coders[id(ranks)] = tiktoken.Encoding("ranks", pat_str=".+", mergeable_ranks=ranks, special_tokens={})
-    return _coders[id(ranks)]
+    if id(ranks.value) not in _coders:
+        _coders[id(ranks.value)] = tiktoken.Encoding("ranks", pat_str=".+", mergeable_ranks=ranks.value, special_tokens={})
+    piece = _coders[id(ranks.value)]._core_bpe.encode_single_piece
+    return lambda words: [piece(w) for w in words]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
-    piece = _coder(ranks.value)._core_bpe.encode_single_piece
-    for b in batches:
-        ids = [piece(w.encode()) for w in b.column("word").to_pylist()]
-        flat = np.fromiter((x for i in ids for x in i), np.int32)
-        yield pa.RecordBatch.from_arrays([b.column("word"), list_array(flat, [len(i) for i in ids], pa.int32())], names=["word", "ids"])
+def _encode(t: pa.Table, encoder: Callable[[], Callable[[list[bytes]], list[list[int]]]]) -> pa.Table:
+    """The ids of the words of one bin, packed for each block; a distinct word is encoded once."""
+    encode, ids, out = encoder(), {}, []
+    for packed in t.column("words").to_pylist():
+        sizes, words = _unpack(packed, 2)
+        ends = np.cumsum(from_planes(sizes, np.int32)).tolist()
+        own = [words[i:j] for i, j in zip([0, *ends], ends)]
+        new = [w for w in own if w not in ids]
+        ids.update(zip(new, encode(new), strict=True))
+        lists = [ids[w] for w in own]
+        out.append(_pack(planes(np.array([len(x) for x in lists], np.int32)), planes(np.fromiter((i for x in lists for i in x), np.uint32))))
+    return pa.table({"block": t.column("block"), "no": t.column("no"), "ids": pa.array(out, pa.binary())})
 
 
 def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in range(b.num_rows):
             doc_ids, lengths = b.column("doc_ids")[r].values, np.asarray(b.column("lengths")[r].values, dtype=np.int64)
-            back = b.column("back")[r].values
-            place = np.zeros(0, np.int64) if back is None else np.asarray(back.field("no"), dtype=np.int64)
-            sequence = np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column("sequence")[r].as_py()), np.uint8).reshape(4, -1)
-            sequence = np.ascontiguousarray(sequence.T).view(np.uint32).ravel()
-            if len(place):
-                lists = back.field("ids")
-                flat, n = np.asarray(lists.flatten(), dtype=np.uint32), np.asarray(pa.compute.list_value_length(lists), dtype=np.int64)
-            else:
-                flat, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            back = b.column("back")[r].as_py() or []
+            sequence = _unpack_sequence(b.column("sequence")[r].as_py())
+            empty = np.zeros(0, np.int64)
+            place = np.concatenate([empty, *(np.cumsum(from_planes(*_unpack(x["no"], 1), np.int32)) for x in back)])
+            parts = [_unpack(x["ids"], 2) for x in back]
+            n = np.concatenate([empty, *(from_planes(p[0], np.int32) for p in parts)])
+            flat = np.concatenate([np.zeros(0, np.uint32), *(from_planes(p[1], np.uint32) for p in parts)])
+            del back, parts
             if len(place) != (int(sequence.max()) + 1 if len(sequence) else 0):
                 raise ValueError("a block has not got the ids of all its words")
             start, count = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
             start[place], count[place] = np.cumsum(n) - n, n
-            done = 0
-            doc = 0
+            done = doc = 0
+            so_far = np.cumsum(lengths)
             while doc < len(lengths):  # a few MB of ids at a time
-                stop = max(doc + 1, int(np.searchsorted(np.cumsum(lengths[doc:]), OUT_BYTES // 8)) + doc)
-                part = sequence[done : done + int(lengths[doc:stop].sum())]
+                stop = max(doc + 1, int(np.searchsorted(so_far, done + OUT_BYTES // 16)))
+                part = sequence[done : int(so_far[stop - 1])]
                 each = count[part]
                 ends = np.cumsum(each)
                 total = int(ends[-1]) if len(ends) else 0
                 ids = flat[np.repeat(start[part] - (ends - each), each) + np.arange(total)]
-                bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths[doc:stop])])]
+                bounds = np.concatenate([[0], ends])[np.concatenate([[0], so_far[doc:stop] - done])]
                 data = ids.astype("<u4").tobytes()
                 out = [data[4 * i : 4 * j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(doc, stop - doc), pa.array(np.diff(bounds), pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
-                done += len(part)
-                doc = stop
+                done, doc = int(so_far[stop - 1]), stop
+
+
+def encode_words(documents: DataFrame, cutter: Callable[[], Callable[[str], list]], encoder: Callable[[], Callable[[list[bytes]], list[list[int]]]]) -> DataFrame:
+    """(doc_id, n_tokens, ids) of documents (doc_id, text): the ids of the parts into which the cutter's function
+    cuts a text, one after the other; the encoder's function gives the ids of a list of distinct parts. Both are
+    made on the executors."""
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bins = BINS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (rows, _), (words, words_path) = materialize_kinds(docs.mapInArrow(partial(_split, cutter=cutter, bins=bins), SPLIT), "word-blocks", 2)
+    packed = words.select("bin", "block", "words", "no")
+    ids = materialize(packed.groupBy("bin").applyInArrow(lambda t: _encode(t, encoder), "block string, no binary, ids binary"), "word-ids")
+    remove(spark, words_path)
+    back = ids.groupBy("block").agg(F.collect_list(F.struct("no", "ids")).alias("back"))
+    joined = rows.select("block", "doc_ids", "lengths", "sequence").join(back, "block", "left").select("doc_ids", "lengths", "sequence", "back")
+    return joined.mapInArrow(_reassemble, "doc_id bigint, n_tokens bigint, ids binary")
 
 
 def bpe_encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -123,16 +195,8 @@ def bpe_encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame
     text has no tokens and empty ids. A null doc_id stays null; repeated rows give repeated results; an empty
     table gives no rows; other columns of the input are ignored. Texts of any length are encoded whole.
     """
-    spark = documents.sparkSession
-    bounded_batches(spark)
-    ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = materialize(docs.mapInArrow(partial(_split, pattern=pattern), "block string, doc_ids array<bigint>, lengths array<int>, words array<string>, sequence binary"), "bpe-blocks")
-    words = table.select("block", F.posexplode("words").alias("no", "word"))
-    ids = words.select("word").distinct().mapInArrow(partial(_encode, ranks=ranks), "word string, ids array<int>")
-    back = words.join(ids, "word").groupBy("block").agg(F.collect_list(F.struct("no", "ids")).alias("back"))
-    rows = table.select("block", "doc_ids", "lengths", "sequence").join(back, "block", "left").select("doc_ids", "lengths", "sequence", "back")
-    return rows.mapInArrow(_reassemble, "doc_id bigint, n_tokens bigint, ids binary")
+    ranks = documents.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+    return encode_words(documents, cut_by(pattern), lambda: _rank_encoder(ranks))
 
 
 def _decode(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
