@@ -4,18 +4,21 @@ A document's set holds its distinct word shingles. Two sets A, B with 100 |A n B
 in at most d = (1 - t) / (1 + t) (|A| + |B|) shingles. A parity sketch XORs one bit for each shingle into k
 words of 64 bits, so the Hamming distance of two sketches is never above the size of the symmetric
 difference, and of k = d + 1 + g words at least g + 1 are the same (pigeonhole). k is fixed per size band;
-a document also makes a sketch for each higher band that a partner may fall into.
+a document also makes a sketch for each higher band that a partner may fall into. Words that hold hardly any
+shingle would meet by chance; a document with at most g of them leaves them out, and no other document does.
 
 Steps: equal sets become one class -> words of the sketches are join keys -> the smallest class of a key is
 its leader, found by a minimum that combines before the shuffle -> (member, leader) pairs pass the Hamming
 bound of the folded sketch and are verified on the sets -> components. Only keys where some member did not
-link with the leader are looked at again: there, pairs of different components are compared. Every pair that
+link with the leader are looked at again: such a key takes a leader of another order for some rounds, which
+joins most of a large group, and then its pairs of different components are compared. Every pair that
 qualifies shares a key, and pairs inside a component need no test, so no link between components is lost
 and no group is expanded into all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,9 +29,15 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import WordHashes, blocks, bounded_batches, components, list_array, materialize, mix, text_bytes
 
-#: Sizes of a band run from its bound to 1.5 times the bound.
-STEP = 1.5
-SKETCH = "struct<band:int, every:boolean, words:array<bigint>, fold:array<bigint>>"
+#: Sizes of a band run from its bound to 1.25 times the bound.
+STEP = 1.25
+#: Ids of so many documents (8 bytes each) at most are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Members from which a key counts as large.
+LARGE = 64
+#: Rounds with leaders of other orders at most, while they join components and pairs would be many.
+ROUNDS = 4
+MADE = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<int>, keys array<array<bigint>>, folds array<array<bigint>>"
 
 
 class Bands:
@@ -39,7 +48,7 @@ class Bands:
         low = 1  # the first band holds the sizes where only equal sets qualify
         while (2 * low * (den - num)) // (den + num) < 1:
             low += 1
-        self.bounds = [1, low]
+        self.bounds, self.shapes = [1, low], {}
 
     def difference(self, total: int) -> int:
         return total * (self.den - self.num) // (self.den + self.num)
@@ -49,13 +58,24 @@ class Bands:
             self.bounds.append(max(self.bounds[-1] + 2, int(self.bounds[-1] * STEP)))
         return int(np.searchsorted(self.bounds, size, side="right")) - 1
 
-    def shape(self, band: int) -> tuple[int, int, int]:
-        """Words of the sketch, spare words g, and words of the folded sketch."""
-        while len(self.bounds) <= band + 1:
-            self.at(self.bounds[-1])
-        d = self.difference(2 * (self.bounds[band + 1] - 1))
-        g = d // 14
-        return d + 1 + g, g, max(1, -(-4 * d // 64))
+    def shape(self, band: int) -> tuple[int, int, int, int]:
+        """Words k of the sketch, spare words g, bits up to which a word is light, and words of the folded sketch.
+
+        Of k = d + 1 + g words at least g + 1 are the same, so with at most g light words a document's heavy
+        words are enough. k is the least for which the band's smallest sets have rarely more light words."""
+        if band not in self.shapes:
+            while len(self.bounds) <= band + 1:
+                self.at(self.bounds[-1])
+            low, d = self.bounds[band], self.difference(2 * (self.bounds[band + 1] - 1))
+            fold = max(1, -(-8 * d // 64))
+            self.shapes[band] = (d + 1, 0, 0, fold)
+            for light, k in ((x, k) for x in (1, 0) for k in range(d + 2, 2 * d + 8)):
+                mean = low / k
+                share = math.exp(-mean) * (1 + mean * light)  # Poisson
+                if k - d - 1 >= k * share + 2.5 * math.sqrt(k * share * (1 - share)):
+                    self.shapes[band] = (k, k - d - 1, light, fold)
+                    break
+        return self.shapes[band]
 
     def of(self, size: int) -> range:
         """Bands in which a set of this size takes part: those of its own and of larger partners."""
@@ -80,13 +100,14 @@ def shingles(text: bytes, n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(acc)
 
 
-def sketch(u: np.ndarray, k: int, fold: int) -> tuple[np.ndarray, np.ndarray]:
+def sketch(u: np.ndarray, k: int, light: int, fold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words, which of them are heavy, and the words folded by XOR."""
     word = ((u & np.uint64(0xFFFFFFFF)) * np.uint64(k)) >> np.uint64(32)
     bits = np.bincount((word * np.uint64(64) + (u >> np.uint64(58))).astype(np.int64), minlength=k * 64) & 1
     words = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
     padded = np.zeros(-(-k // fold) * fold, np.uint64)
     padded[:k] = words
-    return words, np.bitwise_xor.reduce(padded.reshape(-1, fold), axis=0)
+    return words, bits.reshape(k, 64).sum(1) > light, np.bitwise_xor.reduce(padded.reshape(-1, fold), axis=0)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -101,22 +122,21 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) ->
             here = bands.of(len(u)) if len(u) else ()
             per_doc.append(len(here))
             for band in here:
-                k, g, fold = bands.shape(band)
-                words, folded = sketch(u, k, fold)
-                rows.append((band, bool(np.count_nonzero(words == 0) > g)))
-                all_words.append(words)
-                n_words.append(k)
+                k, g, light, fold = bands.shape(band)
+                words, heavy, folded = sketch(u, k, light, fold)
+                at = np.flatnonzero(heavy) if k - np.count_nonzero(heavy) <= g else np.arange(k)
+                rows.append(band)
+                all_words.append(mix(words[at] ^ mix((at + band * 1_000_003).astype(np.uint64))))
+                n_words.append(len(at))
                 all_folds.append(folded)
                 n_folds.append(fold)
         flat = lambda xs: (np.concatenate(xs) if xs else np.zeros(0, np.uint64)).view(np.int64)
-        inner = pa.StructArray.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), list_array(flat(all_words), n_words, pa.int64()), list_array(flat(all_folds), n_folds, pa.int64())],
-            names=["band", "every", "words", "fold"],
-        )
         offsets = np.zeros(len(per_doc) + 1, np.int32)
         np.cumsum(per_doc, out=offsets[1:])
+        outer = lambda inner: pa.ListArray.from_arrays(pa.array(offsets), inner)
         signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(sizes, pa.int64()), signed(h1), signed(h2), pa.ListArray.from_arrays(pa.array(offsets), inner)], names=["doc_id", "n_shingles", "h1", "h2", "sketches"])
+        arrays = [outer(pa.array(rows, pa.int32())), outer(list_array(flat(all_words), n_words, pa.int64())), outer(list_array(flat(all_folds), n_folds, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(sizes, pa.int64()), signed(h1), signed(h2), *arrays], names=["doc_id", "n_shingles", "h1", "h2", "bands", "keys", "folds"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -130,15 +150,26 @@ def _hamming(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, a: str, b: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose sets meet the threshold; sets are made only of documents in a pair."""
-    ids = pairs.select(F.explode(F.array(a, b)).alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(partial(_sets, n=n), "doc_id bigint, items array<bigint>")
-    sets = materialize(sets, "jaccard-sets")
-    left = sets.select(F.col("doc_id").alias(a), F.col("items").alias("ia"))
-    right = sets.select(F.col("doc_id").alias(b), F.col("items").alias("ib"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    if 2 * pairs.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(partial(_sets, n=n), "doc_id bigint, items array<bigint>"), "jaccard-sets")
+    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib"))
     both = F.size(F.array_intersect("ia", "ib"))
-    return pairs.join(left, a).join(right, b).where(both * (num + den) >= (F.size("ia") + F.size("ib")) * num).select(a, b)
+    return pairs.join(left, "a").join(right, "b").where(both * (num + den) >= (F.size("ia") + F.size("ib")) * num).select("a", "b")
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """(rep, component): the smallest neighbour of each linked document, and that one's, and so on for four steps.
+    Documents with the same label are connected; connected ones may still have different labels."""
+    label = edges.groupBy(F.greatest("u", "v").alias("rep")).agg(F.min(F.least("u", "v")).alias("component"))
+    for _ in range(2):
+        up = label.select(F.col("rep").alias("component"), F.col("component").alias("top"))
+        label = label.join(up, "component", "left").select("rep", F.coalesce("top", "component").alias("component"))
+    return label
 
 
 def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -155,39 +186,63 @@ def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int =
     spark = documents.sparkSession
     bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = materialize(docs.mapInArrow(partial(_sketches, n=n, num=num, den=den), f"doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sketches array<{SKETCH}>"), "jaccard-sketches")
+    made = materialize(docs.mapInArrow(partial(_sketches, n=n, num=num, den=den), MADE), "jaccard-sketches")
+    sets = made.where("n_shingles > 0 and doc_id is not null")
 
     key = ["n_shingles", "h1", "h2"]
-    classes = made.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    classes = materialize(sets.groupBy(*key).agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    # Keys carry the hash of the set, so copies are one row of a key after the map side of the minimum.
+    keys = sets.select("h1", F.explode(F.arrays_zip("bands", "keys")).alias("s")).select("h1", F.col("s.bands").alias("band"), F.explode("s.keys").alias("key"))
+    led = materialize(keys.groupBy("key").agg(F.min("h1").alias("lead_h1"), F.max("h1").alias("last")).where("lead_h1 < last").select("key", "lead_h1"), "jaccard-leads")
+    met = keys.join(led, "key").distinct()
+    of = classes.select("h1", "rep")
+    members = met.join(of, "h1").join(of.select(F.col("h1").alias("lead_h1"), F.col("rep").alias("lead")), "lead_h1").select("key", "rep", "lead", "band")
+    members = materialize(members, "jaccard-members")  # the leader's own row included
+
     chosen = classes.select(*[F.col(c).alias(f"c_{c}") for c in key], "rep")
-    reps = made.join(chosen, [made[c] == chosen[f"c_{c}"] for c in key] + [made["doc_id"] == chosen["rep"]]).select("rep", "n_shingles", F.explode("sketches").alias("s"))
-    words = reps.select("rep", "s.band", "s.every", F.posexplode("s.words").alias("pos", "word")).where("every or word <> 0")
-    keys = words.select("rep", "band", F.xxhash64("band", "pos", "word").alias("key"))
-    led = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
-    members = materialize(keys.join(led, "key"), "jaccard-members")  # the leader's own row included
-
-    info = reps.select("rep", "n_shingles", "s.band", "s.fold")
-    one = info.select("rep", "band", F.col("n_shingles").alias("na"), F.col("fold").alias("fa"))
-    two = info.select(F.col("rep").alias("lead"), "band", F.col("n_shingles").alias("nb"), F.col("fold").alias("fb"))
-    near = (_hamming("fa", "fb") <= F.expr(f"((na + nb) * {den - num}) div {den + num}")) & F.expr(f"least(na, nb) * {den} >= greatest(na, nb) * {num}")
-    pairs = members.where("rep <> lead").select("rep", "lead", "band").distinct().join(one, ["rep", "band"]).join(two, ["lead", "band"]).where(near).select("rep", "lead").distinct()
-    linked = materialize(_verified(materialize(pairs, "jaccard-pairs"), docs, n, num, den, "rep", "lead"), "jaccard-links")
-
-    # Keys where a member isn't linked with the leader: its pairs with members of other components.
-    edges = linked.select(F.col("rep").alias("u"), F.col("lead").alias("v"))
-    comp = components(edges)
-    tagged = members.join(comp.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = tagged.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.expr("if(rep = lead, component, null)")).alias("cl")).where("c0 < c1").select("key", "cl")
-    rest = materialize(tagged.join(open_keys, "key").join(one, ["rep", "band"]), "jaccard-open")
-    a = rest.where("component <> cl").select("key", "band", F.col("rep").alias("a"), F.col("component").alias("ca"), "na", "fa")
-    b = rest.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("na").alias("nb"), F.col("fa").alias("fb"), "lead")
-    cross = a.join(b, "key").where((F.col("ca") != F.col("cb")) & (F.col("b") != F.col("lead")) & near).select(F.least("a", "b").alias("rep"), F.greatest("a", "b").alias("lead")).distinct()
-    cross = materialize(cross, "jaccard-pairs")
-    if not cross.isEmpty():
-        more = materialize(_verified(cross, docs, n, num, den, "rep", "lead"), "jaccard-links")
-        edges = edges.unionByName(more.select(F.col("rep").alias("u"), F.col("lead").alias("v")))
-        comp = components(edges)
+    slim = sets.select("doc_id", *key, "bands", "folds")
+    info = slim.join(chosen, [slim[c] == chosen[f"c_{c}"] for c in key] + [slim["doc_id"] == chosen["rep"]]).dropDuplicates(["rep", "h1"])
+    info = info.select("rep", "n_shingles", F.explode(F.arrays_zip("bands", "folds")).alias("s")).select("rep", "n_shingles", F.col("s.bands").alias("band"), F.col("s.folds").alias("fold"))
+    info = materialize(info.join(members.select("rep", "band").distinct(), ["rep", "band"], "left_semi"), "jaccard-folds")
+    one = info.select(F.col("rep").alias("a"), "band", F.col("n_shingles").alias("na"), F.col("fold").alias("fa"))
+    two = info.select(F.col("rep").alias("b"), "band", F.col("n_shingles").alias("nb"), F.col("fold").alias("fb"))
+    near = F.expr(f"least(na, nb) * {den} >= greatest(na, nb) * {num}") & (_hamming("fa", "fb") <= F.expr(f"((na + nb) * {den - num}) div {den + num}"))
+
+    def links(pairs: DataFrame, shared: int = 1) -> DataFrame:
+        """Verified edges among pairs (a, b, band) that come `shared` times or more."""
+        pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "band").agg(F.count("*").alias("n")).where(F.col("n") >= shared).drop("n")
+        pairs = materialize(pairs.join(one, ["a", "band"]).join(two, ["b", "band"]).where(near).select("a", "b").distinct(), "jaccard-pairs")
+        return materialize(_verified(pairs, docs, n, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
+
+    # A first guess, which may miss links: pairs that meet in one or two keys are nearly always chance.
+    edges = links(members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"), "band"), shared=3)
+    rest = members.select("key", "rep", "band")
+    quiet = False
+    for turn in range(ROUNDS + 1):
+        # Keys whose members lie in more than one component may hide a link between components.
+        tagged = rest.join(_labels(edges), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        split = tagged.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
+        rest = materialize(tagged.join(split, "key"), "jaccard-open")
+        groups = rest.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.expr("n * n")).alias("n2"))
+        large = materialize(groups.where(F.col("n") >= LARGE), "jaccard-large")
+        rows, pairs = large.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("(n * n - n2) div 2")), F.lit(0))).first()
+        last = quiet or turn == ROUNDS or pairs <= 4 * rows
+        if last:  # all pairs of different components that share a key
+            left = rest.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), "band").join(one, ["a", "band"])
+            right = rest.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), "band").join(two, ["b", "band"]).drop("band")
+            cross = left.join(right, "key").where((F.col("ca") < F.col("cb")) & near).select("a", "b").distinct()
+            cross = materialize(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-pairs")
+            more = materialize(_verified(cross, docs, n, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
+        else:  # another leader for each key of many members
+            rest_of_large = rest.join(large.select("key"), "key")
+            chosen = rest_of_large.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep", F.lit(turn)).alias("o"), F.col("rep").alias("b"), F.col("component").alias("cb"))).alias("l")).select("key", "l.b", "l.cb")
+            more = links(rest_of_large.join(chosen, "key").where("component <> cb").select(F.col("rep").alias("a"), "b", "band"))
+        edges = edges.unionByName(more)
+        rest, quiet = rest.drop("component"), more.count() * 200 < rows
+        if last:
+            break
 
+    comp = components(edges)
     by_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*[F.col(c).alias(f"c_{c}") for c in key], F.coalesce("component", "rep").alias("component"))
     slim = made.select("doc_id", *key)
     out = slim.join(by_class, [slim[c] == by_class[f"c_{c}"] for c in key], "left")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tallyspark.llm import jaccard
 from tallyspark.llm.jaccard import jaccard_classes
 
 
@@ -45,8 +46,9 @@ def corpus(seed, docs=160):
     return rows
 
 
-@pytest.mark.parametrize("seed,n,num", [(1, 4, 85), (2, 5, 80), (3, 2, 60)])
-def test_equals_brute_force(spark, seed, n, num):
+@pytest.mark.parametrize("seed,n,num,large", [(1, 4, 85, 64), (2, 5, 80, 3), (3, 2, 60, 2)])
+def test_equals_brute_force(spark, monkeypatch, seed, n, num, large):
+    monkeypatch.setattr(jaccard, "LARGE", large)
     rows = corpus(seed)
     got = {tuple(r) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string"), n, num, 100).collect()}
     assert got == brute(rows, n, num, 100)
