@@ -4,8 +4,8 @@ A window's two rolling hashes are differences of prefix sums of word hashes (pol
 bases). Each block of documents keeps the first occurrence of each of its windows (so a passage that a third
 of all rows share is sent once per block, not once per row) and sends it to one of many hash bins, packed:
 8 bytes of the first hash and 1 of the second, by which the bin is chosen too, with document and start as
-small differences. A bin finds the first start of every window over all blocks and returns the other starts
-to their documents, where overlapping windows merge into maximal intervals.
+small differences. A bin finds the first start of every window over all blocks and sends the other starts,
+packed again, to buckets of documents, where overlapping windows merge into maximal intervals.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WordHashes, blocks, bounded_batches, list_array, mix, text_bytes
+from tallyspark.llm.common import WordHashes, blocks, bounded_batches, from_planes, list_array, materialize, mix, planes, text_bytes
 
-BINS_A_PARTITION = 8
+BINS_A_PARTITION = 4
+#: Intervals of so many bytes at most are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 PACKED = "bin int, h binary, tag binary, doc binary, n binary, start binary, dup_doc binary, dup_n binary, dup_start binary"
 
@@ -46,26 +48,16 @@ class Rolling:
         return (sums[length:] - sums[:count]) * self.back[:count]
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Byte planes of integers: those of small numbers are nearly all zero and vanish when compressed."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-
-
-def _from_planes(data: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
-
-
 def _packed_places(doc: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Places sorted by document and start, as documents, places in each, and differences of starts."""
     first = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)) if len(doc) else np.zeros(0, np.int64)
     delta = np.diff(start, prepend=start[:1] * 0)
     delta[first] = start[first]
-    return _planes(np.diff(doc[first], prepend=doc[:1] * 0)), _planes(np.diff(first, append=len(doc)).astype(np.int32)), _planes(delta)
+    return planes(np.diff(doc[first], prepend=doc[:1] * 0)), planes(np.diff(first, append=len(doc)).astype(np.int32)), planes(delta)
 
 
 def _places(doc: bytes, n: bytes, start: bytes) -> tuple[np.ndarray, np.ndarray]:
-    docs, counts, delta = np.cumsum(_from_planes(doc, np.int64)), _from_planes(n, np.int32), _from_planes(start, np.int64)
+    docs, counts, delta = np.cumsum(from_planes(doc, np.int64)), from_planes(n, np.int32), from_planes(start, np.int64)
     total = np.cumsum(delta)
     first = np.cumsum(counts) - counts
     before = total[first] - delta[first]
@@ -125,8 +117,8 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if not k else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
 
 
-def _later(t: pa.Table) -> pa.Table:
-    """The places in one bin that aren't the first of their window, by document."""
+def _later(t: pa.Table, buckets: int) -> pa.Table:
+    """The places in one bin that aren't the first of their window, packed by bucket of documents."""
     col = lambda c: t.column(c).to_pylist()
     h = np.concatenate([np.frombuffer(x, np.uint64) for x in col("h")])
     tag = np.concatenate([np.frombuffer(x, np.uint8) for x in col("tag")])
@@ -148,27 +140,41 @@ def _later(t: pa.Table) -> pa.Table:
     dups = [_places(*x) for x in zip(col("dup_doc"), col("dup_n"), col("dup_start"), strict=True) if len(x[0])]
     doc = np.concatenate([doc[o][later], *(p[0] for p in dups)])
     start = np.concatenate([start[o][later], *(p[1] for p in dups)])
-    s = np.lexsort((start, doc))
-    ids, n = np.unique(doc, return_counts=True)
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "starts": list_array(start[s], n, pa.int64())})
+    bucket = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    o = np.lexsort((start, doc, bucket))
+    which, first = np.unique(bucket[o], return_index=True)
+    rows = [_packed_places(doc[k], start[k]) for k in np.split(o, first[1:])] if len(o) else []
+    return pa.table({"bucket": pa.array(which, pa.int32()), **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in enumerate(("doc", "n", "start"))}})
+
+
+def _spans(t: pa.Table, length: int) -> pa.Table:
+    """Maximal intervals of the windows' words, for each document of a bucket."""
+    places = [_places(*x) for x in zip(*(t.column(c).to_pylist() for c in ("doc", "n", "start")), strict=True)]
+    doc, start = (np.concatenate([p[k] for p in places]) for k in (0, 1))
+    o = np.lexsort((start, doc))
+    doc, start = doc[o], start[o]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + length)
+    first = np.flatnonzero(new)
+    stop = start[np.append(first[1:], len(doc)) - 1] + length
+    ids, n = np.unique(doc[first], return_counts=True)
+    return pa.table({"doc_of_spans": pa.array(ids, pa.int64()), "starts": list_array(start[first], n, pa.int64()), "stops": list_array(stop, n, pa.int64())})
 
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int, apart: bool, joined: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], apart: bool, joined: bool) -> Iterator[pa.RecordBatch]:
     for t in blocks(batches):
         n_words, spans, n_spans, kept = [], [], [], []
-        starts = t.column("starts").to_pylist()
-        for text, null, at in zip(text_bytes(t.column("text")), t.column("text").is_null().to_pylist(), starts, strict=True):
+        starts, stops = t.column("starts").to_pylist(), t.column("stops").to_pylist()
+        for text, null, at, to in zip(text_bytes(t.column("text")), t.column("text").is_null().to_pylist(), starts, stops, strict=True):
             words = text.split()
             n_words.append(len(words))
-            s = np.unique(np.array(at or [], np.int64))
-            if apart and len(s):
-                own = xxhash.xxh32_intdigest(text) & 0x7FFF
-                s = s[s >> 40 == own] & ((1 << 40) - 1)
-            breaks = np.flatnonzero(s[1:] > s[:-1] + length)
-            a, b = np.concatenate([s[:1], s[breaks + 1]]), np.concatenate([s[breaks], s[-1:]]) + length
+            a, b = np.array(at or [], np.int64), np.array(to or [], np.int64)
+            if apart and len(a):
+                own = a >> 40 == xxhash.xxh32_intdigest(text) & 0x7FFF
+                a, b = (x[own] & ((1 << 40) - 1) for x in (a, b))
             spans += list(zip(a.tolist(), b.tolist(), strict=True))
             n_spans.append(len(a))
             if joined:
@@ -186,7 +192,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, apart: bool, joined: bo
         offsets = np.zeros(len(n_spans) + 1, np.int32)
         np.cumsum(n_spans, out=offsets[1:])
         inner = pa.StructArray.from_arrays([pa.array([x[k] for x in spans], pa.int64()) for k in (0, 1)], names=["start", "stop"])
-        t = t.drop_columns(["text", "starts"])
+        t = t.drop_columns(["text", "starts", "stops"])
         out = [*(c.combine_chunks() for c in t.columns), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), inner), pa.array(kept, pa.binary()).cast(pa.string())]
         yield pa.RecordBatch.from_arrays(out, names=[*t.column_names, "n_words", "spans", "kept"])
 
@@ -207,10 +213,14 @@ def remove_repeats(documents: DataFrame, length: int = 50, joined: bool = False,
     bounded_batches(spark)
     docs = documents.select("doc_id", "text")
     apart = not documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    bins = BINS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.where("doc_id is not null").mapInArrow(partial(_pack, length=length, bins=bins, apart=apart), PACKED)
-    starts = packed.groupBy("bin").applyInArrow(_later, "doc_id bigint, starts array<bigint>")
-    by_doc = starts.groupBy(F.col("doc_id").alias("doc_of_starts")).agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    rows = documents.select(*keep, "text", F.col("doc_id").alias("own_doc_id")).join(by_doc, F.col("own_doc_id") == F.col("doc_of_starts"), "left").select(*keep, "text", "starts")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = docs.where("doc_id is not null").mapInArrow(partial(_pack, length=length, bins=BINS_A_PARTITION * buckets, apart=apart), PACKED)
+    later = packed.groupBy("bin").applyInArrow(lambda t: _later(t, buckets), "bucket int, doc binary, n binary, start binary")
+    spans = later.groupBy("bucket").applyInArrow(lambda t: _spans(t, length), "doc_of_spans bigint, starts array<bigint>, stops array<bigint>")
+    spans = materialize(spans, "repeat-spans")
+    size = spans.agg(F.coalesce(F.sum(24 + 16 * F.size("starts")), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        spans = F.broadcast(spans)
+    rows = documents.select(*keep, "text", F.col("doc_id").alias("own_doc_id")).join(spans, F.col("own_doc_id") == F.col("doc_of_spans"), "left").select(*keep, "text", "starts", "stops")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
-    return rows.mapInArrow(partial(_cut, length=length, apart=apart, joined=joined), f"{schema}, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, kept string")
+    return rows.mapInArrow(partial(_cut, apart=apart, joined=joined), f"{schema}, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, kept string")
