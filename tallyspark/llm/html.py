@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import blocks, bounded_batches, text_bytes
+from tallyspark.llm.common import blocks, bounded_batches, materialize, text_bytes
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
@@ -50,6 +50,8 @@ NOISE_NAMES = re.compile(
 )
 #: Importance under which a node is noise, and the number of different pages that a node must occur in.
 LOW_IMPORTANCE, LEAST_PAGES = 0.05, 6
+#: Noise of so many nodes (8 bytes each) at most is broadcast; more is joined to the pages by a shuffle.
+BROADCAST_NODES = 1_000_000
 
 
 @lru_cache(20_000)
@@ -171,7 +173,7 @@ def _signed(x: int) -> int:
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in blocks(batches, "html"):
         host, path, value, layout, page = [], [], [], [], []
-        for h, source in zip(t.column("host").to_pylist(), text_bytes(t.column("html")), strict=True):
+        for h, source in zip(t.column("tree").to_pylist(), text_bytes(t.column("html")), strict=True):
             p, own = Page(source.decode()), _signed(xxhash.xxh3_64_intdigest(source))
             rows = {(b[0], b[0] ^ _digest(b[3]), False) for b in p.blocks if not b[1]} | {(k, v, True) for k, v in p.layouts.items()}
             for k, v, is_layout in rows:
@@ -180,24 +182,28 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 value.append(_signed(v))
                 layout.append(is_layout)
                 page.append(own)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.int64()), pa.array(value, pa.int64()), pa.array(layout, pa.bool_()), pa.array(page, pa.int64())], names=["host", "path", "value", "layout", "page"])
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.int64()), pa.array(path, pa.int64()), pa.array(value, pa.int64()), pa.array(layout, pa.bool_()), pa.array(page, pa.int64())], names=["tree", "path", "value", "layout", "page"])
 
 
 def style_tree_noise(pages: DataFrame) -> DataFrame:
-    """(host, noise): the paths and texts of low importance in the merged tree of each host's pages (host, html).
+    """(tree, noise): the paths and texts of low importance in the merged tree of each host's pages (tree, html),
+    tree being the host's hash.
 
     Pages with the same bytes count once, so copies of a page don't make it noise. A node on fewer than
     LEAST_PAGES different pages is never noise."""
-    nodes = pages.mapInArrow(_nodes, "host string, path bigint, value bigint, layout boolean, page bigint").distinct()
-    # One row for a value; c: pages that have it.
-    values = nodes.groupBy("host", "path", "layout", "value").agg(F.count("*").alias("c"))
-    m = nodes.groupBy("host", "path", "layout", "page").agg(F.lit(1).alias("one")).groupBy("host", "path", "layout").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_PAGES)
-    rated = values.join(m, ["host", "path", "layout"])
+    nodes = materialize(pages.mapInArrow(_nodes, "tree bigint, path bigint, value bigint, layout boolean, page bigint").distinct(), "site-nodes")
+    # One row for a value; c: pages that have it. A page's values of a path count for the path once.
+    values = nodes.groupBy("tree", "path", "layout", "value").agg(F.count("*").alias("c"))
+    m = nodes.groupBy("tree", "path", "layout", "page").agg(F.lit(1).alias("one")).groupBy("tree", "path", "layout").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_PAGES)
+    often = values.where("c > 1")  # a value on one page has the importance 1 and is counted without its row
+    once = values.groupBy("tree", "path", "layout").agg(F.count_if(F.col("c") == 1).alias("once"))
+    m = m.join(once, ["tree", "path", "layout"])
+    rated = often.join(m, ["tree", "path", "layout"])
     texts = rated.where("not layout").withColumn("importance", F.expr("1 - ln(c) / ln(m)"))
-    by_text = texts.where(F.col("importance") < LOW_IMPORTANCE).select("host", F.col("value").alias("noise"))
-    content = texts.groupBy("host", "path").agg((F.sum(F.col("importance") * F.col("c")) / F.sum("c")).alias("content"))
-    shown = rated.where("layout").groupBy("host", "path").agg(F.expr("-sum(c / m * ln(c / m)) / ln(max(m))").alias("presentation"))
-    by_path = content.join(shown, ["host", "path"], "left").where((F.col("content") < LOW_IMPORTANCE) & (F.coalesce("presentation", F.lit(0.0)) < LOW_IMPORTANCE)).select("host", F.col("path").alias("noise"))
+    by_text = texts.where(F.col("importance") < LOW_IMPORTANCE).select("tree", F.col("value").alias("noise"))
+    content = texts.groupBy("tree", "path").agg(((F.sum(F.col("importance") * F.col("c")) + F.max("once")) / (F.sum("c") + F.max("once"))).alias("content"))
+    shown = rated.where("layout").groupBy("tree", "path").agg(F.expr("(-sum(c / m * ln(c / m)) + max(once / m * ln(m))) / ln(max(m))").alias("presentation"))
+    by_path = content.join(shown, ["tree", "path"], "left").where((F.col("content") < LOW_IMPORTANCE) & (F.coalesce("presentation", F.lit(0.0)) < LOW_IMPORTANCE)).select("tree", F.col("path").alias("noise"))
     return by_text.unionByName(by_path)
 
 
@@ -218,8 +224,11 @@ def main_texts(pages: DataFrame) -> DataFrame:
     the input are ignored; html of any length is read whole."""
     bounded_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    own = pages.select("page_id", "url", "html", host.alias("host"))
-    noise = style_tree_noise(own.where("host <> ''").select("host", "html")).groupBy(F.col("host").alias("noise_host")).agg(F.collect_set("noise").alias("noise"))
+    own = pages.select("page_id", "url", "html", F.when(host != "", F.xxhash64(host)).alias("tree"))
+    noise = style_tree_noise(own.where("tree is not null").select("tree", "html")).groupBy(F.col("tree").alias("of")).agg(F.collect_set("noise").alias("noise"))
+    noise = materialize(noise, "site-noise")
+    if noise.agg(F.coalesce(F.sum(F.size("noise")), F.lit(0))).first()[0] <= BROADCAST_NODES:
+        noise = F.broadcast(noise)
     kind = pages.schema["page_id"].dataType.simpleString()
-    rows = own.join(noise, F.col("host") == F.col("noise_host"), "left").select("page_id", "url", "html", "noise")
+    rows = own.join(noise, F.col("tree") == F.col("of"), "left").select("page_id", "url", "html", "noise")
     return rows.mapInArrow(_extract, f"page_id {kind}, url string, text string")
