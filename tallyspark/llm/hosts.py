@@ -18,6 +18,8 @@ from tallyspark.llm.common import WordHashes, blocks, bounded_batches, materiali
 from tallyspark.llm.substrings import BASES, Rolling
 
 WINDOW = 5
+#: So many rejected hosts at most are broadcast; more are joined by a shuffle.
+BROADCAST_HOSTS = 50_000
 SPACE = b" \t\n\x0b\x0c\r"
 MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 _byte = np.arange(256)
@@ -97,6 +99,8 @@ def judge(documents: DataFrame, host: Column, max_rate: float = 0.5) -> DataFram
     the names made here or one called host_of_document."""
     made = measures(documents.withColumn("host_of_document", host)).withColumn("base_failed", base_failed())
     made = materialize(made, "measures")
-    bad = host_rates(made.select(F.col("host_of_document").alias("host"), F.col("base_failed").alias("failed"))).where(F.col("rate") > max_rate).select(F.col("host").alias("bad_host"))
+    bad = materialize(host_rates(made.select(F.col("host_of_document").alias("host"), F.col("base_failed").alias("failed"))).where(F.col("rate") > max_rate).select(F.col("host").alias("bad_host")), "bad-hosts")
+    if bad.count() <= BROADCAST_HOSTS:
+        bad = F.broadcast(bad)
     out = made.join(bad, F.col("host_of_document") == F.col("bad_host"), "left")
     return out.withColumn("kept", ~F.col("base_failed") & F.col("bad_host").isNull()).drop("host_of_document", "bad_host")
