@@ -11,7 +11,7 @@ whole, which follows from a histogram of the lengths (`capacity` rows at most).
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial, reduce
 
 import numpy as np
@@ -19,79 +19,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import blocks, bounded_batches, materialize, text_bytes
+from tallyspark.llm.bpe import encode_words
+from tallyspark.llm.common import bounded_batches, materialize
 
 ROWS_A_PARTITION = 20_000
 #: Further runs of best fit, on slightly changed orders, in a partition with a gap.
 TRIES = 16
-#: Words whose ids a Python worker keeps.
-CACHE_WORDS = 300_000
 
 
-class WordIds:
-    """Ids of words that white space separates; each word is encoded once while it is kept."""
+_tokenizers: dict[str, object] = {}
 
-    def __init__(self, path: str):
+
+def _word_encoder(path: str) -> Callable[[list[bytes]], list[list[int]]]:
+    """Encodes words with a tokenizer file; a process keeps one tokenizer."""
+    if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kept: dict[bytes, list[int]] = {}
-
-    def of(self, words: list[bytes]) -> list[list[int]]:
-        if len(self.kept) > CACHE_WORDS:
-            self.kept.clear()
-        new = [w for w in words if w not in self.kept]
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.kept[w] = e.ids
-        return [self.kept[w] for w in words]
-
-
-class Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
-    encode = WordIds(path)
-    for t in blocks(batches):
-        numbers, parts = Numbers(), []
-        for text in text_bytes(t.column("text")):
-            words = text.split()
-            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-        lists = encode.of(list(numbers))
-        n = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(n.sum()))
-        begin = np.cumsum(n) - n
-        rows, out = [], []
-        for r, p in enumerate(parts):
-            each = n[p]
-            ends = np.cumsum(each)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = np.full(total + 1, end, "<u4")
-            ids[:total] = flat[np.repeat(begin[p] - (ends - each), each) + np.arange(total)]
-            for k in range(0, total + 1, capacity):
-                rows.append((r, k // capacity, k, min(capacity, total + 1 - k)))
-                out.append(ids[k : k + capacity].tobytes())
-        take = pa.array([x[0] for x in rows])
-        rest = t.drop_columns(["text"]).take(take).combine_chunks()
-        cols = [pa.array([x[k] for x in rows], kind) for k, kind in ((1, pa.int32()), (2, pa.int64()), (3, pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rest.columns), *cols, pa.array(out, pa.binary())], names=[*rest.column_names, "piece", "start", "length", "ids"])
+        _tokenizers[path] = t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+    tokenizer = _tokenizers[path]
+    return lambda words: [e.ids for k in range(0, len(words), 10_000) for e in tokenizer.encode_batch_fast([w.decode() for w in words[k : k + 10_000]], add_special_tokens=False)]
+
+
+def _white_space() -> Callable[[str], list]:
+    return lambda text: text.encode().split()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end: int) -> Iterator[pa.RecordBatch]:
+    tail = np.array([end], "<u4").tobytes()
+    for b in batches:
+        rows = []
+        for doc_id, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
+            data = (ids or b"") + tail
+            rows += [(doc_id, k // (4 * capacity), k // 4, min(4 * capacity, len(data) - k) // 4, data[k : k + 4 * capacity]) for k in range(0, len(data), 4 * capacity)]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "piece", "start", "length", "ids"])
 
 
 def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids) of documents (doc_id, text): the ids of the whole text without special
     tokens, then `end`, cut into pieces of `capacity` ids. The tokenizer must be one that drops white space and
-    takes words by themselves, as the word-level BPE files do. A null or empty text is the one id `end`; a null
-    doc_id and repeated rows are kept as they are; other columns are ignored. ids: little-endian, 32 bits."""
-    bounded_batches(documents.sparkSession)
-    docs = documents.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(partial(_pieces, path=tokenizer_path, capacity=capacity, end=end), f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
+    takes words by themselves, as the word-level BPE files do: each distinct word is encoded once in the corpus.
+    A null or empty text is the one id `end`; a null doc_id and repeated rows are kept as they are; other
+    columns are ignored. ids: little-endian, 32 bits."""
+    ids = encode_words(documents, _white_space, lambda: _word_encoder(tokenizer_path))
+    return ids.select("doc_id", "ids").mapInArrow(partial(_pieces, capacity=capacity, end=end), "doc_id bigint, piece int, start bigint, length bigint, ids binary")
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
