@@ -2,10 +2,9 @@
 
 Every line of at least `min_chars` characters is hashed; a minimum per hash (combined before the shuffle) gives
 the earliest document that has it, and each later document is paired with the earliest holders of its lines:
-a star for each line, never all pairs of those who share it. A pair counts if it shares a rare line (one in at
-most `rare` documents) or at least two lines, so large groups of copies are met through their blocks while one
-line that everybody has pairs nobody. Patience diff aligns each pair and the aligned common blocks go from the
-later document.
+a star for each line, never all pairs of those who share it, whatever the number of its holders. A pair is
+formed once, however many lines it shares. Patience diff aligns each pair and the aligned common blocks go from
+the later document.
 """
 
 from __future__ import annotations
@@ -62,13 +61,14 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_lines(a: list[int], b: list[int], rare: set[int]) -> list[int]:
-    """Positions in b of the aligned blocks that hold a rare line or two long lines; long lines have odd hashes."""
+def common_lines(a: list[int], b: list[int], rare: set[int] | None) -> list[int]:
+    """Positions in b of the aligned blocks that hold a rare line or two long lines; long lines have odd hashes.
+    Without a set every long line counts as a rare one."""
     gone, block = [], []
     for i, j in [*patience(a, b), (-9, -9)]:
         if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
             long = [b[y] for _, y in block if b[y] & 1]
-            if len(long) > 1 or any(x in rare for x in long):
+            if len(long) > 1 or any(rare is None or x in rare for x in long):
                 gone += [y for _, y in block]
             block = []
         block.append((i, j))
@@ -77,7 +77,7 @@ def common_lines(a: list[int], b: list[int], rare: set[int]) -> list[int]:
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        gone = [common_lines(a, b, set(r)) for a, b, r in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "rare")), strict=True)]
+        gone = [common_lines(a, b, None if r is None else set(r)) for a, b, r in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "rare")), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("later"), pa.array(gone, pa.list_(pa.int32()))], names=["later", "gone"])
 
 
@@ -95,13 +95,14 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in t.columns), *cols], names=[*t.column_names, "text", "n_lines", "n_dropped"])
 
 
-def drop_aligned_lines(documents: DataFrame, min_chars: int = 20, rare: int = 64, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def drop_aligned_lines(documents: DataFrame, min_chars: int = 20, rare: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in `keep` with text (what is left), n_lines and n_dropped, one row for each input row.
 
     Lines are cut at \\n and compared without white space at their ends. A document is aligned with each
-    earlier document (smaller doc_id) that is the first to hold one of its lines, if the two share a rare line
-    or at least two lines of min_chars characters. Aligned runs of lines that hold a rare shared line or two
-    such lines are deleted from the later document; the first document keeps everything. A null text stays
+    earlier document (smaller doc_id) that is the first to hold one of its lines of min_chars characters.
+    Aligned runs of lines that hold such a line are deleted from the later document; the first document keeps
+    everything. With `rare`, a pair needs a first-held line in at most so many documents or two first-held
+    lines, and a run needs such a rare line or two lines. A null text stays
     null with no lines; a null doc_id takes no part; equal rows are the same document and both are kept;
     rows that share a doc_id but not the text go in the order of a text hash. An empty table gives no rows.
     """
@@ -114,7 +115,11 @@ def drop_aligned_lines(documents: DataFrame, min_chars: int = 20, rare: int = 64
     long = table.select("me", F.explode(F.array_distinct(F.filter("lines", lambda x: x.bitwiseAND(F.lit(1)) == 1))).alias("line"))
     held = long.groupBy("line").agg(F.min("me").alias("first"), F.count("*").alias("df")).where("df > 1")
     shared = long.join(held, "line").where("me > first")
-    pairs = shared.groupBy(F.col("me").alias("later"), F.col("first").alias("earlier")).agg(F.count("*").alias("n"), F.collect_list(F.expr(f"if(df <= {rare}, line, null)")).alias("rare")).where("n > 1 or size(rare) > 0")
+    pairs = shared.groupBy(F.col("me").alias("later"), F.col("first").alias("earlier"))
+    if rare is None:
+        pairs = pairs.agg(F.lit(None).cast("array<bigint>").alias("rare"))
+    else:
+        pairs = pairs.agg(F.count("*").alias("n"), F.collect_list(F.expr(f"if(df <= {rare}, line, null)")).alias("rare")).where("n > 1 or size(rare) > 0")
     one, two = table.select(F.col("me").alias("earlier"), F.col("lines").alias("a")), table.select(F.col("me").alias("later"), F.col("lines").alias("b"))
     aligned = pairs.join(two, "later").join(one, "earlier").select("later", "a", "b", "rare")
     gone = aligned.mapInArrow(_align, "later struct<doc_id:bigint,h:bigint>, gone array<int>").groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))

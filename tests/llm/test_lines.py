@@ -93,3 +93,14 @@ def test_odd_rows(spark):
     assert (1, None, 0) in got and (2, "", 0) in got and (None, a, 0) in got and (4, "own words here\n", 2) in got and (5, "x\n" * 9000, 0) in got
     assert sorted(x[2] for x in got if x[0] == 3) in ([0, 0, 2], [0, 2, 2])
     assert drop_aligned_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_a_line_of_many_documents_goes_from_all_but_the_first(spark):
+    line = "a passage of one line that very many documents share"
+    rows = [(i, f"own words of document {i} come first\n{line}\nand document {i} ends like this") for i in range(70)]
+    got = {x.doc_id: x.text for x in drop_aligned_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: "\n".join(x for x in t.split("\n") if i == 0 or x != line) for i, t in rows}
+    # Shared lines that alternate with lines of a document's own.
+    rows = [(i, "\n".join(x for k in range(3) for x in (f"the shared line of number {k}", f"line {k} as document {i} has it"))) for i in range(70)]
+    got = {x.doc_id: x.n_dropped for x in drop_aligned_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: 3 * (i > 0) for i in range(70)}
