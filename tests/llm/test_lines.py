@@ -104,3 +104,10 @@ def test_a_line_of_many_documents_goes_from_all_but_the_first(spark):
     rows = [(i, "\n".join(x for k in range(3) for x in (f"the shared line of number {k}", f"line {k} as document {i} has it"))) for i in range(70)]
     got = {x.doc_id: x.n_dropped for x in drop_aligned_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {i: 3 * (i > 0) for i in range(70)}
+
+
+def test_a_block_whose_lines_have_other_first_holders_goes(spark):
+    x, y = "the first line of a block that many share", "the second line of a block that many share"
+    rows = [(0, f"{x}\nonly the oldest document goes on like this")] + [(i, f"own words of document {i} here\n{x}\n{y}\nthe end of document {i} as it is") for i in range(1, 101)]
+    got = {d.doc_id: d.n_dropped for d in drop_aligned_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: min(i, 2) for i in range(101)}
