@@ -2,9 +2,10 @@
 
 The pages of a host are merged into one tree: a node is a path of tags with their classes. Spark counts, per
 host and path, in how many different pages a node occurs, how its children are laid out (presentation) and
-which texts its blocks hold (content). With m pages at a node, a text on c of them has the importance
-1 - log c / log m, and a presentation the entropy of its layouts divided by log m. Branches whose content and
-presentation both have low importance are noise, and so is a text of low importance alone. Each page is then
+which texts its blocks hold (content). With h different pages of the host, a text on c of them has the importance
+1 - log c / log h; with m pages at a node, a presentation has the entropy of its layouts divided by log m. Branches
+whose content and presentation both have low importance are noise, and so is a text of low importance alone, but
+only nodes that some page of the host has outside of a marked article. Each page is then
 read once more with the noise of its host: what the markup itself names as menu, footer, advert and so on goes,
 and of what is left the article counts, or the whole page if it marks none.
 """
@@ -172,17 +173,23 @@ def _signed(x: int) -> int:
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in blocks(batches, "html"):
-        host, path, value, layout, page = [], [], [], [], []
+        host, path, value, layout, page, outside = [], [], [], [], [], []
         for h, source in zip(t.column("tree").to_pylist(), text_bytes(t.column("html")), strict=True):
             p, own = Page(source.decode()), _signed(xxhash.xxh3_64_intdigest(source))
-            rows = {(b[0], b[0] ^ _digest(b[3]), False) for b in p.blocks if not b[1]} | {(k, v, True) for k, v in p.layouts.items()}
-            for k, v, is_layout in rows:
+            rows = {(k, v, True): True for k, v in p.layouts.items()}
+            for b in p.blocks:
+                if not b[1]:
+                    node = (b[0], b[0] ^ _digest(b[3]), False)
+                    rows[node] = rows.get(node, False) or not b[2]
+            for (k, v, is_layout), out in rows.items():
                 host.append(h)
                 path.append(_signed(k))
                 value.append(_signed(v))
                 layout.append(is_layout)
                 page.append(own)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.int64()), pa.array(path, pa.int64()), pa.array(value, pa.int64()), pa.array(layout, pa.bool_()), pa.array(page, pa.int64())], names=["tree", "path", "value", "layout", "page"])
+                outside.append(out)
+        cols = [pa.array(host, pa.int64()), pa.array(path, pa.int64()), pa.array(value, pa.int64()), pa.array(layout, pa.bool_()), pa.array(page, pa.int64()), pa.array(outside, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(cols, names=["tree", "path", "value", "layout", "page", "outside"])
 
 
 def style_tree_noise(pages: DataFrame) -> DataFrame:
@@ -190,18 +197,21 @@ def style_tree_noise(pages: DataFrame) -> DataFrame:
     tree being the host's hash.
 
     Pages with the same bytes count once, so copies of a page don't make it noise. A node on fewer than
-    LEAST_PAGES different pages is never noise."""
-    nodes = materialize(pages.mapInArrow(_nodes, "tree bigint, path bigint, value bigint, layout boolean, page bigint").distinct(), "site-nodes")
+    LEAST_PAGES different pages is never noise, nor is one that is in a marked article wherever it occurs. A
+    content is rated by the host's different pages, not by those that have its path: what a few articles share
+    (a heading, a table's head, a quotation) says nothing of the site."""
+    nodes = materialize(pages.mapInArrow(_nodes, "tree bigint, path bigint, value bigint, layout boolean, page bigint, outside boolean").distinct(), "site-nodes")
     # One row for a value; c: pages that have it. A page's values of a path count for the path once.
-    values = nodes.groupBy("tree", "path", "layout", "value").agg(F.count("*").alias("c"))
+    values = nodes.groupBy("tree", "path", "layout", "value").agg(F.count("*").alias("c"), F.bool_or("outside").alias("outside"))
+    hosts = nodes.groupBy("tree", "page").agg(F.lit(1).alias("one")).groupBy("tree").agg(F.count("*").alias("h"))
     m = nodes.groupBy("tree", "path", "layout", "page").agg(F.lit(1).alias("one")).groupBy("tree", "path", "layout").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_PAGES)
     often = values.where("c > 1")  # a value on one page has the importance 1 and is counted without its row
     once = values.groupBy("tree", "path", "layout").agg(F.count_if(F.col("c") == 1).alias("once"))
     m = m.join(once, ["tree", "path", "layout"])
     rated = often.join(m, ["tree", "path", "layout"])
-    texts = rated.where("not layout").withColumn("importance", F.expr("1 - ln(c) / ln(m)"))
-    by_text = texts.where(F.col("importance") < LOW_IMPORTANCE).select("tree", F.col("value").alias("noise"))
-    content = texts.groupBy("tree", "path").agg(((F.sum(F.col("importance") * F.col("c")) + F.max("once")) / (F.sum("c") + F.max("once"))).alias("content"))
+    texts = rated.where("not layout").join(hosts, "tree").withColumn("importance", F.expr("1 - ln(c) / ln(h)"))
+    by_text = texts.where((F.col("importance") < LOW_IMPORTANCE) & F.col("outside")).select("tree", F.col("value").alias("noise"))
+    content = texts.groupBy("tree", "path").agg(((F.sum(F.col("importance") * F.col("c")) + F.max("once")) / (F.sum("c") + F.max("once"))).alias("content"), F.bool_or("outside").alias("outside")).where("outside").drop("outside")
     shown = rated.where("layout").groupBy("tree", "path").agg(F.expr("(-sum(c / m * ln(c / m)) + max(once / m * ln(m))) / ln(max(m))").alias("presentation"))
     by_path = content.join(shown, ["tree", "path"], "left").where((F.col("content") < LOW_IMPORTANCE) & (F.coalesce("presentation", F.lit(0.0)) < LOW_IMPORTANCE)).select("tree", F.col("path").alias("noise"))
     return by_text.unionByName(by_path)

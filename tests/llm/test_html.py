@@ -43,3 +43,15 @@ def test_query_gives_the_articles(spark):
         text = re.sub(r"</?b>", "", article)
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", text)).split())
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
+
+
+def test_what_few_articles_share_stays(spark):
+    cell = lambda i: "<table><tr><th>Year</th></tr><tr><td>{}</td></tr></table>".format(1900 + i) if i < 8 else ""
+    rows = [(i, f"http://a.example/{i}", page(i, cell(i))) for i in range(60)]
+    # Near copies of one article and nothing else, and a site whose article mark stands around a line of every page.
+    rows += [(100 + i, f"http://b.example/{i}", f"<body><article><p>The same paragraph</p><p>Edition {i}</p></article></body>") for i in range(8)]
+    rows += [(200 + i, f"http://c.example/{i}", f"<body><p>Our motto</p><article><p>Own words {i}</p><blockquote>A quotation</blockquote></article></body>") for i in range(20)]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"Own text {i} of page {i * 7}" + (f" Year {1900 + i}" if i < 8 else "") for i in range(60))
+    assert all(got[100 + i] == f"The same paragraph Edition {i}" for i in range(8))
+    assert all(got[200 + i] == f"Own words {i} A quotation" for i in range(20))
