@@ -110,6 +110,24 @@ def open_close(df: DataFrame, by: list[str], order: str, amount: str, balance: s
     return df.groupBy(*by).agg(first(F.col(balance) - F.col(amount), order).alias("opening"), last(balance, order).alias("closing"))
 
 
+def places(df: DataFrame, key: Column, name: str, ranges: int | None = None) -> DataFrame:
+    """The place of each row in the order of `key` (a null comes first) over the whole table, from 1; equal keys in any order.
+
+    Rows are dealt to ranges of keys (as many as shuffle partitions) that a small sample bounds; a row's place is
+    its place in the range plus the rows of the ranges before it. df is read here twice, for the sample and the counts."""
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys, most = df.select(key.alias("k")), 50 * ranges
+    sample = sorted({r["k"] for r in keys.sample(fraction=min(1.0, most / max(1, keys.count())), seed=1).collect() if r["k"] is not None})
+    bounds = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= key)) if bounds else F.lit(0)
+    dealt = df.withColumn("_range", F.when(key.isNull(), 0).otherwise(at).cast("int"))
+    before, so_far = {}, 0
+    for r in sorted(dealt.groupBy("_range").count().collect()):  # at most `ranges` rows
+        before[r["_range"]], so_far = so_far, so_far + r["count"]
+    offset = F.get(F.array(*[F.lit(before.get(k, 0)).cast("bigint") for k in range(ranges)]), F.col("_range"))
+    return dealt.withColumn(name, F.row_number().over(_w(["_range"], [key])) + offset).drop("_range")
+
+
 def recent(df: DataFrame, by: list[str], order: str, n: int = 10) -> DataFrame:
     """The n most recent distinct values of each key."""
     w = Window.partitionBy(*by).orderBy(F.desc(order))

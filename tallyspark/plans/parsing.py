@@ -125,8 +125,7 @@ def format_detect(spark, sf):
 def natural_order(spark, sf):
     """page-2 before page-10: the natural key orders names as their numbers."""
     n = table(spark, sf, "part").where("p_partkey < 500").select("p_partkey", F.concat(F.lit("file-"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("name"))
-    w = o.Window.partitionBy(F.lit(0)).orderBy(x.natural_key(F.col("name")))
-    return n.withColumn("place", F.row_number().over(w).cast("bigint")).select("p_partkey", "place")
+    return o.places(n, x.natural_key(F.col("name")), "place").select("p_partkey", "place")
 
 
 @query("""WITH l AS (SELECT o_orderkey, date_trunc('month', o_orderdate) AS d FROM orders) SELECT o_orderkey, strftime(d, '%b %Y') AS period, strftime(d, '%Y-%m-01') AS first_day FROM l""")
