@@ -13,7 +13,7 @@ from tallyspark.llm.common import read
 from tallyspark.llm.hosts import judge
 from tallyspark.llm.html import main_texts
 from tallyspark.llm.jaccard import jaccard_classes
-from tallyspark.llm.licences import NOTICES, licence_matches, notices
+from tallyspark.llm.licences import NOTICES, licence_matches, licence_passages, notices, passage_templates
 from tallyspark.llm.lines import drop_aligned_lines
 from tallyspark.llm.packing import best_fit_pack, token_pieces
 from tallyspark.llm.substrings import remove_repeats
@@ -31,6 +31,10 @@ def op2_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_matches(read(spark, sf_dir, "documents"), notices(spark))
 
 
+def op2_licence_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_passages(read(spark, sf_dir, "documents"), passage_templates(spark))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read(spark, sf_dir, "pages"))
 
@@ -75,6 +79,7 @@ def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_licence_scans": op2_licence_scans,
+    "op2_licence_passages": op2_licence_passages,
     "op3_warc": op3_warc,
     "op4_host_rules": op4_host_rules,
     "op5_byte_bpe": op5_byte_bpe,

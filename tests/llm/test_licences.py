@@ -1,6 +1,7 @@
 import re
+import textwrap
 
-from tallyspark.llm.licences import NOTICES, licence_matches, notices
+from tallyspark.llm.licences import NOTICES, TEXTS, licence_matches, licence_passages, notices, passage_templates
 
 
 def grams(text):
@@ -31,3 +32,17 @@ def test_equals_brute_force_and_odd_rows(spark):
     assert sorted((tuple(r) for r in licence_matches(df, notices(spark)).collect()), key=str) == brute(rows)
     assert licence_matches(spark.createDataFrame([], "doc_id bigint, text string"), notices(spark)).count() == 0
     assert licence_matches(df, notices(spark).where("template < 0")).count() == 0
+
+
+def test_passages_are_found_wrapped_embedded_and_whole(spark):
+    gpl, mit = NOTICES[12][1], TEXTS[0][1]
+    wrapped = "\n".join(f" * {x}" for x in textwrap.wrap(gpl, 60))
+    rows = [(1, f"/* Own words.\n{wrapped}\n*/ {'more text here ' * 300}"), (2, f"{'before it ' * 200}{NOTICES[4][1]} and after it " + "x y z " * 200)]
+    rows += [(3, f"Copyright someone\n\n{textwrap.fill(mit, 70)}\n"), (4, f"{mit}\n{mit}"), (5, None), (6, ""), (7, "of the " * 5000), (None, gpl), (8, gpl), (8, gpl)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.first_word, r.licence, r.template) for r in licence_passages(df, passage_templates(spark)).collect()), key=str)
+    n, whole = len(re.findall("[A-Za-z0-9]+", mit)), len(NOTICES)
+    want = [(1, 2, "GPL-3.0-or-later", 12), (2, 400, "CC-BY-4.0", 4), (3, 2, "MIT", whole), (4, 0, "MIT", whole), (4, n, "MIT", whole), (None, 0, "GPL-3.0-or-later", 12), (8, 0, "GPL-3.0-or-later", 12), (8, 0, "GPL-3.0-or-later", 12)]
+    assert got == sorted(want, key=str)
+    assert licence_passages(df.where("doc_id = 99"), passage_templates(spark)).count() == 0
+    assert licence_passages(df, passage_templates(spark).where("template < 0")).count() == 0
