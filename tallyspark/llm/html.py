@@ -25,12 +25,19 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import blocks, bounded_batches, materialize, text_bytes
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+#: Elements that stand in a line as words do. Their text goes, but for math and object in an article; nothing after their end does.
+EMBEDDED = frozenset("svg math object canvas noscript template select iframe".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mmultiscripts mtable mtr mtd mstyle mpadded mphantom menclose semantics annotation annotation-xml".split())
+INLINE |= EMBEDDED | MATH
+#: HTML tags that end an open svg or math, as browsers read them, but for those inside the elements of the second kind.
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml".split())
 #: An opening tag of the first kind ends open elements of the second up to one of the third.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -42,7 +49,7 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
-NOISE_TAGS = frozenset("head nav footer aside form button menu dialog fieldset figcaption".split())
+NOISE_TAGS = frozenset("head nav footer aside form button menu dialog fieldset".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NOISE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|sidebar|side-?bar|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header"
@@ -73,6 +80,7 @@ class Page:
         self.layouts: dict[int, int] = {}
         self.text: list[str] = []
         self.linked = 0
+        self.hidden = 0  # the place in the stack of an open element whose text goes
         # An element: tag, path, noise, main, link, tags of its children.
         self.stack: list[tuple[str, int, bool, bool, bool, list[str]]] = [("", 0, False, False, False, [])]
         done = 0
@@ -94,6 +102,8 @@ class Page:
         self._flush()
 
     def _text(self, x: str) -> None:
+        if self.hidden:
+            return
         self.text.append(x)
         if self.stack[-1][4]:
             self.linked += len(x)
@@ -107,13 +117,32 @@ class Page:
             self.text, self.linked = [], 0
 
     def _pop(self) -> None:
+        if self.hidden:
+            self.stack.pop()
+            if len(self.stack) <= self.hidden:
+                self.hidden = 0
+            return
         if self.stack[-1][0] not in INLINE:
             self._flush()
         tag, path, _, _, _, children = self.stack.pop()
         if children and tag not in INLINE:
             self.layouts[path] = xxhash.xxh3_64_intdigest(" ".join(children))
 
+    def _open_hidden(self, tag: str, attributes: str) -> bool:
+        """Whether the tag is inside an element whose text goes; an HTML tag ends an svg or math that was left open."""
+        within = {e[0] for e in self.stack[self.hidden :]}
+        drawn = self.stack[self.hidden][0] in ("svg", "math")
+        if drawn and tag in BREAKS and not within & HOLDS_HTML:
+            while self.hidden:
+                self._pop()
+            return False
+        if tag not in VOID and not (attributes.rstrip().endswith("/") and within & {"svg", "math"}):
+            self.stack.append((tag, *self.stack[-1][1:5], []))
+        return True
+
     def _open(self, tag: str, attributes: str) -> None:
+        if self.hidden and self._open_hidden(tag, attributes):
+            return
         if tag == "br":
             self.text.append(" ")
             return
@@ -123,14 +152,18 @@ class Page:
                 self._end({"p"}, {"article", "body", "div", "section", "main", "td", "li", "blockquote"})
         if tag in CLOSES:
             self._end(*CLOSES[tag])
-        if tag in VOID:
+        if tag in VOID or ((tag == "svg" or tag in MATH) and attributes.rstrip().endswith("/")):
+            return
+        if tag in EMBEDDED and not (tag in ("math", "object") and self.stack[-1][3]):
+            self.hidden = len(self.stack)
+            self.stack.append((tag, *self.stack[-1][1:5], []))
             return
         name, noise, main = _attributes(attributes) if attributes and not attributes.isspace() else ("", False, False)
         _, path, was_noise, was_main, link, children = self.stack[-1]
         if tag not in INLINE:
             children.append(tag)
         article = was_main or main or tag in ("article", "main")
-        noise = was_noise or noise or tag in NOISE_TAGS or (tag == "header" and not article)
+        noise = was_noise or noise or tag in NOISE_TAGS or (tag in ("header", "figcaption") and not article)
         own = path if tag in INLINE else xxhash.xxh3_64_intdigest(f"{path}/{tag}.{name}")
         self.stack.append((tag, own, noise, article, link or tag == "a", []))
 
@@ -146,6 +179,11 @@ class Page:
             self._pop()
 
     def _close(self, tag: str) -> None:
+        if self.hidden:
+            at = next((k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k][0] == tag and (k >= self.hidden or tag not in INLINE)), 0)
+            while at and len(self.stack) > at:
+                self._pop()
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == tag:
                 while len(self.stack) > k:

@@ -55,3 +55,14 @@ def test_what_few_articles_share_stays(spark):
     assert all(got[i] == f"Own text {i} of page {i * 7}" + (f" Year {1900 + i}" if i < 8 else "") for i in range(60))
     assert all(got[100 + i] == f"The same paragraph Edition {i}" for i in range(8))
     assert all(got[200 + i] == f"Own words {i} A quotation" for i in range(20))
+
+
+def test_embedded_elements_end_where_they_end():
+    text = lambda x: Page(f"<body><article>{x}</article><p>outside</p></body>").main_text(set())
+    assert text('<p>a <svg viewBox="0 0"/> b</p><p>c <svg><g><text>no</text></g></svg> d</p>') == "a b c d"
+    assert text("<p>a <math/> b</p><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><p>c</p>") == "a b so x=1 holds c"
+    assert text("<p>a</p><div><svg><path d='m'></div><p>b <svg><rect/><p>c</p>") == "a b c"
+    assert text("<div>a<canvas>no</div><p>b</p><div><iframe src=x></div><noscript><p>no</p></noscript><p>c</p>") == "a b c"
+    assert text("<object data=x><p>in its place</p></object><figure><img src=x><figcaption>A caption</figcaption></figure>") == "in its place A caption"
+    assert text("<p>a <select><option>no<option>no</select> b<template><p>no</p></template></p><svg><foreignObject><p>no</p></foreignObject></svg>c") == "a b c"
+    assert Page("<p>a <math><mi>x</mi></math> b</p><figure><figcaption>no</figcaption></figure>").main_text(set()) == "a b"
