@@ -11,7 +11,6 @@ occurrence. Decoding joins the ids with the table of token bytes, whose size is
 from __future__ import annotations
 
 import base64
-import struct
 import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -19,11 +18,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import blocks, bounded_batches, from_planes, materialize, materialize_kinds, planes, remove
+from tallyspark.llm.common import blocks, bounded_batches, from_planes, materialize, materialize_kinds, pack, planes, remove, unpack
 
 #: Bytes of text in a block.
 BLOCK = 8 << 20
@@ -46,25 +44,14 @@ class Numbers(dict):
         return n
 
 
-def _pack(*parts: bytes) -> bytes:
-    """Parts of bytes, compressed one by one: each has its own distribution."""
-    out = [zstandard.ZstdCompressor(level=6).compress(p) for p in parts]
-    return struct.pack(f"<{len(out)}I", *map(len, out)) + b"".join(out)
-
-
-def _unpack(data: bytes, n: int) -> list[bytes]:
-    ends = np.cumsum([4 * n, *struct.unpack_from(f"<{n}I", data)]).tolist()
-    return [zstandard.ZstdDecompressor().decompress(data[i:j]) for i, j in zip(ends, ends[1:])]
-
-
 def _pack_sequence(x: np.ndarray) -> bytes:
     """Numbers as their high bytes, the low bytes of those under 256 and the low bytes of the others."""
     low, high = x.astype(np.uint8), x >> 8
-    return _pack(planes(high), low[high == 0].tobytes(), low[high > 0].tobytes())
+    return pack(planes(high), low[high == 0].tobytes(), low[high > 0].tobytes())
 
 
 def _unpack_sequence(data: bytes) -> np.ndarray:
-    high, small, large = _unpack(data, 3)
+    high, small, large = unpack(data, 3)
     x = from_planes(high, np.uint32) << np.uint32(8)
     under = x == 0
     x[under] = np.frombuffer(small, np.uint8)
@@ -108,7 +95,7 @@ def _split(batches: Iterator[pa.RecordBatch], cutter: Callable[[], Callable[[str
         for b in np.flatnonzero(np.diff(edges)):
             no = by_bin[edges[b] : edges[b + 1]]  # rising
             own = [words[k] for k in order[no]]
-            rows.append({"kind": 1, "block": block, "bin": int(b), "words": _pack(planes(np.array([len(w) for w in own], np.int32)), b"".join(own)), "no": _pack(planes(np.diff(no, prepend=0).astype(np.int32)))})
+            rows.append({"kind": 1, "block": block, "bin": int(b), "words": pack(planes(np.array([len(w) for w in own], np.int32)), b"".join(own)), "no": pack(planes(np.diff(no, prepend=0).astype(np.int32)))})
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
@@ -129,13 +116,13 @@ def _encode(t: pa.Table, encoder: Callable[[], Callable[[list[bytes]], list[list
     """The ids of the words of one bin, packed for each block; a distinct word is encoded once."""
     encode, ids, out = encoder(), {}, []
     for packed in t.column("words").to_pylist():
-        sizes, words = _unpack(packed, 2)
+        sizes, words = unpack(packed, 2)
         ends = np.cumsum(from_planes(sizes, np.int32)).tolist()
         own = [words[i:j] for i, j in zip([0, *ends], ends)]
         new = [w for w in own if w not in ids]
         ids.update(zip(new, encode(new), strict=True))
         lists = [ids[w] for w in own]
-        out.append(_pack(planes(np.array([len(x) for x in lists], np.int32)), planes(np.fromiter((i for x in lists for i in x), np.uint32))))
+        out.append(pack(planes(np.array([len(x) for x in lists], np.int32)), planes(np.fromiter((i for x in lists for i in x), np.uint32))))
     return pa.table({"block": t.column("block"), "no": t.column("no"), "ids": pa.array(out, pa.binary())})
 
 
@@ -146,8 +133,8 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             back = b.column("back")[r].as_py() or []
             sequence = _unpack_sequence(b.column("sequence")[r].as_py())
             empty = np.zeros(0, np.int64)
-            place = np.concatenate([empty, *(np.cumsum(from_planes(*_unpack(x["no"], 1), np.int32)) for x in back)])
-            parts = [_unpack(x["ids"], 2) for x in back]
+            place = np.concatenate([empty, *(np.cumsum(from_planes(*unpack(x["no"], 1), np.int32)) for x in back)])
+            parts = [unpack(x["ids"], 2) for x in back]
             n = np.concatenate([empty, *(from_planes(p[0], np.int32) for p in parts)])
             flat = np.concatenate([np.zeros(0, np.uint32), *(from_planes(p[1], np.uint32) for p in parts)])
             del back, parts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +56,10 @@ def _written(df: DataFrame, name: str, by: str | None = None) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends here, and lost
     executors cost nothing that was finished before. Its shuffle files go once it is written."""
-    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name))
+    path = _written(df, name)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
 
 
 def materialize_kinds(df: DataFrame, name: str, kinds: int) -> list[tuple[DataFrame, str]]:
@@ -71,6 +76,11 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def discard(made: DataFrame) -> None:
+    """Delete the table of a DataFrame that materialize gave, once nothing reads it any more."""
+    remove(made.sparkSession, made.written_to)
+
+
 def planes(x: np.ndarray) -> bytes:
     """Byte planes of integers: those of small numbers are nearly all zero and vanish when compressed."""
     return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
@@ -81,6 +91,29 @@ def from_planes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def pack(*parts: bytes, level: int = 3) -> bytes:
+    """Parts of bytes, compressed one by one: each has its own distribution."""
+    out = [zstandard.ZstdCompressor(level=level).compress(p) for p in parts]
+    return struct.pack(f"<{len(out)}I", *map(len, out)) + b"".join(out)
+
+
+def unpack(data: bytes, n: int) -> list[bytes]:
+    ends = np.cumsum([4 * n, *struct.unpack_from(f"<{n}I", data)]).tolist()
+    return [zstandard.ZstdDecompressor().decompress(data[i:j]) for i, j in zip(ends, ends[1:])]
+
+
+def stretches(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all stretches, one after the other: lengths[i] of them from starts[i]."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def bins_for(documents: DataFrame, column: str = "text", bin_bytes: int = 32 << 20) -> int:
+    """Hash bins for what is made of a column: each takes the share of bin_bytes of text, two or more for a shuffle partition."""
+    size = documents.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+    return max(2 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bin_bytes))
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; a null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

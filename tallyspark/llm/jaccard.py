@@ -4,21 +4,24 @@ A document's set holds its distinct word shingles. Two sets A, B with 100 |A n B
 in at most d = (1 - t) / (1 + t) (|A| + |B|) shingles. A parity sketch XORs one bit for each shingle into k
 words of 64 bits, so the Hamming distance of two sketches is never above the size of the symmetric
 difference, and of k = d + 1 + g words at least g + 1 are the same (pigeonhole). k is fixed per size band;
-a document also makes a sketch for each higher band that a partner may fall into. Words that hold hardly any
-shingle would meet by chance; a document with at most g of them leaves them out, and no other document does.
-
-Steps: equal sets become one class -> words of the sketches are join keys -> the smallest class of a key is
-its leader, found by a minimum that combines before the shuffle -> (member, leader) pairs pass the Hamming
-bound of the folded sketch and are verified on the sets -> components. Only keys where some member did not
-link with the leader are looked at again: such a key takes a leader of another order for some rounds, which
-joins most of a large group, and then its pairs of different components are compared. Every pair that
-qualifies shares a key, and pairs inside a component need no test, so no link between components is lost
-and no group is expanded into all pairs.
+a document also makes a sketch for each higher band that a partner may fall into. A sketch's word at its place is
+a join key. As g + 1 keys are the same, a document may leave out g of its own in an order that holds for all of
+them: first those of words with hardly any shingle, then the keys that most sets have.
+
+Steps: each block of documents packs its distinct keys for hash bins -> a bin counts its keys over all blocks and
+tells each block which of its keys others have too -> the block drops the last g keys of each sketch and packs the
+rest, with their size and a folded sketch, for bins again -> a bin finds the sets that share a key: of a key with
+few sets all pairs within the Hamming bound are verified on the sets; the sets of a key with more are kept as rows.
+Verified pairs give components. Sets of larger keys then meet one of their key's largest component for some rounds,
+which joins most of a large group, and at last pairs of different components within the bound are verified. Every
+pair that qualifies shares a key, and pairs inside a component need no test, so no link between components is
+lost and no group is expanded into all pairs. Keys that very many sets hold are dealt in parts of bounded size.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,17 +30,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WordHashes, blocks, bounded_batches, components, list_array, materialize, mix, text_bytes
+from tallyspark.llm.common import WordHashes, bins_for, blocks, bounded_batches, components, discard, from_planes, list_array, materialize, materialize_kinds, mix, pack, planes, remove, stretches, text_bytes, unpack
 
 #: Sizes of a band run from its bound to 1.25 times the bound.
 STEP = 1.25
+#: Bytes of text in a block.
+BLOCK = 8 << 20
 #: Ids of so many documents (8 bytes each) at most are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
-#: Members from which a key counts as large.
-LARGE = 64
-#: Rounds with leaders of other orders at most, while they join components and pairs would be many.
-ROUNDS = 4
-MADE = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<int>, keys array<array<bigint>>, folds array<array<bigint>>"
+BROADCAST_ROWS = 2_000_000
+#: Sets of a key up to which all its pairs are tried at once.
+SMALL = 16
+#: Sets of a key that meet in one task.
+PART = 4096
+#: Rounds in which the sets of larger keys meet one set of each key before pairs are tried.
+ROUNDS = 2
+FOLD_BITS = 6
+LIGHT = np.uint64(1 << 47)
+MADE = "kind int, doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, block string, head binary, who binary, folds binary, bin int, keys binary"
+HELD = "key bigint, part int, parts int, n int, band int, h1 bigint, fold binary"
+HELD_ARROW = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("n", pa.int32()), ("band", pa.int32()), ("h1", pa.int64()), ("fold", pa.binary())])
 
 
 class Bands:
@@ -67,7 +78,7 @@ class Bands:
             while len(self.bounds) <= band + 1:
                 self.at(self.bounds[-1])
             low, d = self.bounds[band], self.difference(2 * (self.bounds[band + 1] - 1))
-            fold = max(1, -(-8 * d // 64))
+            fold = max(1, -(-FOLD_BITS * d // 64))
             self.shapes[band] = (d + 1, 0, 0, fold)
             for light, k in ((x, k) for x in (1, 0) for k in range(d + 2, 2 * d + 8)):
                 mean = low / k
@@ -110,66 +121,305 @@ def sketch(u: np.ndarray, k: int, light: int, fold: int) -> tuple[np.ndarray, np
     return words, bits.reshape(k, 64).sum(1) > light, np.bitwise_xor.reduce(padded.reshape(-1, fold), axis=0)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+def set_hashes(u: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set, as signed numbers; an empty set has zeros."""
+    sums = [np.add.reduce(mix(u ^ np.uint64(seed))) if len(u) else np.uint64(0) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+    return int(sums[0].view(np.int64)), int(sums[1].view(np.int64))
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, bins: int) -> Iterator[pa.RecordBatch]:
+    """A row for each document, one for a block's distinct sets and one of its distinct keys for each bin."""
     hashes, bands = WordHashes(), Bands(num, den)
-    for t in blocks(batches):
-        sizes, h1, h2, rows, all_words, n_words, all_folds, n_folds, per_doc = [], [], [], [], [], [], [], [], []
-        for text in text_bytes(t.column("text")):
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in MADE.split(", ")])
+    for t in blocks(batches, limit=BLOCK):
+        doc_ids, sizes, ones, twos = t.column("doc_id").to_pylist(), [], [], []
+        seen, of_set, of_sketch, keys, folds = set(), [], [], [], []
+        for doc_id, text in zip(doc_ids, text_bytes(t.column("text")), strict=True):
             u = shingles(text, n, hashes)
+            h1, h2 = set_hashes(u)
             sizes.append(len(u))
-            h1.append(int(np.add.reduce(mix(u ^ np.uint64(0x5851F42D4C957F2D)))) if len(u) else 0)
-            h2.append(int(np.add.reduce(mix(u ^ np.uint64(0x14057B7EF767814F)))) if len(u) else 0)
-            here = bands.of(len(u)) if len(u) else ()
-            per_doc.append(len(here))
-            for band in here:
+            ones.append(h1)
+            twos.append(h2)
+            if not len(u) or doc_id is None or (len(u), h1, h2) in seen:
+                continue
+            seen.add((len(u), h1, h2))
+            of_set.append((h1, len(u)))
+            for band in bands.of(len(u)):
                 k, g, light, fold = bands.shape(band)
                 words, heavy, folded = sketch(u, k, light, fold)
-                at = np.flatnonzero(heavy) if k - np.count_nonzero(heavy) <= g else np.arange(k)
-                rows.append(band)
-                all_words.append(mix(words[at] ^ mix((at + band * 1_000_003).astype(np.uint64))))
-                n_words.append(len(at))
-                all_folds.append(folded)
-                n_folds.append(fold)
-        flat = lambda xs: (np.concatenate(xs) if xs else np.zeros(0, np.uint64)).view(np.int64)
-        offsets = np.zeros(len(per_doc) + 1, np.int32)
-        np.cumsum(per_doc, out=offsets[1:])
-        outer = lambda inner: pa.ListArray.from_arrays(pa.array(offsets), inner)
-        signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
-        arrays = [outer(pa.array(rows, pa.int32())), outer(list_array(flat(all_words), n_words, pa.int64())), outer(list_array(flat(all_folds), n_folds, pa.int64()))]
-        yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(sizes, pa.int64()), signed(h1), signed(h2), *arrays], names=["doc_id", "n_shingles", "h1", "h2", "bands", "keys", "folds"])
+                spare = g - (k - np.count_nonzero(heavy))
+                at = np.flatnonzero(heavy) if spare >= 0 else np.arange(k)
+                key = mix(words[at] ^ mix((at + band * 1_000_003).astype(np.uint64))) >> np.uint64(17)
+                keys.append(key | np.where(heavy[at], np.uint64(0), LIGHT))
+                of_sketch.append((len(of_set) - 1, band, spare if spare >= 0 else g, len(at)))
+                folds.append(folded)
+        block = uuid.uuid4().hex
+        none = lambda kind: pa.nulls(len(sizes), kind)
+        made = {"kind": pa.array([0] * len(sizes), pa.int32()), "doc_id": t.column("doc_id").combine_chunks(), "n_shingles": pa.array(sizes, pa.int64()), "h1": pa.array(ones, pa.int64()), "h2": pa.array(twos, pa.int64())}
+        yield pa.RecordBatch.from_arrays([made.get(f.name, none(f.type)) for f in schema], schema=schema)
+        if not keys:
+            continue
+        sets, sketches = np.array(of_set, np.int64), np.array(of_sketch, np.int32)
+        key, who = np.concatenate(keys), np.repeat(np.arange(len(sketches), dtype=np.uint32), sketches[:, 3])
+        q, b = np.divmod(key, np.uint64(bins))
+        order = np.lexsort((q, b))
+        q, b, who = q[order], b[order].astype(np.int64), who[order]
+        start = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (b[1:] != b[:-1])]))
+        run = np.diff(np.append(start, len(q))).astype(np.uint32)
+        q, b = q[start], b[start]
+        edges = np.searchsorted(b, np.arange(bins + 1))
+        head = pack(*(planes(np.ascontiguousarray(x)) for x in (sets[:, 0], sets[:, 1], sketches[:, 0], sketches[:, 1], sketches[:, 2])))
+        rows = [{"kind": 1, "block": block, "head": head, "who": pack(planes(who), planes(run)), "folds": np.concatenate(folds).tobytes()}]
+        for x in np.flatnonzero(np.diff(edges)).tolist():
+            own = slice(edges[x], edges[x + 1])
+            rows.append({"kind": 2, "block": block, "bin": x, "keys": pack(planes(np.diff(q[own], prepend=np.uint64(0))), planes(run[own]))})
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def _count(t: pa.Table) -> pa.Table:
+    """For each block of a bin: how many keys it has there, which of them another set has too, and in how many sets."""
+    parts = [unpack(x, 2) for x in t.column("keys").to_pylist()]
+    keys = [np.cumsum(from_planes(p[0], np.uint64)) for p in parts]
+    sizes = [len(k) for k in keys]
+    every, runs = np.concatenate(keys), np.concatenate([from_planes(p[1], np.uint32) for p in parts]).astype(np.int64)
+    order = np.argsort(every, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
+    total = np.empty(len(every), np.int64)
+    total[order] = np.repeat(np.add.reduceat(runs[order], start), np.diff(np.append(start, len(order))))
+    out, done = [], 0
+    for key, size in zip(keys, sizes, strict=True):
+        n = np.minimum(total[done : done + size], 0xFFFFFFFF).astype(np.uint32)
+        at = np.flatnonzero(n > 1)
+        out.append(pack(planes(np.diff(at, prepend=0).astype(np.uint32)), planes(np.diff(key[at], prepend=np.uint64(0))), planes(n[at])))
+        done += size
+    return pa.table({"block": t.column("block"), "bin": t.column("bin"), "size": pa.array(sizes, pa.int32()), "live": pa.array(out, pa.binary())})
+
+
+def _trim(batches: Iterator[pa.RecordBatch], bins: int, part: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The keys that each sketch keeps, packed for bins with the set's hash, size and folded sketch."""
+    bands = Bands(num, den)
+    for batch in batches:
+        for r in range(batch.num_rows):
+            head = unpack(batch.column("head")[r].as_py(), 5)
+            h1, size = from_planes(head[0], np.int64), from_planes(head[1], np.int64)
+            of, band, drop = (from_planes(x, np.int32).astype(np.int64) for x in head[2:])
+            who, run = (from_planes(x, np.uint32) for x in unpack(batch.column("who")[r].as_py(), 2))
+            places, keys, counts, done = [], [], [], 0
+            for x in sorted(batch.column("back")[r].as_py(), key=lambda x: x["bin"]):
+                at, q, n = unpack(x["live"], 3)
+                places.append(np.cumsum(from_planes(at, np.uint32).astype(np.int64)) + done)
+                keys.append(np.cumsum(from_planes(q, np.uint64)) * np.uint64(bins) + np.uint64(x["bin"]))
+                counts.append(from_planes(n, np.uint32).astype(np.int64))
+                done += x["size"]
+            if done != len(run):
+                raise ValueError("a block has not got the counts of all its keys")
+            place, key, count = np.concatenate(places), np.concatenate(keys), np.concatenate(counts)
+            start, each = np.cumsum(run.astype(np.int64)) - run, run[place].astype(np.int64)
+            own, key, count = who[stretches(start[place], each)].astype(np.int64), np.repeat(key, each), np.repeat(count, each)
+            order = np.lexsort((key, count, key >> np.uint64(47), own))
+            own, key, count = own[order], key[order], count[order]
+            live = np.bincount(own, minlength=len(of))
+            rank = np.arange(len(own)) - np.repeat(np.cumsum(live) - live, live)
+            stay = rank < live[own] - drop[own]
+            own, key, parts = own[stay], key[stay], -(-count[stay] // part)
+            own_part = (mix(h1[of[own]].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+            bin_ = (mix(key + own_part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bins)).astype(np.int64)
+            order = np.lexsort((key, bin_))
+            own, key, parts, own_part, bin_ = own[order], key[order], parts[order], own_part[order], bin_[order]
+            width = np.array([bands.shape(b)[3] for b in range(int(band.max()) + 1)], np.int64)[band]
+            fold, first = np.frombuffer(batch.column("folds")[r].as_py(), np.uint64), np.cumsum(width) - width
+            edges = np.searchsorted(bin_, np.arange(bins + 1))
+            out = []
+            for x in np.flatnonzero(np.diff(edges)).tolist():
+                s = slice(edges[x], edges[x + 1])
+                who_ = own[s]
+                numbers = [planes(y) for y in (np.diff(key[s], prepend=np.uint64(0)), own_part[s].astype(np.int32), parts[s].astype(np.int32), size[of[who_]].astype(np.int32), band[who_].astype(np.int32))]
+                out.append((x, pack(*numbers) + np.ascontiguousarray(h1[of[who_]]).tobytes() + fold[stretches(first[who_], width[who_])].tobytes(), len(who_)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bin", "rows", "packed"])
+
+
+class Held:
+    """Rows of sets that hold a key, as columns; rows of a band have folds of the same width."""
+
+    def __init__(self, key, part, parts, n, band, h1, fold, component=None):
+        self.columns = [key, part, parts, n, band, h1]
+        self.key, self.part, self.parts, self.n, self.band, self.h1 = self.columns
+        self.fold, self.component = fold, component  # fold: a list of one array (rows, words) a band
+
+    def near(self, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Which of the rows (a, b) of a band may qualify by their sizes and by the Hamming bound."""
+        small, large = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
+        out = (small * den >= large * num) & (self.h1[a] != self.h1[b])
+        at = np.flatnonzero(out)
+        for k in range(0, len(at), 200_000):
+            s = at[k : k + 200_000]
+            distance = np.bitwise_count(self.fold[a[s]] ^ self.fold[b[s]]).sum(axis=1, dtype=np.int64)
+            out[s] = distance <= (small[s] + large[s]) * (den - num) // (den + num)
+        return out
+
+
+def _unpacked(rows: list[int], packed: list[bytes], num: int, den: int) -> Iterator[Held]:
+    """The packed rows of a bin by bands, sorted by key, part and set, each once."""
+    bands = Bands(num, den)
+    columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+    folds: dict[int, list[np.ndarray]] = {}
+    for n, data in zip(rows, packed, strict=True):
+        parts = unpack(data, 5)
+        key, band = np.cumsum(from_planes(parts[0], np.uint64)).view(np.int64), from_planes(parts[4], np.int32).astype(np.int64)
+        rest = np.frombuffer(data, np.uint64, offset=len(data) - 8 * (n + int(sum(bands.shape(b)[3] * c for b, c in enumerate(np.bincount(band).tolist()) if c))))
+        width = np.array([bands.shape(b)[3] for b in range(int(band.max()) + 1)], np.int64)[band]
+        first = n + np.cumsum(width) - width
+        for b in np.unique(band).tolist():
+            w = bands.shape(b)[3]
+            folds.setdefault(b, []).append(rest[stretches(first[band == b], width[band == b])].reshape(-1, w))
+        for c, x in zip(columns, [key, *(from_planes(p, np.int32).astype(np.int64) for p in parts[1:4]), band, rest[:n].view(np.int64)], strict=True):
+            c.append(x)
+    key, part, parts, n, band, h1 = (np.concatenate(c) for c in columns)
+    for b, fold in folds.items():
+        at = np.flatnonzero(band == b)
+        order = np.lexsort((h1[at], part[at], key[at]))
+        at, fold = at[order], np.concatenate(fold)[order]
+        once = np.concatenate([[True], (key[at][1:] != key[at][:-1]) | (h1[at][1:] != h1[at][:-1])])
+        at = at[once]
+        yield Held(key[at], part[at], parts[at], n[at], band[at], h1[at], fold[once])
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of rows with the same values."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    start = np.flatnonzero(new)
+    return start, np.diff(np.append(start, len(new)))
+
+
+def _met(t: pa.Table, small: int, num: int, den: int) -> pa.Table:
+    """Of a bin: the pairs (a, b) near enough of keys with few sets (kind 0), and the rows of larger keys (kind 1)."""
+    pairs, held = [], []
+    for rows in _unpacked(t.column("rows").to_pylist(), t.column("packed").to_pylist(), num, den):
+        start, run = _runs(rows.key, rows.part)
+        each, whole = np.repeat(run, run), rows.parts == 1
+        few = whole & (each <= small)
+        after = np.repeat(start + run, run)
+        for lag in range(1, small):
+            a = np.flatnonzero(few[: max(len(few) - lag, 0)] & (np.arange(lag, len(few)) < after[: max(len(few) - lag, 0)]))
+            if not len(a):
+                break
+            a = a[rows.near(a, a + lag, num, den)]
+            pairs.append(np.stack([rows.h1[a], rows.h1[a + lag]]))
+        more = np.flatnonzero(~few)
+        held.append(pa.table([*(pa.array(c[more], f.type) for c, f in zip(rows.columns, HELD_ARROW)), pa.array([x.tobytes() for x in rows.fold[more]], pa.binary())], schema=HELD_ARROW))
+    both = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1), axis=1)
+    held = pa.concat_tables([HELD_ARROW.empty_table(), *held])
+    left, right = both.shape[1], held.num_rows
+    cols = [pa.array([0] * left + [1] * right, pa.int32())]
+    cols += [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(right, pa.int64())]) for x in both]
+    cols += [pa.concat_arrays([pa.nulls(left, f.type), held.column(f.name).combine_chunks()]) for f in HELD_ARROW]
+    return pa.Table.from_arrays(cols, names=["kind", "a", "b", *HELD_ARROW.names])
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Tables that hold whole runs of rows with the same values in `names`; the rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        start, _ = _runs(*(np.asarray(batch.column(c)) for c in names))
+        cut = int(start[-1])
+        if held and cut == 0 and all(held[-1].column(c)[held[-1].num_rows - 1] == batch.column(c)[0] for c in names):
+            held.append(batch)
+            continue
+        if held and all(held[-1].column(c)[held[-1].num_rows - 1] == batch.column(c)[0] for c in names):
+            cut_first = int(start[1])
+            yield pa.Table.from_batches([*held, batch.slice(0, cut_first)])
+            if cut > cut_first:
+                yield pa.Table.from_batches([batch.slice(cut_first, cut - cut_first)])
+        else:
+            if held:
+                yield pa.Table.from_batches(held)
+            if cut:
+                yield pa.Table.from_batches([batch.slice(0, cut)])
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _of_table(t: pa.Table) -> Iterator[tuple[Held, np.ndarray]]:
+    """Rows by bands, with their places in the table."""
+    band = np.asarray(t.column("band"), dtype=np.int64)
+    for b in np.unique(band).tolist():
+        at = np.flatnonzero(band == b)
+        own = t.take(pa.array(at))
+        cols = [np.asarray(own.column(c), dtype=np.int64) for c in ("key", "part", "parts", "n", "band", "h1", "component")]
+        fold = np.frombuffer(b"".join(own.column("fold").to_pylist()), np.uint64).reshape(len(at), -1)
+        yield Held(*cols[:6], fold, cols[6]), at
+
+
+def _with_one(batches: Iterator[pa.RecordBatch], turn: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs near enough of one set of each key's largest component with the sets of its other components."""
+    for t in _whole_runs(batches, ["key", "part"]):
+        for rows, _ in _of_table(t):
+            start, run = _runs(rows.key, rows.part)
+            no = np.repeat(np.arange(len(start)), run)
+            order = np.lexsort((mix(rows.h1.view(np.uint64) ^ np.uint64(turn)), rows.component, no))
+            first, size = _runs(no[order], rows.component[order])
+            best = np.lexsort((size, no[order][first]))  # the last of a key is its largest component
+            last = np.append(np.flatnonzero(np.diff(no[order][first][best])), len(best) - 1)
+            lead = order[first[best[last]]]
+            a, b = lead[no], np.arange(len(no))
+            other = np.flatnonzero(rows.component[a] != rows.component[b])
+            other = other[rows.near(a[other], b[other], num, den)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rows.h1[a[other]], rows.h1[b[other]])), pa.array(np.maximum(rows.h1[a[other]], rows.h1[b[other]]))], names=["a", "b"])
+
+
+def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs near enough of different components of a key, or of two parts of a key."""
+    for t in _whole_runs(batches, ["key", "i", "j"]):
+        i, j = np.asarray(t.column("i"), dtype=np.int64), np.asarray(t.column("j"), dtype=np.int64)
+        for rows, at in _of_table(t):
+            out = [np.zeros((2, 0), np.int64)]
+            start, run = _runs(rows.key, i[at], j[at])
+            for s, n in zip(start.tolist(), run.tolist()):
+                own = np.arange(s, s + n)
+                left = own[rows.part[own] == i[at][s]]
+                for k in range(0, len(left), 64):
+                    a, b = np.meshgrid(left[k : k + 64], own, indexing="ij")
+                    a, b = a.ravel(), b.ravel()
+                    good = np.flatnonzero((rows.component[a] != rows.component[b]) & ((rows.part[b] != rows.part[a]) | (a < b)))
+                    a, b = a[good], b[good]
+                    if i[at][s] != j[at][s]:
+                        a, b = a[rows.part[b] != rows.part[a]], b[rows.part[b] != rows.part[a]]
+                    ok = rows.near(a, b, num, den)
+                    pairs = np.stack([rows.h1[a[ok]], rows.h1[b[ok]]])
+                    out.append(np.sort(pairs, axis=0))
+            both = np.unique(np.concatenate(out, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for t in blocks(batches):
-        sets = [shingles(x, n, hashes).view(np.int64) for x in text_bytes(t.column("text"))]
-        yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), list_array(np.concatenate(sets), [len(x) for x in sets], pa.int64())], names=["doc_id", "items"])
-
-
-def _hamming(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets meet the threshold; sets are made only of documents in a pair."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if 2 * pairs.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(partial(_sets, n=n), "doc_id bigint, items array<bigint>"), "jaccard-sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib"))
+        sets = [shingles(x, n, hashes) for x in text_bytes(t.column("text"))]
+        yield pa.RecordBatch.from_arrays([pa.array([set_hashes(u)[0] for u in sets], pa.int64()), list_array(np.concatenate(sets).view(np.int64), [len(x) for x in sets], pa.int64())], names=["h1", "items"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of set hashes whose sets meet the threshold, as edges (u, v); sets are made only of documents in a pair."""
+    pairs = materialize(pairs.distinct(), "jaccard-pairs")
+    held = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    ids = materialize(classes.join(held, "h1", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "jaccard-ids")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    sets = materialize(docs.join(few, "doc_id", "left_semi").mapInArrow(partial(_sets, n=n), "h1 bigint, items array<bigint>"), "jaccard-sets")
+    left = sets.select(F.col("h1").alias("a"), F.col("items").alias("ia"))
+    right = sets.select(F.col("h1").alias("b"), F.col("items").alias("ib"))
     both = F.size(F.array_intersect("ia", "ib"))
-    return pairs.join(left, "a").join(right, "b").where(both * (num + den) >= (F.size("ia") + F.size("ib")) * num).select("a", "b")
-
-
-def _labels(edges: DataFrame) -> DataFrame:
-    """(rep, component): the smallest neighbour of each linked document, and that one's, and so on for four steps.
-    Documents with the same label are connected; connected ones may still have different labels."""
-    label = edges.groupBy(F.greatest("u", "v").alias("rep")).agg(F.min(F.least("u", "v")).alias("component"))
-    for _ in range(2):
-        up = label.select(F.col("rep").alias("component"), F.col("component").alias("top"))
-        label = label.join(up, "component", "left").select("rep", F.coalesce("top", "component").alias("component"))
-    return label
+    good = pairs.join(left, "a").join(right, "b").where(both * (num + den) >= (F.size("ia") + F.size("ib")) * num).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    edges = materialize(good, "jaccard-links")
+    for made in (pairs, ids, sets):
+        discard(made)
+    return edges
 
 
 def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -180,70 +430,56 @@ def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int =
     den * |intersection| >= num * |union|; component_id is the smallest doc_id reachable by links. A null,
     empty or wordless text has n_shingles 0 and its own doc_id as component. A null doc_id takes part in no
     link and has a null component_id. Rows that repeat a doc_id count as the same document. An empty table
-    gives no rows. Other columns of the input are ignored. Sets are compared by 64-bit shingle hashes,
-    classes of equal sets by 128 bits.
+    gives no rows. Other columns of the input are ignored. Sets are compared by 64-bit shingle hashes and told
+    apart by 64 bits.
     """
     spark = documents.sparkSession
     bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = materialize(docs.mapInArrow(partial(_sketches, n=n, num=num, den=den), MADE), "jaccard-sketches")
-    sets = made.where("n_shingles > 0 and doc_id is not null")
-
-    key = ["n_shingles", "h1", "h2"]
-    classes = materialize(sets.groupBy(*key).agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    # Keys carry the hash of the set, so copies are one row of a key after the map side of the minimum.
-    keys = sets.select("h1", F.explode(F.arrays_zip("bands", "keys")).alias("s")).select("h1", F.col("s.bands").alias("band"), F.explode("s.keys").alias("key"))
-    led = materialize(keys.groupBy("key").agg(F.min("h1").alias("lead_h1"), F.max("h1").alias("last")).where("lead_h1 < last").select("key", "lead_h1"), "jaccard-leads")
-    met = keys.join(led, "key").distinct()
-    of = classes.select("h1", "rep")
-    members = met.join(of, "h1").join(of.select(F.col("h1").alias("lead_h1"), F.col("rep").alias("lead")), "lead_h1").select("key", "rep", "lead", "band")
-    members = materialize(members, "jaccard-members")  # the leader's own row included
-
-    chosen = classes.select(*[F.col(c).alias(f"c_{c}") for c in key], "rep")
-    slim = sets.select("doc_id", *key, "bands", "folds")
-    info = slim.join(chosen, [slim[c] == chosen[f"c_{c}"] for c in key] + [slim["doc_id"] == chosen["rep"]]).dropDuplicates(["rep", "h1"])
-    info = info.select("rep", "n_shingles", F.explode(F.arrays_zip("bands", "folds")).alias("s")).select("rep", "n_shingles", F.col("s.bands").alias("band"), F.col("s.folds").alias("fold"))
-    info = materialize(info.join(members.select("rep", "band").distinct(), ["rep", "band"], "left_semi"), "jaccard-folds")
-    one = info.select(F.col("rep").alias("a"), "band", F.col("n_shingles").alias("na"), F.col("fold").alias("fa"))
-    two = info.select(F.col("rep").alias("b"), "band", F.col("n_shingles").alias("nb"), F.col("fold").alias("fb"))
-    near = F.expr(f"least(na, nb) * {den} >= greatest(na, nb) * {num}") & (_hamming("fa", "fb") <= F.expr(f"((na + nb) * {den - num}) div {den + num}"))
-
-    def links(pairs: DataFrame, shared: int = 1) -> DataFrame:
-        """Verified edges among pairs (a, b, band) that come `shared` times or more."""
-        pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "band").agg(F.count("*").alias("n")).where(F.col("n") >= shared).drop("n")
-        pairs = materialize(pairs.join(one, ["a", "band"]).join(two, ["b", "band"]).where(near).select("a", "b").distinct(), "jaccard-pairs")
-        return materialize(_verified(pairs, docs, n, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
-
-    # A first guess, which may miss links: pairs that meet in one or two keys are nearly always chance.
-    edges = links(members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"), "band"), shared=3)
-    rest = members.select("key", "rep", "band")
-    quiet = False
-    for turn in range(ROUNDS + 1):
-        # Keys whose members lie in more than one component may hide a link between components.
-        tagged = rest.join(_labels(edges), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    bins = bins_for(docs)
+    tables = materialize_kinds(docs.mapInArrow(partial(_sketches, n=n, num=num, den=den, bins=bins), MADE), "jaccard-sketches", 3)
+    made, held_blocks, keys = (t for t, _ in tables)
+    made = made.select("doc_id", "n_shingles", "h1", "h2")
+    counts = materialize(keys.select("block", "bin", "keys").groupBy("bin").applyInArrow(_count, "block string, bin int, size int, live binary"), "jaccard-counts")
+    remove(spark, tables[2][1])
+    back = counts.groupBy("block").agg(F.collect_list(F.struct("bin", "size", "live")).alias("back"))
+    trimmed = held_blocks.select("block", "head", "who", "folds").join(back, "block").mapInArrow(partial(_trim, bins=bins, part=PART, num=num, den=den), "bin int, rows int, packed binary")
+    meet = partial(_met, small=SMALL, num=num, den=den)
+    (pairs, pairs_path), (large, large_path) = materialize_kinds(trimmed.groupBy("bin").applyInArrow(lambda t: meet(t), f"kind int, a bigint, b bigint, {HELD}"), "jaccard-met", 2)
+    discard(counts)
+    remove(spark, tables[1][1])
+
+    # A set is one node, whatever the number of its documents; a document of several sets joins them.
+    sets = made.where("n_shingles > 0 and doc_id is not null").groupBy("h1").agg(F.min("doc_id").alias("rep"))
+    classes = materialize(sets, "jaccard-classes")
+    edges = _verified(pairs.select("a", "b"), docs, classes, n, num, den)
+    of_doc = made.where("n_shingles > 0").groupBy("doc_id").agg(F.min("h1").alias("v"), F.max("h1").alias("top")).where("v < top").select("doc_id", "v")
+    edges = edges.unionByName(materialize(made.where("n_shingles > 0").join(of_doc, "doc_id").select(F.col("h1").alias("u"), "v"), "jaccard-repeats"))
+    large = large.select("key", "part", "parts", "n", "band", "h1", "fold")
+    rows = large.count()
+    for turn in range(ROUNDS + 1 if rows else 0):
+        # Keys whose sets lie in more than one component may hide a link between components.
+        tagged = large.join(components(edges).withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
+        tagged = materialize(tagged, "jaccard-tagged")
         split = tagged.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-        rest = materialize(tagged.join(split, "key"), "jaccard-open")
-        groups = rest.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.expr("n * n")).alias("n2"))
-        large = materialize(groups.where(F.col("n") >= LARGE), "jaccard-large")
-        rows, pairs = large.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("(n * n - n2) div 2")), F.lit(0))).first()
-        last = quiet or turn == ROUNDS or pairs <= 4 * rows
-        if last:  # all pairs of different components that share a key
-            left = rest.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), "band").join(one, ["a", "band"])
-            right = rest.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), "band").join(two, ["b", "band"]).drop("band")
-            cross = left.join(right, "key").where((F.col("ca") < F.col("cb")) & near).select("a", "b").distinct()
-            cross = materialize(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-pairs")
-            more = materialize(_verified(cross, docs, n, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
-        else:  # another leader for each key of many members
-            rest_of_large = rest.join(large.select("key"), "key")
-            chosen = rest_of_large.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep", F.lit(turn)).alias("o"), F.col("rep").alias("b"), F.col("component").alias("cb"))).alias("l")).select("key", "l.b", "l.cb")
-            more = links(rest_of_large.join(chosen, "key").where("component <> cb").select(F.col("rep").alias("a"), "b", "band"))
+        rest = materialize(tagged.join(split, "key", "left_semi"), "jaccard-open")
+        discard(tagged)
+        if turn < ROUNDS:
+            dealt = rest.repartition("key", "part").sortWithinPartitions("key", "part")
+            near = dealt.mapInArrow(partial(_with_one, turn=turn, num=num, den=den), "a bigint, b bigint")
+        else:
+            ij = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+            dealt = ij.drop("other").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            near = dealt.mapInArrow(partial(_across, num=num, den=den), "a bigint, b bigint")
+        more = _verified(near, docs, classes, n, num, den)
+        discard(rest)
         edges = edges.unionByName(more)
-        rest, quiet = rest.drop("component"), more.count() * 200 < rows
-        if last:
-            break
-
-    comp = components(edges)
-    by_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*[F.col(c).alias(f"c_{c}") for c in key], F.coalesce("component", "rep").alias("component"))
-    slim = made.select("doc_id", *key)
-    out = slim.join(by_class, [slim[c] == by_class[f"c_{c}"] for c in key], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    remove(spark, pairs_path)
+    remove(spark, large_path)
+
+    linked = classes.join(components(edges).withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
+    linked = materialize(linked, "jaccard-linked")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_set = linked.join(least, "component").select(F.col("h1").alias("of_h1"), "component_id")
+    out = made.join(by_set, (made["h1"] == by_set["of_h1"]) & (made["n_shingles"] > 0), "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
