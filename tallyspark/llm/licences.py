@@ -5,6 +5,9 @@ compared with licence templates by the Dice coefficient of their sets of word bi
 2 |A n B| / (|A| + |B|). A coefficient of t or more needs t / (2 - t) |B| <= |A| <= (2 - t) / t |B|: segments
 out of the range of all templates go before their bigrams are exploded, and pairs out of a template's range
 before they are counted. Segments meet templates by a hash join on the bigram with the small template table.
+A segment that matches a template lacks at most 1 - t / (2 - t) of its bigrams, so it holds at least one of any
+larger share of them: of each template a few words are taken that lie in such a share, and texts and lines in which none
+of these words occurs go before they are cut into words.
 """
 
 from __future__ import annotations
@@ -58,6 +61,36 @@ def bigrams(w: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def anchors(templates: DataFrame, num: int, den: int) -> list[str]:
+    """Words of which every segment that matches one of the templates (template, w: its words) has one.
+
+    Words are taken by what they cover of a template's bigrams, long words first, until a segment without
+    them would lack too many. Templates are a small table; of a larger one there are no anchors."""
+    taken: set[str] = set()
+    rows = [r["w"] for r in templates.select("w").collect()]
+    for w in sorted(rows, key=len):
+        pairs = set(zip(w, w[1:]))
+        lacking = len(pairs) - -(-len(pairs) * num // (2 * den - num))
+        left = {p for p in pairs if not taken & set(p)}
+        while len(pairs) - len(left) <= lacking:
+            cover = {x: sum(x in p for p in left) for x in {x for p in left for x in p}}
+            best = max(cover, key=lambda x: (cover[x] * len(x) ** 3, x))
+            taken.add(best)
+            left = {p for p in left if best not in p}
+    return sorted(taken)
+
+
+def holds_one(text: Column, words_: list[str]) -> Column:
+    """Whether one of the words occurs in the text, in any case; a long one maybe within another word."""
+    low = F.lower(text)
+    out = F.lit(False)
+    for w in words_:
+        if len(w) > 3:
+            out = out | F.contains(low, F.lit(w))
+    short = "|".join(w for w in words_ if len(w) <= 3)
+    return out | F.rlike(text, F.lit(f"(?i)(?<![a-z0-9])(?:{short})(?![a-z0-9])")) if short else out
+
+
 def notices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(NOTICES)], "template int, licence string, text string")
 
@@ -71,13 +104,15 @@ def licence_matches(documents: DataFrame, templates: DataFrame, num: int = 80, d
     doc_id is kept as it is; equal rows give equal matches, each once for every row; an empty table of
     documents or templates gives no rows; other columns are ignored. Templates: (template, licence, text).
     """
-    t = templates.select("template", "licence", bigrams(words(F.col("text"))).alias("b")).where(F.size("b") > 0).withColumn("n_template", F.size("b"))
+    t = templates.select("template", "licence", words(F.col("text")).alias("w")).withColumn("b", bigrams(F.col("w"))).where(F.size("b") > 0).withColumn("n_template", F.size("b"))
     least, most, total = t.agg(F.min("n_template"), F.max("n_template"), F.sum("n_template")).first()
+    some = anchors(t, num, den) if 0 < (total or 0) <= BROADCAST_BIGRAMS else None
+    able = (lambda x: holds_one(x, some)) if some is not None else (lambda x: F.lit(True))
     low, high = (least or 0) * num / (2 * den - num), (most or 0) * (2 * den - num) / num
     rows = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     lines = F.split("text", "\n")
     parts = F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(F.array("text"))
-    segments = rows.where("text is not null").select("doc_id", "row", F.posexplode(parts).alias("segment", "part"))
+    segments = rows.where(F.col("text").isNotNull() & able(F.col("text"))).select("doc_id", "row", F.posexplode(parts).alias("segment", "part")).where(able(F.col("part")))
     # A segment of enough words can't be shorter than a fifth of its bigrams' number in bytes.
     named = segments.where(F.length("part") >= 2 * low).select("doc_id", "row", "segment", words(F.col("part")).alias("w")).where(F.size("w") - 1 >= low)
     sized = named.select("doc_id", "row", "segment", bigrams(F.col("w")).alias("b")).withColumn("n_segment", F.size("b")).where(F.col("n_segment").between(low, high))
@@ -110,12 +145,13 @@ def licence_passages(documents: DataFrame, templates: DataFrame, num: int = 80,
     few, all_ = num, 2 * den - num  # a match has few / all_ of the template's bigrams at least
     w = F.col("w")
     pairs = lambda x: F.when(F.size(x) > 1, F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    t = templates.select("template", "licence", words(F.col("text")).alias("w")).where(F.size("w") > 1)
-    t = t.select("template", "licence", bigrams(w).alias("b"), (F.size("w") - 1).alias("span")).withColumn("n_template", F.size("b"))
+    whole = templates.select("template", "licence", words(F.col("text")).alias("w")).where(F.size("w") > 1)
+    t = whole.select("template", "licence", bigrams(w).alias("b"), (F.size("w") - 1).alias("span")).withColumn("n_template", F.size("b"))
     total, low = t.agg(F.sum("n_template"), F.min("n_template")).first()
     small = (total or 0) <= BROADCAST_BIGRAMS
     keyed = t.select("template", "n_template", F.explode("b").alias("bigram"))
-    rows = documents.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    some = anchors(whole, num, den) if small and total else None
+    rows = documents.where(F.col("text").isNotNull() & (holds_one(F.col("text"), some) if some is not None else F.lit(True))).select("doc_id", "text", F.xxhash64("text").alias("h"))
     sets = rows.select("h", F.monotonically_increasing_id().alias("row"), bigrams(words(F.col("text"))).alias("g")).where(F.size("g") * all_ >= (low or 0) * few)
     met = sets.select("h", "row", F.explode("g").alias("bigram")).join(F.broadcast(keyed) if small else keyed, "bigram")
     met = met.groupBy("row", "template").agg(F.count("*").alias("n"), F.first("h").alias("h"), F.first("n_template").alias("n_template"))

@@ -27,7 +27,7 @@ def brute(rows):
 
 def test_equals_brute_force_and_odd_rows(spark):
     apache, mit = NOTICES[1][1], NOTICES[14][1]
-    rows = [(1, mit), (2, f"Own words.\n{mit}\nand more"), (3, None), (4, ""), (5, "word " * 50000), (6, f"x\n{apache.upper()}\n\n{mit} Yes."), (None, mit), (1, mit), (7, apache.replace("License", "Licence")), (8, "licensed"), (9, "\n".join(t for _, t in NOTICES))]
+    rows = [(1, mit), (2, f"Own words.\n{mit}\nand more"), (3, None), (4, ""), (5, "word " * 50000), (6, f"x\n{apache.upper()}\n\n{mit} Yes."), (None, mit), (1, mit), (7, apache.replace("License", "Licence")), (8, "licensed"), (10, "Licensed under CC\u212anc BY\u212aNC\u212a4.0."), (9, "\n".join(t for _, t in NOTICES))]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, licence string")
     assert sorted((tuple(r) for r in licence_matches(df, notices(spark)).collect()), key=str) == brute(rows)
     assert licence_matches(spark.createDataFrame([], "doc_id bigint, text string"), notices(spark)).count() == 0
