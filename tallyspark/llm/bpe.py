@@ -2,7 +2,8 @@
 
 Documents are cut into pre-tokens in blocks of a bounded size. A block is written as one row that holds its
 positions, as numbers of its distinct pre-tokens (the most frequent number is the smallest, so the bytes
-compress well), and as one row of packed distinct pre-tokens for each hash bin. A bin meets every occurrence of
+compress well), with the bin of each, and as one row of packed distinct pre-tokens for each hash bin, in the order of
+their numbers, so that ids that come back need no numbers. A bin meets every occurrence of
 its words over all blocks, encodes each distinct word once and joins the ids back to the blocks that have it; a
 block is then reassembled by position. A frequent word is shuffled once for each block, not for each
 occurrence. Decoding joins the ids with the table of token bytes, whose size is that of the vocabulary.
@@ -14,6 +15,7 @@ import base64
 import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import blocks, bounded_batches, from_planes, materialize, materialize_kinds, pack, planes, remove, unpack
+from tallyspark.llm.common import bins_for, blocks, bounded_batches, from_planes, materialize, materialize_kinds, pack, planes, remove, stretches, unpack
 
 #: Bytes of text in a block.
 BLOCK = 8 << 20
 OUT_BYTES = 4 << 20
-BINS_A_PARTITION = 4
-SPLIT = "kind int, block string, doc_ids array<bigint>, lengths array<int>, sequence binary, bin int, words binary, no binary"
+BIN_BYTES = 16 << 20
+SPLIT = "kind int, block string, doc_ids array<bigint>, lengths array<int>, sequence binary, bins binary, bin int, words binary"
+#: Stands between packed words; no UTF-8 text has this byte.
+END = b"\xff"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -59,71 +63,76 @@ def _unpack_sequence(data: bytes) -> np.ndarray:
     return x
 
 
-def cut_by(pattern: str) -> Callable[[], Callable[[str], list]]:
+def cut_by(pattern: str) -> Callable[[], Callable[[bytes], list]]:
     """Makes, on an executor, the function that finds the pattern's matches."""
 
-    def make() -> Callable[[str], list]:
+    def make() -> Callable[[bytes], list]:
         import regex
 
-        return regex.compile(pattern).findall
+        find = regex.compile(pattern).findall
+        return lambda text: find(text.decode())
 
     return make
 
 
-def _split(batches: Iterator[pa.RecordBatch], cutter: Callable[[], Callable[[str], list]], bins: int) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], cutter: Callable[[], Callable[[bytes], list]], bins: int, core: Callable[[bytes], bytes] | None) -> Iterator[pa.RecordBatch]:
     cut = cutter()
-    kinds = [pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
     schema = pa.schema([(c.split()[0], k) for c, k in zip(SPLIT.split(", "), kinds, strict=True)])
     for t in blocks(batches, limit=BLOCK):
         numbers, parts = Numbers(), []
-        for text in t.column("text"):
-            words = cut(text.as_py() or "")
+        for text in t.column("text").cast(pa.binary()):
+            words = cut(text.as_py() or b"")
             parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
         sequence = np.concatenate(parts)
         order = np.argsort(-np.bincount(sequence, minlength=len(numbers)), kind="stable").astype(np.int32)
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        packed = _pack_sequence(rank[sequence])
-        block = uuid.uuid4().hex
-        yield pa.RecordBatch.from_pylist([{"kind": 0, "block": block, "doc_ids": t.column("doc_id").to_pylist(), "lengths": [len(p) for p in parts], "sequence": packed}], schema)
         words = [w if isinstance(w, bytes) else w.encode() for w in numbers]
+        where = np.fromiter((xxhash.xxh32_intdigest(core(w) if core else w) for w in words), np.uint32, len(words))[order] % np.uint32(bins)
+        block = uuid.uuid4().hex
+        packed = {"sequence": _pack_sequence(rank[sequence]), "bins": pack(planes(where))}
+        yield pa.RecordBatch.from_pylist([{"kind": 0, "block": block, "doc_ids": t.column("doc_id").to_pylist(), "lengths": [len(p) for p in parts], **packed}], schema)
         del sequence, parts, numbers, packed
-        where = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.uint32, len(words))[order] % bins
         by_bin = np.argsort(where, kind="stable")
         edges = np.searchsorted(where[by_bin], np.arange(bins + 1))
         rows = []
         for b in np.flatnonzero(np.diff(edges)):
-            no = by_bin[edges[b] : edges[b + 1]]  # rising
-            own = [words[k] for k in order[no]]
-            rows.append({"kind": 1, "block": block, "bin": int(b), "words": pack(planes(np.array([len(w) for w in own], np.int32)), b"".join(own)), "no": pack(planes(np.diff(no, prepend=0).astype(np.int32)))})
+            own = [words[k] for k in order[by_bin[edges[b] : edges[b + 1]]]]  # the most frequent first
+            rows.append({"kind": 1, "block": block, "bin": int(b), "words": pack(END.join(own), level=6)})
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-_coders: dict[int, object] = {}
+_coders: dict[str, object] = {}
 
 
-def _rank_encoder(ranks) -> Callable[[list[bytes]], list[list[int]]]:
-    """Encodes words by the broadcast ranks; a process keeps one encoder."""
+def _rank_encoder(ranks, name: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    """Encodes words by the broadcast ranks of a file; a process keeps one encoder for each."""
     import tiktoken
 
-    if id(ranks.value) not in _coders:
-        _coders[id(ranks.value)] = tiktoken.Encoding("ranks", pat_str=".+", mergeable_ranks=ranks.value, special_tokens={})
-    piece = _coders[id(ranks.value)]._core_bpe.encode_single_piece
-    return lambda words: [piece(w) for w in words]
+    if name not in _coders:
+        _coders[name] = tiktoken.Encoding("ranks", pat_str=".+", mergeable_ranks=ranks.value, special_tokens={})
+    piece = _coders[name]._core_bpe.encode_single_piece
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [piece(w) for w in words]
+        return np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    return encode
 
 
-def _encode(t: pa.Table, encoder: Callable[[], Callable[[list[bytes]], list[list[int]]]]) -> pa.Table:
+def _encode(t: pa.Table, encoder: Callable[[], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]]) -> pa.Table:
     """The ids of the words of one bin, packed for each block; a distinct word is encoded once."""
-    encode, ids, out = encoder(), {}, []
+    numbers = Numbers()
+    own = []
     for packed in t.column("words").to_pylist():
-        sizes, words = unpack(packed, 2)
-        ends = np.cumsum(from_planes(sizes, np.int32)).tolist()
-        own = [words[i:j] for i, j in zip([0, *ends], ends)]
-        new = [w for w in own if w not in ids]
-        ids.update(zip(new, encode(new), strict=True))
-        lists = [ids[w] for w in own]
-        out.append(pack(planes(np.array([len(x) for x in lists], np.int32)), planes(np.fromiter((i for x in lists for i in x), np.uint32))))
-    return pa.table({"block": t.column("block"), "no": t.column("no"), "ids": pa.array(out, pa.binary())})
+        words = unpack(packed, 1)[0].split(END)
+        own.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+    flat, n = encoder()(list(numbers))
+    start, out = np.cumsum(n) - n, []
+    for x in own:
+        out.append(pack(planes(n[x].astype(np.int32)), planes(flat[stretches(start[x], n[x])]), level=6))
+    return pa.table({"block": t.column("block"), "bin": t.column("bin"), "ids": pa.array(out, pa.binary())})
 
 
 def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,13 +141,12 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc_ids, lengths = b.column("doc_ids")[r].values, np.asarray(b.column("lengths")[r].values, dtype=np.int64)
             back = b.column("back")[r].as_py() or []
             sequence = _unpack_sequence(b.column("sequence")[r].as_py())
-            empty = np.zeros(0, np.int64)
-            place = np.concatenate([empty, *(np.cumsum(from_planes(*unpack(x["no"], 1), np.int32)) for x in back)])
-            parts = [unpack(x["ids"], 2) for x in back]
-            n = np.concatenate([empty, *(from_planes(p[0], np.int32) for p in parts)])
+            place = np.argsort(from_planes(*unpack(b.column("bins")[r].as_py(), 1), np.uint32), kind="stable")
+            parts = [unpack(x["ids"], 2) for x in sorted(back, key=lambda x: x["bin"])]
+            n = np.concatenate([np.zeros(0, np.int64), *(from_planes(p[0], np.int32) for p in parts)])
             flat = np.concatenate([np.zeros(0, np.uint32), *(from_planes(p[1], np.uint32) for p in parts)])
             del back, parts
-            if len(place) != (int(sequence.max()) + 1 if len(sequence) else 0):
+            if len(place) != len(n):
                 raise ValueError("a block has not got the ids of all its words")
             start, count = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
             start[place], count[place] = np.cumsum(n) - n, n
@@ -149,8 +157,7 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = sequence[done : int(so_far[stop - 1])]
                 each = count[part]
                 ends = np.cumsum(each)
-                total = int(ends[-1]) if len(ends) else 0
-                ids = flat[np.repeat(start[part] - (ends - each), each) + np.arange(total)]
+                ids = flat[stretches(start[part], each)]
                 bounds = np.concatenate([[0], ends])[np.concatenate([[0], so_far[doc:stop] - done])]
                 data = ids.astype("<u4").tobytes()
                 out = [data[4 * i : 4 * j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -158,20 +165,19 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 done, doc = int(so_far[stop - 1]), stop
 
 
-def encode_words(documents: DataFrame, cutter: Callable[[], Callable[[str], list]], encoder: Callable[[], Callable[[list[bytes]], list[list[int]]]]) -> DataFrame:
+def encode_words(documents: DataFrame, cutter: Callable[[], Callable[[bytes], list]], encoder: Callable[[], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]], core: Callable[[bytes], bytes] | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids) of documents (doc_id, text): the ids of the parts into which the cutter's function
-    cuts a text, one after the other; the encoder's function gives the ids of a list of distinct parts. Both are
-    made on the executors."""
+    cuts a text (UTF-8), one after the other; the encoder's function gives all ids of a list of distinct parts, and how
+    many each has. Both are made on the executors. Words with the same core meet in one call of the encoder."""
     spark = documents.sparkSession
     bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bins = BINS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (rows, _), (words, words_path) = materialize_kinds(docs.mapInArrow(partial(_split, cutter=cutter, bins=bins), SPLIT), "word-blocks", 2)
-    packed = words.select("bin", "block", "words", "no")
-    ids = materialize(packed.groupBy("bin").applyInArrow(lambda t: _encode(t, encoder), "block string, no binary, ids binary"), "word-ids")
+    bins = bins_for(docs, bin_bytes=BIN_BYTES)
+    (rows, _), (words, words_path) = materialize_kinds(docs.mapInArrow(partial(_split, cutter=cutter, bins=bins, core=core), SPLIT), "word-blocks", 2)
+    ids = materialize(words.select("bin", "block", "words").groupBy("bin").applyInArrow(lambda t: _encode(t, encoder), "block string, bin int, ids binary"), "word-ids")
     remove(spark, words_path)
-    back = ids.groupBy("block").agg(F.collect_list(F.struct("no", "ids")).alias("back"))
-    joined = rows.select("block", "doc_ids", "lengths", "sequence").join(back, "block", "left").select("doc_ids", "lengths", "sequence", "back")
+    back = ids.groupBy("block").agg(F.collect_list(F.struct("bin", "ids")).alias("back"))
+    joined = rows.select("block", "doc_ids", "lengths", "sequence", "bins").join(back, "block", "left").drop("block")
     return joined.mapInArrow(_reassemble, "doc_id bigint, n_tokens bigint, ids binary")
 
 
@@ -183,7 +189,7 @@ def bpe_encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame
     table gives no rows; other columns of the input are ignored. Texts of any length are encoded whole.
     """
     ranks = documents.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    return encode_words(documents, cut_by(pattern), lambda: _rank_encoder(ranks))
+    return encode_words(documents, cut_by(pattern), lambda: _rank_encoder(ranks, ranks_path))
 
 
 def _decode(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
@@ -193,10 +199,7 @@ def _decode(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch
         ids = [np.frombuffer(x or b"", "<u4").astype(np.int64) for x in b.column("ids").to_pylist()]
         out = []
         for x in ids:
-            each = starts[x + 1] - starts[x]
-            ends = np.cumsum(each)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(data[np.repeat(starts[x] - (ends - each), each) + np.arange(total)].tobytes())
+            out.append(data[stretches(starts[x], starts[x + 1] - starts[x])].tobytes())
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
 

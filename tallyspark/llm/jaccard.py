@@ -12,6 +12,8 @@ Steps: each block of documents packs its distinct keys for hash bins -> a bin co
 tells each block which of its keys others have too -> the block drops the last g keys of each sketch and packs the
 rest, with their size and a folded sketch, for bins again -> a bin finds the sets that share a key: of a key with
 few sets all pairs within the Hamming bound are verified on the sets; the sets of a key with more are kept as rows.
+Folded sketches of long documents are too wide to travel with each key: their pairs must share an eighth of d keys
+more, half of them with few sets or half with many, and are counted before their folds are compared.
 Verified pairs give components. Sets of larger keys then meet one of their key's largest component for some rounds,
 which joins most of a large group, and at last pairs of different components within the bound are verified. Every
 pair that qualifies shares a key, and pairs inside a component need no test, so no link between components is
@@ -35,7 +37,7 @@ from tallyspark.llm.common import WordHashes, bins_for, blocks, bounded_batches,
 #: Sizes of a band run from its bound to 1.25 times the bound.
 STEP = 1.25
 #: Bytes of text in a block.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Ids of so many documents (8 bytes each) at most are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Sets of a key up to which all its pairs are tried at once.
@@ -44,18 +46,20 @@ SMALL = 16
 PART = 4096
 #: Rounds in which the sets of larger keys meet one set of each key before pairs are tried.
 ROUNDS = 2
-FOLD_BITS = 6
+#: Bits of a folded sketch for each shingle of the largest difference, and the 64-bit words up to which it travels with each key.
+FOLD_BITS, WIDE = 6, 8
 LIGHT = np.uint64(1 << 47)
 MADE = "kind int, doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, block string, head binary, who binary, folds binary, bin int, keys binary"
 HELD = "key bigint, part int, parts int, n int, band int, h1 bigint, fold binary"
 HELD_ARROW = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("n", pa.int32()), ("band", pa.int32()), ("h1", pa.int64()), ("fold", pa.binary())])
+MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), *HELD_ARROW])
 
 
 class Bands:
     """Size bands for a threshold of num / den, with the number of sketch words of each."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, wide: int):
+        self.num, self.den, self.wide = num, den, wide
         low = 1  # the first band holds the sizes where only equal sets qualify
         while (2 * low * (den - num)) // (den + num) < 1:
             low += 1
@@ -69,25 +73,33 @@ class Bands:
             self.bounds.append(max(self.bounds[-1] + 2, int(self.bounds[-1] * STEP)))
         return int(np.searchsorted(self.bounds, size, side="right")) - 1
 
-    def shape(self, band: int) -> tuple[int, int, int, int]:
-        """Words k of the sketch, spare words g, bits up to which a word is light, and words of the folded sketch.
+    def shape(self, band: int) -> tuple[int, int, int, int, int]:
+        """Words k of the sketch, spare words g, bits up to which a word is light, words of the folded sketch, and how
+        many keys a pair shares at least after both have left out g.
 
-        Of k = d + 1 + g words at least g + 1 are the same, so with at most g light words a document's heavy
-        words are enough. k is the least for which the band's smallest sets have rarely more light words."""
+        Of k = d + s + g words at least s + g are the same, so with at most g light words a document's heavy
+        words are enough. k is the least for which the band's smallest sets have rarely more light words. s is 1, but
+        where folded sketches are wide an eighth of d more."""
         if band not in self.shapes:
             while len(self.bounds) <= band + 1:
                 self.at(self.bounds[-1])
             low, d = self.bounds[band], self.difference(2 * (self.bounds[band + 1] - 1))
             fold = max(1, -(-FOLD_BITS * d // 64))
-            self.shapes[band] = (d + 1, 0, 0, fold)
-            for light, k in ((x, k) for x in (1, 0) for k in range(d + 2, 2 * d + 8)):
+            shared = 1 + (d // 8 if fold > self.wide else 0)
+            self.shapes[band] = (d + shared, 0, 0, fold, shared)
+            for light, k in ((x, k) for x in (1, 0) for k in range(d + shared + 1, 2 * d + shared + 7)):
                 mean = low / k
                 share = math.exp(-mean) * (1 + mean * light)  # Poisson
-                if k - d - 1 >= k * share + 2.5 * math.sqrt(k * share * (1 - share)):
-                    self.shapes[band] = (k, k - d - 1, light, fold)
+                if k - d - shared >= k * share + 2.5 * math.sqrt(k * share * (1 - share)):
+                    self.shapes[band] = (k, k - d - shared, light, fold, shared)
                     break
         return self.shapes[band]
 
+    def carried(self, band: int) -> int:
+        """Words of the folded sketch that travel with each key: all, or none of a wide one."""
+        fold = self.shape(band)[3]
+        return 0 if fold > self.wide else fold
+
     def of(self, size: int) -> range:
         """Bands in which a set of this size takes part: those of its own and of larger partners."""
         return range(max(1, self.at(size)), self.at(size * self.den // self.num) + 1)
@@ -127,14 +139,14 @@ def set_hashes(u: np.ndarray) -> tuple[int, int]:
     return int(sums[0].view(np.int64)), int(sums[1].view(np.int64))
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, bins: int) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], n: int, bands: Bands, bins: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, one for a block's distinct sets and one of its distinct keys for each bin."""
-    hashes, bands = WordHashes(), Bands(num, den)
+    hashes = WordHashes()
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in MADE.split(", ")])
     for t in blocks(batches, limit=BLOCK):
         doc_ids, sizes, ones, twos = t.column("doc_id").to_pylist(), [], [], []
-        seen, of_set, of_sketch, keys, folds = set(), [], [], [], []
+        seen, of_set, of_sketch, keys, folds, wide = set(), [], [], [], [np.zeros(0, np.uint64)], []
         for doc_id, text in zip(doc_ids, text_bytes(t.column("text")), strict=True):
             u = shingles(text, n, hashes)
             h1, h2 = set_hashes(u)
@@ -146,14 +158,17 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, bin
             seen.add((len(u), h1, h2))
             of_set.append((h1, len(u)))
             for band in bands.of(len(u)):
-                k, g, light, fold = bands.shape(band)
+                k, g, light, fold, _ = bands.shape(band)
                 words, heavy, folded = sketch(u, k, light, fold)
                 spare = g - (k - np.count_nonzero(heavy))
                 at = np.flatnonzero(heavy) if spare >= 0 else np.arange(k)
                 key = mix(words[at] ^ mix((at + band * 1_000_003).astype(np.uint64))) >> np.uint64(17)
                 keys.append(key | np.where(heavy[at], np.uint64(0), LIGHT))
                 of_sketch.append((len(of_set) - 1, band, spare if spare >= 0 else g, len(at)))
-                folds.append(folded)
+                if bands.carried(band):
+                    folds.append(folded)
+                else:
+                    wide.append({"kind": 3, "n_shingles": len(u), "h1": h1, "bin": band, "folds": folded.tobytes()})
         block = uuid.uuid4().hex
         none = lambda kind: pa.nulls(len(sizes), kind)
         made = {"kind": pa.array([0] * len(sizes), pa.int32()), "doc_id": t.column("doc_id").combine_chunks(), "n_shingles": pa.array(sizes, pa.int64()), "h1": pa.array(ones, pa.int64()), "h2": pa.array(twos, pa.int64())}
@@ -175,6 +190,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, bin
             own = slice(edges[x], edges[x + 1])
             rows.append({"kind": 2, "block": block, "bin": x, "keys": pack(planes(np.diff(q[own], prepend=np.uint64(0))), planes(run[own]))})
         yield pa.RecordBatch.from_pylist(rows, schema)
+        for x in range(0, len(wide), 1000):
+            yield pa.RecordBatch.from_pylist(wide[x : x + 1000], schema)
 
 
 def _count(t: pa.Table) -> pa.Table:
@@ -196,9 +213,8 @@ def _count(t: pa.Table) -> pa.Table:
     return pa.table({"block": t.column("block"), "bin": t.column("bin"), "size": pa.array(sizes, pa.int32()), "live": pa.array(out, pa.binary())})
 
 
-def _trim(batches: Iterator[pa.RecordBatch], bins: int, part: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _trim(batches: Iterator[pa.RecordBatch], bins: int, part: int, bands: Bands) -> Iterator[pa.RecordBatch]:
     """The keys that each sketch keeps, packed for bins with the set's hash, size and folded sketch."""
-    bands = Bands(num, den)
     for batch in batches:
         for r in range(batch.num_rows):
             head = unpack(batch.column("head")[r].as_py(), 5)
@@ -227,7 +243,7 @@ def _trim(batches: Iterator[pa.RecordBatch], bins: int, part: int, num: int, den
             bin_ = (mix(key + own_part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bins)).astype(np.int64)
             order = np.lexsort((key, bin_))
             own, key, parts, own_part, bin_ = own[order], key[order], parts[order], own_part[order], bin_[order]
-            width = np.array([bands.shape(b)[3] for b in range(int(band.max()) + 1)], np.int64)[band]
+            width = np.array([bands.carried(b) for b in range(int(band.max()) + 1)], np.int64)[band]
             fold, first = np.frombuffer(batch.column("folds")[r].as_py(), np.uint64), np.cumsum(width) - width
             edges = np.searchsorted(bin_, np.arange(bins + 1))
             out = []
@@ -245,34 +261,36 @@ class Held:
     def __init__(self, key, part, parts, n, band, h1, fold, component=None):
         self.columns = [key, part, parts, n, band, h1]
         self.key, self.part, self.parts, self.n, self.band, self.h1 = self.columns
-        self.fold, self.component = fold, component  # fold: a list of one array (rows, words) a band
+        self.fold, self.component = fold, component  # fold: (rows, words), without words for wide ones
 
     def near(self, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
         """Which of the rows (a, b) of a band may qualify by their sizes and by the Hamming bound."""
         small, large = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
         out = (small * den >= large * num) & (self.h1[a] != self.h1[b])
         at = np.flatnonzero(out)
-        for k in range(0, len(at), 200_000):
-            s = at[k : k + 200_000]
+        if not self.fold.shape[1]:
+            return out
+        step = 1 + 500_000 // self.fold.shape[1]
+        for k in range(0, len(at), step):
+            s = at[k : k + step]
             distance = np.bitwise_count(self.fold[a[s]] ^ self.fold[b[s]]).sum(axis=1, dtype=np.int64)
             out[s] = distance <= (small[s] + large[s]) * (den - num) // (den + num)
         return out
 
 
-def _unpacked(rows: list[int], packed: list[bytes], num: int, den: int) -> Iterator[Held]:
+def _unpacked(rows: list[int], packed: list[bytes], bands: Bands) -> Iterator[Held]:
     """The packed rows of a bin by bands, sorted by key, part and set, each once."""
-    bands = Bands(num, den)
     columns: list[list[np.ndarray]] = [[] for _ in range(6)]
     folds: dict[int, list[np.ndarray]] = {}
     for n, data in zip(rows, packed, strict=True):
         parts = unpack(data, 5)
         key, band = np.cumsum(from_planes(parts[0], np.uint64)).view(np.int64), from_planes(parts[4], np.int32).astype(np.int64)
-        rest = np.frombuffer(data, np.uint64, offset=len(data) - 8 * (n + int(sum(bands.shape(b)[3] * c for b, c in enumerate(np.bincount(band).tolist()) if c))))
-        width = np.array([bands.shape(b)[3] for b in range(int(band.max()) + 1)], np.int64)[band]
+        rest = np.frombuffer(data, np.uint64, offset=len(data) - 8 * (n + int(sum(bands.carried(b) * c for b, c in enumerate(np.bincount(band).tolist()) if c))))
+        width = np.array([bands.carried(b) for b in range(int(band.max()) + 1)], np.int64)[band]
         first = n + np.cumsum(width) - width
         for b in np.unique(band).tolist():
-            w = bands.shape(b)[3]
-            folds.setdefault(b, []).append(rest[stretches(first[band == b], width[band == b])].reshape(-1, w))
+            w = bands.carried(b)
+            folds.setdefault(b, []).append(rest[stretches(first[band == b], width[band == b])].reshape(int(np.count_nonzero(band == b)), w))
         for c, x in zip(columns, [key, *(from_planes(p, np.int32).astype(np.int64) for p in parts[1:4]), band, rest[:n].view(np.int64)], strict=True):
             c.append(x)
     key, part, parts, n, band, h1 = (np.concatenate(c) for c in columns)
@@ -295,29 +313,46 @@ def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(new)))
 
 
-def _met(t: pa.Table, small: int, num: int, den: int) -> pa.Table:
-    """Of a bin: the pairs (a, b) near enough of keys with few sets (kind 0), and the rows of larger keys (kind 1)."""
-    pairs, held = [], []
-    for rows in _unpacked(t.column("rows").to_pylist(), t.column("packed").to_pylist(), num, den):
+def _met(t: pa.Table, small: int, bands: Bands) -> pa.Table:
+    """Of a bin: the pairs (a, b) near enough of keys with few sets (kind 0), or how many such keys they share (kind 2, in n;
+    in parts how many they must) where folds are wide; and the rows of larger keys (kind 1)."""
+    pairs, counted, held = [np.zeros((2, 0), np.int64)], [np.zeros((5, 0), np.int64)], []
+    for rows in _unpacked(t.column("rows").to_pylist(), t.column("packed").to_pylist(), bands):
         start, run = _runs(rows.key, rows.part)
-        each, whole = np.repeat(run, run), rows.parts == 1
-        few = whole & (each <= small)
-        after = np.repeat(start + run, run)
+        few = (rows.parts == 1) & (np.repeat(run, run) <= small)
+        after, found = np.repeat(start + run, run), []
         for lag in range(1, small):
             a = np.flatnonzero(few[: max(len(few) - lag, 0)] & (np.arange(lag, len(few)) < after[: max(len(few) - lag, 0)]))
             if not len(a):
                 break
-            a = a[rows.near(a, a + lag, num, den)]
-            pairs.append(np.stack([rows.h1[a], rows.h1[a + lag]]))
+            a = a[rows.near(a, a + lag, bands.num, bands.den)]
+            found.append(np.stack([rows.h1[a], rows.h1[a + lag]]))
+        if found:
+            both, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
+            if rows.fold.shape[1]:
+                pairs.append(both)
+            else:
+                band = int(rows.band[0])
+                need = (bands.shape(band)[4] + 1) // 2
+                counted.append(np.stack([*both, np.full(len(n), band), n, np.full(len(n), need)]))
         more = np.flatnonzero(~few)
         held.append(pa.table([*(pa.array(c[more], f.type) for c, f in zip(rows.columns, HELD_ARROW)), pa.array([x.tobytes() for x in rows.fold[more]], pa.binary())], schema=HELD_ARROW))
-    both = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1), axis=1)
-    held = pa.concat_tables([HELD_ARROW.empty_table(), *held])
-    left, right = both.shape[1], held.num_rows
-    cols = [pa.array([0] * left + [1] * right, pa.int32())]
-    cols += [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(right, pa.int64())]) for x in both]
-    cols += [pa.concat_arrays([pa.nulls(left, f.type), held.column(f.name).combine_chunks()]) for f in HELD_ARROW]
-    return pa.Table.from_arrays(cols, names=["kind", "a", "b", *HELD_ARROW.names])
+    both, counted = np.unique(np.concatenate(pairs, axis=1), axis=1), np.concatenate(counted, axis=1)
+    out = [{"kind": np.full(both.shape[1], 0), "a": both[0], "b": both[1]}]
+    out += [{"kind": np.full(counted.shape[1], 2), "a": counted[0], "b": counted[1], "band": counted[2], "n": counted[3], "parts": counted[4]}]
+    tables = [pa.table([pa.array(x[f.name], f.type) if f.name in x else pa.nulls(len(x["kind"]), f.type) for f in MET], schema=MET) for x in out]
+    for h in held:
+        tables.append(pa.table([pa.array(np.full(h.num_rows, 1), pa.int32()), *[pa.nulls(h.num_rows, pa.int64())] * 2, *h.columns], schema=MET))
+    return pa.concat_tables(tables)
+
+
+def _near_wide(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, na, nb, fa, fb) within the Hamming bound of their folded sketches, as (a, b)."""
+    for t in batches:
+        total = np.asarray(t.column("na")).astype(np.int64) + np.asarray(t.column("nb")).astype(np.int64)
+        apart = [int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()) for x, y in zip(t.column("fa").to_pylist(), t.column("fb").to_pylist(), strict=True)]
+        good = pa.array(np.array(apart, np.int64) <= total * (den - num) // (den + num))
+        yield pa.RecordBatch.from_arrays([t.column("a").filter(good), t.column("b").filter(good)], names=["a", "b"])
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
@@ -371,7 +406,7 @@ def _with_one(batches: Iterator[pa.RecordBatch], turn: int, num: int, den: int)
             a, b = lead[no], np.arange(len(no))
             other = np.flatnonzero(rows.component[a] != rows.component[b])
             other = other[rows.near(a[other], b[other], num, den)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rows.h1[a[other]], rows.h1[b[other]])), pa.array(np.maximum(rows.h1[a[other]], rows.h1[b[other]]))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(f(rows.h1[a[other]], rows.h1[b[other]])) for f in (np.minimum, np.maximum)], names=["a", "b"])
 
 
 def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -436,27 +471,32 @@ def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int =
     spark = documents.sparkSession
     bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bins = bins_for(docs)
-    tables = materialize_kinds(docs.mapInArrow(partial(_sketches, n=n, num=num, den=den, bins=bins), MADE), "jaccard-sketches", 3)
-    made, held_blocks, keys = (t for t, _ in tables)
+    bands, bins = Bands(num, den, WIDE), bins_for(docs)
+    tables = materialize_kinds(docs.mapInArrow(partial(_sketches, n=n, bands=bands, bins=bins), MADE), "jaccard-sketches", 4)
+    made, held_blocks, keys, wide = (t for t, _ in tables)
     made = made.select("doc_id", "n_shingles", "h1", "h2")
     counts = materialize(keys.select("block", "bin", "keys").groupBy("bin").applyInArrow(_count, "block string, bin int, size int, live binary"), "jaccard-counts")
     remove(spark, tables[2][1])
     back = counts.groupBy("block").agg(F.collect_list(F.struct("bin", "size", "live")).alias("back"))
-    trimmed = held_blocks.select("block", "head", "who", "folds").join(back, "block").mapInArrow(partial(_trim, bins=bins, part=PART, num=num, den=den), "bin int, rows int, packed binary")
-    meet = partial(_met, small=SMALL, num=num, den=den)
-    (pairs, pairs_path), (large, large_path) = materialize_kinds(trimmed.groupBy("bin").applyInArrow(lambda t: meet(t), f"kind int, a bigint, b bigint, {HELD}"), "jaccard-met", 2)
+    trimmed = held_blocks.select("block", "head", "who", "folds").join(back, "block").mapInArrow(partial(_trim, bins=bins, part=PART, bands=bands), "bin int, rows int, packed binary")
+    meet = partial(_met, small=SMALL, bands=bands)
+    (pairs, pairs_path), (large, large_path), (shared, shared_path) = materialize_kinds(trimmed.groupBy("bin").applyInArrow(lambda t: meet(t), f"kind int, a bigint, b bigint, {HELD}"), "jaccard-met", 3)
     discard(counts)
     remove(spark, tables[1][1])
 
     # A set is one node, whatever the number of its documents; a document of several sets joins them.
     sets = made.where("n_shingles > 0 and doc_id is not null").groupBy("h1").agg(F.min("doc_id").alias("rep"))
     classes = materialize(sets, "jaccard-classes")
-    edges = _verified(pairs.select("a", "b"), docs, classes, n, num, den)
+    folds = wide.select("h1", F.col("bin").alias("band"), F.col("n_shingles").cast("int").alias("size"), "folds").dropDuplicates(["h1", "band"])
+    often = shared.groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.first("parts").alias("need")).where("n >= need").select("a", "b", "band")
+    for x in ("a", "b"):
+        often = often.join(folds.select(F.col("h1").alias(x), "band", F.col("size").alias(f"n{x}"), F.col("folds").alias(f"f{x}")), [x, "band"])
+    pairs = pairs.select("a", "b").unionByName(often.mapInArrow(partial(_near_wide, num=num, den=den), "a bigint, b bigint"))
+    edges = _verified(pairs, docs, classes, n, num, den)
     of_doc = made.where("n_shingles > 0").groupBy("doc_id").agg(F.min("h1").alias("v"), F.max("h1").alias("top")).where("v < top").select("doc_id", "v")
     edges = edges.unionByName(materialize(made.where("n_shingles > 0").join(of_doc, "doc_id").select(F.col("h1").alias("u"), "v"), "jaccard-repeats"))
-    large = large.select("key", "part", "parts", "n", "band", "h1", "fold")
     rows = large.count()
+    large = large.join(folds.select("h1", "band", "folds"), ["h1", "band"], "left").select("key", "part", "parts", "n", "band", "h1", F.coalesce("folds", "fold").alias("fold"))
     for turn in range(ROUNDS + 1 if rows else 0):
         # Keys whose sets lie in more than one component may hide a link between components.
         tagged = large.join(components(edges).withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
@@ -474,8 +514,8 @@ def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int =
         more = _verified(near, docs, classes, n, num, den)
         discard(rest)
         edges = edges.unionByName(more)
-    remove(spark, pairs_path)
-    remove(spark, large_path)
+    for path in (pairs_path, large_path, shared_path, tables[3][1]):
+        remove(spark, path)
 
     linked = classes.join(components(edges).withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
     linked = materialize(linked, "jaccard-linked")

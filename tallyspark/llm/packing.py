@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from functools import partial, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.bpe import encode_words
-from tallyspark.llm.common import bounded_batches, materialize
+from tallyspark.llm.common import bounded_batches, materialize, stretches
 
 ROWS_A_PARTITION = 20_000
 #: Further runs of best fit, on slightly changed orders, in a partition with a gap.
@@ -28,22 +29,47 @@ TRIES = 16
 
 
 _tokenizers: dict[str, object] = {}
+#: Punctuation that ends words; after a letter or a digit it is a token part of its own, as the word before it is.
+TAIL = b".,;:!?\"')]}"
+QUOTED = b"<|"
 
 
-def _word_encoder(path: str) -> Callable[[list[bytes]], list[list[int]]]:
-    """Encodes words with a tokenizer file; a process keeps one tokenizer."""
+def _core(word: bytes) -> bytes:
+    """An ASCII word in lower case without the punctuation at its end; other words, and those that may hold a
+    special token, as they are."""
+    if QUOTED in word or not word.isascii():
+        return word
+    core = word.rstrip(TAIL)
+    return core.lower() if core[-1:].isalnum() else word.lower()
+
+
+def _word_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    """Encodes words with a tokenizer file, each core and each tail once; a process keeps one tokenizer."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        _tokenizers[path] = Tokenizer.from_file(path)
     tokenizer = _tokenizers[path]
-    return lambda words: [e.ids for k in range(0, len(words), 10_000) for e in tokenizer.encode_batch_fast([w.decode() for w in words[k : k + 10_000]], add_special_tokens=False)]
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        cores = [_core(w) for w in words]
+        tails = [w[len(c) :] for w, c in zip(words, cores, strict=True)]
+        numbers = {x: k for k, x in enumerate(dict.fromkeys([b"", *cores, *tails]))}
+        parts = [x.decode() for x in numbers]
+        lists = [e.ids for k in range(0, len(parts), 10_000) for e in tokenizer.encode_batch_fast(parts[k : k + 10_000], add_special_tokens=False)]
+        flat, n = np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
+        start = np.cumsum(n) - n
+        both = np.empty(2 * len(words), np.int64)
+        both[::2] = np.fromiter(map(numbers.__getitem__, cores), np.int64, len(words))
+        both[1::2] = np.fromiter(map(numbers.__getitem__, tails), np.int64, len(words))
+        return flat[stretches(start[both], n[both])], n[both].reshape(-1, 2).sum(axis=1)
+
+    return encode
 
 
-def _white_space() -> Callable[[str], list]:
-    return lambda text: text.encode().split()
+def _white_space() -> Callable[[bytes], list]:
+    return bytes.split
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end: int) -> Iterator[pa.RecordBatch]:
@@ -60,10 +86,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end: int) -> Itera
 def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids) of documents (doc_id, text): the ids of the whole text without special
     tokens, then `end`, cut into pieces of `capacity` ids. The tokenizer must be one that drops white space and
-    takes words by themselves, as the word-level BPE files do: each distinct word is encoded once in the corpus.
-    A null or empty text is the one id `end`; a null doc_id and repeated rows are kept as they are; other
+    takes words by themselves, as the word-level BPE files do, ASCII ones without regard to case and apart from
+    punctuation after their last letter or digit: each distinct word is encoded once in the corpus. Special tokens that a text
+    quotes are found as the file has it. A null or empty text is the one id `end`; a null doc_id and repeated rows are kept as they are; other
     columns are ignored. ids: little-endian, 32 bits."""
-    ids = encode_words(documents, _white_space, lambda: _word_encoder(tokenizer_path))
+    ids = encode_words(documents, _white_space, lambda: _word_encoder(tokenizer_path), _core)
     return ids.select("doc_id", "ids").mapInArrow(partial(_pieces, capacity=capacity, end=end), "doc_id bigint, piece int, start bigint, length bigint, ids binary")
 
 

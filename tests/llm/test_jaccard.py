@@ -46,11 +46,12 @@ def corpus(seed, docs=160):
     return rows
 
 
-@pytest.mark.parametrize("seed,n,num,small,part", [(1, 4, 85, 16, 4096), (2, 5, 80, 2, 8), (3, 2, 60, 1, 2), (4, 3, 70, 3, 4096)])
-def test_equals_brute_force(spark, monkeypatch, seed, n, num, small, part):
+@pytest.mark.parametrize("seed,n,num,small,part,wide", [(1, 4, 85, 16, 4096, 8), (2, 5, 80, 2, 8, 8), (3, 2, 60, 1, 2, 0), (4, 3, 70, 3, 4096, 1)])
+def test_equals_brute_force(spark, monkeypatch, seed, n, num, small, part, wide):
     """Small bounds send pairs through the rounds of larger keys and through keys dealt in parts."""
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "WIDE", wide)
     rows = corpus(seed)
     got = {tuple(r) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string"), n, num, 100).collect()}
     assert got == brute(rows, n, num, 100)

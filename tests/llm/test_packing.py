@@ -72,7 +72,6 @@ def test_query_keeps_every_id(spark):
     d = "/root/testdata/sf0.001"
     rows = op1_best_fit_packing(spark, d).collect()
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     want = {}
     for r in spark.read.parquet(f"{d}/documents.parquet").collect():
         ids = t.encode(r.text or "", add_special_tokens=False).ids + [0]
@@ -88,7 +87,6 @@ def test_odd_rows(spark):
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, "a", 2), (3, texts[3], 1)]
     got = token_pieces(spark.createDataFrame(rows, "doc_id bigint, text string, row int"), WORDS)
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     want = []
     for i, text, _ in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]

@@ -46,7 +46,6 @@ def brute(rows):
     texts = {i: texts[i] for i, _, c in near if i == c}
     texts = {i: t for i, t in cut_repeats(texts, 50).items() if WORD.search(t)}
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     out = set()
     for i, t in texts.items():
         ids = tokenizer.encode(t, add_special_tokens=False).ids + [0]
