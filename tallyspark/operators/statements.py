@@ -95,3 +95,178 @@ def with_periods(lines: DataFrame, pattern: str = r"(?i)AS OF\s+([A-Z]+)\s+\d{1,
     w = Window.partitionBy("file").orderBy("page_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pages = pages.withColumn("period", F.coalesce(F.last("_p", ignorenulls=True).over(w), F.lit("Unknown"))).drop("_p")
     return lines.join(pages, PAGE)
+
+
+def page_totals(lines: DataFrame, label: str = "total subtracted") -> DataFrame:
+    """(file, page_idx, total_subtracted, total_added): the amounts of the first line of a page that has the label and
+    an amount; a single amount is the subtracted one and the other 0. Pages without such a line give no row."""
+    found = F.transform(F.regexp_extract_all("text", F.lit(r"([\d,]+\.\d{2})"), F.lit(1)), lambda x: parse_money(x))
+    hits = lines.where(F.contains(F.lower("text"), F.lit(label))).withColumn("_a", found).where(F.size("_a") > 0)
+    first = hits.groupBy(*PAGE).agg(F.min_by("_a", F.struct(*LINE)).alias("_a"))
+    return first.select(*PAGE, F.get("_a", F.lit(0)).alias("total_subtracted"), F.coalesce(F.get("_a", F.lit(1)), F.lit(0)).cast("decimal(18,2)").alias("total_added"))
+
+
+#: Section words of deposit-account statements in the order in which they are tried (word, sign, name); the
+#: stricter words of their printed totals; words of parts without transactions.
+SECTIONS = [
+    ("DEPOSIT", 1, "Deposits and Additions"),
+    ("ADDITION", 1, "Deposits and Additions"),
+    ("CHECK", -1, "Checks Paid"),
+    ("ATM", -1, "ATM & Debit Card Withdrawals"),
+    ("DEBIT CARD", -1, "ATM & Debit Card Withdrawals"),
+    ("ELECTRONIC", -1, "Electronic Withdrawals"),
+    ("OTHER WITHDRAWAL", -1, "Other Withdrawals"),
+    ("SERVICE FEE", -1, "Service Fees"),
+    ("FEES", -1, "Fees"),
+]
+TOTAL_WORDS = [
+    ("DEPOSITS AND ADDITIONS", "Deposits and Additions"),
+    ("DEPOSITS & ADDITIONS", "Deposits and Additions"),
+    ("CHECKS PAID", "Checks Paid"),
+    ("ATM & DEBIT", "ATM & Debit Card Withdrawals"),
+    ("ELECTRONIC WITHDRAWALS", "Electronic Withdrawals"),
+    ("OTHER WITHDRAWAL", "Other Withdrawals"),
+    ("SERVICE FEE", "Service Fees"),
+    ("FEES", "Fees"),
+]
+PARTS_WITHOUT_ROWS = ["DAILY ENDING", "BALANCE", "SUMMARY", "CARD TOTALS", "CARD SUMMARY", "ATM & DEBIT CARD TOTALS", "ATM & DEBIT CARD SUMMARY", "HOW TO AVOID", "CUSTOMER SERVICE"]
+#: Line beginnings that end a transaction and are none; labels of trace lines; amounts at a line's end.
+ENDS_ROW = r"(?i)^\s*(?:total\s|date\s+(?:description|check)|check\s+no|if you (?:see|have|meet)|\*+\s*(?:all|an image)|page\s+\d|(?:beginning|ending)\s+balance|instances\s+amount|congratulations)"
+TRACE = r"Trn:|Trace#:|Sec:|Eed:|Ind\s+\S+:|CO Entry|[1I]D:|Tax\s+Impoun|Invoice\s+Trn"
+AT_TAIL = r"\$?([\d,]+\.\d{2})[\s\S]{0,15}$"
+PAYLOAD = rf"(?i)(?:Descr?:|Deser:)\s*(.+?)(?=\s+(?:{TRACE})|$)"
+COMPANY = r"(?i)Orig\s+CO\s+Name:\s*(.+?)(?:\s+Orig\s+[|1I!]?D:|$)"
+DATED = r"^(\d{2}/\d{2})\.?[\s_]+(.+)$"
+
+
+def clean_description(raw: Column) -> Column:
+    """A row's text without its amount, noise before it, a repeated date and identifiers; of an ACH row the company."""
+    text = F.regexp_replace(F.trim(F.regexp_replace(raw, AT_TAIL, "")), r"[\s$]+$", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"^[_\-—|~]+\s*", ""), r"^\d{2}/\d{2}\.?\s+", "")
+    text = F.when(text.rlike(COMPANY), F.concat(F.lit("ACH: "), F.trim(F.regexp_extract(text, COMPANY, 1)))).otherwise(text)
+    text = F.regexp_replace(F.regexp_replace(text, r"(?i)\s*Transaction#:\s*\d+", ""), r"\.\.\.\d{3,6}", "")
+    text = F.regexp_replace(text, r"(?i)^(Zelle Payment (?:From|To)\s+.+|Deposit)\s+(?=[A-Za-z]*\d)[A-Za-z0-9]+$", "$1")
+    return F.trim(F.regexp_replace(text, r"\s{2,}", " "))
+
+
+def total_line(text: Column) -> tuple[Column, Column]:
+    """(section, amount) of a printed section total, or nulls."""
+    pattern = r"(?i)^\s*total\s+(.+?)\s+\$?([\d,]+\.\d{2})\s*\S{0,6}$"
+    label = F.upper(F.regexp_extract(text, pattern, 1))
+    name = F.lit(None).cast("string")
+    for word, section in reversed(TOTAL_WORDS):
+        name = F.when(label.contains(word), section).otherwise(name)
+    name = F.when(text.rlike(pattern) & ~text.rlike(r"^\d{2}/\d{2}[.\s_]"), name)
+    return name, F.when(name.isNotNull(), parse_money(F.regexp_extract(text, pattern, 2)))
+
+
+def section_totals(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(file, section, total): the printed totals of each section, summed over the pages."""
+    section, amount = total_line(F.trim("text"))
+    rows = lines.select(*(by or ["file"]), section.alias("section"), amount.alias("total")).where("section is not null")
+    return rows.groupBy(*(by or ["file"]), "section").agg(F.sum("total").cast("decimal(18,2)").alias("total"))
+
+
+def section_rows(lines: DataFrame) -> DataFrame:
+    """(file, page_idx, line_idx, section, date_text, description, amount) of sectioned statement pages.
+
+    A header sets section and sign until the page's end; a dated line starts a row (of two dates the second counts);
+    lines after it add their text if they are shorter than 120 characters and hold no amount, or their payload
+    ('Descr:'), never trace labels; the first amount found counts. Numbered lines are rows of the checks' section.
+    Total lines, headers and furniture end a row; rows without an amount go."""
+    text = F.trim("text")
+    rows = lines.withColumn("text", text).where("text <> ''").where(total_line(F.col("text"))[0].isNull())
+    dated = F.col("text").rlike(r"^\d{2}/\d{2}[.\s_]")
+    upper, header = F.upper("text"), F.lit(None).cast("struct<section:string,sign:int>")
+    for word, sign, name in reversed(SECTIONS):
+        header = F.when(upper.contains(word), F.struct(F.lit(name).alias("section"), F.lit(sign).alias("sign"))).otherwise(header)
+    for word in reversed(PARTS_WITHOUT_ROWS):
+        header = F.when(upper.contains(word), F.struct(F.lit(word).alias("section"), F.lit(0).alias("sign"))).otherwise(header)
+    rows = rows.withColumn("_header", F.when(~dated, header))
+    rows = carry_forward(rows, PAGE, LINE, F.col("_header"), "_in", drop_before=True).where("_in.sign <> 0")
+    checks = F.col("_in.section") == "Checks Paid"
+    numbered = rf"^(\d{{3,6}})\s+(?:\*+\s+)?(\S+(?:\s+\S+)?)\s+\$?([\d,]+\.\d{{2}})"
+    part = lambda p, k: F.regexp_extract("text", p, k)
+    start = F.when(checks, F.col("text").rlike(numbered)).otherwise(F.col("text").rlike(DATED))
+    ends = F.col("_header").isNotNull() | F.col("text").rlike(ENDS_ROW)
+    rows = rows.withColumn("_ends", ends).withColumn("_start", ~ends & start).where(F.col("_ends") | F.col("_start") | ~checks)
+    w = Window.partitionBy(*PAGE).orderBy(*LINE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_g", F.sum((F.col("_ends") | F.col("_start")).cast("int")).over(w)).where("not _ends")
+    twice = part(DATED, 2).rlike(DATED)
+    rest = F.when(twice, F.regexp_extract(part(DATED, 2), DATED, 2)).otherwise(part(DATED, 2))
+    rows = rows.withColumn("_rest", F.when(F.col("_start") & ~checks, rest))
+    tail = lambda c: F.when(c.rlike(AT_TAIL), parse_money(F.regexp_extract(c, AT_TAIL, 1)))
+    payload = F.regexp_replace(F.regexp_replace(part(PAYLOAD, 1), r"(?i)sec:\w*", ""), r"^[\s_-]+|[\s_-]+$", "")
+    has_payload = F.col("text").rlike(PAYLOAD)
+    plain = F.when(F.col("text").rlike(COMPANY), clean_description(F.col("text"))).otherwise(F.col("text"))
+    trace = F.col("text").rlike(rf"(?i)^(?:{TRACE}|Impound\s)")
+    said = F.when(checks, F.concat(F.lit("Check #"), part(numbered, 1))).otherwise(F.when(tail(F.col("_rest")).isNotNull(), clean_description(F.col("_rest"))).otherwise(F.trim("_rest")))
+    more = F.when(has_payload, F.nullif(payload, F.lit(""))).when(~trace & tail(F.col("text")).isNull() & (F.length("text") < 120), plain)
+    date = F.when(checks, F.when(part(numbered, 2).rlike(r"^\d{2}/\d{2}$"), part(numbered, 2)).otherwise("??/??")).when(twice, F.regexp_extract(part(DATED, 2), DATED, 1)).otherwise(part(DATED, 1))
+    amount = F.when(F.col("_start"), F.when(checks, parse_money(part(numbered, 3))).otherwise(tail(F.col("_rest")))).when(~trace & ~has_payload, tail(F.col("text")))
+    rows = rows.select(*PAGE, *LINE, "_g", "_start", "_in", F.when(F.col("_start"), said).otherwise(more).alias("_text"), F.when(F.col("_start"), date).alias("_date"), amount.alias("_amount"))
+    parts = F.array_sort(F.collect_list(F.struct(*LINE, "_start", "_text", "_date", "_amount", "_in")))
+    grouped = rows.groupBy(*PAGE, "_g").agg(parts.alias("_p")).withColumn("_first", F.get("_p", F.lit(0))).where("_first._start")
+    texts = F.filter(F.transform("_p", lambda x: x["_text"]), lambda x: x.isNotNull())
+    amounts_ = F.filter(F.transform("_p", lambda x: x["_amount"]), lambda x: x.isNotNull())
+    out = grouped.select(*PAGE, F.col("_first.line_idx").alias("line_idx"), F.col("_first._in.section").alias("section"), F.col("_first._date").alias("date_text"), F.array_join(texts, " | ").alias("description"), (F.get(amounts_, F.lit(0)) * F.col("_first._in.sign")).cast("decimal(18,2)").alias("amount"))
+    return out.where("amount is not null")
+
+
+def is_list_date(text: Column) -> Column:
+    """A date line of a mobile list: short, with letters and a year from 2000 to 2099, without an amount."""
+    return ~text.rlike(AMOUNT) & text.rlike(r"20\d{2}") & (F.length(text) <= 25) & text.rlike("[A-Za-z]")
+
+
+def list_date(text: Column) -> Column:
+    """The date text without what an icon left before it, commas at its end and with a space after the day's comma."""
+    clean = F.regexp_replace(F.trim(F.regexp_replace(text, r"^[^A-Za-z]+", "")), r"[,\s]+$", "")
+    clean = F.regexp_replace(clean, r"(\d),(\d)", "$1, $2")
+    return F.when(clean == "", F.trim(text)).otherwise(F.concat(F.upper(F.substring(clean, 1, 1)), F.substring(clean, 2, 1000)))
+
+
+def list_description(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"^[^A-Za-z0-9]+", ""))
+
+
+def positive_amount(text: Column) -> Column:
+    """The amount's text without sign, currency and grouping."""
+    return F.trim(F.regexp_replace(text, r"[-$,]", ""))
+
+
+def numbered_rows(lines: DataFrame) -> DataFrame:
+    """'12 06 Jan 2025 06 Jan 2025 text REF -1,234.00 5,000.00' lines: (.., date, description, amount, balance). A last word of
+    ten or more capitals and digits, with a digit, is a reference and goes; lines of other shapes go."""
+    pattern = r"^\d+\s+(\d{2}\s+\w{3}\s+\d{4})\s+\d{2}\s+\w{3}\s+\d{4}\s+(.+?)\s+(\+?-?[0-9,]+\.[0-9]{2})\s+([0-9,]+\.[0-9]{2})\s*$"
+    part = lambda k: F.regexp_extract("text", pattern, k)
+    date = F.date_format(F.try_to_date(F.regexp_replace(part(1), r"\s+", " "), "dd MMM yyyy"), "yyyy-MM-dd")
+    said = F.regexp_replace(part(2), r"\s+(?=[A-Z]*[0-9])[A-Z0-9]{10,}$", "")
+    return lines.where(F.col("text").rlike(pattern)).select(*PAGE, *LINE, date.alias("date"), said.alias("description"), parse_money(F.regexp_replace(part(3), r"^\+", "")).alias("amount"), parse_money(part(4)).alias("balance"))
+
+
+def one_amount(df: DataFrame, withdrawal: str, deposit: str, name: str = "amount") -> DataFrame:
+    """The withdrawal as a negative amount or else the deposit; rows where neither is over 0 go: nothing is guessed."""
+    signed = F.when(F.col(withdrawal) > 0, -F.col(withdrawal)).when(F.col(deposit) > 0, F.col(deposit))
+    return df.withColumn(name, signed).where(F.col(name).isNotNull())
+
+
+def side_totals(df: DataFrame, by: list[str], amount: str, date: str) -> DataFrame:
+    """Counts and totals of debits and credits, and of rows without a date."""
+    a = F.col(amount)
+    return df.groupBy(*by).agg(F.count_if(a < 0).alias("n_debits"), F.coalesce(F.sum(F.when(a < 0, -a)), F.lit(0)).alias("debits"), F.count_if(a > 0).alias("n_credits"), F.coalesce(F.sum(F.when(a > 0, a)), F.lit(0)).alias("credits"), F.count_if(F.col(date).isNull() | (F.col(date) == "date unknown")).alias("n_undated"))
+
+
+def period_of_rows(pages: DataFrame, rows: DataFrame, year: str) -> DataFrame:
+    """(file, page_idx, period): the stated period of a page; else the month of its last dated row with the file's
+    `year`; else that of the page before; 'Unknown' until one is known. pages: file, page_idx, period and `year`."""
+    month = F.try_to_date(F.concat(F.regexp_extract("date_text", r"^(\d{2})/", 1), F.lit("/01/2000")), "MM/dd/yyyy")
+    last = rows.groupBy(*PAGE).agg(F.max_by(F.date_format(month, "MMM"), F.struct(*LINE)).alias("_m"))
+    own = pages.join(last, PAGE, "left").withColumn("_p", F.coalesce("period", F.when(F.col("_m").isNotNull() & F.col(year).isNotNull(), F.concat_ws(" ", "_m", F.col(year).cast("string")))))
+    return carry_forward(own, ["file"], ["page_idx"], F.col("_p"), "period", "Unknown").select(*PAGE, "period")
+
+
+def card_cycle(rows: DataFrame, totals: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """(file, parsed, total, gap, status) of card lines and the totals that card_activity states: the cycle's net, without sign."""
+    sums = rows.groupBy("file").agg(F.abs(F.sum("amount")).alias("parsed"))
+    gap = F.col("total") - F.coalesce("parsed", F.lit(0))
+    return totals.join(sums, "file", "full_outer").withColumn("gap", gap).withColumn("status", F.when(F.col("total").isNull(), "N/A").when(F.abs(gap) > tolerance, "GAP").otherwise("MATCH")).select("file", "parsed", "total", "gap", "status")
