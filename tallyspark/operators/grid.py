@@ -46,9 +46,9 @@ def move_cell(df: DataFrame, source: Column, target: int, when: Column, cells: s
     return (out.withColumnRenamed("_hit", flag) if flag else out.drop("_hit")).drop("_from")
 
 
-def date_left_shift(df: DataFrame, column: int, cost: int, cells: str = "cells") -> DataFrame:
+def date_left_shift(df: DataFrame, column: int, cost: int, cells: str = "cells", flag: str | None = None) -> DataFrame:
     """A date one cell too far left moves right, in rows with a numeric cost."""
-    return move_cell(df, F.lit(column - 1), column, blank(cell(cells, column)) & has_date(cell(cells, column - 1)) & is_money(cell(cells, cost)), cells)
+    return move_cell(df, F.lit(column - 1), column, blank(cell(cells, column)) & has_date(cell(cells, column - 1)) & is_money(cell(cells, cost)), cells, flag)
 
 
 def collapse_gain(df: DataFrame, cost: int, gain: int, cells: str = "cells", any_value: bool = False, flag: str | None = "collapsed") -> DataFrame:
@@ -58,20 +58,32 @@ def collapse_gain(df: DataFrame, cost: int, gain: int, cells: str = "cells", any
     return move_cell(df, F.array_max(spots), gain, blank(cell(cells, gain)) & (F.size(spots) > 0) & is_money(cell(cells, cost)), cells, flag)
 
 
-def fed_tax_shift(df: DataFrame, gain: int, fed: int, cells: str = "cells", fired: str = "collapsed") -> DataFrame:
+def fed_tax_shift(df: DataFrame, gain: int, fed: int, cells: str = "cells", fired: str = "collapsed", flag: str | None = None) -> DataFrame:
     """The cell behind the gain moves to the tax column, only in rows where the gain was repaired."""
-    return move_cell(df, F.lit(fed - 1), fed, F.col(fired) & blank(cell(cells, fed)) & is_money(cell(cells, fed - 1)) & F.lit(fed - 1 != gain), cells)
+    return move_cell(df, F.lit(fed - 1), fed, F.col(fired) & blank(cell(cells, fed)) & is_money(cell(cells, fed - 1)) & F.lit(fed - 1 > gain), cells, flag)
 
 
-def realign(grid: DataFrame, sold: int, cost: int, gain: int, optional: list[int], cells: str = "cells") -> tuple[DataFrame, DataFrame]:
-    """The repaired grid and, for each sheet, how many rows each repair touched. Rows whose optional cells are
-    filled are marked for review."""
+def realign(grid: DataFrame, sold: int, cost: int, gain: int, optional: list[int], cells: str = "cells", acquired: int | None = None, fed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The repaired grid and, for each sheet, how many rows each repair touched.
+
+    First rows that slid right come back, then a date acquired that slid one cell left, a collapsed gain, and, only where
+    the gain was repaired, the tax. offset, moved_right, collapsed and fed_moved say what was done to a row; rows whose
+    optional cells are filled are marked for review."""
     out = shift_left(grid, sold, cells)
+    log = {"shifted": F.col("offset") > 0}
+    if acquired is not None:
+        out = date_left_shift(out, acquired, cost, cells, flag="moved_right")
+        log["moved_right"] = F.col("moved_right")
     out = collapse_gain(out, cost, gain, cells)
+    log["collapsed"] = F.col("collapsed")
+    if fed is not None:
+        out = fed_tax_shift(out, gain, fed, cells, flag="fed_moved")
+        log["fed_moved"] = F.col("fed_moved")
     review = F.exists(F.array(*[~blank(cell(cells, k)) & (F.coalesce(parse_money(cell(cells, k)), F.lit(0)) != 0) for k in optional]), lambda x: x)
-    out = out.withColumn("review", review)
-    log = out.groupBy("file", "sheet").agg(F.count_if(F.col("offset") > 0).alias("shifted"), F.count_if("collapsed").alias("collapsed"), F.count_if("review").alias("review"))
-    return out, log
+    # A later filter on the cells would be copied into the repairs' expressions, each time several times over.
+    out = out.withColumn("review", review).withColumn(cells, F.when(F.monotonically_increasing_id() >= 0, F.col(cells)))
+    log["review"] = F.col("review")
+    return out, out.groupBy("file", "sheet").agg(*[F.count_if(v).alias(k) for k, v in log.items()])
 
 
 def explode_multi(df: DataFrame, columns: list[str], n: Column, pad: str = "single", out: str = "part") -> DataFrame:
@@ -193,3 +205,91 @@ def rank_formats(found: DataFrame, formats: DataFrame, date: str = "date_col", c
     keys = [c for c in found.columns if c not in (date, cost)]
     pairs = found.join(F.broadcast(formats), F.lit(True)).withColumn("score", score(date, "format_date") + score(cost, "format_cost"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "format")))
+
+
+def is_header(cells: Column | str) -> Column:
+    """Some cell is filled and none of the filled ones is a number."""
+    full = filled(cells)
+    return (F.size(full) > 0) & F.forall(full, lambda c: F.regexp_replace(F.trim(c), "[$,]", "").try_cast("double").isNull())
+
+
+def guess_columns(columns: list[str]) -> dict[str, str | None]:
+    """Columns that a file's headers suggest: description, date, debit and credit; the first column (for credit none)
+    where no header fits."""
+    words = {"description": ["desc"], "date": ["date"], "debit": ["debit", "subtracted", "withdrawal"], "credit": ["credit", "added", "deposit"]}
+    pick = lambda keys: next((c for c in columns if any(k in c.lower() for k in keys)), None)
+    return {name: pick(keys) or (None if name == "credit" else columns[0]) for name, keys in words.items()}
+
+
+def named_columns(grid: DataFrame, by: list[str], exact: list[str], words: list[str], names: list[str], least: int = 3) -> DataFrame:
+    """The rows under each sheet's header as columns of `names`, taken by the header's own texts.
+
+    The header is the first row whose first cells are `exact`, else the first with `least` of the words; a sheet without
+    one has the names by position. Texts are compared without case and outer white space; a name that a header lacks is null."""
+    low = F.transform("cells", lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))))
+    text = F.array_join(low, " ")
+    is_exact = F.slice(low, 1, len(exact)) == F.array(*map(F.lit, exact))
+    hits = F.size(F.filter(F.array(*map(F.lit, words)), lambda k: F.contains(text, k)))
+    rows = grid.withColumn("_low", low).withColumn("_kind", F.when(is_exact, 0).when(hits >= least, 1))
+    headers = rows.where("_kind is not null").groupBy(*by).agg(F.min_by(F.struct("row_idx", "_low"), F.struct("_kind", "row_idx")).alias("_h"))
+    body = rows.join(headers, by, "left").where(F.col("_h").isNull() | (F.col("row_idx") > F.col("_h.row_idx")))
+    place = lambda k, n: F.when(F.col("_h").isNull(), F.lit(k)).otherwise(F.array_position("_h._low", F.lit(n.lower())) - 1)
+    cells = [F.when(place(k, n) >= 0, F.get("cells", place(k, n).cast("int"))).alias(n) for k, n in enumerate(names)]
+    return body.select(*by, "row_idx", *cells)
+
+
+def collate_headed(grid: DataFrame, by: list[str], width: int) -> DataFrame:
+    """The rows of all sheets of a file under one another, without their header rows and blank rows: Month is the sheet's
+    name, c0 .. are the cells, filled up with ''; header is the first sheet's header row that there is, or null."""
+    head = is_header("cells") & (F.col("row_idx") == 0)
+    rows = grid.withColumn("_head", head)
+    first = rows.where("_head").groupBy(*by).agg(F.min_by("cells", "sheet_idx").alias("header"))
+    body = rows.where(~F.col("_head") & (F.size(filled("cells")) > 0)).join(first, by, "left")
+    return body.select(*by, F.col("sheet").alias("Month"), "row_idx", "header", *[F.coalesce(cell("cells", k), F.lit("")).alias(f"c{k}") for k in range(width)])
+
+
+def collation_recon(rows: DataFrame, by: list[str], amounts: dict[str, str], month: str = "Month") -> DataFrame:
+    """Rows and sums of each sheet and, as 'Grand Total', of the file; what is no number counts as 0."""
+    number = lambda c: F.coalesce(F.regexp_replace(F.col(c), "[$,]", "").try_cast("decimal(18,2)"), F.lit(0))
+    sums = lambda df, *keys: df.groupBy(*keys).agg(F.count("*").alias("n_rows"), *[F.sum(number(c)).alias(n) for c, n in amounts.items()])
+    return sums(rows, *by, month).unionByName(sums(rows, *by).withColumn(month, F.lit("Grand Total")))
+
+
+def right_of_anchor(grid: DataFrame, by: list[str], gain: int, fed: int | None = None) -> DataFrame:
+    """Of the columns right of the gain that aren't empty: empty, numeric and text cells, the total of the absolute
+    amounts, and the flag FED TAX, PARTIAL SHIFT? or FULL COL. The grid has transaction rows only."""
+    cells = grid.select(*by, F.posexplode("cells").alias("col", "value")).where(F.col("col") > gain)
+    kind = cell_class(F.col("value"))
+    per = cells.groupBy(*by, "col").agg(F.count_if(kind == "numeric").alias("numeric"), F.count_if(~kind.isin("numeric", "empty")).alias("text"), F.coalesce(F.sum(F.when(kind == "numeric", F.abs(parse_money(F.col("value"))))), F.lit(0)).alias("total"))
+    out = per.join(grid.groupBy(*by).agg(F.count("*").alias("_n")), by).where("numeric + text > 0").withColumn("empty", F.col("_n") - F.col("numeric") - F.col("text"))
+    flag = F.when(F.col("col") == F.lit(fed), "FED TAX").when(F.col("numeric") == F.col("_n"), "FULL COL").when(F.col("numeric") > 0, "PARTIAL SHIFT?").otherwise("")
+    return out.withColumn("flag", flag).drop("_n")
+
+
+def shift_totals(grid: DataFrame, by: list[str], cost: int, gain: int, optional: list[str], fed: int | None = None) -> DataFrame:
+    """normal_rows and shifted_rows of transaction rows, and the absolute totals of each optional column in its own place
+    and displaced. A row is shifted if all its optional cells are blank and numbers stand right of the gain (up to the tax);
+    they count for the optional columns in their order. The positions with their counts are in `positions`."""
+    own = [k for k in range(cost + 1, min(cost + 1 + len(optional), gain))]
+    empty = F.forall(F.array(*[cell("cells", k) for k in own]), blank)
+    spots = F.filter(F.transform("cells", lambda c, i: F.when((i > gain) & (i < (F.size("cells") if fed is None else F.lit(fed))) & F.coalesce(is_money(c), F.lit(False)), F.struct(i.alias("at"), F.abs(parse_money(c)).alias("v")))), lambda x: x.isNotNull())
+    rows = grid.withColumn("_spots", spots).withColumn("_shifted", empty & (F.size("_spots") > 0))
+    aggs = [F.count_if(~F.col("_shifted")).alias("normal_rows"), F.count_if("_shifted").alias("shifted_rows")]
+    for k, name in enumerate(optional):
+        here = F.abs(parse_money(cell("cells", cost + 1 + k))) if cost + 1 + k < gain else F.lit(None).cast("decimal(18,2)")
+        aggs.append(F.coalesce(F.sum(F.when(~F.col("_shifted"), here)), F.lit(0)).alias(f"normal_{name}"))
+        aggs.append(F.coalesce(F.sum(F.when(F.col("_shifted"), F.get("_spots", F.lit(k))["v"])), F.lit(0)).alias(f"shifted_{name}"))
+    at = rows.where("_shifted").select(*by, F.explode("_spots.at").alias("at")).groupBy(*by, "at").agg(F.count("*").alias("n"))
+    positions = at.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("at", "n")))).alias("positions"))
+    return rows.groupBy(*by).agg(*aggs).join(positions, by, "left")
+
+
+def financial_totals(grid: DataFrame, by: list[str], cost: int, gain: int, optional: list[str]) -> DataFrame:
+    """Sums of proceeds (the cell before the cost), cost, gain and the optional columns between them; no number adds nothing."""
+    at = {"proceeds": cost - 1, "cost": cost, "gain": gain} | {n: cost + 1 + k for k, n in enumerate(optional) if cost + 1 + k < gain}
+    return grid.groupBy(*by).agg(*[F.coalesce(F.sum(parse_money(cell("cells", k))), F.lit(0)).alias(n) for n, k in at.items()])
+
+
+def null_rates(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """n_rows and, for each column, the number of blank cells as empty_<column>."""
+    return df.groupBy(*by).agg(F.count("*").alias("n_rows"), *[F.count_if(blank(F.col(c))).alias(f"empty_{c}") for c in columns])

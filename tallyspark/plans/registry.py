@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.plans import ledger, ordered, pages, parsing, tagged
+from tallyspark.plans import layouts, ledger, ordered, pages, parsing, tagged
 from tallyspark.plans.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "ledger", "ordered", "pages", "parsing", "tagged"]
+__all__ = ["ORACLES", "QUERIES", "layouts", "ledger", "ordered", "pages", "parsing", "tagged"]
