@@ -48,10 +48,21 @@ class Numbers(dict):
         return n
 
 
+def _pack_ids(n: np.ndarray, ids: np.ndarray) -> bytes:
+    """Counts of ids and the ids, in two bytes each where all are small."""
+    short = not len(ids) or int(ids.max()) < 1 << 16
+    return pack(planes(n.astype(np.int32)), ids.astype("<u2").tobytes() if short else b"", b"" if short else planes(ids), level=12)
+
+
+def _unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, short, long = unpack(data, 3)
+    return from_planes(n, np.int32), np.frombuffer(short, "<u2").astype(np.uint32) if not long else from_planes(long, np.uint32)
+
+
 def _pack_sequence(x: np.ndarray) -> bytes:
     """Numbers as their high bytes, the low bytes of those under 256 and the low bytes of the others."""
     low, high = x.astype(np.uint8), x >> 8
-    return pack(planes(high), low[high == 0].tobytes(), low[high > 0].tobytes())
+    return pack(planes(high), low[high == 0].tobytes(), low[high > 0].tobytes(), level=9)
 
 
 def _unpack_sequence(data: bytes) -> np.ndarray:
@@ -99,7 +110,7 @@ def _split(batches: Iterator[pa.RecordBatch], cutter: Callable[[], Callable[[byt
         rows = []
         for b in np.flatnonzero(np.diff(edges)):
             own = [words[k] for k in order[by_bin[edges[b] : edges[b + 1]]]]  # the most frequent first
-            rows.append({"kind": 1, "block": block, "bin": int(b), "words": pack(END.join(own), level=6)})
+            rows.append({"kind": 1, "block": block, "bin": int(b), "words": pack(END.join(own), level=12)})
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
@@ -131,7 +142,7 @@ def _encode(t: pa.Table, encoder: Callable[[], Callable[[list[bytes]], tuple[np.
     flat, n = encoder()(list(numbers))
     start, out = np.cumsum(n) - n, []
     for x in own:
-        out.append(pack(planes(n[x].astype(np.int32)), planes(flat[stretches(start[x], n[x])]), level=6))
+        out.append(_pack_ids(n[x], flat[stretches(start[x], n[x])]))
     return pa.table({"block": t.column("block"), "bin": t.column("bin"), "ids": pa.array(out, pa.binary())})
 
 
@@ -142,9 +153,9 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             back = b.column("back")[r].as_py() or []
             sequence = _unpack_sequence(b.column("sequence")[r].as_py())
             place = np.argsort(from_planes(*unpack(b.column("bins")[r].as_py(), 1), np.uint32), kind="stable")
-            parts = [unpack(x["ids"], 2) for x in sorted(back, key=lambda x: x["bin"])]
-            n = np.concatenate([np.zeros(0, np.int64), *(from_planes(p[0], np.int32) for p in parts)])
-            flat = np.concatenate([np.zeros(0, np.uint32), *(from_planes(p[1], np.uint32) for p in parts)])
+            parts = [_unpack_ids(x["ids"]) for x in sorted(back, key=lambda x: x["bin"])]
+            n = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)])
+            flat = np.concatenate([np.zeros(0, np.uint32), *(p[1] for p in parts)])
             del back, parts
             if len(place) != len(n):
                 raise ValueError("a block has not got the ids of all its words")
