@@ -15,8 +15,8 @@ def age_years(born: Column, on: Column, days_per_year: float = 365) -> Column:
 
 
 def bmr(weight_kg: Column, height_cm: Column, age: Column, male: Column) -> Column:
-    """Mifflin-St Jeor, whole kilocalories."""
-    return F.round(10 * weight_kg + 6.25 * height_cm - 5 * age + F.when(male, 5).otherwise(-161), 0)
+    """Mifflin-St Jeor, whole kilocalories; null where the sex isn't known."""
+    return F.round(10 * weight_kg + 6.25 * height_cm - 5 * age + F.when(male, 5).when(~male, -161), 0)
 
 
 def whr(waist: Column, hips: Column) -> Column:
@@ -56,3 +56,10 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def principal_for(payment: Column, yearly_percent: Column, months: Column) -> Column:
+    """The principal that a monthly payment pays off; null unless payment and months are over 0 and the rate isn't negative."""
+    r = yearly_percent / 1200
+    able = (payment > 0) & (months > 0) & (yearly_percent >= 0)
+    return F.when(able, F.when(yearly_percent == 0, payment * months).otherwise(payment * (1 - F.pow(1 + r, -months)) / r))

@@ -170,3 +170,15 @@ def ocr_amount(tokens: Column) -> Column:
     t = F.array_join(F.transform(tokens, lambda x: F.regexp_replace(x, r"[^\d.]", "")), " ")
     two = F.regexp_extract(t, r"^(\d+) (\d{2})$", 1)
     return F.when(two != "", F.concat(two, F.lit("."), F.regexp_extract(t, r"^(\d+) (\d{2})$", 2)).try_cast("decimal(18,2)")).when(t.rlike(r"^0\d{2}$"), F.concat(F.lit("0."), F.substring(t, 2, 2)).try_cast("decimal(18,2)")).otherwise(t.try_cast("decimal(18,2)"))
+
+
+def label(c: Column, names: dict[str, str]) -> Column:
+    """The fixed name of a text, looked up in lower case, or the trimmed text with capitals; unlike a join it stays in the row."""
+    pairs = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, F.lower(F.trim(c))), F.initcap(F.trim(c)))
+
+
+def plain_number(c: Column) -> Column:
+    """A number in its natural precision: 5.0 is 5, 5.50 is 5.5."""
+    t = c.cast("decimal(38,6)").cast("string")
+    return F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+$", "$1"), r"\.$", "")

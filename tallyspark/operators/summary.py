@@ -69,10 +69,10 @@ def lot_summary(df: DataFrame, description: str, proceeds: str, cost: str, wash:
     return df.groupBy(*(by or [])).agg(*aggs, *([F.sum(fed).alias("fed_tax")] if fed else []))
 
 
-def signed_check(df: DataFrame, column: str, parsed: Column) -> DataFrame:
-    """Counts of a signed column: filled, unreadable, negative, positive, zero."""
+def signed_check(df: DataFrame, column: str, parsed: Column, by: list[str] | None = None) -> DataFrame:
+    """Counts of a signed column, in all or for each key: filled, unreadable, negative, positive, zero."""
     v = F.col(column)
-    return df.agg(F.count(v).alias("filled"), F.count_if(v.isNotNull() & parsed.isNull()).alias("unreadable"), F.count_if(parsed < 0).alias("negative"), F.count_if(parsed > 0).alias("positive"), F.count_if(parsed == 0).alias("zero"))
+    return df.groupBy(*(by or [])).agg(F.count(v).alias("filled"), F.count_if(v.isNotNull() & parsed.isNull()).alias("unreadable"), F.count_if(parsed < 0).alias("negative"), F.count_if(parsed > 0).alias("positive"), F.count_if(parsed == 0).alias("zero"))
 
 
 def snapshot_pivot(lists: DataFrame, cards: DataFrame, dates: list[str]) -> DataFrame:
@@ -86,8 +86,12 @@ def snapshot_pivot(lists: DataFrame, cards: DataFrame, dates: list[str]) -> Data
     return with_total(rows.groupBy("name", "pos").agg(*[F.count_if(F.col("snapshot_date") == d).alias(d) for d in dates]), "name")
 
 
-def infer_types(df: DataFrame, columns: list[str], number: dict[str, Column], date: dict[str, Column]) -> DataFrame:
-    """(column, type): date if 80 % of the filled cells are dates, else number if 80 % are numbers, else text."""
+def infer_types(df: DataFrame, columns: list[str], number: dict[str, Column], date: dict[str, Column], first: tuple[str, int] | None = None, years: tuple[int, int] = (1990, 2035)) -> DataFrame:
+    """(column, type): date if 80 % of the filled cells are dates in the years, else number if 80 % are numbers, else text.
+    With `first` (order column, n) only the n least rows by that order are looked at, as a preview does."""
+    if first:
+        df = df.orderBy(first[0]).limit(first[1])
+    date = {c: F.when(F.year(d).between(*years), d) for c, d in date.items()}
     aggs = []
     for c in columns:
         aggs += [F.avg(F.when(F.col(c).isNotNull(), date[c].isNotNull().cast("double"))).alias(f"d_{c}"), F.avg(F.when(F.col(c).isNotNull(), number[c].isNotNull().cast("double"))).alias(f"n_{c}")]
@@ -110,3 +114,77 @@ def amortise(loans: DataFrame, keys: list[str], principal: str, rate: str, month
     rows = loans.withColumn("month", F.explode(F.sequence(F.lit(1), F.col(months)))).withColumn("balance", F.when(F.round(balance, 2) <= 0, 0.0).otherwise(F.round(balance, 2)))
     rows = rows.withColumn("cumulative_interest", F.round(pay * F.col("month") - (F.col(principal) - balance), 2))
     return rows.where((F.col("month") % F.greatest(F.lit(1), F.floor(F.col(months) / 24)) == 0) | (F.col("month") == F.col(months))).select(*keys, "month", "balance", "cumulative_interest")
+
+
+def with_income(rolled: DataFrame, income: DataFrame, group: str, sub: str, period: str, periods: list[str], amount: str, label: str = "Income") -> DataFrame:
+    """A rollup by period with one more row, level 'income', of what came in; it is no part of the grand total."""
+    sums = [F.sum(F.when(F.col(period) == p, F.col(amount))).alias(p) for p in periods]
+    row = income.agg(*sums, F.sum(amount).alias("total")).select(F.lit(label).alias(group), F.lit("").alias(sub), F.lit("income").alias("level"), *periods, "total")
+    return rolled.unionByName(row)
+
+
+def expense_matrix(income: DataFrame, expenses: DataFrame, kind: str, column: str, columns: list[str], amount: str, preferred: list[str], labels: tuple[str, str, str] = ("Rental Income", "Total Expenses", "Net Rental Income")) -> DataFrame:
+    """Rows place, kind, the fixed columns and TOTAL: the income row, a row for each kind of expense in the preferred order
+    (others after them, by name), total expenses, net. What isn't in the columns is left out. place counts from 1; an
+    expense cell without rows is null, an income cell 0. The kinds are few: their places come from a window over them."""
+    sums = [F.sum(F.when(F.col(column) == c, F.col(amount))).alias(c) for c in columns]
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(28,2)")
+    total = lambda df: df.withColumn("TOTAL", sum((zero(c) for c in columns), F.lit(0)).cast("decimal(28,2)"))
+    named = lambda df, text, order: df.select(F.lit(order).alias("_o"), F.lit(text).alias(kind), *[zero(c).alias(c) for c in columns])
+    inside = expenses.where(F.col(column).isin(columns))
+    per = inside.groupBy(kind).agg(*sums)
+    at = F.array_position(F.array(*map(F.lit, preferred)), F.col(kind))
+    order = F.when(at > 0, at).otherwise(F.lit(len(preferred) + 1))
+    rows = total(per.select((F.lit(1000) + order).cast("int").alias("_o"), kind, *[F.col(c).cast("decimal(28,2)").alias(c) for c in columns]))
+    came = income.agg(*sums)
+    spent = inside.agg(*sums)
+    net = came.select(*[zero(c).alias(c) for c in columns]).unionByName(spent.select(*[zero(c).alias(c) for c in columns])).agg(*[F.sum(c).alias(c) for c in columns])
+    whole = total(named(came, labels[0], 0)).unionByName(rows).unionByName(total(named(spent, labels[1], 1_000_000))).unionByName(total(named(net, labels[2], 1_000_001)))
+    w = Window.partitionBy(F.lit("matrix")).orderBy("_o", kind)
+    return whole.withColumn("place", F.row_number().over(w)).select("place", kind, *columns, "TOTAL")
+
+
+def in_order(df: DataFrame, by: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """The place of each row in its group from 1, by the columns in rising order with nulls last."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*[F.asc_nulls_last(c) for c in order])))
+
+
+def sorted_readings(df: DataFrame, by: list[str], date: str, value: str, name: str = "readings") -> DataFrame:
+    """The readings of each key as an array of (date, value) in the order of their dates. A key's readings are few."""
+    return df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(date, value))).alias(name))
+
+
+def stacked(tables: list[DataFrame]) -> DataFrame:
+    """The rows of all tables under the columns of all, null where a table lacks one."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def with_names(df: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
+    """The display name of a key from a dimension (key, name), or the key itself where it has none."""
+    n = names.select(F.col(key).alias("_key"), F.col(name).alias("_name")).dropDuplicates(["_key"])
+    return df.join(n, F.col(key) == F.col("_key"), "left").withColumn(name, F.coalesce("_name", F.col(key).cast("string"))).drop("_key", "_name")
+
+
+def result_status(result: DataFrame, asked: DataFrame, keys: list[str], none_asked: str, none_found: str) -> DataFrame:
+    """(.., status, message) for each asked key: ok with rows in the result, else error with the message none_found; with no
+    asked keys at all, one error row with none_asked. An empty result is a value, not a failure."""
+    found = result.groupBy(*keys).agg(F.count("*").alias("_n"))
+    out = asked.select(*keys).distinct().join(found, keys, "left")
+    ok = F.coalesce(F.col("_n"), F.lit(0)) > 0
+    rows = out.select(*keys, F.when(ok, "ok").otherwise("error").alias("status"), F.when(~ok, F.lit(none_found)).alias("message"))
+    none = asked.agg(F.count("*").alias("_n")).where("_n = 0").select(*[F.lit(None).cast(asked.schema[k].dataType).alias(k) for k in keys], F.lit("error").alias("status"), F.lit(none_asked).alias("message"))
+    return rows.unionByName(none)
+
+
+def typed_columns(df: DataFrame, types: dict[str, str], number: dict[str, Column], date: dict[str, Column]) -> DataFrame:
+    """Each column beside its typed value (<column>_number or <column>_date); the text itself stays where it can't be read."""
+    out = df
+    for c, kind in types.items():
+        if kind == "date":
+            out = out.withColumn(f"{c}_date", date[c])
+        elif kind != "text":
+            out = out.withColumn(f"{c}_number", number[c])
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.measures import cosine
-from tallyspark.functions.text import contains_any, null_if_blank
+from tallyspark.functions.text import contains_any, null_if_blank, slug
 from tallyspark.functions.vendor import personal_tag
 from tallyspark.operators.order import keep_last
 
@@ -145,12 +145,13 @@ def learned(rows: DataFrame, client: str, vendor: str, date: Column) -> DataFram
 
 
 def vocabulary(*parts: DataFrame, column: str = "tag") -> DataFrame:
-    """The distinct union of vocabularies (tag, pos) in the order of their first place, without blanks."""
+    """The distinct union of vocabularies (tag, pos) without blanks, each with the first part that has it and its first
+    place there: (tag, part, pos), to be ordered by part and pos."""
     out = None
     for k, p in enumerate(parts):
-        rows = p.select(F.trim(column).alias(column), (F.lit(k).cast("bigint") * 1_000_000_000 + F.col("pos")).alias("pos")).where(F.trim(column) != "")
+        rows = p.select(F.trim(column).alias(column), F.struct(F.lit(k).alias("part"), F.col("pos").cast("bigint").alias("pos")).alias("_at")).where(F.trim(column) != "")
         out = rows if out is None else out.unionByName(rows)
-    return out.groupBy(column).agg(F.min("pos").alias("pos"))
+    return out.groupBy(column).agg(F.min("_at").alias("_at")).select(column, "_at.part", "_at.pos")
 
 
 def keyword_category(text: Column, rules: list[tuple[str, list[str]]]) -> Column:
@@ -218,11 +219,39 @@ def classify_debit_credit(text: Column, credits: list[str], debits: list[str]) -
 
 def derived_measures(readings: DataFrame, profiles: DataFrame) -> DataFrame:
     """bmi, bmr and whr rows of clients' same-date readings (client_id, date, metric, value, recorded_at); of
-    repeated readings the last recorded counts. profiles: client_id, gender, dob, height_cm."""
+    repeated readings the last recorded counts. profiles: client_id, gender (male or female; others have no bmr), dob, height_cm."""
     from tallyspark.functions.measures import age_years, bmi, bmr, whr
 
     one = readings.groupBy("client_id", "date", "metric").agg(F.max_by("value", "recorded_at").alias("value"))
     wide = one.groupBy("client_id", "date").pivot("metric", ["weight", "height", "waist", "hips"]).agg(F.first("value")).join(profiles, "client_id", "left")
     height = F.coalesce("height", "height_cm")
-    made = wide.select("client_id", "date", bmi(F.col("weight"), F.col("height")).alias("bmi"), bmr(F.col("weight"), height, age_years(F.col("dob"), F.col("date")), F.lower("gender").startswith("m")).alias("bmr"), whr(F.col("waist"), F.col("hips")).alias("whr"))
+    male = F.when(F.lower("gender") == "male", True).when(F.lower("gender") == "female", False)
+    made = wide.select("client_id", "date", bmi(F.col("weight"), F.col("height")).alias("bmi"), bmr(F.col("weight"), height, age_years(F.col("dob"), F.col("date")), male).alias("bmr"), whr(F.col("waist"), F.col("hips")).alias("whr"))
     return made.unpivot(["client_id", "date"], ["bmi", "bmr", "whr"], "metric", "value").where("value is not null")
+
+
+def with_overrides(df: DataFrame, overrides: list[tuple[Column, str]], name: str, otherwise: Column) -> DataFrame:
+    """`name`: the value of the first override whose condition holds on the row, before any rule, else `otherwise`."""
+    out = otherwise
+    for condition, value in reversed(overrides):
+        out = F.when(condition, F.lit(value)).otherwise(out)
+    return df.withColumn(name, out)
+
+
+def match_audit(keyword: Column, cosine_label: Column, score: Column) -> Column:
+    """How a category was found: 'keyword', 'cosine (0.72)' or null."""
+    return F.when(keyword.isNotNull(), "keyword").when(cosine_label.isNotNull(), F.concat(F.lit("cosine ("), F.round(score, 2).cast("string"), F.lit(")")))
+
+
+def category_totals(df: DataFrame, category: str, near: str, amount: str) -> DataFrame:
+    """n, total and near misses of each category: rows that have it, their sum, and rows that only come near it."""
+    hits = df.where(F.col(category).isNotNull()).groupBy(F.col(category).alias("category")).agg(F.count("*").alias("n"), F.sum(amount).alias("total"))
+    misses = df.where(F.col(category).isNull() & F.col(near).isNotNull()).groupBy(F.col(near).alias("category")).agg(F.count("*").alias("near"))
+    return hits.join(misses, "category", "full_outer").select("category", F.coalesce("n", F.lit(0)).alias("n"), "total", F.coalesce("near", F.lit(0)).alias("near"))
+
+
+def slug_ids(df: DataFrame, name: str, order: list[str], out: str = "id") -> DataFrame:
+    """An id from each name; of names with the same id the first keeps it and the next get _2, _3 and so on."""
+    s = slug(F.col(name))
+    k = F.row_number().over(Window.partitionBy("_slug").orderBy(*order))
+    return df.withColumn("_slug", s).withColumn("_k", k).withColumn(out, F.when(F.col("_k") == 1, F.col("_slug")).otherwise(F.concat_ws("_", "_slug", F.col("_k").cast("string")))).drop("_slug", "_k")

@@ -17,10 +17,12 @@ def _dollars(c):
     return F.when(c < 0, F.concat(F.lit("("), F.abs(c).cast("string"), F.lit(")"))).when(F.col("o_orderkey") % 7 == 0, F.concat(c.cast("string"), F.lit(" W"))).otherwise(F.concat(F.lit("$"), F.format_number(c, 2)))
 
 
-@query("""SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE 1 END AS DOUBLE) AS amount FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE 1 END AS DOUBLE) END AS amount FROM orders""")
 def money_roundtrip(spark, sf):
+    """Amounts as texts of several kinds; texts that are no amount give null."""
     o_ = table(spark, sf, "orders").withColumn("a", F.expr("cast(cast(o_totalprice as decimal(18,2)) * if(o_orderkey % 5 = 0, -1, 1) as decimal(18,2))"))
-    texts = o_.select("o_orderkey", _dollars(F.col("a")).alias("t"))
+    odd = F.get(F.array(*map(F.lit, ["abc", "12/34", "--", " nan ", "1.2.3", "$", "12-34", "(1", "x1"])), (F.col("o_orderkey") % 9).cast("int"))
+    texts = o_.select("o_orderkey", F.when(F.col("o_orderkey") % 11 == 0, odd).otherwise(_dollars(F.col("a"))).alias("t"))
     return texts.select("o_orderkey", dbl(x.parse_money(F.col("t"))).alias("amount"))
 
 
@@ -79,9 +81,12 @@ def profile_columns(spark, sf):
     return g.profile_columns(grid, ["sheet"]).select("sheet", "col", "numeric", "dominant")
 
 
-@query("""SELECT 'transaction' AS kind, count(*) AS n FROM lineitem""")
+@query("""SELECT CASE l_partkey % 6 WHEN 0 THEN 'empty' WHEN 1 THEN 'single' WHEN 2 THEN 'header' WHEN 3 THEN 'other' ELSE 'transaction' END AS kind, count(*) AS n FROM lineitem GROUP BY 1""")
 def row_classes(spark, sf):
-    rows = _grid(spark, sf).select(g.row_class("cells", ["proceeds", "cost", "acquired", "description"]).alias("kind"))
+    """Rows of every class, among them a date with one number and headers with two words only."""
+    none, k = F.lit(None).cast("string"), F.col("l_partkey") % 6
+    made = F.when(k == 0, F.array(F.lit(" "), none, F.lit("nan"))).when(k == 1, F.array(F.lit(""), F.col("cells")[0])).when(k == 2, F.array(F.lit("Description"), F.lit("Date Acquired"), F.lit("PROCEEDS"), F.lit("x"))).when(k == 3, F.array(F.lit("Description"), F.lit("proceeds"), F.col("cells")[2], F.col("cells")[4])).when(k == 4, F.array(F.col("cells")[2], F.col("cells")[4], F.col("cells")[5])).otherwise(F.col("cells"))
+    rows = _grid(spark, sf).withColumn("cells", made).select(g.row_class("cells", ["proceeds", "cost", "acquired", "description"]).alias("kind"))
     return rows.groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -121,10 +126,10 @@ def format_detect(spark, sf):
     return t.detect_format(table(spark, sf, "pages"), rules, "page_id", "html")
 
 
-@query("""WITH n AS (SELECT p_partkey, 'file-' || CAST(p_partkey AS VARCHAR) || '.png' AS name FROM part) SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS place FROM n WHERE p_partkey < 500""")
+@query("""WITH n AS (SELECT p_partkey, 'file-' || CAST(p_partkey AS VARCHAR) || '.png' AS name FROM part) SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS place FROM n""")
 def natural_order(spark, sf):
     """page-2 before page-10: the natural key orders names as their numbers."""
-    n = table(spark, sf, "part").where("p_partkey < 500").select("p_partkey", F.concat(F.lit("file-"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("name"))
+    n = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("file-"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("name"))
     return o.places(n, x.natural_key(F.col("name")), "place").select("p_partkey", "place")
 
 
@@ -145,9 +150,10 @@ def number_segments(spark, sf):
     return o.number_segments(lines, "doc_id", "line").select("doc_id", F.col("line").cast("bigint").alias("line"), "num")
 
 
-@query("""SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS proceeds, CAST(o_custkey AS DOUBLE) AS cost FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS proceeds, CASE WHEN o_orderkey % 4 < 2 THEN CAST(o_custkey AS DOUBLE) END AS cost FROM orders""")
 def split_pairs(spark, sf):
-    """"$ X $ Y" cells, read to two amounts."""
-    c = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("$ "), money("o_totalprice").cast("string"), F.lit(" $ "), F.col("o_custkey").cast("string"), F.lit(".00")).alias("c"))
+    """"$ X $ Y" cells, read to two amounts; cells of one amount, and texts."""
+    c = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("$ "), money("o_totalprice").cast("string"), F.lit(" $ "), F.col("o_custkey").cast("string"), F.lit(".00")).alias("c"), money("o_totalprice").cast("string").alias("one"))
+    c = c.withColumn("c", F.when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("$"), "one")).when(F.col("o_orderkey") % 4 == 3, "text $ more").otherwise(F.col("c")))
     a, b = g.split_pair(F.col("c"))
     return c.select("o_orderkey", dbl(a).alias("proceeds"), dbl(b).alias("cost"))

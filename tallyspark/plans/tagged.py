@@ -153,8 +153,9 @@ def debit_credit(spark, sf):
     return o.select("o_orderkey", t.classify_debit_credit(F.col("d"), CREDITS, DEBITS).alias("kind"))
 
 
-@query("""WITH a AS (SELECT trim(p_brand) AS tag, p_partkey AS pos FROM part), b AS (SELECT c_mktsegment AS tag, c_custkey AS pos FROM customer), u AS (SELECT tag, min(pos) AS pos FROM (SELECT tag, pos FROM a UNION ALL SELECT tag, pos + 1000000000 FROM b) GROUP BY tag) SELECT tag, pos FROM u""")
+@query("""WITH u AS (SELECT p_brand AS tag, 0 AS part, p_partkey AS pos FROM part UNION ALL SELECT c_mktsegment, 1, c_custkey FROM customer UNION ALL SELECT p_brand, 2, p_partkey FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY part, pos) AS n FROM u) SELECT tag, part, pos FROM r WHERE n = 1""")
 def vocabulary(spark, sf):
-    a = table(spark, sf, "part").select(F.col("p_brand").alias("tag"), F.col("p_partkey").alias("pos"))
-    b = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("tag"), F.col("c_custkey").alias("pos"))
-    return t.vocabulary(a, b)
+    """Brands, segments and the brands again with far larger places; blanks go and spaces outside don't count."""
+    a = table(spark, sf, "part").select(F.concat(F.lit(" "), "p_brand").alias("tag"), F.col("p_partkey").alias("pos"))
+    b = table(spark, sf, "customer").select(F.explode(F.array(F.col("c_mktsegment"), F.lit("  "))).alias("tag"), F.col("c_custkey").alias("pos"))
+    return t.vocabulary(a, b, a.withColumn("pos", F.col("pos") + 5_000_000_000))

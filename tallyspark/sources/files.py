@@ -28,8 +28,10 @@ def read_csv(spark: SparkSession, path: str, required: str | None = None) -> Dat
 
 def read_grid_csv(spark: SparkSession, path: str) -> DataFrame:
     """Headless CSV files as grids; rows keep their place in the file (files are read whole, one task each)."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
-    rows = lines.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("row_idx", "line"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"\r?\n$", "").alias("value"))
+    # A record ends at a line end outside of quotes: records are found before their cells are.
+    records = F.regexp_extract_all("value", F.lit(r'(?:^|\r?\n)((?:"(?:[^"]|"")*"|[^"\r\n])*)'), F.lit(1))
+    rows = whole.select("file", F.posexplode(records).alias("row_idx", "line"))
     cells = F.transform(F.regexp_extract_all("line", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda c: F.when(c.startswith('"'), F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"')).otherwise(c))
     return rows.select("file", F.lit(0).alias("sheet_idx"), F.lit("csv").alias("sheet"), "row_idx", cells.alias("cells"))
 
@@ -102,7 +104,7 @@ def with_file_period(df: DataFrame, file: str = "file") -> DataFrame:
 
 def read_folders(spark: SparkSession, path: str) -> DataFrame:
     """Text lines below a folder with their own folder's name as period."""
-    df = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return df.select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("period"), F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_idx", "text"))
 
 

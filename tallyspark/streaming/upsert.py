@@ -28,9 +28,11 @@ def upsert(current: DataFrame, batch: DataFrame, keys: list[str], value: str, at
     return out.select(*[F.when(hit, F.col("_v")).otherwise(F.col(c)).alias(c) if c == value else F.when(hit, F.col("_at")).otherwise(F.col(c)).alias(c) if c == at else F.col(c) for c in current.columns])
 
 
-def upsert_counts(current: DataFrame, batch: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
-    """saved and removed rows of a batch."""
+def upsert_counts(current: DataFrame, batch: DataFrame, keys: list[str], value: str, order: list[str], known: DataFrame | None = None) -> DataFrame:
+    """saved and removed rows of a batch; keys that `known` lacks count for nothing, as in upsert."""
     last = keep_last(batch, keys, order)
+    if known is not None:
+        last = last.join(known, known.columns, "left_semi")
     old = current.select(*keys, F.lit(True).alias("_old"))
     j = last.join(old, keys, "left")
     return j.agg(F.count_if(F.col(value).isNotNull()).alias("saved"), F.count_if(F.col(value).isNull() & F.col("_old").isNotNull()).alias("removed"))

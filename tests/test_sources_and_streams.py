@@ -35,8 +35,8 @@ def test_texts(spark, tmp_path):
     assert [(r.file, r.text) for r in rows] == [("page-2.txt", "a"), ("page-2.txt", "b"), ("page-10.txt", "z")]
     d = spark.createDataFrame([("20250131-x.txt",)], "file string")
     assert files.with_file_period(d).first()[1:] == ("Jan 2025", 2025)
-    (tmp_path / "g.csv").write_text('a,"b, ""c""",\n1,2\n')
-    assert [r.cells for r in files.read_grid_csv(spark, str(tmp_path / "g.csv")).orderBy("row_idx").collect()] == [["a", 'b, "c"', ""], ["1", "2"]]
+    (tmp_path / "g.csv").write_text('a,"b, ""c""",\n1,2\n"x\ny","""q"""\n\nlast')
+    assert [r.cells for r in files.read_grid_csv(spark, str(tmp_path / "g.csv")).orderBy("row_idx").collect()] == [["a", 'b, "c"', ""], ["1", "2"], ["x\ny", '"q"'], [""], ["last"]]
 
 
 def test_tabs_and_memory(spark, tmp_path):
@@ -60,7 +60,7 @@ def test_upsert_and_stream(spark, tmp_path):
     known = spark.createDataFrame([("m",), ("n",)], "metric string")
     out = upsert(current, batch, ["client", "metric"], "value", "recorded_at", ["recorded_at"], known)
     assert sorted(tuple(r) for r in out.collect()) == [("a", "m", 5.0, 3), ("b", "m", 7.0, 2)]
-    assert tuple(upsert_counts(current, batch, ["client", "metric"], "value", ["recorded_at"]).first()) == (3, 1)
+    assert tuple(upsert_counts(current, batch, ["client", "metric"], "value", ["recorded_at"], known).first()) == (2, 1)
     batch.select("client", "metric", "value", "recorded_at").write.parquet(f"{tmp_path}/in")
     state = Versions(spark, f"file://{tmp_path}/state", schema)
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
