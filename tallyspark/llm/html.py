@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import blocks, bounded_batches, materialize, text_bytes
 
+#: Bounded so that no text makes the scan quadratic: a quoted value may be of any length without < and >, or of 4096
+#: characters with them; a tag has at most 256 parts (quoted values and the text between them).
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]{0,4096}>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]{0,100})((?:\"(?:[^\"<>]*+\"|[^\"]{0,4096}\")|'(?:[^'<>]*+'|[^']{0,4096}')|[^'\"<>]++|<){0,256}+)>|<[!?][^>]{0,4096}>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -81,8 +85,10 @@ class Page:
         self.text: list[str] = []
         self.linked = 0
         self.hidden = 0  # the place in the stack of an open element whose text goes
+        self.open, self.within = Counter(), Counter()  # open elements by tag, in all and within the hidden one
         # An element: tag, path, noise, main, link, tags of its children.
         self.stack: list[tuple[str, int, bool, bool, bool, list[str]]] = [("", 0, False, False, False, [])]
+        self.holders = [self.stack[0]]  # the open elements that aren't inline
         done = 0
         for m in TOKEN.finditer(source):
             if m.start() > done:
@@ -112,32 +118,46 @@ class Page:
         if self.text:
             words = html.unescape("".join(self.text)).split()
             if words:
-                _, path, noise, main, _, _ = next(e for e in reversed(self.stack) if e[0] not in INLINE)
+                _, path, noise, main, _, _ = self.holders[-1]
                 self.blocks.append((path, noise, main, " ".join(words), self.linked))
             self.text, self.linked = [], 0
 
+    def _push(self, element: tuple[str, int, bool, bool, bool, list[str]]) -> None:
+        self.stack.append(element)
+        if element[0] not in INLINE:
+            self.holders.append(element)
+        self.open[element[0]] += 1
+        if self.hidden:
+            self.within[element[0]] += 1
+
     def _pop(self) -> None:
+        self.open[self.stack[-1][0]] -= 1
         if self.hidden:
-            self.stack.pop()
+            if self.stack[-1][0] not in INLINE:
+                self.holders.pop()
+            self.within[self.stack.pop()[0]] -= 1
             if len(self.stack) <= self.hidden:
                 self.hidden = 0
+                self.within.clear()
             return
         if self.stack[-1][0] not in INLINE:
             self._flush()
         tag, path, _, _, _, children = self.stack.pop()
+        if tag not in INLINE:
+            self.holders.pop()
         if children and tag not in INLINE:
             self.layouts[path] = xxhash.xxh3_64_intdigest(" ".join(children))
 
     def _open_hidden(self, tag: str, attributes: str) -> bool:
         """Whether the tag is inside an element whose text goes; an HTML tag ends an svg or math that was left open."""
-        within = {e[0] for e in self.stack[self.hidden :]}
+        inside = lambda tags: any(self.within[x] for x in tags)
         drawn = self.stack[self.hidden][0] in ("svg", "math")
-        if drawn and tag in BREAKS and not within & HOLDS_HTML:
+        if drawn and tag in BREAKS and not inside(HOLDS_HTML):
             while self.hidden:
                 self._pop()
             return False
-        if tag not in VOID and not (attributes.rstrip().endswith("/") and within & {"svg", "math"}):
-            self.stack.append((tag, *self.stack[-1][1:5], []))
+        if tag not in VOID and not (attributes.rstrip().endswith("/") and inside(("svg", "math"))):
+            self._push((tag, *self.stack[-1][1:5], []))
         return True
 
     def _open(self, tag: str, attributes: str) -> None:
@@ -148,7 +168,7 @@ class Page:
             return
         if tag not in INLINE:
             self._flush()
-            if any(e[0] == "p" for e in self.stack):
+            if self.open["p"]:
                 self._end({"p"}, {"article", "body", "div", "section", "main", "td", "li", "blockquote"})
         if tag in CLOSES:
             self._end(*CLOSES[tag])
@@ -156,7 +176,7 @@ class Page:
             return
         if tag in EMBEDDED and not (tag in ("math", "object") and self.stack[-1][3]):
             self.hidden = len(self.stack)
-            self.stack.append((tag, *self.stack[-1][1:5], []))
+            self._push((tag, *self.stack[-1][1:5], []))
             return
         name, noise, main = _attributes(attributes) if attributes and not attributes.isspace() else ("", False, False)
         _, path, was_noise, was_main, link, children = self.stack[-1]
@@ -165,10 +185,12 @@ class Page:
         article = was_main or main or tag in ("article", "main")
         noise = was_noise or noise or tag in NOISE_TAGS or (tag in ("header", "figcaption") and not article)
         own = path if tag in INLINE else xxhash.xxh3_64_intdigest(f"{path}/{tag}.{name}")
-        self.stack.append((tag, own, noise, article, link or tag == "a", []))
+        self._push((tag, own, noise, article, link or tag == "a", []))
 
     def _end(self, which: set[str], up_to: set[str]) -> None:
         """End the outermost open element of `which` above one of `up_to`, with what it holds."""
+        if not any(self.open[x] for x in which):
+            return
         at = 0
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] in up_to:
@@ -179,6 +201,10 @@ class Page:
             self._pop()
 
     def _close(self, tag: str) -> None:
+        if not self.open[tag]:
+            if tag not in INLINE and not self.hidden:
+                self._flush()
+            return
         if self.hidden:
             at = next((k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k][0] == tag and (k >= self.hidden or tag not in INLINE)), 0)
             while at and len(self.stack) > at:

@@ -1,7 +1,10 @@
 import html
 import re
 
-from tallyspark.llm.html import Page, main_texts
+import pytest
+from pyspark.sql import functions as F
+
+from tallyspark.llm.html import LEAST_PAGES, LOW_IMPORTANCE, Page, _digest, main_texts, style_tree_noise
 from tallyspark.llm.queries import op8_html_extraction
 
 FULL = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body class=x>
@@ -66,3 +69,86 @@ def test_embedded_elements_end_where_they_end():
     assert text("<object data=x><p>in its place</p></object><figure><img src=x><figcaption>A caption</figcaption></figure>") == "in its place A caption"
     assert text("<p>a <select><option>no<option>no</select> b<template><p>no</p></template></p><svg><foreignObject><p>no</p></foreignObject></svg>c") == "a b c"
     assert Page("<p>a <math><mi>x</mi></math> b</p><figure><figcaption>no</figcaption></figure>").main_text(set()) == "a b"
+
+
+HOSTILE = {
+    "unclosed quotes": lambda k: '<a href="x ' * k,
+    "paragraphs with blocks": lambda k: "<p><div>" * k + "x",
+    "tags without an end": lambda k: "<a <a " * k,
+    "scripts without an end": lambda k: "<script " * (k // 8),
+    "closing tags of nothing": lambda k: "<div>" + "<span>x</p>" * k,
+    "deep drawings": lambda k: "<svg>" + "<g>" * k + "x",
+    "declarations": lambda k: "<!x " * k,
+    "mixed quotes": lambda k: "<a b='\"c " * k,
+    "rows": lambda k: "<table>" + "<tr><td>x" * k,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_pages_take_time_in_proportion(kind):
+    import time
+
+    def seconds(k):
+        start = time.process_time()
+        Page(HOSTILE[kind](k)).main_text(set())
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(32_000) < 14 * seconds(4_000) + 0.5
+
+
+def naive_noise(pages):
+    """The paths and texts of low importance of one host, from lists of whole pages and the definition alone."""
+    import math
+
+    parsed = {source: Page(source) for source in pages}
+    h = len(parsed)
+    layouts, texts, outside = {}, {}, set()
+    for source, p in parsed.items():
+        for path, v in p.layouts.items():
+            layouts.setdefault(path, {}).setdefault(v, set()).add(source)
+        for path, noise, main, text, _ in p.blocks:
+            if not noise:
+                texts.setdefault(path, {}).setdefault(text, set()).add(source)
+                if not main:
+                    outside.add((path, text))
+    out = set()
+    for path, by_text in texts.items():
+        m = len(set().union(*by_text.values()))
+        if m < LEAST_PAGES:
+            continue
+        importance = {t: 1 - math.log(len(s)) / math.log(h) for t, s in by_text.items()}
+        out |= {path ^ _digest(t) for t, x in importance.items() if x < LOW_IMPORTANCE and (path, t) in outside}
+        shared = [t for t in by_text if len(by_text[t]) > 1]
+        if not any((path, t) in outside for t in shared):
+            continue
+        content = sum(importance[t] * len(by_text[t]) for t in by_text) / sum(len(s) for s in by_text.values())
+        shown = 0.0
+        if path in layouts:
+            n = len(set().union(*layouts[path].values()))
+            if n >= LEAST_PAGES and any(len(s) > 1 for s in layouts[path].values()):
+                shares = [len(s) / n for s in layouts[path].values()]
+                shown = -sum(x * math.log(x) for x in shares) / math.log(n)
+        if content < LOW_IMPORTANCE and shown < LOW_IMPORTANCE:
+            out.add(path)
+    return out
+
+
+def test_tree_equals_a_naive_one_and_decides(spark):
+    """Pages that mark no article: what the site repeats goes by the tree alone."""
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    pages = []
+    for i in range(60):
+        body = "".join(f"<p>{' '.join(word() for _ in range(12))}</p>" for _ in range(r.randrange(1, 4)))
+        legend = "<ul><li>first choice</li><li>second choice</li></ul>" if i % 30 else "<ul><li>only choice</li></ul>"
+        pages.append(f"<html><body><div class=top><p>The house of {'things' if i != 7 else 'thongs'}</p></div><div class=text>{body}<p>{'a common saying' if i % 2 else 'another saying'}</p></div>{legend}</body></html>")
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", p) for i, p in enumerate(pages)] + [(99, "http://a.example/x", pages[0])], "page_id bigint, url string, html string")
+    tree = F.when(F.lit(True), F.lit(1).cast("bigint"))
+    got = {x.noise & 0xFFFFFFFFFFFFFFFF for x in style_tree_noise(df.select(tree.alias("tree"), "html")).collect()}
+    assert got == naive_noise(pages) and got
+    texts = {x.page_id: x.text for x in main_texts(df).collect()}
+    assert "The house of things" not in texts[3] and "first choice" not in texts[3] and "common saying" in texts[3]
+    assert texts[3] != Page(pages[3]).main_text(set())
