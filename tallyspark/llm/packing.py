@@ -4,8 +4,8 @@ Texts become pieces of at most `capacity` token ids. Pieces are dealt evenly ove
 number of rows, each packed by best-fit decreasing. Dual-feasible functions give a lower bound for each
 partition: where it equals the number of bins the partition is certified and gives back only its emptiest bin;
 a partition with a gap gives back every bin that isn't full. What is given back is exchanged: dealt anew over
-fewer partitions and packed again, until one partition is left or the bins are as few as the bound of the
-whole, which follows from a histogram of the lengths (`capacity` rows at most).
+fewer partitions and packed again, until one partition is left, an exchange saves no bin, or the bins are as few as the
+bound of the whole, which follows from a histogram of the lengths (`capacity` rows at most).
 """
 
 from __future__ import annotations
@@ -168,41 +168,39 @@ def _packer(capacity: int, turn: int, last: bool):
     return lambda t: _pack_part(t, capacity, turn, last)
 
 
-def best_fit_pack(pieces: DataFrame, capacity: int = 2048, max_turns: int = 12) -> DataFrame:
+def best_fit_pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """pieces (any columns, with length from 1 to capacity) plus sequence_id and offset.
 
     The pieces of a sequence_id fill it from offset 0 without gaps and never exceed the capacity. Lengths that
-    equal the capacity are sequences of their own. Ties go in the order of the written rows; an empty table
-    gives no rows; a null length or one out of range is an error. Columns of pieces that are called row,
-    part, sequence_id, offset or open are not allowed.
-    """
+    equal the capacity are sequences of their own. Ties go in the order of the written rows, repeated rows are pieces
+    each; an empty table gives no rows; a length that is null or out of range is an error. Columns of pieces that are
+    called sequence_id or offset are replaced."""
     spark = pieces.sparkSession
     bounded_batches(spark)
-    taken = {"row", "part", "sequence_id", "offset", "open"} & set(pieces.columns)
-    if taken:
-        raise ValueError(f"columns of these names are made here: {sorted(taken)}")
-    checked = pieces.withColumn("length", F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(F.raise_error(F.lit("a length out of range"))).cast("bigint"))
-    rows = materialize(checked.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    length = F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(F.raise_error(F.lit("a length out of range"))).cast("bigint")
+    held = pieces.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("piece"), length.alias("length"), F.monotonically_increasing_id().alias("row"))
+    rows = materialize(held, "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for r in rows.groupBy("length").count().collect():  # at most `capacity` rows
         counts[r["length"]] = r["count"]
     bound, done = lower_bound(counts, capacity), int(counts[capacity])
     whole = rows.where(F.col("length") == capacity).select("row", (F.lit(-1).cast("bigint") - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     todo, placed = rows.where(F.col("length") < capacity).select("row", "length"), [whole]
-    n = int(counts[:capacity].sum())
-    for turn in range(max_turns):
-        if not n:
-            break
+    n, turn, fewest = int(counts[:capacity].sum()), 0, None
+    while n:  # until a turn saves no bin; one partition is the last
         parts = -(-n // ROWS_A_PARTITION)
-        last = parts == 1 or turn == max_turns - 1
+        last = parts == 1
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)))
         packed = dealt.groupBy("part").applyInArrow(_packer(capacity, turn, last), "row bigint, length bigint, sequence_id bigint, offset bigint, open boolean")
         packed = materialize(packed, "packed")
         bins, opened, n = packed.agg(F.count_distinct("sequence_id"), F.count_distinct(F.expr("if(open, sequence_id, null)")), F.count_if("open")).first()
-        if done + bins == bound:  # as few as can be: nothing to exchange
+        if done + bins == bound or fewest is not None and done + bins >= fewest:  # as few as can be, or nothing saved
             placed.append(packed.select("row", "sequence_id", "offset"))
             break
         placed.append(packed.where("not open").select("row", "sequence_id", "offset"))
+        fewest = done + bins
         done += bins - opened
         todo = packed.where("open").select("row", "length")
-    return rows.join(reduce(DataFrame.unionByName, placed), "row").drop("row")
+        turn += 1
+    return rows.join(reduce(DataFrame.unionByName, placed), "row").select("piece.*", "sequence_id", "offset")

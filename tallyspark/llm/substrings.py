@@ -20,9 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WordHashes, blocks, bounded_batches, from_planes, list_array, materialize, mix, planes, text_bytes
+from tallyspark.llm.common import WordHashes, bins_for, blocks, bounded_batches, from_planes, list_array, materialize, mix, planes, text_bytes
 
-BINS_A_PARTITION = 4
+#: Bits of a window's start; above them, where rows share a doc_id, stands a 32-bit hash of the text.
+START_BITS = 31
 #: Intervals of so many bytes at most are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -77,7 +78,7 @@ def _pack(batches: Iterator[pa.RecordBatch], length: int, bins: int, apart: bool
             continue
         offset = np.cumsum(counts) - counts
         row = np.repeat(np.arange(len(ids)), counts)
-        shift = np.array([xxhash.xxh32_intdigest(x) & 0x7FFF for x in texts], np.int64) << 40 if apart else np.zeros(len(ids), np.int64)
+        shift = np.array([xxhash.xxh32_intdigest(x) for x in texts], np.int64) << START_BITS if apart else np.zeros(len(ids), np.int64)
         inside = np.flatnonzero(row[: len(values) - length + 1] == row[length - 1 :])
         if not len(inside):
             continue
@@ -173,8 +174,8 @@ def _cut(batches: Iterator[pa.RecordBatch], apart: bool, joined: bool) -> Iterat
             n_words.append(len(words))
             a, b = np.array(at or [], np.int64), np.array(to or [], np.int64)
             if apart and len(a):
-                own = a >> 40 == xxhash.xxh32_intdigest(text) & 0x7FFF
-                a, b = (x[own] & ((1 << 40) - 1) for x in (a, b))
+                own = a >> START_BITS == xxhash.xxh32_intdigest(text)
+                a, b = (x[own] & ((1 << START_BITS) - 1) for x in (a, b))
             spans += list(zip(a.tolist(), b.tolist(), strict=True))
             n_spans.append(len(a))
             if joined:
@@ -206,21 +207,25 @@ def remove_repeats(documents: DataFrame, length: int = 50, joined: bool = False,
     space after each, or with `joined` the kept words with one space between them. A null text has no words
     and stays null (empty with `joined`). A null doc_id takes no part: nothing is removed and it removes
     nothing. Repeated rows are the same document; rows that share a doc_id but not the text go in the order
-    of a hash of the text. An empty table gives no rows. Windows count as the same by 72 bits of two rolling
+    of a 32-bit hash of the text (a text has fewer than 2 ** 31 words). An empty table gives no rows. Windows count as the same by 72 bits of two rolling
     hashes and the choice of one bin.
     """
     spark = documents.sparkSession
     bounded_batches(spark)
     docs = documents.select("doc_id", "text")
     apart = not documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.where("doc_id is not null").mapInArrow(partial(_pack, length=length, bins=BINS_A_PARTITION * buckets, apart=apart), PACKED)
+    bins = bins_for(docs)
+    buckets = bins
+    packed = docs.where("doc_id is not null").mapInArrow(partial(_pack, length=length, bins=2 * bins, apart=apart), PACKED)
     later = packed.groupBy("bin").applyInArrow(lambda t: _later(t, buckets), "bucket int, doc binary, n binary, start binary")
     spans = later.groupBy("bucket").applyInArrow(lambda t: _spans(t, length), "doc_of_spans bigint, starts array<bigint>, stops array<bigint>")
     spans = materialize(spans, "repeat-spans")
     size = spans.agg(F.coalesce(F.sum(24 + 16 * F.size("starts")), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
         spans = F.broadcast(spans)
+    clash = {"n_words", "spans", "kept", "text", "starts", "stops"} & set(keep)
+    if clash:
+        raise ValueError(f"keep names columns that are made here: {sorted(clash)}")
     rows = documents.select(*keep, "text", F.col("doc_id").alias("own_doc_id")).join(spans, F.col("own_doc_id") == F.col("doc_of_spans"), "left").select(*keep, "text", "starts", "stops")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
     return rows.mapInArrow(partial(_cut, apart=apart, joined=joined), f"{schema}, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, kept string")

@@ -94,3 +94,10 @@ def test_odd_rows(spark):
     out = got.collect()
     assert sorted((str(r.doc_id), r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in out) == sorted(want)
     assert best_fit_pack(spark.createDataFrame([], "id int, length int")).count() == 0
+
+
+def test_columns_of_made_names(spark):
+    df = spark.createDataFrame([(1, 60, "a", 5, 6, True, 9), (2, 50, "b", 5, 6, False, 9), (2, 50, "b", 5, 6, False, 9)], "id int, length int, row string, part int, offset int, open boolean, piece int")
+    rows = best_fit_pack(df, 100).collect()
+    assert sorted((r.id, r.length, r.row, r.part, r.open, r.piece) for r in rows) == [(1, 60, "a", 5, True, 9), (2, 50, "b", 5, False, 9), (2, 50, "b", 5, False, 9)]
+    assert check(rows, 100) == 2
