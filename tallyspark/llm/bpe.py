@@ -215,12 +215,14 @@ def _decode(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """The columns of encoded with decoded, the bytes of its ids; null or empty ids decode to no bytes.
+    """The columns of encoded with decoded (in place of a column of that name), the bytes of its ids; null or empty ids
+    decode to no bytes.
 
     The token-byte table (one row a token, a vocabulary's size) is sent to every executor and joined there.
     """
     spark = encoded.sparkSession
     bounded_batches(spark)
+    encoded = encoded.drop("decoded")
     by_id = {i: t for t, i in load_ranks(ranks_path).items()}
     tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
     starts = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)

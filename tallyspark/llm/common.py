@@ -30,14 +30,17 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one only where none is named."""
+    """The folder that the cluster names for checkpoints; a local one only where none is named and Spark is local: the
+    executors of a cluster would each write to a folder of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='tallyspark-')}"
-        spark.sparkContext.setCheckpointDir(base)
+    if base:
         return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    import tempfile
+
+    base = f"file://{tempfile.mkdtemp(prefix='tallyspark-')}"
+    spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 

@@ -67,7 +67,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measures(documents: DataFrame) -> DataFrame:
     """The columns of documents without text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
-    Words are runs of characters other than \\x20 and \\x09-\\x0D; a null or empty text has none and zeros."""
+    Words are runs of characters other than \\x20 and \\x09-\\x0D; a null or empty text has none and zeros. Null ids
+    and repeated rows stay as they are; columns of the made names are replaced; an empty table gives no rows."""
+    documents = documents.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     bounded_batches(documents.sparkSession)
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.drop("text").schema)
     return documents.mapInArrow(_measure, f"{rest}, {MEASURES}")
@@ -95,12 +97,13 @@ def judge(documents: DataFrame, host: Column, max_rate: float = 0.5) -> DataFram
 
     base_failed: fewer than 10 words, or over 20 % of them in a 5-word window that comes twice. kept: not
     base_failed, and the host's shrunk failure rate is at most max_rate. A null host gets no verdict; a null
-    text fails; repeated rows count each; an empty table gives no rows. The input may not have columns with
-    the names made here or one called host_of_document."""
-    made = measures(documents.withColumn("host_of_document", host)).withColumn("base_failed", base_failed())
+    text fails; repeated rows count each; an empty table gives no rows. Columns of the input with the names made here
+    are replaced."""
+    own = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns if c not in ("text", "base_failed", "kept", *[m.split()[0] for m in MEASURES.split(", ")])]).alias("row"), "text", host.alias("host_of_document"))
+    made = measures(own).withColumn("base_failed", base_failed())
     made = materialize(made, "measures")
     bad = materialize(host_rates(made.select(F.col("host_of_document").alias("host"), F.col("base_failed").alias("failed"))).where(F.col("rate") > max_rate).select(F.col("host").alias("bad_host")), "bad-hosts")
     if bad.count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
     out = made.join(bad, F.col("host_of_document") == F.col("bad_host"), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("bad_host").isNull()).drop("host_of_document", "bad_host")
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("bad_host").isNull()).select("row.*", *[m.split()[0] for m in MEASURES.split(", ")], "base_failed", "kept")

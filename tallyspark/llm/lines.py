@@ -106,6 +106,9 @@ def drop_aligned_lines(documents: DataFrame, min_chars: int = 20, rare: int | No
     null with no lines; a null doc_id takes no part; equal rows are the same document and both are kept;
     rows that share a doc_id but not the text go in the order of a text hash. An empty table gives no rows.
     """
+    clash = {"text", "n_lines", "n_dropped", "gone"} & set(keep)
+    if clash:
+        raise ValueError(f"keep names columns that are made here: {sorted(clash)}")
     bounded_batches(documents.sparkSession)
     me = F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("me")
     line = lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c"))
