@@ -170,7 +170,9 @@ def loan_compare(spark, sf):
     return q.select("c_custkey", F.round(flat, 6).alias("flat_emi"), F.round(red, 6).alias("emi"), F.when(flat * 60 <= red * 60, "flat").otherwise("reducing").alias("cheaper"))
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(100 AS DOUBLE) AS hi UNION ALL SELECT i + 1, CASE WHEN o THEN lo ELSE (lo + hi) / 2 END, CASE WHEN o THEN (lo + hi) / 2 ELSE hi END
+FROM (SELECT *, r * pow(1 + r, 60) / (pow(1 + r, 60) - 1) > (1 + 0.07 * 5) / 60 AS o FROM (SELECT *, (lo + hi) / 2400 AS r FROM b WHERE i < 200)))
+SELECT c_custkey, (SELECT round((lo + hi) / 2, 4) FROM b WHERE i = 200) AS rate FROM customer""")
 def effective_rates(spark, sf):
     """The rate at which flat payments pay a loan off, by bisection."""
     q = table(spark, sf, "customer").select("c_custkey", F.round(F.abs("c_acctbal") + 1000, 2).alias("p"))

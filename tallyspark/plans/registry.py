@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.plans import layouts, ledger, ordered, pages, parsing, reports, tagged
+from tallyspark.plans import files_io, layouts, ledger, ordered, pages, parsing, reports, tagged
 from tallyspark.plans.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "layouts", "ledger", "ordered", "pages", "parsing", "reports", "tagged"]
+__all__ = ["ORACLES", "QUERIES", "files_io", "layouts", "ledger", "ordered", "pages", "parsing", "reports", "tagged"]

@@ -28,9 +28,15 @@ def read_csv(spark: SparkSession, path: str, required: str | None = None) -> Dat
 
 def read_grid_csv(spark: SparkSession, path: str) -> DataFrame:
     """Headless CSV files as grids; rows keep their place in the file (files are read whole, one task each)."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"\r?\n$", "").alias("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return grid_cells(whole)
+
+
+def grid_cells(whole: DataFrame) -> DataFrame:
+    """Grids of the whole texts (file, value) of CSV files. Quoted cells may hold separators, line breaks and doubled quotes."""
     # A record ends at a line end outside of quotes: records are found before their cells are.
-    records = F.regexp_extract_all("value", F.lit(r'(?:^|\r?\n)((?:"(?:[^"]|"")*"|[^"\r\n])*)'), F.lit(1))
+    text = F.regexp_replace("value", r"\r?\n$", "")
+    records = F.regexp_extract_all(text, F.lit(r'(?:^|\r?\n)((?:"(?:[^"]|"")*"|[^"\r\n])*)'), F.lit(1))
     rows = whole.select("file", F.posexplode(records).alias("row_idx", "line"))
     cells = F.transform(F.regexp_extract_all("line", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda c: F.when(c.startswith('"'), F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"')).otherwise(c))
     return rows.select("file", F.lit(0).alias("sheet_idx"), F.lit("csv").alias("sheet"), "row_idx", cells.alias("cells"))
@@ -135,14 +141,27 @@ def read_memory(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("source", F.when(F.col("source") == "auto", "claude").otherwise(F.col("source")))
 
 
-def vocabulary_tab(grid: DataFrame, synonyms: list[str], name: str = "lookup") -> DataFrame:
-    """Distinct values of the first column whose header is one of the synonyms, on the first sheet named like `name`."""
+def vocabulary_tab(grid: DataFrame, synonyms: list[str], name: str = "lookup", sub_synonyms: list[str] | None = None) -> DataFrame:
+    """Distinct values of the first column whose header is one of the synonyms, on the first sheet named like `name`; with
+    sub_synonyms also a column `subcategory` from the first header of those (null without one)."""
     sheets = grid.where(F.lower("sheet").contains(name))
     first = sheets.groupBy("file").agg(F.min("sheet_idx").alias("sheet_idx"))
     rows = sheets.join(first, ["file", "sheet_idx"])
-    heads = rows.where("row_idx = 0").select("file", F.posexplode("cells").alias("col", "h")).where(F.lower(F.trim("h")).isin([s.lower() for s in synonyms])).groupBy("file").agg(F.min("col").alias("col"))
-    value = null_if_blank(F.get("cells", F.col("col")))
-    return rows.where("row_idx > 0").join(heads, "file").select(value.alias("value")).where("value is not null").distinct()
+    heads = rows.where("row_idx = 0").select("file", F.posexplode("cells").alias("col", "h")).withColumn("h", F.lower(F.trim("h")))
+    at = lambda names: F.min(F.when(F.col("h").isin([s.lower() for s in names]), F.col("col")))
+    heads = heads.groupBy("file").agg(at(synonyms).alias("col"), at(sub_synonyms or []).alias("sub")).where("col is not null")
+    value, sub = null_if_blank(F.get("cells", F.col("col"))), null_if_blank(F.get("cells", F.col("sub")))
+    out = rows.where("row_idx > 0").join(heads, "file").select(value.alias("value"), *([sub.alias("subcategory")] if sub_synonyms else []))
+    return out.where("value is not null").distinct()
+
+
+def vocabulary_warnings(grid: DataFrame, synonyms: list[str], name: str = "lookup") -> DataFrame:
+    """(file, warning) of workbooks whose vocabulary can't be read: no sheet named like `name`, or no header of it known."""
+    named = grid.groupBy("file").agg(F.min(F.when(F.lower("sheet").contains(name), F.col("sheet_idx"))).alias("_s"))
+    heads = grid.where("row_idx = 0").select("file", F.col("sheet_idx").alias("_s"), F.exists("cells", lambda c: F.lower(F.trim(c)).isin([s.lower() for s in synonyms])).alias("_known"))
+    out = named.join(heads, ["file", "_s"], "left")
+    text = F.when(F.col("_s").isNull(), F.lit(f"no sheet named like {name}")).when(~F.coalesce("_known", F.lit(False)), F.lit("no known header"))
+    return out.select("file", text.alias("warning")).where("warning is not null")
 
 
 def read_rules(spark: SparkSession, path: str, locale: str) -> DataFrame:
