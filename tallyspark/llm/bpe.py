@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import bins_for, blocks, bounded_batches, from_planes, materialize, materialize_kinds, pack, planes, remove, stretches, unpack
+from tallyspark.llm.common import bins_for, blocks, bounded_batches, from_planes, materialize, materialize_kinds, pack, planes, remove, stretches, task, unpack
 
 #: Bytes of text in a block.
 BLOCK = 8 << 20
@@ -86,6 +86,7 @@ def cut_by(pattern: str) -> Callable[[], Callable[[bytes], list]]:
     return make
 
 
+@task
 def _split(batches: Iterator[pa.RecordBatch], cutter: Callable[[], Callable[[bytes], list]], bins: int, core: Callable[[bytes], bytes] | None) -> Iterator[pa.RecordBatch]:
     cut = cutter()
     kinds = [pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
@@ -132,6 +133,7 @@ def _rank_encoder(ranks, name: str) -> Callable[[list[bytes]], tuple[np.ndarray,
     return encode
 
 
+@task
 def _encode(t: pa.Table, encoder: Callable[[], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]]) -> pa.Table:
     """The ids of the words of one bin, packed for each block; a distinct word is encoded once."""
     numbers = Numbers()
@@ -146,7 +148,12 @@ def _encode(t: pa.Table, encoder: Callable[[], Callable[[list[bytes]], tuple[np.
     return pa.table({"block": t.column("block"), "bin": t.column("bin"), "ids": pa.array(out, pa.binary())})
 
 
-def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@task
+def _reassemble(batches: Iterator[pa.RecordBatch], then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> Iterator[pa.RecordBatch]:
+    yield from then(_blocks_of_ids(batches)) if then else _blocks_of_ids(batches)
+
+
+def _blocks_of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in range(b.num_rows):
             doc_ids, lengths = b.column("doc_ids")[r].values, np.asarray(b.column("lengths")[r].values, dtype=np.int64)
@@ -176,10 +183,11 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 done, doc = int(so_far[stop - 1]), stop
 
 
-def encode_words(documents: DataFrame, cutter: Callable[[], Callable[[bytes], list]], encoder: Callable[[], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]], core: Callable[[bytes], bytes] | None = None) -> DataFrame:
+def encode_words(documents: DataFrame, cutter: Callable[[], Callable[[bytes], list]], encoder: Callable[[], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]], core: Callable[[bytes], bytes] | None = None, then: tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str] | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids) of documents (doc_id, text): the ids of the parts into which the cutter's function
     cuts a text (UTF-8), one after the other; the encoder's function gives all ids of a list of distinct parts, and how
-    many each has. Both are made on the executors. Words with the same core meet in one call of the encoder."""
+    many each has. Both are made on the executors. Words with the same core meet in one call of the encoder. then: what
+    is made of the rows' batches in the same task, with its schema."""
     spark = documents.sparkSession
     bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -189,7 +197,7 @@ def encode_words(documents: DataFrame, cutter: Callable[[], Callable[[bytes], li
     remove(spark, words_path)
     back = ids.groupBy("block").agg(F.collect_list(F.struct("bin", "ids")).alias("back"))
     joined = rows.select("block", "doc_ids", "lengths", "sequence", "bins").join(back, "block", "left").drop("block")
-    return joined.mapInArrow(_reassemble, "doc_id bigint, n_tokens bigint, ids binary")
+    return joined.mapInArrow(partial(_reassemble, then=then[0] if then else None), then[1] if then else "doc_id bigint, n_tokens bigint, ids binary")
 
 
 def bpe_encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -203,6 +211,7 @@ def bpe_encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame
     return encode_words(documents, cut_by(pattern), lambda: _rank_encoder(ranks, ranks_path))
 
 
+@task
 def _decode(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
     starts, data = table.value
     data = np.frombuffer(data, np.uint8)

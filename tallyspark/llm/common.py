@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import inspect
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +88,35 @@ def discard(made: DataFrame) -> None:
     remove(made.sparkSession, made.written_to)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: workers stay for later tasks beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def task(f: Callable) -> Callable:
+    """Marks a function or generator that Spark runs on executors: its memory is given back when it ends."""
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def run(*args, **kwargs):
+            try:
+                yield from f(*args, **kwargs)
+            finally:
+                give_back()
+    else:
+
+        @functools.wraps(f)
+        def run(*args, **kwargs):
+            try:
+                return f(*args, **kwargs)
+            finally:
+                give_back()
+
+    return run
+
+
 def planes(x: np.ndarray) -> bytes:
     """Byte planes of integers: those of small numbers are nearly all zero and vanish when compressed."""
     return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()

@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WordHashes, blocks, bounded_batches, materialize, mix, text_bytes
+from tallyspark.llm.common import WordHashes, blocks, bounded_batches, materialize, mix, task, text_bytes
 from tallyspark.llm.substrings import BASES, Rolling
 
 WINDOW = 5
+#: Bytes of text that are measured at once: sums over bytes take many times as much.
+BLOCK = 1 << 20
 #: So many rejected hosts at most are broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 50_000
 SPACE = b" \t\n\x0b\x0c\r"
@@ -47,9 +49,10 @@ def repeated_words(values: np.ndarray, row: np.ndarray, rows: int, one: Rolling,
     return np.bincount(row[np.cumsum(steps[:-1]) > 0], minlength=rows)
 
 
+@task
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, one, two = WordHashes(), Rolling(BASES[0]), Rolling(BASES[1])
-    for t in blocks(batches):
+    for t in blocks(batches, limit=BLOCK):
         texts = text_bytes(t.column("text"))
         data = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum([len(x) for x in texts])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import blocks, bounded_batches, materialize, text_bytes
+from tallyspark.llm.common import blocks, bounded_batches, materialize, task, text_bytes
 
 #: Bounded so that no text makes the scan quadratic: a quoted value may be of any length without < and >, or of 4096
 #: characters with them; a tag has at most 256 parts (quoted values and the text between them).
@@ -235,6 +235,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+@task
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in blocks(batches, "html"):
         host, path, value, layout, page, outside = [], [], [], [], [], []
@@ -281,6 +282,7 @@ def style_tree_noise(pages: DataFrame) -> DataFrame:
     return by_text.unionByName(by_path)
 
 
+@task
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in blocks(batches, "html"):
         noise = [{x & 0xFFFFFFFFFFFFFFFF for x in n or ()} for n in t.column("noise").to_pylist()]

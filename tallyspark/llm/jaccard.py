@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WordHashes, bins_for, blocks, bounded_batches, components, discard, from_planes, list_array, materialize, materialize_kinds, mix, pack, planes, remove, stretches, text_bytes, unpack
+from tallyspark.llm.common import WordHashes, bins_for, blocks, bounded_batches, components, discard, from_planes, list_array, materialize, materialize_kinds, mix, pack, planes, remove, stretches, task, text_bytes, unpack
 
 #: Sizes of a band run from its bound to 1.25 times the bound.
 STEP = 1.25
@@ -139,6 +139,7 @@ def set_hashes(u: np.ndarray) -> tuple[int, int]:
     return int(sums[0].view(np.int64)), int(sums[1].view(np.int64))
 
 
+@task
 def _sketches(batches: Iterator[pa.RecordBatch], n: int, bands: Bands, bins: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, one for a block's distinct sets and one of its distinct keys for each bin."""
     hashes = WordHashes()
@@ -194,6 +195,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int, bands: Bands, bins: int
             yield pa.RecordBatch.from_pylist(wide[x : x + 1000], schema)
 
 
+@task
 def _count(t: pa.Table) -> pa.Table:
     """For each block of a bin: how many keys it has there, which of them another set has too, and in how many sets."""
     parts = [unpack(x, 2) for x in t.column("keys").to_pylist()]
@@ -213,6 +215,7 @@ def _count(t: pa.Table) -> pa.Table:
     return pa.table({"block": t.column("block"), "bin": t.column("bin"), "size": pa.array(sizes, pa.int32()), "live": pa.array(out, pa.binary())})
 
 
+@task
 def _trim(batches: Iterator[pa.RecordBatch], bins: int, part: int, bands: Bands) -> Iterator[pa.RecordBatch]:
     """The keys that each sketch keeps, packed for bins with the set's hash, size and folded sketch."""
     for batch in batches:
@@ -313,6 +316,7 @@ def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(new)))
 
 
+@task
 def _met(t: pa.Table, small: int, bands: Bands) -> pa.Table:
     """Of a bin: the pairs (a, b) near enough of keys with few sets (kind 0), or how many such keys they share (kind 2, in n;
     in parts how many they must) where folds are wide; and the rows of larger keys (kind 1)."""
@@ -392,6 +396,7 @@ def _of_table(t: pa.Table) -> Iterator[tuple[Held, np.ndarray]]:
         yield Held(*cols[:6], fold, cols[6]), at
 
 
+@task
 def _with_one(batches: Iterator[pa.RecordBatch], turn: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Pairs near enough of one set of each key's largest component with the sets of its other components."""
     for t in _whole_runs(batches, ["key", "part"]):
@@ -409,6 +414,7 @@ def _with_one(batches: Iterator[pa.RecordBatch], turn: int, num: int, den: int)
             yield pa.RecordBatch.from_arrays([pa.array(f(rows.h1[a[other]], rows.h1[b[other]])) for f in (np.minimum, np.maximum)], names=["a", "b"])
 
 
+@task
 def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Pairs near enough of different components of a key, or of two parts of a key."""
     for t in _whole_runs(batches, ["key", "i", "j"]):
@@ -433,6 +439,7 @@ def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
 
+@task
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for t in blocks(batches):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import blocks, bounded_batches, materialize
+from tallyspark.llm.common import blocks, bounded_batches, materialize, task
 
 
 def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -75,12 +75,14 @@ def common_lines(a: list[int], b: list[int], rare: set[int] | None) -> list[int]
     return gone
 
 
+@task
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         gone = [common_lines(a, b, None if r is None else set(r)) for a, b, r in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "rare")), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("later"), pa.array(gone, pa.list_(pa.int32()))], names=["later", "gone"])
 
 
+@task
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in blocks(batches):
         texts, n, dropped = [], [], []

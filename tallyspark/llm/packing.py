@@ -90,8 +90,8 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048
     punctuation after their last letter or digit: each distinct word is encoded once in the corpus. Special tokens that a text
     quotes are found as the file has it. A null or empty text is the one id `end`; a null doc_id and repeated rows are kept as they are; other
     columns are ignored. ids: little-endian, 32 bits."""
-    ids = encode_words(documents, _white_space, lambda: _word_encoder(tokenizer_path), _core)
-    return ids.select("doc_id", "ids").mapInArrow(partial(_pieces, capacity=capacity, end=end), "doc_id bigint, piece int, start bigint, length bigint, ids binary")
+    cut = (partial(_pieces, capacity=capacity, end=end), "doc_id bigint, piece int, start bigint, length bigint, ids binary")
+    return encode_words(documents, _white_space, lambda: _word_encoder(tokenizer_path), _core, cut)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WordHashes, bins_for, blocks, bounded_batches, from_planes, list_array, materialize, mix, planes, text_bytes
+from tallyspark.llm.common import WordHashes, bins_for, blocks, bounded_batches, from_planes, list_array, materialize, mix, planes, task, text_bytes
 
 #: Bits of a window's start; above them, where rows share a doc_id, stands a 32-bit hash of the text.
 START_BITS = 31
@@ -65,6 +65,7 @@ def _places(doc: bytes, n: bytes, start: bytes) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(docs, counts), total - np.repeat(before, counts)
 
 
+@task
 def _pack(batches: Iterator[pa.RecordBatch], length: int, bins: int, apart: bool) -> Iterator[pa.RecordBatch]:
     hashes, one, two = WordHashes(), Rolling(BASES[0]), Rolling(BASES[1])
     for t in blocks(batches):
@@ -118,6 +119,7 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if not k else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
 
 
+@task
 def _later(t: pa.Table, buckets: int) -> pa.Table:
     """The places in one bin that aren't the first of their window, packed by bucket of documents."""
     col = lambda c: t.column(c).to_pylist()
@@ -148,6 +150,7 @@ def _later(t: pa.Table, buckets: int) -> pa.Table:
     return pa.table({"bucket": pa.array(which, pa.int32()), **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in enumerate(("doc", "n", "start"))}})
 
 
+@task
 def _spans(t: pa.Table, length: int) -> pa.Table:
     """Maximal intervals of the windows' words, for each document of a bucket."""
     places = [_places(*x) for x in zip(*(t.column(c).to_pylist() for c in ("doc", "n", "start")), strict=True)]
@@ -165,6 +168,7 @@ def _spans(t: pa.Table, length: int) -> pa.Table:
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+@task
 def _cut(batches: Iterator[pa.RecordBatch], apart: bool, joined: bool) -> Iterator[pa.RecordBatch]:
     for t in blocks(batches):
         n_words, spans, n_spans, kept = [], [], [], []

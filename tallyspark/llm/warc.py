@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import blocks, bounded_batches, materialize, remove, shared_dir
+from tallyspark.llm.common import blocks, bounded_batches, materialize, remove, shared_dir, task
 
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 20
@@ -100,6 +100,7 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+@task
 def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str, limit: int) -> Iterator[pa.RecordBatch]:
     fs, base = _fs(folder)
     fs.create_dir(base, recursive=True)
@@ -128,6 +129,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str, limit: int
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in finished], pa.string()), pa.array([x[1] for x in finished], pa.int64())], names=["path", "n_records"])
 
 
+@task
 def _normalise(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     fs, base = _fs(folder)
     fs.create_dir(base, recursive=True)
@@ -147,6 +149,7 @@ def _normalise(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["path", "offset", "length", "record_id", "record_type", "target_uri"])
 
 
+@task
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
