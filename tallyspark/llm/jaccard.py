@@ -482,7 +482,7 @@ def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int =
     tables = materialize_kinds(docs.mapInArrow(partial(_sketches, n=n, bands=bands, bins=bins), MADE), "jaccard-sketches", 4)
     made, held_blocks, keys, wide = (t for t, _ in tables)
     made = made.select("doc_id", "n_shingles", "h1", "h2")
-    counts = materialize(keys.select("block", "bin", "keys").groupBy("bin").applyInArrow(_count, "block string, bin int, size int, live binary"), "jaccard-counts")
+    counts = materialize(keys.select("block", "bin", "keys").groupBy("bin").applyInArrow(lambda t: _count(t), "block string, bin int, size int, live binary"), "jaccard-counts")
     remove(spark, tables[2][1])
     back = counts.groupBy("block").agg(F.collect_list(F.struct("bin", "size", "live")).alias("back"))
     trimmed = held_blocks.select("block", "head", "who", "folds").join(back, "block").mapInArrow(partial(_trim, bins=bins, part=PART, bands=bands), "bin int, rows int, packed binary")
