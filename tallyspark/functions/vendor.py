@@ -50,7 +50,22 @@ PERSONAL = [
     (r"(?i)^CONTRA\b", "Personal - Contra"),
     (r"(?i)\bRETURNED ITEM\b|\bREVERSAL\b", "Personal - Reversal"),
 ]
-ALWAYS_TAGS = ["Personal - Not Deductible", *sorted({label for _, label in PERSONAL}), "Review with Client"]
+ALWAYS_TAGS = ["Personal - Not Deductible", "Personal - ATM", "Personal - Bank Charges", "Personal - Contra", "Personal - Reversal", "Review with Client"]
+ACH = r"(?i)^ACH:\s+(.+)$"
+ELECTRONIC = r"(?i)^ACH\s+Electronic\s+(?:Debit|Credit)\s+(.+)$"
+MOVED = r"(?i)^(?:Withdrawal|Deposit)\s+(?:from|to)\s+(.+)$"
+BOUGHT = r"(?i)\bPurchase\s*-\s*(.+)"
+ORIGIN = r"(?i)ORIG CO NAME:\s*(.*?)(?:\s+ORIG\s+ID:|\s+CO ENTRY|\s+ID:|$)"
+ZELLE = r"(?i)^ZELLE\b(?:\s+(?:PAYMENT|CREDIT|DEBIT))?\s+(?:(?:TO|FROM)\s+)?(.+)"
+MARKET = r"(?i)^AMAZON\s+\S*\*\s*[A-Z0-9]{4,}\s+(.*)"
+AMAZON = r"(?i)^AMAZON\s*\*?\s*(.+)"
+TO_CARD, TO_DATE = r"^.*?#\d{3,5}\s*", r"^.*?\b\d{2}/\d{2}\s+"
+JOINTS, LEADS, ENDS, REFERENCE = r"\s*[=_]\s*", "^[—–]\\s*", "[—– ]+$", r"[A-Z]{2}US[A-Z0-9]{3,}$"
+
+
+def bind(c: Column, f) -> Column:
+    """f(c) with c computed once, however often f uses it: a repeated expression may be run again in every branch."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def _before(c: Column, delimiter: str) -> Column:
@@ -60,47 +75,59 @@ def _before(c: Column, delimiter: str) -> Column:
 def _transfers(c: Column) -> Column:
     """The clean name of the first transfer pattern that the text has, or null."""
     got = lambda p: F.trim(F.regexp_extract(c, p, 1))
-    ach, electronic, moved = r"(?i)^ACH:\s+(.+)$", r"(?i)^ACH\s+Electronic\s+(?:Debit|Credit)\s+(.+)$", r"(?i)^(?:Withdrawal|Deposit)\s+(?:from|to)\s+(.+)$"
-    bought, origin = r"(?i)\bPurchase\s*-\s*(.+)", r"(?i)ORIG CO NAME:\s*(.*?)(?:\s+ORIG\s+ID:|\s+CO ENTRY|\s+ID:|$)"
-    zelle, market, amazon = r"(?i)^ZELLE\b(?:\s+(?:PAYMENT|CREDIT|DEBIT))?\s+(?:(?:TO|FROM)\s+)?(.+)", r"(?i)^AMAZON\s+\S*\*\s*[A-Z0-9]{4,}\s+(.*)", r"(?i)^AMAZON\s*\*?\s*(.+)"
-    rules = [
-        (ach, F.substring(F.substring_index(got(ach), " | ", 1), 1, 50)),
-        (electronic, got(electronic)),
-        (moved, F.regexp_replace(_before(got(moved), " | "), r"\s+X{3,}\d+$", "")),
-        (bought, F.trim(F.regexp_replace(_before(got(bought), " | "), r",\s*", " "))),
-        (origin, F.substring(F.trim(F.regexp_replace(got(origin), r"\s+ORIG$", "")), 1, 50)),
-        (zelle, F.concat(F.lit("Zelle: "), F.substring(F.regexp_replace(got(zelle), r"\s+[A-Za-z0-9]{8,}$", ""), 1, 50))),
-        (market, F.trim(F.concat(F.lit("Amazon "), got(market)))),
-        (amazon, F.trim(F.concat(F.lit("Amazon "), got(amazon)))),
+    return first_rule(c, [
+        (ACH, F.substring(F.substring_index(got(ACH), " | ", 1), 1, 50)),
+        (ELECTRONIC, got(ELECTRONIC)),
+        (MOVED, F.regexp_replace(_before(got(MOVED), " | "), r"\s+X{3,}\d+$", "")),
+        (BOUGHT, F.trim(F.regexp_replace(_before(got(BOUGHT), " | "), r",\s*", " "))),
+        (ORIGIN, F.substring(F.trim(F.regexp_replace(got(ORIGIN), r"\s+ORIG$", "")), 1, 50)),
+        (ZELLE, F.concat(F.lit("Zelle: "), F.substring(F.regexp_replace(got(ZELLE), r"\s+[A-Za-z0-9]{8,}$", ""), 1, 50))),
+        (MARKET, F.trim(F.concat(F.lit("Amazon "), got(MARKET)))),
+        (AMAZON, F.trim(F.concat(F.lit("Amazon "), got(AMAZON)))),
         *LABELS,
-    ]
-    return first_rule(c, rules)
+    ])
 
 
 def card_merchant(c: Column) -> Column:
     """Merchant and place of a card purchase, in the layout '- MERCHANT CITY, ST' or 'ref #card | MERCHANT | kind'."""
-    s = F.trim(F.regexp_replace(c, PURCHASE, ""))
-    dash = F.trim(F.regexp_replace(_before(F.trim(F.substring(s, 3, 4000)), " | "), r",\s*", " "))
-    by_card = F.regexp_replace(s, r"^.*?#\d{3,5}\s*", "")
-    by_date = F.regexp_replace(s, r"^.*?\b\d{2}/\d{2}\s+", "")
-    other = _before(F.trim(F.regexp_replace(F.trim(F.when(by_card != s, by_card).otherwise(by_date)), r"^\|\s*", "")), " | ")
-    t = F.when(s.rlike(r"^-\s"), dash).otherwise(other)
-    t = F.trim(F.regexp_replace(F.trim(F.regexp_replace(t, r"\s*[=_]\s*", " ")), "^[—–]\\s*", ""))
+
+    def after(s: Column) -> Column:
+        dash = F.trim(F.regexp_replace(_before(F.trim(F.substring(s, 3, 4000)), " | "), r",\s*", " "))
+        rest = F.when(s.rlike(TO_CARD), F.regexp_replace(s, TO_CARD, "")).otherwise(F.regexp_replace(s, TO_DATE, ""))
+        return F.when(s.rlike(r"^-\s"), dash).otherwise(_before(F.trim(F.regexp_replace(F.trim(rest), r"^\|\s*", "")), " | "))
+
+    t = bind(F.trim(F.regexp_replace(c, PURCHASE, "")), after)
+    t = F.trim(F.regexp_replace(F.trim(F.regexp_replace(t, JOINTS, " ")), LEADS, ""))
     t = reduce(lambda x, p: F.regexp_replace(x, p, ""), CARD_NOISE, t)
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(t, r"[A-Z]{2}US[A-Z0-9]{3,}$", ""), "[—– ]+$", "")), 1, 80)
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(t, REFERENCE, ""), ENDS, "")), 1, 80)
+
+
+def _card_vendor(d: Column) -> Column:
+    return bind(card_merchant(d), lambda card: F.coalesce(_transfers(card), strip_chain(F.trim(F.regexp_replace(card, MERCHANT_PREFIX, "")), CLEANUP)))
+
+
+def _first_part(c: Column) -> Column:
+    """The text before the first kind of delimiter that it has."""
+    out = c
+    for delimiter in (" / ", " | ", " - ", "  "):
+        out = F.when(c.contains(delimiter), _before(c, delimiter)).otherwise(out)
+    return out
+
+
+def _plain_vendor(d: Column) -> Column:
+    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(d, MERCHANT_PREFIX, "")), BANK_PREFIX, ""))
+    other = bind(bare, lambda x: F.coalesce(F.when(x != d, _transfers(x)), bind(strip_chain(x, CLEANUP), _first_part)))
+    return F.coalesce(_transfers(d), other)
 
 
 def vendor_name(description: Column) -> Column:
     """The vendor with its place, without dates, references, phone numbers and payment words; at most 80 characters."""
-    d = F.trim(description)
-    card = card_merchant(d)
-    card = F.coalesce(_transfers(card), strip_chain(F.trim(F.regexp_replace(card, MERCHANT_PREFIX, "")), CLEANUP))
-    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(d, MERCHANT_PREFIX, "")), BANK_PREFIX, ""))
-    cleaned = strip_chain(bare, CLEANUP)
-    cut = F.when(cleaned.contains("  "), _before(cleaned, "  ")).when(cleaned.contains(" - "), _before(cleaned, " - ")).when(cleaned.contains(" | "), _before(cleaned, " | ")).when(cleaned.contains(" / "), _before(cleaned, " / ")).otherwise(cleaned)
-    plain = F.coalesce(_transfers(d), F.when(bare != d, _transfers(bare)), cut)
-    name = F.substring(strip_chain(F.when(d.rlike(PURCHASE), card).otherwise(plain), LAST_STRIPS), 1, 80)
-    return F.when(name != "", name).otherwise(F.substring(d, 1, 80))
+
+    def of(d: Column) -> Column:
+        name = F.when(d.rlike(PURCHASE), _card_vendor(d)).otherwise(_plain_vendor(d))
+        return bind(F.substring(strip_chain(name, LAST_STRIPS), 1, 80), lambda x: F.when(x != "", x).otherwise(F.substring(d, 1, 80)))
+
+    return bind(F.trim(description), of)
 
 
 def personal_tag(vendor: Column) -> Column:
