@@ -63,8 +63,10 @@ def table_diff(left: DataFrame, right: DataFrame, keys: list[str], tolerance: fl
     lines = [F.when(F.coalesce(whole, F.lit(False)) & differ(c), F.struct(F.lit(c).alias("column"), F.col(f"l_{c}").alias("left_value"), F.col(f"r_{c}").alias("right_value"))) for c in common]
     absent = F.when(~F.coalesce(whole, F.lit(False)), F.struct(F.lit(None).cast("string").alias("column"), F.when(F.col("l_here"), "present").alias("left_value"), F.when(F.col("r_here"), "present").alias("right_value")))
     cells = both.select(*keys, "occurrence", F.explode(F.filter(F.array(*lines, absent), lambda x: x.isNotNull())).alias("d")).select(*keys, "occurrence", "d.*")
+    # The plain filter on the row number lets Spark limit the rows of a column before they are shuffled.
     w = Window.partitionBy("column").orderBy(*keys, "occurrence")
-    return cells.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= most) | F.col("column").isNull()).drop("_n")
+    reported = cells.where(F.col("column").isNotNull()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+    return reported.unionByName(cells.where(F.col("column").isNull()))
 
 
 def content_check(left: DataFrame, right: DataFrame, by: str, order: str, text: str) -> DataFrame:

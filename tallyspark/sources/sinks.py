@@ -48,9 +48,10 @@ def write_outputs(outputs: dict[str, DataFrame], path: str, fmt: str = "parquet"
 
 
 def write_by(df: DataFrame, path: str, column: str, fmt: str = "parquet", period: bool = False) -> None:
-    """One folder for each value; with `period` rows carry the period's first day as their sort key."""
+    """One folder for each value; with `period` rows carry the period's first day as their sort key. Rows of a value go
+    to few files; adaptive execution splits values with very many rows."""
     out = df.withColumn("period_start", period_order(F.col(column))) if period else df
-    out.repartition(F.col(column)).write.mode("overwrite").partitionBy(column).format(fmt).save(path)
+    out.hint("rebalance", column).write.mode("overwrite").partitionBy(column).format(fmt).save(path)
 
 
 def category_outputs(rows: DataFrame, near: DataFrame, amount: str) -> dict[str, DataFrame]:

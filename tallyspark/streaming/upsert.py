@@ -38,6 +38,10 @@ def upsert_counts(current: DataFrame, batch: DataFrame, keys: list[str], value:
     return j.agg(F.count_if(F.col(value).isNotNull()).alias("saved"), F.count_if(F.col(value).isNull() & F.col("_old").isNotNull()).alias("removed"))
 
 
+#: Versions that stay behind the newest one.
+KEPT_VERSIONS = 2
+
+
 class Versions:
     """A table kept as one folder per version."""
 
@@ -60,7 +64,14 @@ class Versions:
         return self.spark.createDataFrame([], self.schema) if v is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/v={v}")
 
     def write(self, df: DataFrame, version: int) -> None:
+        """Writes a version and deletes those that neither a reader nor a replay of this batch can need any more."""
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        numbers = sorted(int(n[2:]) for n in (s.getPath().getName() for s in fs.listStatus(root)) if n.startswith("v="))
+        for n in [n for n in numbers if n < version][:-KEPT_VERSIONS]:
+            fs.delete(hadoop.Path(f"{self.path}/v={n}"), True)
 
 
 def stream_into(stream: DataFrame, state: Versions, step: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str) -> DataStreamWriter:
