@@ -10,6 +10,7 @@ from tallyspark.operators.order import carry_forward, merge_continuations, regio
 from tallyspark.operators.tagging import classify_debit_credit
 
 PAGE, LINE = ["file", "page_idx"], ["line_idx"]
+# Here and in the functions below, patterns that must match the lines as statements print them.
 AMOUNT = r"-?\$?\s?[\d,]+\.\d{2}"
 
 

@@ -10,7 +10,7 @@ from tallyspark.plans.common import dbl, money, query, table
 
 #: Fixed values of the debit and credit test, credits first.
 CREDITS = ["Incoming Wire Transfer", "Incoming Wire", "Insufficient Funds", "ACH Electronic Credit", "Deposit", "Transfer From", "Direct Dep", "Wire Transfer Credit", "Zelle Credit", "Other Credit", "Refund", "Interest Payment", "Purchase Return"]
-DEBITS = ["Wire Transfer Fee", "Incoming Wire Fee", "Debit Card Purchase", "ACH Electronic Debit", "Check #", "Check#", "Recurring Card Purchase", "Bill Payment", "Online Payment", "Zelle Payment", "Zelle Debit", "Wire Transfer Debit", "ATM Withdrawal", "Cash Withdrawal", "Debit Pay", "Online Pmt", "Transfer To", "Outgoing Domestic", "Domestic Funds Transfer", "Service Fee", "Mobile Purchase", "Purchase"]
+DEBITS = ["Wire Transfer Fee", "Incoming Wire Fee", "Debit Card Purchase", "ACH Electronic Debit", "Check #", "Check#", "Recurring Card Purchase", "Bill Payment", "Online Payment", "Zelle Payment", "Zelle Debit", "Wire Transfer Debit", "ATM Withdrawal", "Cash Withdrawal", "Debit Pay", "Citibank Online Pmt", "Transfer To", "Transter to", "Outgoing Domestic", "Domestic Funds Transfer", "Service Fee", "Mobile Purchase", "Purchase"]
 
 
 def _rows(spark, sf):
@@ -146,10 +146,11 @@ def sparse_override(spark, sf):
     return t.sparse_override(table(spark, sf, "nation").select("n_nationkey", "n_regionkey"), over, "n_regionkey", "asset").select("n_nationkey", "asset")
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'credit' WHEN 1 THEN 'debit' WHEN 2 THEN 'credit' ELSE 'unknown' END AS kind FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 9 IN (0, 2, 8) THEN 'credit' WHEN o_orderkey % 9 IN (1, 4, 5) THEN 'debit' ELSE 'unknown' END AS kind FROM orders""")
 def debit_credit(spark, sf):
-    texts = F.array(F.lit("Mobile purchase return X"), F.lit("ZELLE PAYMENT to X"), F.lit("Returned insufficient funds - Check #12"), F.lit("Something else"))
-    o = table(spark, sf, "orders").select("o_orderkey", F.get(texts, (F.col("o_orderkey") % 4).cast("int")).alias("d"))
+    """Credits are tried first; misread words, parts of words and texts of neither kind."""
+    texts = F.array(*map(F.lit, ["Mobile purchase return X", "ZELLE PAYMENT to X", "Returned insufficient funds - Check #12", "Something else", "TRANSTER TO savings", "x citibank online pmt 12", "Online Pmt", "", "Incoming wire fee"]))
+    o = table(spark, sf, "orders").select("o_orderkey", F.get(texts, (F.col("o_orderkey") % 9).cast("int")).alias("d"))
     return o.select("o_orderkey", t.classify_debit_credit(F.col("d"), CREDITS, DEBITS).alias("kind"))
 
 
