@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import first_rule, strip_chain
+from tallyspark.functions.text import bind, first_rule, strip_chain
 
 # The patterns by which results must agree, in their order.
 PURCHASE = r"(?i)^(?:Recurring\s+)?(?:Debit\s+)?(?:Card|Mobile|Debit|Online|PIN)\s+Purchase(?:\s+(?:With\s+Pin|Return))?"
@@ -63,11 +63,6 @@ TO_CARD, TO_DATE = r"^.*?#\d{3,5}\s*", r"^.*?\b\d{2}/\d{2}\s+"
 JOINTS, LEADS, ENDS, REFERENCE = r"\s*[=_]\s*", "^[—–]\\s*", "[—– ]+$", r"[A-Z]{2}US[A-Z0-9]{3,}$"
 
 
-def bind(c: Column, f) -> Column:
-    """f(c) with c computed once, however often f uses it: a repeated expression may be run again in every branch."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
 def _before(c: Column, delimiter: str) -> Column:
     return F.trim(F.substring_index(c, delimiter, 1))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import contains_any, parse_money
+from tallyspark.functions.text import bind, contains_any, parse_money
 from tallyspark.operators.order import carry_forward, merge_continuations, region
 from tallyspark.operators.tagging import classify_debit_credit
 
@@ -153,11 +153,14 @@ def clean_description(raw: Column) -> Column:
 def total_line(text: Column) -> tuple[Column, Column]:
     """(section, amount) of a printed section total, or nulls."""
     pattern = r"(?i)^\s*total\s+(.+?)\s+\$?([\d,]+\.\d{2})\s*\S{0,6}$"
-    label = F.upper(F.regexp_extract(text, pattern, 1))
-    name = F.lit(None).cast("string")
-    for word, section in reversed(TOTAL_WORDS):
-        name = F.when(label.contains(word), section).otherwise(name)
-    name = F.when(text.rlike(pattern) & ~text.rlike(r"^\d{2}/\d{2}[.\s_]"), name)
+
+    def named(label: Column) -> Column:
+        name = F.lit(None).cast("string")
+        for word, section in reversed(TOTAL_WORDS):
+            name = F.when(label.contains(word), section).otherwise(name)
+        return name
+
+    name = F.when(text.rlike(pattern) & ~text.rlike(r"^\d{2}/\d{2}[.\s_]"), bind(F.upper(F.regexp_extract(text, pattern, 1)), named))
     return name, F.when(name.isNotNull(), parse_money(F.regexp_extract(text, pattern, 2)))
 
 
@@ -178,12 +181,14 @@ def section_rows(lines: DataFrame) -> DataFrame:
     text = F.trim("text")
     rows = lines.withColumn("text", text).where("text <> ''").where(total_line(F.col("text"))[0].isNull())
     dated = F.col("text").rlike(r"^\d{2}/\d{2}[.\s_]")
-    upper, header = F.upper("text"), F.lit(None).cast("struct<section:string,sign:int>")
-    for word, sign, name in reversed(SECTIONS):
-        header = F.when(upper.contains(word), F.struct(F.lit(name).alias("section"), F.lit(sign).alias("sign"))).otherwise(header)
-    for word in reversed(PARTS_WITHOUT_ROWS):
-        header = F.when(upper.contains(word), F.struct(F.lit(word).alias("section"), F.lit(0).alias("sign"))).otherwise(header)
-    rows = rows.withColumn("_header", F.when(~dated, header))
+
+    def header(upper: Column) -> Column:
+        out = F.lit(None).cast("struct<section:string,sign:int>")
+        for word, sign, name in reversed([(x, 0, x) for x in PARTS_WITHOUT_ROWS] + SECTIONS):
+            out = F.when(upper.contains(word), F.struct(F.lit(name).alias("section"), F.lit(sign).alias("sign"))).otherwise(out)
+        return out
+
+    rows = rows.withColumn("_header", F.when(~dated, bind(F.upper("text"), header)))
     rows = carry_forward(rows, PAGE, LINE, F.col("_header"), "_in", drop_before=True).where("_in.sign <> 0")
     checks = F.col("_in.section") == "Checks Paid"
     numbered = rf"^(\d{{3,6}})\s+(?:\*+\s+)?(\S+(?:\s+\S+)?)\s+\$?([\d,]+\.\d{{2}})"
@@ -191,20 +196,26 @@ def section_rows(lines: DataFrame) -> DataFrame:
     start = F.when(checks, F.col("text").rlike(numbered)).otherwise(F.col("text").rlike(DATED))
     ends = F.col("_header").isNotNull() | F.col("text").rlike(ENDS_ROW)
     rows = rows.withColumn("_ends", ends).withColumn("_start", ~ends & start).where(F.col("_ends") | F.col("_start") | ~checks)
-    w = Window.partitionBy(*PAGE).orderBy(*LINE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_g", F.sum((F.col("_ends") | F.col("_start")).cast("int")).over(w)).where("not _ends")
-    twice = part(DATED, 2).rlike(DATED)
-    rest = F.when(twice, F.regexp_extract(part(DATED, 2), DATED, 2)).otherwise(part(DATED, 2))
-    rows = rows.withColumn("_rest", F.when(F.col("_start") & ~checks, rest))
+    # What is read from a line is computed before the window, so that later expressions use it as a column.
+    first, second = part(DATED, 1), part(DATED, 2)
+    rows = rows.withColumns({"_checks": checks, "_day": F.when(F.col("_start") & ~checks, first), "_rest": F.when(F.col("_start") & ~checks, second)})
+    rows = rows.withColumn("_twice", F.col("_rest").rlike(DATED))
+    rows = rows.withColumns({"_day": F.when(F.col("_twice"), F.regexp_extract("_rest", DATED, 1)).otherwise(F.col("_day")), "_rest": F.when(F.col("_twice"), F.regexp_extract("_rest", DATED, 2)).otherwise(F.col("_rest"))})
     tail = lambda c: F.when(c.rlike(AT_TAIL), parse_money(F.regexp_extract(c, AT_TAIL, 1)))
     payload = F.regexp_replace(F.regexp_replace(part(PAYLOAD, 1), r"(?i)sec:\w*", ""), r"^[\s_-]+|[\s_-]+$", "")
-    has_payload = F.col("text").rlike(PAYLOAD)
+    goes_on = ~F.col("_start")
+    rows = rows.withColumns({
+        "_tail": tail(F.coalesce("_rest", "text")),
+        "_payload": F.when(goes_on & F.col("text").rlike(PAYLOAD), payload),
+        "_trace": goes_on & F.col("text").rlike(rf"(?i)^(?:{TRACE}|Impound\s)"),
+    })
+    w = Window.partitionBy(*PAGE).orderBy(*LINE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_g", F.sum((F.col("_ends") | F.col("_start")).cast("int")).over(w)).where("not _ends")
     plain = F.when(F.col("text").rlike(COMPANY), clean_description(F.col("text"))).otherwise(F.col("text"))
-    trace = F.col("text").rlike(rf"(?i)^(?:{TRACE}|Impound\s)")
-    said = F.when(checks, F.concat(F.lit("Check #"), part(numbered, 1))).otherwise(F.when(tail(F.col("_rest")).isNotNull(), clean_description(F.col("_rest"))).otherwise(F.trim("_rest")))
-    more = F.when(has_payload, F.nullif(payload, F.lit(""))).when(~trace & tail(F.col("text")).isNull() & (F.length("text") < 120), plain)
-    date = F.when(checks, F.when(part(numbered, 2).rlike(r"^\d{2}/\d{2}$"), part(numbered, 2)).otherwise("??/??")).when(twice, F.regexp_extract(part(DATED, 2), DATED, 1)).otherwise(part(DATED, 1))
-    amount = F.when(F.col("_start"), F.when(checks, parse_money(part(numbered, 3))).otherwise(tail(F.col("_rest")))).when(~trace & ~has_payload, tail(F.col("text")))
+    said = F.when(F.col("_checks"), F.concat(F.lit("Check #"), part(numbered, 1))).when(F.col("_tail").isNotNull(), clean_description(F.col("_rest"))).otherwise(F.trim("_rest"))
+    more = F.when(F.col("_payload").isNotNull(), F.nullif(F.col("_payload"), F.lit(""))).when(~F.col("_trace") & F.col("_tail").isNull() & (F.length("text") < 120), plain)
+    date = F.when(F.col("_checks"), F.when(part(numbered, 2).rlike(r"^\d{2}/\d{2}$"), part(numbered, 2)).otherwise("??/??")).otherwise(F.col("_day"))
+    amount = F.when(F.col("_start"), F.when(F.col("_checks"), parse_money(part(numbered, 3))).otherwise(F.col("_tail"))).when(~F.col("_trace") & F.col("_payload").isNull(), F.col("_tail"))
     rows = rows.select(*PAGE, *LINE, "_g", "_start", "_in", F.when(F.col("_start"), said).otherwise(more).alias("_text"), F.when(F.col("_start"), date).alias("_date"), amount.alias("_amount"))
     parts = F.array_sort(F.collect_list(F.struct(*LINE, "_start", "_text", "_date", "_amount", "_in")))
     grouped = rows.groupBy(*PAGE, "_g").agg(parts.alias("_p")).withColumn("_first", F.get("_p", F.lit(0))).where("_first._start")
