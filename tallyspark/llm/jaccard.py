@@ -46,8 +46,9 @@ SMALL = 16
 PART = 4096
 #: Rounds in which the sets of larger keys meet one set of each key before pairs are tried.
 ROUNDS = 2
-#: Bits of a folded sketch for each shingle of the largest difference, and the 64-bit words up to which it travels with each key.
-FOLD_BITS, WIDE = 6, 8
+#: Bits of a folded sketch for each shingle of the largest difference, the 64-bit words of it that travel with each key, and
+#: those over which nothing travels.
+FOLD_BITS, CARRIED, WIDE = 4, 12, 22
 LIGHT = np.uint64(1 << 47)
 MADE = "kind int, doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, block string, head binary, who binary, folds binary, bin int, keys binary"
 HELD = "key bigint, part int, parts int, n int, band int, h1 bigint, fold binary"
@@ -96,9 +97,10 @@ class Bands:
         return self.shapes[band]
 
     def carried(self, band: int) -> int:
-        """Words of the folded sketch that travel with each key: all, or none of a wide one."""
+        """Words of a folded sketch that travel with each key: none of a wide one. Fewer words bound the difference less
+        well but still tell unrelated sets apart."""
         fold = self.shape(band)[3]
-        return 0 if fold > self.wide else fold
+        return 0 if fold > self.wide else min(fold, CARRIED)
 
     def of(self, size: int) -> range:
         """Bands in which a set of this size takes part: those of its own and of larger partners."""
@@ -160,7 +162,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int, bands: Bands, bins: int
             of_set.append((h1, len(u)))
             for band in bands.of(len(u)):
                 k, g, light, fold, _ = bands.shape(band)
-                words, heavy, folded = sketch(u, k, light, fold)
+                words, heavy, folded = sketch(u, k, light, bands.carried(band) or fold)
                 spare = g - (k - np.count_nonzero(heavy))
                 at = np.flatnonzero(heavy) if spare >= 0 else np.arange(k)
                 key = mix(words[at] ^ mix((at + band * 1_000_003).astype(np.uint64))) >> np.uint64(17)
@@ -281,6 +283,19 @@ class Held:
         return out
 
 
+    def with_partner(self, at: int, n: int, num: int, den: int) -> np.ndarray:
+        """Which of the n rows from `at` on, of one key, are near another one of them."""
+        out = np.zeros(n, bool)
+        every = np.arange(at, at + n)
+        for k in range(0, n, 64):
+            a, b = (x.ravel() for x in np.meshgrid(every[k : k + 64], every[k:], indexing="ij"))
+            a, b = a[b > a], b[b > a]
+            near = self.near(a, b, num, den)
+            out[a[near] - at] = True
+            out[b[near] - at] = True
+        return out
+
+
 def _unpacked(rows: list[int], packed: list[bytes], bands: Bands) -> Iterator[Held]:
     """The packed rows of a bin by bands, sorted by key, part and set, each once."""
     columns: list[list[np.ndarray]] = [[] for _ in range(6)]
@@ -339,7 +354,12 @@ def _met(t: pa.Table, small: int, bands: Bands) -> pa.Table:
                 band = int(rows.band[0])
                 need = (bands.shape(band)[4] + 1) // 2
                 counted.append(np.stack([*both, np.full(len(n), band), n, np.full(len(n), need)]))
-        more = np.flatnonzero(~few)
+        # Of a larger key only sets that are near another one of it can be in a pair by it.
+        more = ~few
+        for at, n in zip(start.tolist(), run.tolist()) if rows.fold.shape[1] else ():
+            if n > small and rows.parts[at] == 1:
+                more[at : at + n] = rows.with_partner(at, n, bands.num, bands.den)
+        more = np.flatnonzero(more)
         held.append(pa.table([*(pa.array(c[more], f.type) for c, f in zip(rows.columns, HELD_ARROW)), pa.array([x.tobytes() for x in rows.fold[more]], pa.binary())], schema=HELD_ARROW))
     both, counted = np.unique(np.concatenate(pairs, axis=1), axis=1), np.concatenate(counted, axis=1)
     out = [{"kind": np.full(both.shape[1], 0), "a": both[0], "b": both[1]}]
@@ -503,14 +523,14 @@ def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int =
     of_doc = made.where("n_shingles > 0").groupBy("doc_id").agg(F.min("h1").alias("v"), F.max("h1").alias("top")).where("v < top").select("doc_id", "v")
     edges = edges.unionByName(materialize(made.where("n_shingles > 0").join(of_doc, "doc_id").select(F.col("h1").alias("u"), "v"), "jaccard-repeats"))
     rows = large.count()
-    large = large.join(folds.select("h1", "band", "folds"), ["h1", "band"], "left").select("key", "part", "parts", "n", "band", "h1", F.coalesce("folds", "fold").alias("fold"))
+    large = large.select("key", "part", "parts", "n", "band", "h1", "fold")
     for turn in range(ROUNDS + 1 if rows else 0):
         # Keys whose sets lie in more than one component may hide a link between components.
-        tagged = large.join(components(edges).withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
-        tagged = materialize(tagged, "jaccard-tagged")
+        labels = materialize(components(edges), "jaccard-labels")
+        few = F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
+        tagged = large.join(few.withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
         split = tagged.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-        rest = materialize(tagged.join(split, "key", "left_semi"), "jaccard-open")
-        discard(tagged)
+        rest = tagged.join(split, "key", "left_semi").join(folds.select("h1", "band", "folds"), ["h1", "band"], "left").withColumn("fold", F.coalesce("folds", "fold")).drop("folds")
         if turn < ROUNDS:
             dealt = rest.repartition("key", "part").sortWithinPartitions("key", "part")
             near = dealt.mapInArrow(partial(_with_one, turn=turn, num=num, den=den), "a bigint, b bigint")
@@ -519,7 +539,7 @@ def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int =
             dealt = ij.drop("other").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
             near = dealt.mapInArrow(partial(_across, num=num, den=den), "a bigint, b bigint")
         more = _verified(near, docs, classes, n, num, den)
-        discard(rest)
+        discard(labels)
         edges = edges.unionByName(more)
     for path in (pairs_path, large_path, shared_path, tables[3][1]):
         remove(spark, path)

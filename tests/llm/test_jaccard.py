@@ -46,7 +46,7 @@ def corpus(seed, docs=160):
     return rows
 
 
-@pytest.mark.parametrize("seed,n,num,small,part,wide", [(1, 4, 85, 16, 4096, 8), (2, 5, 80, 2, 8, 8), (3, 2, 60, 1, 2, 0), (4, 3, 70, 3, 4096, 1)])
+@pytest.mark.parametrize("seed,n,num,small,part,wide", [(1, 4, 85, 16, 4096, 8), (2, 5, 80, 2, 8, 8), (3, 2, 60, 1, 2, 0), (4, 3, 70, 3, 4096, 1), (5, 2, 75, 2, 4096, 22)])
 def test_equals_brute_force(spark, monkeypatch, seed, n, num, small, part, wide):
     """Small bounds send pairs through the rounds of larger keys and through keys dealt in parts."""
     monkeypatch.setattr(jaccard, "SMALL", small)
