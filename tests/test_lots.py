@@ -28,3 +28,10 @@ A, S = "01/02/2024", "03/04/2025"
 ])
 def test_layout(spark, layout, sheets, want):
     assert run(spark, layout, *sheets) == want
+
+
+def test_columns_are_guessed_from_headers():
+    from tallyspark.operators.grid import guess_columns
+
+    assert guess_columns(["Txn Date", "Long DESC", "Amount Subtracted", "Added"]) == {"description": "Long DESC", "date": "Txn Date", "debit": "Amount Subtracted", "credit": "Added"}
+    assert guess_columns(["a", "b"]) == {"description": "a", "date": "a", "debit": "a", "credit": None}
