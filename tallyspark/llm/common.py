@@ -181,7 +181,7 @@ class WordHashes(dict):
     """64-bit hash of each word (bytes), kept so that a word is hashed once; bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = x = xxhash.xxh3_64_intdigest(word)
         return x

@@ -370,6 +370,7 @@ def _met(t: pa.Table, small: int, bands: Bands) -> pa.Table:
     return pa.concat_tables(tables)
 
 
+@task
 def _near_wide(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b, na, nb, fa, fb) within the Hamming bound of their folded sketches, as (a, b)."""
     for t in batches:

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import WordHashes, bins_for, blocks, bounded_batches, from_planes, list_array, materialize, mix, planes, task, text_bytes
 
+#: Bytes of text in a block; its windows take many times as much.
+BLOCK = 2 << 20
 #: Bits of a window's start; above them, where rows share a doc_id, stands a 32-bit hash of the text.
 START_BITS = 31
 #: Intervals of so many bytes at most are broadcast to the documents; more are joined by a shuffle.
@@ -68,7 +70,7 @@ def _places(doc: bytes, n: bytes, start: bytes) -> tuple[np.ndarray, np.ndarray]
 @task
 def _pack(batches: Iterator[pa.RecordBatch], length: int, bins: int, apart: bool) -> Iterator[pa.RecordBatch]:
     hashes, one, two = WordHashes(), Rolling(BASES[0]), Rolling(BASES[1])
-    for t in blocks(batches):
+    for t in blocks(batches, limit=BLOCK):
         t = t.sort_by("doc_id")
         texts, ids = text_bytes(t.column("text")), np.asarray(t.column("doc_id"), dtype=np.int64)
         words = [x.split() for x in texts]
