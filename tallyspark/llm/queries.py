@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.bpe import bpe_decode, bpe_encode
+from tallyspark.llm.clusters import centroid_clusters, complete, quantised
 from tallyspark.llm.common import read
+from tallyspark.llm.counts import token_counts
 from tallyspark.llm.hosts import judge
 from tallyspark.llm.html import main_texts
 from tallyspark.llm.jaccard import jaccard_classes
@@ -18,6 +20,7 @@ from tallyspark.llm.lines import drop_aligned_lines
 from tallyspark.llm.packing import best_fit_pack, token_pieces
 from tallyspark.llm.substrings import remove_repeats
 from tallyspark.llm.topk import top_k
+from tallyspark.llm.variants import spelling_variants, word_counts
 from tallyspark.llm.warc import archive_round_trip
 
 
@@ -76,6 +79,21 @@ def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(whole, F.col("vec_id") % 100 == 0, k=10)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(read(spark, sf_dir, "documents"), least=7, every=31, often=2), times=10)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = read(spark, sf_dir, "embeddings").where(complete(F.col("embedding"), 64))
+    vectors = kept.select("vec_id", quantised(F.col("embedding"), 256).alias("vec"))
+    return centroid_clusters(vectors, k=40, rounds=5, seed_order=F.sha2(F.concat(F.lit("2:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_licence_scans": op2_licence_scans,
@@ -88,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_line_dedup": op9_line_dedup,
     "op10_pivot_top_k": op10_pivot_top_k,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_token_counts": op13_token_counts,
 }
 
 #: Words are runs of characters other than \x20 and \x09-\x0D.
@@ -96,7 +117,26 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 TEMPLATES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(NOTICES))
 TOKENS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
 
+
+
+def _cluster_sql(k: int = 40, rounds: int = 5) -> str:
+    """Centroids of each round as rows (c, v), the assignment to them, and the next ones."""
+    assigned = """SELECT r, vec_id, x, s.c AS c, s.d AS d FROM (SELECT r, vec_id, x, (SELECT min({{'d': d, 'c': c}}) FROM (SELECT c, CAST(list_sum(list_transform(list_zip(x, v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM {0})) AS s FROM vecs)"""
+    steps = [f"""vecs AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS c, x AS v FROM vecs QUALIFY row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) <= {k})"]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED ({assigned.format(f'c{i}')})")
+        if i < rounds:
+            means = f"SELECT c, i, CAST(sum(e) // count(*) - CASE WHEN sum(e) < 0 AND sum(e) % count(*) <> 0 THEN 1 ELSE 0 END AS BIGINT) AS m FROM (SELECT c, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{i}) GROUP BY c, i"
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN (SELECT c, list(m ORDER BY i) AS v FROM ({means}) GROUP BY c) m USING (c))")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_centroid_clusters": _cluster_sql(),
     "op2_licence_scans": rf"""
 WITH t AS (SELECT template, licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM (SELECT template, licence, {TOKENS.format("text")} AS w FROM (VALUES {TEMPLATES}) v(template, licence, text))),
 d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
