@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text of at most so many bytes is held by a Python worker at once (one longer document alone).
@@ -62,10 +62,13 @@ def _written(df: DataFrame, name: str, by: str | None = None) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends here, and lost
-    executors cost nothing that was finished before. Its shuffle files go once it is written."""
-    path = _written(df, name)
+    executors cost nothing that was finished before. Its shuffle files go once it is written. `rows` of
+    what is returned has the number of rows as n and, if there is a column `own`, in how many that holds."""
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("n"), *([F.count_if("own").alias("own")] if "own" in df.columns else [])]
+    path = _written(df.observe(seen, *counts), name)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
-    made.written_to = path
+    made.written_to, made.rows = path, seen.get
     return made
 
 
@@ -204,32 +207,66 @@ def list_array(values: np.ndarray, lengths: list[int] | np.ndarray, type_: pa.Da
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=type_))
 
 
-def checksum(df: DataFrame) -> tuple:
-    row = df.agg(F.count("*").alias("n"), F.expr(f"bit_xor(xxhash64({', '.join(df.columns)}))").alias("x")).first()
-    return row["n"], row["x"]
+#: Labels of so many nodes at most (16 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_NODES = 2_000_000
+
+
+def _near_sides(edges: DataFrame, name: str) -> DataFrame:
+    """Of edges (u > v), with m the least v of a u: (u, m) with `own` true, once, and (v, m) for every other v."""
+    w = Window.partitionBy("u")
+    least = edges.select("u", "v", F.min("v").over(w).alias("m"), F.row_number().over(w.orderBy("v")).alias("row"))
+    sides = least.where("row = 1 or v > m").select(F.when(F.col("row") == 1, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (F.col("row") == 1).alias("own"))
+    return materialize(sides, name)
+
+
+def small(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """df with a hint to broadcast it, if it has at most so many rows."""
+    return F.broadcast(df) if rows <= most else df
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Connected components of undirected edges (u, v), as (node, component: the smallest node).
+    """Connected components of undirected edges (u, v), as (node, component: the smallest node), once for each node.
 
-    Large-star and small-star rounds: each node's neighbours are linked to the smallest of them. Every
-    round is a minimum per node (combined before the shuffle) and an equi-join, so a node with very many
-    links isn't gathered anywhere; rounds end when the edges stay as they are. Nodes are longs; loops and
-    repeated edges are harmless; no edges give no rows.
+    In each round the smaller neighbours of a node are linked to the least of them, and every link to a node that has a
+    smaller neighbour itself goes on to that one's least: one shuffle, by the larger node, and a join of the links with the
+    nodes' least neighbours. A node of which many are linked is on the smaller side and isn't gathered anywhere. Rounds end when
+    every node has one link and nothing is left to follow. Nodes are longs; loops and repeated edges are
+    harmless; no edges give no rows. The table is written in the shared folder.
     """
-    e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = checksum(e)
+    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    e = _near_sides(e, "edges")
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        last, state = state, checksum(e)
-        if state == last:
+        own = e.where("own").select(F.col("u").alias("at"), F.col("v").alias("to"))
+        own = small(own, e.rows["own"], BROADCAST_NODES)
+        if e.rows["own"] == e.rows["n"] and e.join(own, e["v"] == own["at"], "left_semi").isEmpty():
             break
+        last = e
+        e = _near_sides(e.join(own, e["v"] == own["at"], "left").select("u", F.coalesce("to", "v").alias("v")), "edges")
+        discard(last)
     else:
         raise RuntimeError("components: edges still change after the last round")
     tops = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
+    labels = materialize(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops), "labels")
+    discard(e)
+    return labels
+
+
+def joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, component) of what `labels` joins and the links (u, v) together; `labels` is deleted."""
+    if labels is None:
+        return components(links)
+    near = small(labels, labels.rows["n"], BROADCAST_NODES)
+    u, v = (near.select(F.col("node").alias(f"node_{c}"), F.col("component").alias(f"top_{c}")) for c in "uv")
+    tops = links.join(u, F.col("u") == F.col("node_u"), "left").join(v, F.col("v") == F.col("node_v"), "left")
+    tops = tops.select(F.coalesce("top_u", "u").alias("u"), F.coalesce("top_v", "v").alias("v"))
+    more = components(tops)
+    if not more.rows["n"]:
+        discard(more)
+        return labels
+    onward = small(more, more.rows["n"], BROADCAST_NODES).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    known = labels.join(onward, labels["component"] == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    fresh = more.join(small(labels, labels.rows["n"], BROADCAST_NODES).select(F.col("node").alias("old")), more["node"] == F.col("old"), "left_anti")
+    both = materialize(known.unionByName(fresh), "labels")
+    discard(labels)
+    discard(more)
+    return both

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WordHashes, bins_for, blocks, bounded_batches, components, discard, from_planes, list_array, materialize, materialize_kinds, mix, pack, planes, remove, stretches, task, text_bytes, unpack
+from tallyspark.llm.common import WordHashes, bins_for, blocks, bounded_batches, components, discard, from_planes, joined_components, list_array, materialize, materialize_kinds, mix, pack, planes, remove, small, stretches, task, text_bytes, unpack
 
 #: Sizes of a band run from its bound to 1.25 times the bound.
 STEP = 1.25
@@ -471,9 +471,13 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of set hashes whose sets meet the threshold, as edges (u, v); sets are made only of documents in a pair."""
     pairs = materialize(pairs.distinct(), "jaccard-pairs")
-    held = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    ids = materialize(classes.join(held, "h1", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "jaccard-ids")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    if not pairs.rows["n"]:
+        none = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        none.rows = pairs.rows
+        return none
+    held = small(pairs.select(F.explode(F.array("a", "b")).alias("h1")), 2 * pairs.rows["n"], BROADCAST_ROWS)
+    ids = materialize(classes.join(held, "h1", "left_semi").select(F.col("rep").alias("doc_id")), "jaccard-ids")
+    few = small(ids, ids.rows["n"], BROADCAST_ROWS)
     sets = materialize(docs.join(few, "doc_id", "left_semi").mapInArrow(partial(_sets, n=n), "h1 bigint, items array<bigint>"), "jaccard-sets")
     left = sets.select(F.col("h1").alias("a"), F.col("items").alias("ia"))
     right = sets.select(F.col("h1").alias("b"), F.col("items").alias("ib"))
@@ -515,23 +519,31 @@ def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int =
     # A set is one node, whatever the number of its documents; a document of several sets joins them.
     sets = made.where("n_shingles > 0 and doc_id is not null").groupBy("h1").agg(F.min("doc_id").alias("rep"))
     classes = materialize(sets, "jaccard-classes")
-    folds = wide.select("h1", F.col("bin").alias("band"), F.col("n_shingles").cast("int").alias("size"), "folds").dropDuplicates(["h1", "band"])
-    often = shared.groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.first("parts").alias("need")).where("n >= need").select("a", "b", "band")
-    for x in ("a", "b"):
-        often = often.join(folds.select(F.col("h1").alias(x), "band", F.col("size").alias(f"n{x}"), F.col("folds").alias(f"f{x}")), [x, "band"])
-    pairs = pairs.select("a", "b").unionByName(often.mapInArrow(partial(_near_wide, num=num, den=den), "a bigint, b bigint"))
+    pairs = pairs.select("a", "b")
+    folds = None
+    if not wide.isEmpty():
+        folds = materialize(wide.select("h1", F.col("bin").alias("band"), F.col("n_shingles").cast("int").alias("size"), "folds").dropDuplicates(["h1", "band"]), "jaccard-folds")
+        often = shared.groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.first("parts").alias("need")).where("n >= need").select("a", "b", "band")
+        for x in ("a", "b"):
+            often = often.join(folds.select(F.col("h1").alias(x), "band", F.col("size").alias(f"n{x}"), F.col("folds").alias(f"f{x}")), [x, "band"])
+        pairs = pairs.unionByName(often.mapInArrow(partial(_near_wide, num=num, den=den), "a bigint, b bigint"))
     edges = _verified(pairs, docs, classes, n, num, den)
     of_doc = made.where("n_shingles > 0").groupBy("doc_id").agg(F.min("h1").alias("v"), F.max("h1").alias("top")).where("v < top").select("doc_id", "v")
-    edges = edges.unionByName(materialize(made.where("n_shingles > 0").join(of_doc, "doc_id").select(F.col("h1").alias("u"), "v"), "jaccard-repeats"))
-    rows = large.count()
+    repeats = materialize(made.where("n_shingles > 0").join(of_doc, "doc_id").select(F.col("h1").alias("u"), "v"), "jaccard-repeats")
+    labels = components(edges.unionByName(repeats) if repeats.rows["n"] else edges)
     large = large.select("key", "part", "parts", "n", "band", "h1", "fold")
-    for turn in range(ROUNDS + 1 if rows else 0):
+    for turn in range(0 if large.isEmpty() else ROUNDS + 1):
         # Keys whose sets lie in more than one component may hide a link between components.
-        labels = materialize(components(edges), "jaccard-labels")
-        few = F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
-        tagged = large.join(few.withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
-        split = tagged.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-        rest = tagged.join(split, "key", "left_semi").join(folds.select("h1", "band", "folds"), ["h1", "band"], "left").withColumn("fold", F.coalesce("folds", "fold")).drop("folds")
+        few = small(labels, labels.rows["n"], BROADCAST_ROWS).withColumnRenamed("node", "h1")
+        tagged = large.join(few, "h1", "left").withColumn("component", F.coalesce("component", "h1"))
+        split = materialize(tagged.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key"), "jaccard-split")
+        if not split.rows["n"]:
+            discard(split)
+            break
+        rest = tagged.join(small(split, split.rows["n"], BROADCAST_ROWS), "key", "left_semi")
+        if folds is not None:
+            carried = F.length("fold") > 0
+            rest = rest.where(carried).unionByName(rest.where(~carried).drop("fold").join(folds.select("h1", "band", F.col("folds").alias("fold")), ["h1", "band"]))
         if turn < ROUNDS:
             dealt = rest.repartition("key", "part").sortWithinPartitions("key", "part")
             near = dealt.mapInArrow(partial(_with_one, turn=turn, num=num, den=den), "a bigint, b bigint")
@@ -540,12 +552,13 @@ def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int =
             dealt = ij.drop("other").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
             near = dealt.mapInArrow(partial(_across, num=num, den=den), "a bigint, b bigint")
         more = _verified(near, docs, classes, n, num, den)
-        discard(labels)
-        edges = edges.unionByName(more)
+        discard(split)
+        if more.rows["n"]:
+            labels = joined_components(labels, more)
     for path in (pairs_path, large_path, shared_path, tables[3][1]):
         remove(spark, path)
 
-    linked = classes.join(components(edges).withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
+    linked = classes.join(labels.withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
     linked = materialize(linked, "jaccard-linked")
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_set = linked.join(least, "component").select(F.col("h1").alias("of_h1"), "component_id")
