@@ -86,15 +86,23 @@ def realign(grid: DataFrame, sold: int, cost: int, gain: int, optional: list[int
     return out, out.groupBy("file", "sheet").agg(*[F.count_if(v).alias(k) for k, v in log.items()])
 
 
-def explode_multi(df: DataFrame, columns: list[str], n: Column, pad: str = "single", out: str = "part") -> DataFrame:
-    """A row for each of n values of newline-joined cells. A single value repeats; with pad 'last' the last
-    one repeats; missing values are ''."""
-    parts = {c: F.split(F.coalesce(c, F.lit("")), "\n") for c in columns}
-    rows = df.withColumn(out, F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)))
-    for c, p in parts.items():
-        rest = F.when(F.size(p) == 1, F.get(p, F.lit(0))) if pad == "single" else F.element_at(p, -1)
-        rows = rows.withColumn(c, F.trim(F.coalesce(F.get(p, F.col(out)), rest, F.lit(""))))
-    return rows
+def lines_of(c: Column) -> Column:
+    """The lines of a cell, trimmed, without blank ones."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def explode_multi(df: DataFrame, columns: list[str] | dict[str, str], n: Column, pad: str = "single", out: str = "part", split: Column | None = None) -> DataFrame:
+    """A row for each of n values of newline-joined cells, one at least. What a column with fewer values gives for the rest
+    is its padding (one for all, or by column): 'single' repeats a value that stands alone, 'last' the last one, 'none' nothing;
+    missing values are ''. Rows for which `split` doesn't hold stay as they are."""
+    pads = columns if isinstance(columns, dict) else dict.fromkeys(columns, pad)
+    many = F.greatest(n, F.lit(1)) if split is None else F.when(split, F.greatest(n, F.lit(1))).otherwise(1)
+    rows = df.withColumn("_split", F.lit(True) if split is None else split).withColumn(out, F.explode(F.sequence(F.lit(0), many - 1)))
+    for c, how in pads.items():
+        p = F.when(F.col("_split"), lines_of(F.col(c))).otherwise(F.array(F.trim(F.coalesce(c, F.lit("")))))
+        rest = {"single": F.when(F.size(p) == 1, F.get(p, F.lit(0))), "last": F.try_element_at(p, F.lit(-1)), "none": F.lit(None).cast("string")}[how]
+        rows = rows.withColumn(c, F.coalesce(F.get(p, F.col(out)), rest, F.lit("")))
+    return rows.drop("_split")
 
 
 def split_pair(c: Column) -> tuple[Column, Column]:

@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import has_date, is_money, null_if_blank, parse_money
+from tallyspark.functions.text import has_date, is_date, is_money, null_if_blank, parse_money
 from tallyspark.operators import grid as g
-from tallyspark.operators.order import attach_previous, carry_forward
+from tallyspark.operators.order import carry_forward, described
 
 ORDER = ["sheet_idx", "row_idx"]
 LOT = ["file", "sheet", "sheet_idx", "row_idx", "description", "date_acquired", "date_sold", "proceeds", "cost", "accrued_market_discount", "wash_sale_loss", "fed_tax_withheld", "type"]
@@ -69,33 +69,60 @@ def robinhood(grid: DataFrame) -> DataFrame:
 
 
 def pershing(grid: DataFrame) -> DataFrame:
-    named = _c(0).rlike(r"(?i)^\s*(?:description|security)\s*:?\s*\S")
-    text = F.regexp_replace(_c(0), r"(?i)^\s*(?:description|security)\s*:?\s*", "")
-    sold = F.upper(F.trim(_c(0))).isin("SELL", "LIQUIDATION") | (g.blank(_c(0)) & has_date(_c(3)) & is_money(F.get(F.split(_c(4), "\n"), F.lit(0))))
+    """Lots are the values of the proceeds cell; dates repeat their last value, a missing cost stays empty."""
+    prefix = r"(?i)^\s*(?:description|security)\s*(?:\(box 1a\))?\s*:?\s*"
+    named = _c(0).rlike(prefix + r"\S")
+    text = F.regexp_replace(_c(0), prefix, "")
+    sold = F.upper(F.trim(_c(0))).isin("SELL", "LIQUIDATION") | (g.blank(_c(0)) & has_date(_c(2)) & is_money(F.get(g.lines_of(_c(4)), F.lit(0))))
     rows = carry_forward(grid.withColumn("_d", F.coalesce(named, F.lit(False))), ["file"], ORDER, F.when(named, text), "description", "UNKNOWN").where(~F.col("_d") & F.coalesce(sold, F.lit(False)))
-    columns = {f"_{k}": _c(k) for k in (2, 3, 4, 5)}
-    rows = rows.withColumns(columns)
-    many = F.size(F.filter(F.split(F.coalesce("_3", F.lit("")), "\n"), has_date))
-    rows = g.explode_multi(rows, list(columns), many, pad="last", out="part")
-    return _lot(rows.withColumn("cells", F.array("_2", "_3", "_4", "_5")), {"date_acquired": 0, "date_sold": 1, "proceeds": 2, "cost": 3})
+    pads = {"_2": "last", "_3": "last", "_4": "none", "_5": "none"}
+    rows = rows.withColumns({c: _c(int(c[1])) for c in pads})
+    rows = g.explode_multi(rows, pads, F.size(g.lines_of(F.col("_4"))), split=F.coalesce(F.col("_4").contains("\n"), F.lit(False)))
+    return _lot(rows.withColumn("cells", F.array(*pads)), {"date_acquired": 0, "date_sold": 1, "proceeds": 2, "cost": 3})
+
+
+#: Rows of headers, sections and footers, and words that name no security.
+MERRILL_SKIP = r"\d+\s+of\s+\d+|form 1099|omb no|1a\.|description of property|short term capital gains|long term capital gains|covered transactions|net short term|net long term|sales proceeds and net|covered short term gains|covered long term gains|form 8949|subtotal|this transaction has been identified|important tax information|furnished to the internal revenue|taxpayers are ultimately|deferred loss amount|please refer to the instructions"
+MERRILL_NO_NAME = ["sale", "nan", "none", ""]
+
+
+def _amount_line(c: Column) -> Column:
+    """Some line of the cell is an amount: a number with a point, a comma or a dollar sign."""
+    return F.exists(g.lines_of(c), lambda x: x.rlike("[.,$]") & x.rlike(r"^\(?[$,\s]*-?[$,\s]*(?:\d[\d,$]*\.?\d*|\.\d+)\)?$"))
 
 
 def merrill(grid: DataFrame) -> DataFrame:
-    """Dates locate the amounts; a row of newline-joined cells is one row for each date; texts without dates are
-    descriptions, and those right after a description continue it."""
-    dated = F.exists("cells", has_date)
-    text = F.concat_ws(" ", null_if_blank(_c(0)), null_if_blank(_c(1)))
-    plain = ~dated & ~g.blank(_c(0)) & ~skip_row()
-    rows = grid.withColumn("_kind", F.when(dated & ~skip_row(), "t").when(plain, "d")).where("_kind is not null").withColumn("_text", text)
+    """Dates locate the amounts behind them; a row with newline-joined dates is a lot for each acquired or sold date, whichever
+    are more, and may name the security itself. A text with cells behind it is a description, one without continues it."""
+    text = F.lower(F.array_join(F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))), " "))
+    first_line = F.get(g.lines_of(_c(0)), F.lit(0))
+    second = F.when(~F.lower(F.trim(_c(1))).isin(MERRILL_NO_NAME), F.trim(_c(1)))
+    skip = text.rlike(MERRILL_SKIP) | (F.trim(text) == "") | (F.trim(_c(0)).isin("(W)", "(B)", "(Y)") & (F.length(text) > 100)) | (g.blank(_c(0)) & F.coalesce(F.lower(F.trim(_c(1))).rlike(r'^sales\.|^sale"'), F.lit(False)))
+    dated, merged = F.exists("cells", has_date), F.exists("cells", lambda c: has_date(c) & c.contains("\n"))
+    amount = F.exists(F.slice("cells", 3, 1 << 20), _amount_line)
+    behind = F.exists(F.slice("cells", 3, 1 << 20), lambda c: F.trim(c) != "")
+    named = F.trim(F.coalesce(_c(0), F.lit(""))) != ""
+    kind = F.when(F.coalesce(skip, F.lit(False)), None).when(merged & amount, "merged").when(dated & amount, "lot").when(named & ~dated & behind, "name").when(named & ~amount, "more")
+    rows = grid.withColumn("_kind", kind).where("_kind is not null")
+    a, s = g.date_block("cells")
+    both = F.size(F.filter("cells", has_date)) >= 2
+    own = F.filter(F.transform(F.slice("cells", 1, a), lambda c: F.get(g.lines_of(c), F.lit(0))), lambda x: ~F.lower(x).isin(MERRILL_NO_NAME) & ~x.rlike(r"^\d+\.?\d*$"))
+    named_by = F.when(F.col("_kind") == "name", F.concat_ws(" ", first_line, second)).when((F.col("_kind") == "merged") & both & (F.size(own) > 0), F.array_join(own, " "))
     w = g.Window.partitionBy("file").orderBy(*ORDER)
-    rows = rows.withColumn("_g", F.sum(((F.col("_kind") == "d") & F.coalesce(F.lag("_kind").over(w) != "d", F.lit(True))).cast("int")).over(w.rowsBetween(g.Window.unboundedPreceding, 0)))
-    names = rows.where("_kind = 'd'").groupBy("file", "_g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "_text"))), lambda x: x["_text"]), " ").alias("description"))
-    lots = rows.where("_kind = 't'").join(names, ["file", "_g"], "left").withColumn("description", F.coalesce("description", F.lit("UNKNOWN")))
-    first, second = g.date_block("cells")
-    parts = {"_a": _c(first), "_s": _c(second), "_p": _c(second + 1), "_b": _c(second + 2), "_x": _c(second + 3), "_w": _c(second + 4)}
-    lots = lots.withColumns(parts)
-    lots = g.explode_multi(lots, list(parts), F.size(F.filter(F.split("_s", "\n"), has_date)))
-    return _lot(lots.withColumn("cells", F.array(*parts)), {"date_acquired": 0, "date_sold": 1, "proceeds": 2, "cost": 3, "accrued_market_discount": 4, "wash_sale_loss": 5})
+    so_far = g.Window.unboundedPreceding, g.Window.currentRow
+    rows = rows.withColumn("_named", named_by).withColumn("_g", F.count("_named").over(w.rowsBetween(*so_far)))
+    of_name = g.Window.partitionBy("file", "_g").orderBy(*ORDER).rowsBetween(*so_far)
+    more = F.when(F.col("_kind") == "more", F.concat_ws(" ", null_if_blank(_c(0)), null_if_blank(_c(1))))
+    parts = F.array_compact(F.concat(F.array(F.first("_named").over(of_name)), F.collect_list(more).over(of_name)))
+    rows = rows.withColumn("description", F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise("UNKNOWN"))
+    lots = rows.where((F.col("_kind") == "lot") | ((F.col("_kind") == "merged") & both))
+    joined = F.col("_kind") == "merged"
+    dates = lambda c: F.when(joined, F.array_join(F.filter(g.lines_of(c), is_date), "\n")).otherwise(c)
+    cells = {"_a": dates(_c(a)), "_s": dates(_c(s)), "_p": _c(s + 1), "_b": _c(s + 2), "_x": _c(s + 3), "_w": _c(s + 4)}
+    lots = lots.withColumns(cells)
+    pads = {c: "none" if c in ("_a", "_s") else "single" for c in cells}
+    lots = g.explode_multi(lots, pads, F.greatest(F.size(g.lines_of(F.col("_a"))), F.size(g.lines_of(F.col("_s")))), split=joined)
+    return _lot(lots.withColumn("cells", F.array(*cells)), {"date_acquired": 0, "date_sold": 1, "proceeds": 2, "cost": 3, "accrued_market_discount": 4, "wash_sale_loss": 5})
 
 
 def charles_schwab(grid: DataFrame) -> DataFrame:
@@ -113,13 +140,24 @@ def charles_schwab(grid: DataFrame) -> DataFrame:
     return _lot(rows.withColumn("cells", made), {"date_acquired": 0, "date_sold": 1, "proceeds": 2, "cost": 3, "accrued_market_discount": 4, "wash_sale_loss": 5}).where("proceeds is not null or cost is not null")
 
 
+#: Words of header and total rows, the prefix of an option's description.
+JPMORGAN_SKIP = r"items - total|grand total|cusip|\(box 1[a-g]\)|description of property|quantity sold|date acquired|date sold"
+OPTION = r"(?i)^(?:PUT|CALL)\b"
+
+
 def jpmorgan(grid: DataFrame) -> DataFrame:
-    """Descriptions may stand on the transaction and go on in the rows after it; optional amounts may be displaced."""
-    sold = has_date(_c(5)) & has_date(_c(6)) & ~skip_row()
-    text = F.concat_ws(" ", *[null_if_blank(_c(k)) for k in range(4)])
-    rows = grid.where(sold | ((text != "") & ~skip_row()))
-    rows = attach_previous(rows, ["file", "sheet_idx"], ["row_idx"], sold, text, "_more").withColumn("description", F.concat_ws(" ", text, F.col("_more")))
-    made = F.array(_c(5), _c(6), _c(7), _c(8), F.coalesce(null_if_blank(_c(9)), null_if_blank(_c(13))), F.coalesce(null_if_blank(_c(10)), null_if_blank(_c(14))))
+    """An option and the company it is on stand in rows of their own: descriptions go on in both directions (see
+    order.described). Optional amounts may be displaced behind the gain."""
+    cells = F.slice("cells", 1, 13)
+    text = F.lower(F.array_join(F.transform(cells, lambda c: F.trim(F.coalesce(c, F.lit("")))), " "))
+    skip = text.rlike(JPMORGAN_SKIP) | F.exists(cells, lambda c: F.trim(c).rlike(r"(?i)^column\d+$")) | (F.lower(F.trim(_c(3))) == "subtotals")
+    joined = lambda n: F.concat_ws(" ", *[F.when(F.trim(_c(k)) != "", F.trim(_c(k))) for k in range(n)])
+    sold = has_date(_c(5)) & has_date(_c(6))
+    rows = grid.where(~F.coalesce(skip, F.lit(False)) & (sold | (joined(4) != "")))
+    rows = described(rows, "file", "sheet_idx", "row_idx", sold, joined(2), joined(4), OPTION)
+    empty = lambda k: parse_money(_c(k)).isNull()
+    displaced = empty(9) & empty(10) & (F.size("cells") > 14)
+    made = F.array(_c(5), _c(6), _c(7), _c(8), F.when(displaced, _c(13)).otherwise(_c(9)), F.when(displaced, _c(14)).otherwise(_c(10)))
     return _lot(rows.withColumn("cells", made), {"date_acquired": 0, "date_sold": 1, "proceeds": 2, "cost": 3, "accrued_market_discount": 4, "wash_sale_loss": 5})
 
 

@@ -214,11 +214,30 @@ def date_headers(lines: DataFrame, by: list[str], order: list[str], is_date: Col
     return out.where("_a").withColumn(text, F.concat(F.col(text), F.coalesce("_tail", F.lit("")))).drop("_d", "_a", "_ahead", "_tail", "_own")
 
 
-def attach_previous(df: DataFrame, by: list[str], order: list[str], is_row: Column, text: Column, name: str) -> DataFrame:
-    """Rows for which is_row holds, with the texts of the rows that follow each until the next."""
-    out = running_group(df.withColumn("_r", is_row).withColumn("_t", F.when(~is_row, text)), by, order, F.col("_r"), "_g").where("_g > 0")
-    extra = out.where("not _r and _t is not null").groupBy(*by, "_g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_t"))), lambda x: x["_t"]), " ").alias(name))
-    return out.where("_r").join(extra, [*by, "_g"], "left").drop("_r", "_t", "_g")
+def described(df: DataFrame, file: str, sheet: str, row: str, is_row: Column, own: Column, full: Column, prefixed: Column | str, default: str = "UNKNOWN") -> DataFrame:
+    """The rows for which is_row holds, with `description`; the others of df are rows of text (`full`) between them.
+
+    A name is carried through a file: the text of a text row, or of a row whose own text lacks the prefix (a pattern). A row
+    without text of its own is described by the carried name; one whose text has the prefix by it and, unless that has the
+    prefix too, the carried name; any other by its full text. Descriptions with the prefix go on: the text rows
+    after them in their sheet, and the full text of the row that follows in it if its own text lacks the prefix, are appended.
+    Two windows over a file and one aggregation; what is gathered for a row are the texts up to the next one."""
+    starts = lambda c: F.coalesce(c.rlike(prefixed), F.lit(False))
+    named = F.coalesce(~is_row, F.lit(True)) | ((F.col("_own") != "") & ~starts(F.col("_own")))
+    w = _w([file], [sheet, row])
+    rows = df.withColumns({"_is": F.coalesce(is_row, F.lit(False)), "_own": F.coalesce(own, F.lit("")), "_full": F.coalesce(full, F.lit(""))})
+    rows = rows.withColumn("_name", F.when(named & (F.col("_full") != ""), F.col("_full")))
+    rows = rows.withColumn("_before", F.last("_name", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_n", F.count_if("_is").over(_w([file, sheet], [row]).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    joined = F.when(starts(F.col("_before")) | F.col("_before").isNull(), F.col("_own")).otherwise(F.concat_ws(" ", "_own", "_before"))
+    base = F.when(F.col("_own") == "", F.coalesce("_before", F.lit(default))).when(starts(F.col("_own")), joined).otherwise(F.col("_full"))
+    texts = F.transform(F.array_sort(F.collect_list(F.when(~F.col("_is"), F.struct(row, "_full")))), lambda x: x["_full"])
+    kept = [F.first(F.when(F.col("_is"), F.struct(*[c for c in df.columns if c not in (file, sheet)], base.alias("_base"), F.when(F.col("_name").isNotNull(), F.col("_full")).alias("_named"))), ignorenulls=True).alias("_row"), texts.alias("_texts")]
+    lots = rows.where("_n > 0").groupBy(file, sheet, "_n").agg(*kept)
+    after = F.lead("_row._named").over(_w([file, sheet], ["_n"]))
+    more = F.when(starts(F.col("_row._base")), F.concat("_texts", F.array_compact(F.array(after)))).otherwise(F.array())
+    described = F.array_join(F.concat(F.array("_row._base"), more), " ")
+    return lots.withColumn("description", described).select(file, sheet, *[F.col(f"_row.{c}").alias(c) for c in df.columns if c not in (file, sheet)], "description")
 
 
 def trend(df: DataFrame, by: list[str], date: str, value: str) -> DataFrame:

@@ -71,21 +71,34 @@ def lots_robinhood(spark, sf):
     return _read(_grid(items, F.concat(F.array(_row("01/01/2020", "1", "10", "01/01/2020", "9", "", "1"), _row(name)), rows, F.array(_row("Total proceeds", "1", "5", "", "", "", "")))), "robinhood")
 
 
-@query(f"WITH {ITEMS}, f AS (SELECT o, arg_min(c, k) AS c1 FROM l GROUP BY o) SELECT o AS file, 'ORDER ' || o AS description, acquired AS date_acquired, sold AS date_sold, CAST(p AS DOUBLE) AS proceeds, CAST(c1 AS DOUBLE) AS cost, CAST(NULL AS DOUBLE) AS wash_sale_loss FROM l JOIN f USING (o)")
+@query(f"""WITH {ITEMS}, f AS (SELECT o, arg_min(sold, k) AS sold1, count(*) AS n FROM l GROUP BY o), d AS (SELECT o, acquired AS acquired2 FROM l WHERE k = 2)
+SELECT o AS file, 'ORDER ' || o AS description, CASE WHEN k > 2 THEN acquired2 ELSE acquired END AS date_acquired, sold1 AS date_sold, CAST(p AS DOUBLE) AS proceeds, CASE WHEN k <= 2 THEN CAST(c AS DOUBLE) END AS cost, CAST(NULL AS DOUBLE) AS wash_sale_loss FROM l JOIN f USING (o) LEFT JOIN d USING (o)""")
 def lots_pershing(spark, sf):
-    """An order's lines in one row of newline-joined cells; a single cost repeats; rows of other kinds go."""
+    """An order's lines in one row: all proceeds, one sale date for all, two dates acquired of which the last repeats, two costs
+    of which none does; a description is carried over a sheet's end; rows of other kinds go."""
     items = _items(spark, sf)
-    joined = lambda f: F.array_join(F.transform("rs", lambda r: r[f]), "\n")
-    rows = F.array(_row("BUY", "2", "01/01/2020", "01/01/2020", "1", "1"), _row(F.concat(F.lit("Description: "), F.col("name"))), _row("SELL", "2", joined("a"), joined("s"), joined("p"), F.get("rs", F.lit(0))["c"]), _row("Other text", "", "", "01/01/2020", "x", ""))
-    return _read(_grid(items, rows), "pershing")
-
-
-@query(_lots_sql("'ORDER ' || o || ' CLASS A'"))
+    joined = lambda f, n=100: F.array_join(F.transform(F.slice("rs", 1, n), lambda r: r[f]), "\n")
+    verb = F.when(F.col("o") % 3 == 0, "LIQUIDATION").when(F.col("o") % 3 == 1, "SELL").otherwise("")
+    named = items.select(F.col("o").alias("file"), F.lit(0).alias("sheet_idx"), F.lit("a").alias("sheet"), F.posexplode(F.array(_row("BUY", "2", "01/01/2020", "01/01/2020", "1", "1"), _row(F.concat(F.lit("Description (Box 1a): "), F.col("name"))))).alias("row_idx", "cells"))
+    rows = F.array(_row(verb, "2", joined("a", 2), joined("s", 1), joined("p"), joined("c", 2)), _row("Other text", "", "01/01/2020", "01/01/2020", "1.00", ""), _row("", "", "Subtotal", "", "5.00", ""))
+    sold = items.select(F.col("o").alias("file"), F.lit(1).alias("sheet_idx"), F.lit("b").alias("sheet"), F.posexplode(rows).alias("row_idx", "cells"))
+    return _read(named.unionByName(sold), "pershing")
+
+
+@query(f"""WITH {ITEMS}, f AS (SELECT o, arg_min(c, k) AS c1, arg_min(sold, k) AS sold1, arg_min(acquired, k) AS acquired1, o % 2 = 0 OR (o % 3 = 0 AND count(*) = 1) AS plain FROM l GROUP BY o),
+r AS (SELECT o AS file, CASE WHEN plain THEN 'ORDER ' || o || ' CLASS A' ELSE 'OWN ' || o END AS description, CASE WHEN o % 3 < 2 OR k = 1 THEN acquired END AS date_acquired, CASE WHEN o % 3 <> 1 OR k = 1 THEN sold END AS date_sold, p AS proceeds, c1 AS cost, w AS wash_sale_loss FROM l JOIN f USING (o)
+UNION ALL SELECT o, CASE WHEN plain THEN 'ORDER ' || o || ' CLASS A' ELSE 'OWN ' || o END || ' NOTE', acquired1, sold1, 12.50, c1, NULL FROM f)
+SELECT file, description, date_acquired, date_sold, CAST(proceeds AS DOUBLE) AS proceeds, CAST(cost AS DOUBLE) AS cost, CAST(wash_sale_loss AS DOUBLE) AS wash_sale_loss FROM r""")
 def lots_merrill(spark, sf):
-    """Two description rows of an order, its lines in one row of newline-joined cells, a subtotal row that goes."""
+    """A description and its continuation; an order's lines in one row of newline-joined cells, which names the security itself
+    in odd orders, with all dates acquired, all dates sold or both (a row without joined dates names none); a plain lot after a text that continues the name; furniture."""
     items = _items(spark, sf)
-    joined = lambda f: F.array_join(F.transform("rs", lambda r: r[f]), "\n")
-    rows = F.array(_row(F.col("name")), _row("CLASS A"), _row("1", joined("a"), joined("s"), joined("p"), joined("c"), "", joined("w")), _row("Subtotal", "", "01/01/2020", "01/02/2020", "1", "1"))
+    joined = lambda f, n=100: F.array_join(F.transform(F.slice("rs", 1, n), lambda r: r[f]), "\n")
+    one = lambda f: F.get("rs", F.lit(0))[f]
+    few = lambda f, some: F.when(some, joined(f)).otherwise(F.concat(joined(f, 1), F.lit("\n(W)")))
+    own = F.when(F.col("o") % 2 == 0, "1.0000\nSale").otherwise(F.concat(F.lit("OWN "), F.col("o").cast("string"), F.lit("\n1.0000 Sale")))
+    merged = _row(own, "Sale", few("a", F.col("o") % 3 < 2), few("s", F.col("o") % 3 != 1), joined("p"), joined("c", 1), "", joined("w"))
+    rows = F.array(_row("2024 Form 1099-B", "", "x"), _row(F.col("name"), "Sale", "100"), _row("CLASS A", ""), merged, _row("NOTE"), _row("1.0", one("a"), one("s"), "$12.50", one("c"), "", ""), _row("", "Security Subtotal", "01/01/2020", "01/02/2020", "1.00", "1.00"), _row("Page 3 of 9", "", "1.00"))
     return _read(_grid(items, rows), "merrill")
 
 
@@ -97,17 +110,26 @@ def lots_charles_schwab(spark, sf):
     return _read(_grid(items, F.concat(F.flatten(F.transform("rs", pair)), F.array(_row("Total", "1", "01/01/2020", "1", "1", "", "")))), "charles_schwab")
 
 
-@query(_lots_sql("'ORDER ' || o || CASE WHEN k % 2 = 1 THEN ' CALL 50' ELSE '' END"))
+@query(f"""WITH {ITEMS}, n AS (SELECT *, max(k) OVER (PARTITION BY o) AS m FROM l)
+SELECT o AS file, CASE k % 4 WHEN 1 THEN CASE WHEN k = 1 THEN 'ORDER ' || o ELSE 'NAME ' || (k - 2) || ' CL A' END
+  WHEN 2 THEN 'CALL 50 ' || CASE WHEN k = 2 THEN 'ORDER ' || o ELSE 'NAME ' || (k - 3) || ' CL A' END || ' LOT ' || k || CASE WHEN m > k THEN ' NAME ' || (k + 1) || ' CL A' ELSE '' END
+  WHEN 3 THEN 'NAME ' || k || ' CL A' ELSE 'PUT 9 NAME ' || (k - 1) || ' CL A' END AS description,
+  acquired AS date_acquired, sold AS date_sold, CAST(p AS DOUBLE) AS proceeds, CAST(c AS DOUBLE) AS cost, CAST(w AS DOUBLE) AS wash_sale_loss FROM n""")
 def lots_jpmorgan(spark, sf):
-    """Descriptions that go on in the next row; wash sales displaced in every third row; a subtotal goes."""
+    """By its number a lot has no text, is an option followed by a row of text, names a company over three cells, or is an option
+    without more; wash sales are displaced in every third lot; headers, subtotals and totals go."""
     items = _items(spark, sf)
 
     def lot(r, i):
-        there = i % 3 == 0
-        row = _row(F.col("name"), "", "", "", "1", r["a"], r["s"], r["p"], r["c"], "", F.when(there, "").otherwise(r["w"]), r["g"], "", "", F.when(there, r["w"]).otherwise(""))
-        return F.when(i % 2 == 0, F.array(row, _row("CALL 50", "", "", ""))).otherwise(F.array(row))
-
-    return _read(_grid(items, F.concat(F.flatten(F.transform("rs", lot)), F.array(_row("Subtotal", "", "", "", "", "01/01/2020", "01/02/2020")))), "jpmorgan")
+        k, there = i + 1, i % 3 == 0
+        rest = (_row("", "1", r["a"], r["s"], r["p"], r["c"], "", F.when(there, "").otherwise(r["w"]), r["g"], "", "", F.when(there, r["w"]).otherwise("")))
+        text = F.when(k % 4 == 1, _row("", "", "")).when(k % 4 == 2, _row("", "CALL 50", "")).when(k % 4 == 3, _row("NAME", k.cast("string"), "CL A")).otherwise(_row("PUT", "9", ""))
+        row = F.array(F.concat(text, rest))
+        return F.when(k % 4 == 2, F.concat(row, F.array(_row("LOT", k.cast("string"), "", "", "")))).otherwise(row)
+
+    head = F.array(_row("Description", "CUSIP", "", "", "(Box 1a)"), _row("ORDER", F.col("o").cast("string"), "", ""), _row("Column1", "x", "", ""))
+    tail = F.array(_row("", "", "", "Subtotals", "", "01/01/2020", "01/02/2020"), _row("Grand total", "", "", "", "", "01/01/2020", "01/02/2020", "1", "1"))
+    return _read(_grid(items, F.concat(head, F.flatten(F.transform("rs", lot)), tail)), "jpmorgan")
 
 
 @query(_lots_sql())
