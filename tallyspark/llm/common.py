@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: Text of at most so many bytes is held by a Python worker at once (one longer document alone).
 BLOCK_BYTES = 4 << 20
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -184,7 +184,7 @@ class WordHashes(dict):
     """64-bit hash of each word (bytes), kept so that a word is hashed once; bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 60_000:
             self.clear()
         self[word] = x = xxhash.xxh3_64_intdigest(word)
         return x

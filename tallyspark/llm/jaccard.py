@@ -11,11 +11,12 @@ them: first those of words with hardly any shingle, then the keys that most sets
 Steps: each block of documents packs its distinct keys for hash bins -> a bin counts its keys over all blocks and
 tells each block which of its keys others have too -> the block drops the last g keys of each sketch and packs the
 rest, with their size and a folded sketch, for bins again -> a bin finds the sets that share a key: of a key with
-few sets all pairs within the Hamming bound are verified on the sets; the sets of a key with more are kept as rows.
+few sets all pairs within the Hamming bound are verified on the sets; the sets of a key with more meet one or two of them and are
+kept as rows.
 Folded sketches of long documents are too wide to travel with each key: their pairs must share an eighth of d keys
 more, half of them with few sets or half with many, and are counted before their folds are compared.
-Verified pairs give components. Sets of larger keys then meet one of their key's largest component for some rounds,
-which joins most of a large group, and at last pairs of different components within the bound are verified. Every
+Verified pairs give components. Sets of very large keys then meet one of their key's largest component for some rounds,
+which joins most of a large group, and at last pairs of larger keys of different components within the bound are verified. Every
 pair that qualifies shares a key, and pairs inside a component need no test, so no link between components is
 lost and no group is expanded into all pairs. Keys that very many sets hold are dealt in parts of bounded size.
 """
@@ -44,8 +45,9 @@ BROADCAST_ROWS = 2_000_000
 SMALL = 16
 #: Sets of a key that meet in one task.
 PART = 4096
-#: Rounds in which the sets of larger keys meet one set of each key before pairs are tried.
-ROUNDS = 2
+#: Sets that those of a larger key meet at once, and the rounds in which keys of more than MANY sets meet one of their largest
+#: component before pairs are tried.
+LEADERS, ROUNDS, MANY = 2, 2, 1024
 #: Bits of a folded sketch for each shingle of the largest difference, the 64-bit words of it that travel with each key, and
 #: those over which nothing travels.
 FOLD_BITS, CARRIED, WIDE = 4, 12, 22
@@ -282,6 +284,20 @@ class Held:
             out[s] = distance <= (small[s] + large[s]) * (den - num) // (den + num)
         return out
 
+    def with_leaders(self, at: np.ndarray, no: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+        """The near pairs of rows at `at` of one key (no) each with one set of it, and of those that aren't near with a second one."""
+        found = []
+        for turn in range(LEADERS):
+            if not len(at):
+                break
+            order = at[np.lexsort((mix(self.h1[at].view(np.uint64) ^ np.uint64(turn)), no[at]))]
+            first, size = _runs(no[order])
+            lead = np.repeat(order[first], size)
+            near = np.zeros(len(order), bool)
+            near[order != lead] = self.near(lead[order != lead], order[order != lead], num, den)
+            found.append(np.sort(np.stack([self.h1[lead[near]], self.h1[order[near]]]), axis=0))
+            at = np.sort(order[~near & (order != lead)])
+        return found
 
     def with_partner(self, at: int, n: int, num: int, den: int) -> np.ndarray:
         """Which of the n rows from `at` on, of one key, are near another one of them."""
@@ -346,6 +362,8 @@ def _met(t: pa.Table, small: int, bands: Bands) -> pa.Table:
                 break
             a = a[rows.near(a, a + lag, bands.num, bands.den)]
             found.append(np.stack([rows.h1[a], rows.h1[a + lag]]))
+        if rows.fold.shape[1]:
+            found += rows.with_leaders(np.flatnonzero(~few), np.repeat(np.arange(len(start)), run), bands.num, bands.den)
         if found:
             both, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
             if rows.fold.shape[1]:
@@ -532,29 +550,33 @@ def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int =
     repeats = materialize(made.where("n_shingles > 0").join(of_doc, "doc_id").select(F.col("h1").alias("u"), "v"), "jaccard-repeats")
     labels = components(edges.unionByName(repeats) if repeats.rows["n"] else edges)
     large = large.select("key", "part", "parts", "n", "band", "h1", "fold")
-    for turn in range(0 if large.isEmpty() else ROUNDS + 1):
+    many = materialize(large.groupBy("key").count().where(F.col("count") > MANY).select("key"), "jaccard-many")
+    rounds = [large.join(small(many, many.rows["n"], BROADCAST_ROWS), "key", "left_semi")] * (ROUNDS if many.rows["n"] else 0)
+    for turn, met in enumerate([*rounds, large]):
         # Keys whose sets lie in more than one component may hide a link between components.
         few = small(labels, labels.rows["n"], BROADCAST_ROWS).withColumnRenamed("node", "h1")
-        tagged = large.join(few, "h1", "left").withColumn("component", F.coalesce("component", "h1"))
+        tagged = met.join(few, "h1", "left").withColumn("component", F.coalesce("component", "h1"))
         split = materialize(tagged.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key"), "jaccard-split")
         if not split.rows["n"]:
             discard(split)
-            break
+            continue
         rest = tagged.join(small(split, split.rows["n"], BROADCAST_ROWS), "key", "left_semi")
         if folds is not None:
             carried = F.length("fold") > 0
             rest = rest.where(carried).unionByName(rest.where(~carried).drop("fold").join(folds.select("h1", "band", F.col("folds").alias("fold")), ["h1", "band"]))
-        if turn < ROUNDS:
+        if turn < len(rounds):
             dealt = rest.repartition("key", "part").sortWithinPartitions("key", "part")
             near = dealt.mapInArrow(partial(_with_one, turn=turn, num=num, den=den), "a bigint, b bigint")
         else:
-            ij = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-            dealt = ij.drop("other").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            whole = rest.where("parts = 1").withColumn("i", F.col("part")).withColumn("j", F.col("part"))
+            ij = rest.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+            dealt = whole.unionByName(ij.drop("other")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
             near = dealt.mapInArrow(partial(_across, num=num, den=den), "a bigint, b bigint")
         more = _verified(near, docs, classes, n, num, den)
         discard(split)
         if more.rows["n"]:
             labels = joined_components(labels, more)
+    discard(many)
     for path in (pairs_path, large_path, shared_path, tables[3][1]):
         remove(spark, path)
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import WordHashes, bins_for, blocks, bounded_batches, from_planes, list_array, materialize, mix, planes, task, text_bytes
 
 #: Bytes of text in a block; its windows take many times as much.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Bits of a window's start; above them, where rows share a doc_id, stands a 32-bit hash of the text.
 START_BITS = 31
 #: Intervals of so many bytes at most are broadcast to the documents; more are joined by a shuffle.
