@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import tagging as t
 from tallyspark.plans.common import dbl, money, query, table
 from tallyspark.sources import files, sinks
-from tallyspark.streaming.upsert import Versions, memory_step, snapshot_step, stream_into, upsert, upsert_counts
+from tallyspark.streaming.upsert import Buckets, Snapshots, memory_step, stream_into, stream_snapshots, upsert, upsert_counts
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -204,10 +204,9 @@ def upsert_report(spark, sf):
     return upsert_counts(current, batch, ["k", "m"], "v", ["at"], spark.createDataFrame([("a",)], "m string"))
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, state: Versions, step, path: str) -> DataFrame:
-    """The state after a stream of rows, in files of their own, has run twice: the second run finds nothing new."""
-    rows.write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+def _streamed(rows: DataFrame, state: Buckets, step, path: str) -> DataFrame:
+    """The state after a stream of rows, one file a batch, has run twice: the second run finds nothing new."""
+    stream = rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     for _ in range(2):
         stream_into(stream, state, step, f"{path}/checkpoint").start().awaitTermination()
     return state.read()
@@ -215,32 +214,57 @@ def _streamed(spark: SparkSession, rows: DataFrame, state: Versions, step, path:
 
 @query("""SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL""")
 def streamed_upserts(spark, sf):
-    """Readings upserted from a stream: the last value of each key, whatever the files and batches it came in."""
+    """Readings upserted from a stream of eight batches: the last value of each key, whatever the files and batches it came in."""
     path = _folder(spark, "stream")
     e = table(spark, sf, "events").select("user_id", "event_type", "value", F.struct("ts", "event_id").alias("at"))
+    e.repartition(8).write.parquet(f"{path}/in")
     last = lambda current, batch: upsert(current, batch.join(current.select("user_id", "event_type", F.col("at").alias("_had")), ["user_id", "event_type"], "left").where("_had is null or at > _had").drop("_had"), ["user_id", "event_type"], "value", "at", ["at"])
-    state = Versions(spark, f"{path}/state", "user_id bigint, event_type string, value double, at struct<ts:timestamp,event_id:bigint>")
-    return _streamed(spark, e.repartition(8), state, last, path).select("user_id", "event_type", "value")
-
-
-@query("""SELECT strftime(o_orderdate, '%Y-%m') AS snapshot_date, count(*) AS n FROM orders GROUP BY 1""")
+    state = Buckets(spark, f"{path}/state", "user_id bigint, event_type string, value double, at struct<ts:timestamp,event_id:bigint>", ["user_id", "event_type"], buckets=16)
+    return _streamed(e, state, last, path).select("user_id", "event_type", "value")
+
+
+@query("""SELECT count(*) FILTER (c_custkey % 100 = 0) AS saved, count(*) FILTER (c_custkey % 100 = 50) AS removed, count(*) FILTER (c_custkey % 100 <> 50) AS n, sum(CASE WHEN c_custkey % 100 = 0 THEN 2.0 ELSE 1.0 END) FILTER (c_custkey % 100 <> 50) AS total, true AS only_touched FROM customer""")
+def bucketed_upserts(spark, sf):
+    """A batch of few keys on a table in buckets: counts observed while it is written, and only buckets with a key of it are new."""
+    path = _folder(spark, "buckets")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    state = Buckets(spark, f"{path}/state", "k bigint, v double, at int", ["k"], buckets=256)
+    state.apply(lambda current, batch: batch, c.select("k", F.lit(1.0).alias("v"), F.lit(0).alias("at")), 0)
+    batch = c.where("k % 50 = 0").select("k", F.when(F.col("k") % 100 == 0, 2.0).alias("v"), F.lit(1).alias("at"))
+    seen = Observation()
+    state.apply(lambda current, b: upsert(current, b, ["k"], "v", "at", ["at"], seen=seen), batch, 1)
+    new = spark.createDataFrame([(b,) for b, v in state.held().items() if v == 1], "b int")
+    touched = batch.select(state._bucket().alias("b")).distinct()
+    more = new.join(touched, "b", "left_anti").agg((F.count("*") == 0).alias("only_touched"))
+    out = state.read().agg(F.count("*").alias("n"), F.sum("v").alias("total")).crossJoin(F.broadcast(more))
+    return out.select(F.lit(seen.get["saved"]).cast("bigint").alias("saved"), F.lit(seen.get["removed"]).cast("bigint").alias("removed"), "n", "total", "only_touched")
+
+
+@query("""SELECT strftime(o_orderdate, '%Y-%m') AS snapshot_date, count(*) AS n, min(o_orderkey) AS least, max(o_orderkey) AS most FROM orders GROUP BY 1""")
 def streamed_snapshots(spark, sf):
-    """Snapshots of a stream are added once for each date; those that come again add nothing."""
+    """Snapshots over eight batches, each date in all of them: every file of a date counts. Read again from the start, from
+    other files and by another feed they add nothing."""
     path = _folder(spark, "snapshots")
     o = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("snapshot_date"))
-    state = Versions(spark, f"{path}/state", "o_orderkey bigint, snapshot_date string")
-    first = _streamed(spark, o.coalesce(1), state, snapshot_step, path)
-    return snapshot_step(first, o).groupBy("snapshot_date").agg(F.count("*").alias("n"))
+    o.repartition(8).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    for feed in ("first", "first", "second"):
+        state = Snapshots(spark, f"{path}/state", "o_orderkey bigint, snapshot_date string", feed)
+        stream_snapshots(stream, state, f"{path}/checkpoint-{feed}").start().awaitTermination()
+    return state.read().groupBy("snapshot_date").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("most"))
 
 
 @query("""SELECT s_suppkey AS vendor, arg_max('t' || x, x) AS tag FROM (SELECT s_suppkey, unnest([1, 2, 3]) AS x FROM supplier) WHERE x < 3 OR s_suppkey % 2 = 0 GROUP BY 1""")
 def streamed_memory(spark, sf):
-    """A memory that grows from a stream: entries of the model and the preparer, the last of each vendor."""
+    """A memory that grows over three runs of four batches: entries of the model and the preparer, the last of each vendor."""
     path = _folder(spark, "growing")
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("vendor"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("x"))
     rows = s.select("vendor", F.concat(F.lit("t"), F.col("x").cast("string")).alias("tag"), F.when((F.col("x") == 3) & (F.col("vendor") % 2 == 1), "lookup").when(F.col("x") == 1, "claude").otherwise("preparer").alias("source"), "x")
-    state = Versions(spark, f"{path}/state", "vendor bigint, tag string, source string, x int")
-    return _streamed(spark, rows.coalesce(1), state, memory_step(["vendor"], ["x"]), path).select("vendor", "tag")
+    state = Buckets(spark, f"{path}/state", "vendor bigint, tag string, source string, x int", ["vendor"], buckets=16)
+    for run in (1, 2, 3):
+        rows.where(F.col("x") == run).repartition(4).write.mode("append").parquet(f"{path}/in")
+        out = _streamed(rows, state, memory_step(["vendor"], ["x"]), path)
+    return out.select("vendor", "tag")
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'given' WHEN 1 THEN 'ACME STOCK ' || p_partkey WHEN 2 THEN 'Some Corp ' || p_partkey END AS description FROM part""")

@@ -1,11 +1,12 @@
 import io
 import zipfile
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tallyspark.operators import tagging as t
 from tallyspark.sources import files, sinks
-from tallyspark.streaming.upsert import Versions, snapshot_step, stream_into, upsert, upsert_counts
+from tallyspark.streaming.upsert import Buckets, Snapshots, stream_into, stream_snapshots, upsert, upsert_counts
 
 
 def workbook(sheets):
@@ -62,13 +63,53 @@ def test_upsert_and_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in out.collect()) == [("a", "m", 5.0, 3), ("b", "m", 7.0, 2)]
     assert tuple(upsert_counts(current, batch, ["client", "metric"], "value", ["recorded_at"], known).first()) == (2, 1)
     batch.select("client", "metric", "value", "recorded_at").write.parquet(f"{tmp_path}/in")
-    state = Versions(spark, f"file://{tmp_path}/state", schema)
+    state = Buckets(spark, f"file://{tmp_path}/state", schema, ["client", "metric"], buckets=4)
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
     for _ in range(2):  # the second run finds nothing new
         stream_into(stream, state, lambda c, b: upsert(c, b, ["client", "metric"], "value", "recorded_at", ["recorded_at"], known), f"{tmp_path}/cp").start().awaitTermination()
     assert sorted(tuple(r) for r in state.read().collect()) == [("a", "m", 5.0, 3), ("b", "m", 7.0, 2)]
-    snap = spark.createDataFrame([("x", "2025-01-01"), ("y", "2025-01-02")], "name string, snapshot_date string")
-    assert snapshot_step(snap.limit(1), snap).count() == 2
+
+
+def test_buckets_are_rewritten_where_they_are_touched(spark, tmp_path):
+    schema = "k bigint, v double, at int"
+    state = Buckets(spark, f"file://{tmp_path}/state", schema, ["k"], buckets=64)
+    step = lambda seen: lambda c, b: upsert(c, b, ["k"], "v", "at", ["at"], seen=seen)
+    state.apply(step(None), spark.range(1000).selectExpr("id AS k", "1.0D AS v", "0 AS at"), 0)
+    before = state.held()
+    assert len(before) == 64 and set(before.values()) == {0}
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("data/v=0/**/*.parquet")}
+    batch = spark.createDataFrame([(5, 2.0, 1), (6, None, 1), (2000, 3.0, 1), (3000, None, 1)], schema)
+    for _ in range(2):  # a replay does the same again
+        seen = Observation()
+        state.apply(step(seen), batch, 1)
+        assert seen.get == {"saved": 2, "removed": 1}
+        assert sum(v == 1 for v in state.held().values()) <= 4
+        got = {r.k: r.v for r in state.read().collect()}
+        assert len(got) == 1000 and got[5] == 2.0 and got[2000] == 3.0 and 6 not in got
+    assert all(p.stat().st_mtime_ns == t for p, t in files.items() if p.exists())
+    for n in range(2, 7):  # files of buckets that were replaced go
+        state.apply(step(None), batch.withColumn("v", F.lit(float(n))), n)
+    held = {(v, b) for b, v in state.held().items()}
+    there = {(int(p.parent.name[2:]), int(p.name[8:])) for p in tmp_path.glob("state/data/v=*/_bucket=*")}
+    assert held <= there and len(there) <= len(held) + 2 * 4 and state.read().count() == 1002
+    state.apply(lambda c, b: c.where("false"), spark.range(1000).selectExpr("id AS k", "1.0D AS v", "0 AS at"), 7)
+    assert {r.k for r in state.read().collect()} <= {2000, 3000}
+
+
+def test_snapshots_come_in_several_batches(spark, tmp_path):
+    schema = "name string, snapshot_date string"
+    rows = [(f"n{i}", f"2025-01-0{1 + i % 2}") for i in range(100)]
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for feed, checkpoint in (("a", "one"), ("a", "one"), ("b", "two"), ("a", "three")):  # a's batches again, and another feed's
+        state = Snapshots(spark, f"file://{tmp_path}/state", schema, feed)
+        stream_snapshots(stream, state, f"{tmp_path}/{checkpoint}").start().awaitTermination()
+        assert sorted(tuple(r) for r in state.read().collect()) == sorted(rows)
+    assert state.dates().count() == 8 and {r.feed for r in state.dates().collect()} == {state.feed}
+    later = Snapshots(spark, f"file://{tmp_path}/state", schema, "b")
+    later.apply(spark.createDataFrame([("x", "2025-01-02"), ("y", "2025-01-03")], schema), 9)
+    assert later.read().count() == 101
+    assert Snapshots(spark, f"file://{tmp_path}/none", schema, "a").read().count() == 0
 
 
 def test_columns_by_hints():
