@@ -112,11 +112,31 @@ def month_label(c: Column) -> Column:
     return F.coalesce(F.date_format(parse_date(c), "MMM"), F.lit("Jan"))
 
 
+#: Month names in full and in three letters.
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+MONTH = "(?:" + "|".join(MONTHS) + ")"
+MONTH_WORD = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if len(m) > 3 else m for m in MONTHS) + ")"
+#: How statements print their period, in the order in which they are tried; and years.
+PERIODS = [(rf"(?i)AS OF\s+(\w+ \d+,?\s*\d{{4}})", 1), (rf"(?i)({MONTH}\s+\d+\s+-\s+{MONTH}\s+\d+,\s*\d{{4}})", 1), (rf"(?i){MONTH}\s+\d+,\s*\d{{4}}\s+through\s+\S+\s+\d+,\s*\d{{4}}", 0), (r"(?i)Statement Period[:\s]+(\S+ .+?\d{4})", 1)]
+YEARS = [r"©\s*(20\d{2})", rf"(?i){MONTH}\s+\d+,?\s*(20\d{{2}})"]
+
+
+def statement_period(c: Column) -> Column:
+    """The period that a text states, as it is printed, or null."""
+    found = [F.nullif(F.trim(F.regexp_extract(c, pattern, group)), F.lit("")) for pattern, group in PERIODS]
+    return F.coalesce(*found)
+
+
+def statement_year(c: Column) -> Column:
+    """The year of a copyright line or of a date with a month's name, or null."""
+    return F.coalesce(*[F.regexp_extract(c, pattern, 1).try_cast("int") for pattern in YEARS])
+
+
 def period_label(c: Column) -> Column:
-    """'Apr 2025' of a text that names a month and a year, or null."""
-    month = F.regexp_extract(c, r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*", 1)
-    year = F.regexp_extract(c, r"\b((?:19|20)\d{2})\b", 1)
-    return F.when((month != "") & (year != ""), F.concat(F.initcap(month), F.lit(" "), year))
+    """'Apr 2025' of a text with the word of a month and a year behind it, or null."""
+    pattern = rf"(?is)\b({MONTH_WORD})\b.*?\b((?:19|20)\d{{2}})\b"
+    month, year = F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2)
+    return F.when(month != "", F.concat(F.initcap(F.substring(month, 1, 3)), F.lit(" "), year))
 
 
 def period_order(label: Column) -> Column:

@@ -142,13 +142,6 @@ def header_texts(grid: DataFrame, by: list[str], last_header: str) -> DataFrame:
     return cells.groupBy(*by, "col").agg(F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("header"))
 
 
-def collate(grid: DataFrame, header: str, width: int, by: list[str]) -> DataFrame:
-    """Rows under the header of every sheet, filled up to one width with '', with the sheet's name as Month."""
-    body = grid.where(F.col("row_idx") > F.col(header))
-    cells = [F.coalesce(cell("cells", k), F.lit("")).alias(f"c{k}") for k in range(width)]
-    return body.select(*by, "row_idx", F.col("sheet").alias("Month"), *cells)
-
-
 def cell_class(c: Column) -> Column:
     return F.when(blank(c), "empty").when(has_date(c), "date").when(is_money(c), "numeric").otherwise("text")
 

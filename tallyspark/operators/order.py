@@ -6,8 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import period_label
-
 
 def _w(by: list[str], order: list[str | Column]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -179,11 +177,6 @@ def section_carry(lines: DataFrame, by: list[str], order: list[str], rules: list
     return out.where("not _is_header").select("*", "_h.section", "_h.sign").drop("_h", "_is_header")
 
 
-def period_carry(pages: DataFrame, by: list[str], order: list[str], text: str = "text") -> DataFrame:
-    """The period that a page names, or the last before it; 'Unknown' until one is known."""
-    return carry_forward(pages, by, order, period_label(F.col(text)), "period", "Unknown")
-
-
 def number_segments(lines: DataFrame, source: str, line: str, text: str = "text", start: str = r"^\s*(\d{1,6})\.\s*\S", header: str = r"^\s*\d{1,6}\.\s*\t") -> DataFrame:
     """Lines with the number of the section they belong to: a number line starts a section, a header line ends
     it, a number that came before ends it too and its lines go, trailing blank lines go."""

@@ -5,18 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import bind, contains_any, parse_money
-from tallyspark.operators.order import carry_forward, merge_continuations, region
-from tallyspark.operators.tagging import classify_debit_credit
+from tallyspark.functions.text import bind, contains_any, parse_money, period_label, statement_period, statement_year
+from tallyspark.operators.order import carry_forward, region
+from tallyspark.operators.tagging import CREDITS, DEBITS, classify_debit_credit
 
 PAGE, LINE = ["file", "page_idx"], ["line_idx"]
 # Here and in the functions below, patterns that must match the lines as statements print them.
 AMOUNT = r"-?\$?\s?[\d,]+\.\d{2}"
 
 
-def is_boilerplate(text: Column, markers: list[str]) -> Column:
+#: Texts of a bank's furniture, and misread words of its total rows.
+MARKERS = [
+    "Total Subtracted", "All transaction", "CHECKING ACTIVITY",
+    "IF YOU HAVE", "CUSTOMER SERVICE", "Please read", "FDIC",
+    "IN CASE OF", "CHECKING AND SAVINGS", "The products reported",
+    "In Case of Errors", "You are entitled", "Give us the following",
+    "The following special", "Citibank is an Equal", "Date Description",
+    "Amount Subtracted", "Amount Added", "© 20", "Citigroup",
+    "BASIC BANKING", "Relationship Summary", "Regular Checking Fees",
+    "Monthly Service Fee*", "Fee for non-Citibank", "Beginning Balance",
+    "Ending Balance", "TTY:", "Impaired Customers", "Speech and Hearing",
+    "packages.", "limitations of", "time it takes us",
+    "SUGGESTIONS AND", "EOLR", "PAGE 00",
+]
+MISREAD_TOTALS = [r"tot[a4i]l\s+sub", r"tot[a4i]l\s+[a4]dd", r"tot[a4]i\s+(?:sub|[a4]dd)"]
+
+
+def is_boilerplate(text: Column, markers: list[str] = MARKERS) -> Column:
     """A marker's text, or a total row even with its letters misread."""
-    return contains_any(text, markers) | text.rlike(r"(?i)tot[a4i][l1i]\s+(sub|[a4]dd)")
+    return contains_any(text, markers) | text.rlike("(?i)" + "|".join(MISREAD_TOTALS))
+
+
+#: Lines of account pages and of mobile lists that are no transactions.
+ACCOUNT_SKIP = [
+    r"^\s*DATE\s+DESCRIPTION", r"^\s*JOINT\s+WITH", r"^\s*Page\s+\d+", r"^\s*capitalone\.com", r"^\s*P\.O\.\s*Box", r"^\s*STATEMENT\s+PERIOD",
+    r"^\s*(?:Thanks\s+for|Here.s\s+your|TOTAL\s+ENDING|IN\s+ALL\s+ACCOUNTS)", r"^\s*(?:Account\s+Summary|Cashflow\s+Summary)", r"(?:Simply\s+Checking|Confidence\s+Savings)\.\.\.",
+    r"^\s*All\s+Accounts", r"^\s*(?:TOTAL\s+FOR\s+THIS|TOTAL\s+YEAR|Total\s+Overdraft|Total\s+Return|Total\s+Fees)", r"^\s*PERIOD\s+DATE", r"^\s*(?:ANNUAL|APY|YTD\s+INTEREST|DAYS\s+IN\s+STATEMENT)",
+    r"^\s*\d+\.\d{2}\s*%", r"^\s*1-888", r"^\s*FDIC", r"^\s*\$[\d,]+\.\d{2}\s*$", r"^\s*CATEGORY\s*$", r"^\s*(?:AMOUNT|BALANCE)\s*$",
+]
+MOBILE_SKIP = [r"freedom\s+unlimit", r"\(\.\.\.\d{4}\)", r"transactions\s*$"]
+
+
+def without_lines(lines: DataFrame, patterns: list[str], text: str = "text") -> DataFrame:
+    """Lines that none of the patterns fits, in any case of letters."""
+    return lines.where(~F.coalesce(F.col(text).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False)))
 
 
 def amounts(text: Column) -> Column:
@@ -25,31 +57,55 @@ def amounts(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(tail, F.lit(rf"({AMOUNT})"), F.lit(1)), lambda x: parse_money(x))
 
 
-def built_transaction(df: DataFrame, description: str, found: Column, credits: list[str], debits: list[str]) -> DataFrame:
-    """subtracted, added, balance of 0 to 3 amounts: three are all of them; two are the typed amount and the balance
-    (an unknown type is subtracted and the description marked); one is the typed amount, or the balance."""
+def built_transaction(df: DataFrame, description: str, found: Column, credits: list[str] = CREDITS, debits: list[str] = DEBITS) -> DataFrame:
+    """subtracted, added, balance of a list of amounts: of several the last is the balance, of three the others are subtracted and
+    added; of two the first is the typed amount (an unknown type is subtracted and the description marked); one is the typed amount, or
+    the balance; none gives nothing."""
     kind = classify_debit_credit(F.col(description), credits, debits)
     a = lambda k: F.get("_a", F.lit(k))
     n = F.size("_a")
     out = df.withColumn("_a", found).withColumn("_k", kind)
-    subtracted = F.when(n >= 3, a(0)).when((n == 2) & (F.col("_k") != "credit"), a(0)).when((n == 1) & (F.col("_k") == "debit"), a(0))
-    added = F.when(n >= 3, a(1)).when((n == 2) & (F.col("_k") == "credit"), a(0)).when((n == 1) & (F.col("_k") == "credit"), a(0))
-    balance = F.when(n >= 3, a(2)).when(n == 2, a(1)).when((n == 1) & (F.col("_k") == "unknown"), a(0))
-    marked = F.when((n == 2) & (F.col("_k") == "unknown"), F.concat(F.col(description), F.lit(" [CHECK TYPE]"))).otherwise(F.col(description))
+    subtracted = F.when(n == 3, a(0)).when((n == 2) & (F.col("_k") != "credit"), a(0)).when((n == 1) & (F.col("_k") == "debit"), a(0))
+    added = F.when(n == 3, a(1)).when((n == 2) & (F.col("_k") == "credit"), a(0)).when((n == 1) & (F.col("_k") == "credit"), a(0))
+    balance = F.when(n >= 2, F.try_element_at("_a", F.lit(-1))).when((n == 1) & (F.col("_k") == "unknown"), a(0))
+    marked = F.when((n == 2) & (F.col("_k") == "unknown"), F.concat(F.lit("[CHECK TYPE] "), F.col(description))).otherwise(F.col(description))
     return out.withColumn("subtracted", subtracted).withColumn("added", added).withColumn("balance", balance).withColumn(description, marked).drop("_a", "_k")
 
 
-def dated_lines(lines: DataFrame, markers: list[str], credits: list[str], debits: list[str], date: str = r"^\d{2}/\d{2}\b", most: int = 2, longest: int = 100) -> DataFrame:
-    """Transactions that start with a date, with at most `most` further lines of less than `longest` characters;
-    furniture ends one. A start without amounts takes those of the lines after it."""
-    start = F.col("text").rlike(date)
-    usable = lines.where(start | (F.length("text") < longest) | is_boilerplate(F.col("text"), markers))
-    rows = merge_continuations(usable, PAGE, LINE, start, "text", " ", most, is_boilerplate(F.col("text"), markers))
-    pattern = rf"\s({AMOUNT}(?:\s{AMOUNT}){{0,2}})(?:\s|$)"
-    found = F.transform(F.regexp_extract_all(F.regexp_extract("text", pattern, 1), F.lit(rf"({AMOUNT})"), F.lit(1)), lambda x: parse_money(x))
-    rows = rows.withColumn("_found", found).withColumn("date_text", F.regexp_extract("text", date, 0))
-    rows = rows.withColumn("description", F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", date, ""), pattern, " "), r"\s+", " ")))
-    return built_transaction(rows, "description", F.col("_found"), credits, debits).drop("_found", "text", "n_rows")
+#: How a transaction starts, an amount in its line, and rows of balances.
+DATED_LINE = r"^(\d{2}/\d{2}(?:/\d{2})?)\s+(.+)$"
+LINE_AMOUNT = r"(?:^|(?<=\s))(\d{1,3}(?:,\d{3})*\.\d{2})(?:\s|$)"
+BALANCE_ROW = r"(?i)^\s*(?:Opening|Closing)\s+Balance"
+
+
+def dated_lines(lines: DataFrame, markers: list[str] = MARKERS, credits: list[str] = CREDITS, debits: list[str] = DEBITS, most: int = 2, longest: int = 100) -> DataFrame:
+    """Transactions of lines that start with a date; rows of balances aren't any. The text before the first amount is the
+    description, to which at most `most` further lines of less than `longest` characters are joined by ' | '.
+
+    A start without amounts takes those of the first line after it that has any, and the lines between go into the description;
+    after `most` lines without, it stands without amounts. Before that, furniture or another date drops it, the end of the page doesn't.
+    Furniture ends a transaction, and lines after it belong to none."""
+    rows = lines.withColumn("text", F.trim("text")).where(F.col("text") != "")
+    start, stops = F.col("text").rlike(DATED_LINE), is_boilerplate(F.col("text"), markers)
+    rows = rows.withColumn("_stop", stops).withColumn("_start", start & ~stops)
+    w = Window.partitionBy(*PAGE).orderBy(*LINE)
+    rows = rows.withColumn("_g", F.count_if(F.col("_start") | F.col("_stop")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("_last", F.max("_g").over(Window.partitionBy(*PAGE)) == F.col("_g"))
+    parts = F.array_sort(F.collect_list(F.struct(*LINE, "text", "_start")))
+    groups = rows.where("_g > 0").groupBy(*PAGE, "_g", "_last").agg(parts.alias("_p")).where("_p[0]._start")
+    rest = F.regexp_extract(F.col("_p")[0]["text"], DATED_LINE, 2)
+    groups = groups.select(*PAGE, F.col("_p")[0][LINE[0]].alias(LINE[0]), F.regexp_extract(F.col("_p")[0]["text"], DATED_LINE, 1).alias("date_text"), rest.alias("_rest"), F.transform(F.slice("_p", 2, 1 << 30), lambda x: x["text"]).alias("_more"), "_last").where(~F.col("_rest").rlike(BALANCE_ROW))
+    found = lambda c: F.transform(F.regexp_extract_all(c, F.lit(LINE_AMOUNT), F.lit(1)), lambda x: parse_money(x))
+    groups = groups.withColumn("_own", F.when(F.size(found(F.col("_rest"))) > 0, 0).otherwise(F.coalesce(F.nullif(F.array_position(F.transform(F.slice("_more", 1, most), lambda x: x.rlike(LINE_AMOUNT)), F.lit(True)), F.lit(0)), F.lit(-1))).cast("int"))
+    # _own: the line whose amounts count, 0 the start itself, -1 none.
+    waited = F.when(F.col("_own") == 0, F.array()).when(F.col("_own") > 0, F.slice("_more", F.lit(1), F.greatest(F.col("_own") - 1, F.lit(0)))).otherwise(F.slice("_more", 1, most))
+    first = F.when(F.col("_own") == 0, F.trim(F.regexp_extract("_rest", rf"^(.*?){LINE_AMOUNT}", 1))).otherwise(F.trim("_rest"))
+    tail = F.when(F.col("_own") >= 0, F.slice(F.filter(F.slice("_more", F.col("_own") + 1, F.lit(1 << 30)), lambda x: F.length(x) < longest), 1, most)).otherwise(F.array())
+    whole = groups.where((F.col("_own") >= 0) | (F.size("_more") >= most) | F.col("_last"))
+    whole = whole.withColumn("_found", F.when(F.col("_own") == 0, found(F.col("_rest"))).when(F.col("_own") > 0, found(F.get("_more", F.col("_own") - 1))).otherwise(F.array().cast("array<decimal(18,2)>")))
+    whole = whole.withColumn("description", F.array_join(F.concat(F.array(first), waited), " | ")).withColumn("_tail", tail)
+    made = built_transaction(whole, "description", F.col("_found"), credits, debits)
+    return made.withColumn("description", F.array_join(F.concat(F.array("description"), "_tail"), " | ")).drop("_rest", "_more", "_own", "_found", "_tail", "_last")
 
 
 def card_activity(lines: DataFrame, start: str = "(?i)ACCOUNT ACTIVITY", end: str = r"(?i)TRANSACTIONS THIS CYCLE") -> tuple[DataFrame, DataFrame]:
@@ -89,12 +145,18 @@ def check_rows(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("text").rlike(pattern)).select(*PAGE, *LINE, part(1).alias("check"), date.alias("date_text"), (-parse_money(part(3))).cast("decimal(18,2)").alias("amount"))
 
 
-def with_periods(lines: DataFrame, pattern: str = r"(?i)AS OF\s+([A-Z]+)\s+\d{1,2},\s+(\d{4})") -> DataFrame:
-    """The period of each page by its statement line, carried over the pages of a file."""
-    label = F.when(F.col("text").rlike(pattern), F.concat(F.initcap(F.substring(F.regexp_extract("text", pattern, 1), 1, 3)), F.lit(" "), F.regexp_extract("text", pattern, 2)))
-    pages = lines.groupBy(*PAGE).agg(F.min(label).alias("_p"))
+def page_periods(lines: DataFrame) -> DataFrame:
+    """(file, page_idx, period_text, period, year) of each page: the period it states as printed and as a label, the year that its
+    text names, each null where there is none."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*LINE, "text"))), lambda x: x["text"]), "\n")
+    pages = lines.groupBy(*PAGE).agg(text.alias("_t"))
+    return pages.select(*PAGE, statement_period(F.col("_t")).alias("period_text"), statement_year(F.col("_t")).alias("year")).withColumn("period", period_label(F.col("period_text")))
+
+
+def with_periods(lines: DataFrame) -> DataFrame:
+    """Lines with the period label of their page, carried over the pages of a file; 'Unknown' before the first."""
     w = Window.partitionBy("file").orderBy("page_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pages = pages.withColumn("period", F.coalesce(F.last("_p", ignorenulls=True).over(w), F.lit("Unknown"))).drop("_p")
+    pages = page_periods(lines).select(*PAGE, F.coalesce(F.last("period", ignorenulls=True).over(w), F.lit("Unknown")).alias("period"))
     return lines.join(pages, PAGE)
 
 

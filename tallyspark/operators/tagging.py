@@ -138,10 +138,11 @@ def split_outputs(rows: DataFrame, summary: DataFrame) -> dict[str, DataFrame]:
     return {"Tagged": rows, "Personal": rows.where(F.col("tag").startswith("Personal -")), "Review with Client": rows.where("tag_source = 'rwc'"), "Summary": summary}
 
 
-def learned(rows: DataFrame, client: str, vendor: str, date: Column) -> DataFrame:
-    """What a run adds to the memory: vendors tagged by the model or the preparer, once each."""
+def learned(rows: DataFrame, client: str, vendor: str, date: Column, order: list[str]) -> DataFrame:
+    """What a run adds to the memory: vendors tagged by the model or the preparer, each with the last tag in `order`."""
     good = rows.where(F.col("tag_source").isin("claude", "preparer") & (F.col("tag") != REVIEW))
-    return good.select(F.lit(client).alias("client_id"), F.col(vendor).alias("vendor_name"), "tag", "subcategory", F.col("tag_source").alias("source"), date.alias("date_tagged")).dropDuplicates(["client_id", "vendor_name"])
+    last = keep_last(good.withColumns({"client_id": F.lit(client), "vendor_name": F.col(vendor)}), ["client_id", "vendor_name"], order)
+    return last.select("client_id", "vendor_name", "tag", "subcategory", F.col("tag_source").alias("source"), date.alias("date_tagged"))
 
 
 def vocabulary(*parts: DataFrame, column: str = "tag") -> DataFrame:
@@ -197,13 +198,17 @@ def detect_format(docs: DataFrame, rules: DataFrame, key: str, text: str) -> Dat
     return docs.crossJoin(F.broadcast(table)).select(key, F.when(F.coalesce(F.trim(text), F.lit("")) == "", "no text").otherwise(F.coalesce(hit, F.lit("unknown"))).alias("format"))
 
 
-def best_match(rows: DataFrame, library: DataFrame, key: str, variant: str) -> DataFrame:
-    """The library's ref for a row's key: the exact variant, else ANY or blank; a blank ref is null."""
-    lib = library.select(F.col(key).alias("_k"), F.upper(F.coalesce(variant, F.lit(""))).alias("_v"), "ref")
-    rank = F.when(F.col("_v") == F.upper(variant), 0).when(F.col("_v").isin("ANY", ""), 1)
-    joined = rows.join(lib, F.col(key) == F.col("_k"), "left").withColumn("_rank", F.coalesce(rank, F.lit(2)))
-    w = Window.partitionBy(*rows.columns).orderBy("_rank", "ref")
-    return joined.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*rows.columns, F.when(F.col("_rank") < 2, F.nullif(F.trim("ref"), F.lit(""))).alias("ref"))
+def best_match(rows: DataFrame, library: DataFrame, key: str, variant: str | None, role: str, order: list[str]) -> DataFrame:
+    """The library's ref (key, role, variant, ref) for a row's key in a role: of the exact variant, else the first in `order`
+    that is for ANY or no variant. Without `variant` (an image) the first of the key counts, whatever its own. A blank ref is null."""
+    at = F.struct(*order)
+    lib = library.where(F.col("role") == role).select(F.col(key).alias("_k"), F.coalesce(variant, F.lit("")).alias("_v") if variant else F.lit("").alias("_v"), at.alias("_at"), F.nullif(F.trim("ref"), F.lit("")).alias("_ref"))
+    first = lib.groupBy("_k", "_v").agg(F.min_by(F.struct("_ref"), "_at").alias("_r"), F.min("_at").alias("_at"))
+    own = first.select("_k", "_v", F.col("_r._ref").alias("_own"), F.lit(True).alias("_has"))
+    others = lib.where(F.col("_v").isin("ANY", "") & F.col("_ref").isNotNull()).groupBy("_k").agg(F.min_by("_ref", "_at").alias("_any"))
+    wanted = F.col(variant) if variant else F.lit("")
+    out = rows.join(own, (F.col(key) == own["_k"]) & (wanted == own["_v"]), "left").drop("_k", "_v").join(others, F.col(key) == others["_k"], "left")
+    return out.select(*rows.columns, F.when(F.col("_has"), F.col("_own")).otherwise(F.col("_any") if variant else F.lit(None)).alias("ref"))
 
 
 def sparse_override(rows: DataFrame, overrides: DataFrame, key: str, name: str) -> DataFrame:
@@ -212,7 +217,12 @@ def sparse_override(rows: DataFrame, overrides: DataFrame, key: str, name: str)
     return rows.join(o, key, "left").withColumn(name, F.coalesce(F.nullif(F.trim("_o"), F.lit("")), F.col(key).cast("string"))).drop("_o")
 
 
-def classify_debit_credit(text: Column, credits: list[str], debits: list[str]) -> Column:
+#: Fixed values of the debit and credit test, credits first.
+CREDITS = ["Incoming Wire Transfer", "Incoming Wire", "Insufficient Funds", "ACH Electronic Credit", "Deposit", "Transfer From", "Direct Dep", "Wire Transfer Credit", "Zelle Credit", "Other Credit", "Refund", "Interest Payment", "Purchase Return"]
+DEBITS = ["Wire Transfer Fee", "Incoming Wire Fee", "Debit Card Purchase", "ACH Electronic Debit", "Check #", "Check#", "Recurring Card Purchase", "Bill Payment", "Online Payment", "Zelle Payment", "Zelle Debit", "Wire Transfer Debit", "ATM Withdrawal", "Cash Withdrawal", "Debit Pay", "Citibank Online Pmt", "Transfer To", "Transter to", "Outgoing Domestic", "Domestic Funds Transfer", "Service Fee", "Mobile Purchase", "Purchase"]
+
+
+def classify_debit_credit(text: Column, credits: list[str] = CREDITS, debits: list[str] = DEBITS) -> Column:
     """credit, debit or unknown; credit words are tried first."""
     return F.when(contains_any(text, credits), "credit").when(contains_any(text, debits), "debit").otherwise("unknown")
 

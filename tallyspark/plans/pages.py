@@ -89,19 +89,58 @@ def section_totals(spark, sf):
     return out.select("file", "section", dbl("stated").alias("total"), "status")
 
 
-@query(f"""WITH {LINES} SELECT o AS file, strftime(d, '%m/%d') AS date_text, 'Debit Card Purchase shop ' || p || CASE WHEN k % 2 = 0 THEN ' one more two more' ELSE '' END AS description, CAST(a AS DOUBLE) AS subtracted, CAST(a + 5 AS DOUBLE) AS balance FROM l""")
+@query(f"""WITH {LINES} SELECT o AS file, CASE WHEN k % 6 = 3 THEN strftime(d, '%m/%d/%y') ELSE strftime(d, '%m/%d') END AS date_text,
+  CASE k % 6 WHEN 1 THEN 'Debit Card Purchase shop ' || p || ' | one more | two more' WHEN 2 THEN 'Deposit ' || p || ' | tail' WHEN 3 THEN '[CHECK TYPE] Strange words ' || p || ' | first' WHEN 4 THEN 'Check # ' || p || ' | x | y' ELSE 'Purchase ' || p END AS description,
+  CAST(CASE WHEN k % 6 IN (1, 3, 0) THEN a END AS DOUBLE) AS subtracted, CAST(CASE WHEN k % 6 = 2 THEN a WHEN k % 6 = 0 THEN a + 1 END AS DOUBLE) AS added, CAST(CASE WHEN k % 6 = 4 THEN NULL WHEN k % 6 = 0 THEN a + 2 ELSE a + 5 END AS DOUBLE) AS balance FROM l WHERE k % 6 <> 5
+UNION ALL SELECT o, strftime(d, '%m/%d'), 'Refund ' || p, NULL, CAST(a AS DOUBLE), NULL FROM l WHERE k % 6 = 0
+UNION ALL SELECT o, strftime(d, '%m/%d'), 'Service charge of others', NULL, NULL, CAST(a AS DOUBLE) FROM l WHERE k % 6 = 4
+UNION ALL SELECT DISTINCT o, '12/31', 'At the end' || CASE WHEN o % 2 = 0 THEN ' | of the page' ELSE '' END, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM l""")
 def dated_lines(spark, sf):
-    """Dated rows with at most two further lines; boilerplate and a misread total row end them."""
-    from tallyspark.plans.tagged import CREDITS, DEBITS
+    """Dated rows with no amount, one, two and three, on their own line or on one of the two after it; long lines, furniture, balance
+    rows, starts that are dropped, and one that the end of a page leaves without amounts."""
 
     def row(r):
-        said = F.concat(_day(r), F.lit(" Debit Card Purchase shop "), r["p"].cast("string"))
-        money_ = F.concat(F.lit(" "), _amount(r["a"]), F.lit(" "), _amount(r["a"] + 5))
-        return F.when(r["k"] % 2 == 0, F.array(F.concat(said, money_), F.lit("one more"), F.lit("two more"), F.lit("three more"))).otherwise(F.array(said, F.trim(money_), F.lit("Totai Subtracted 1.00"), F.lit("late")))
-
-    lines = _pages(_lines(spark, sf), F.concat(F.array(F.lit("not dated 1.00")), F.flatten(F.transform("ls", row))))
-    out = st.dated_lines(lines, ["FDIC"], CREDITS, DEBITS)
-    return out.select("file", "date_text", "description", dbl("subtracted").alias("subtracted"), dbl("balance").alias("balance"))
+        m, said, pair = r["k"] % 6, lambda *x: F.concat(_day(r), *[F.lit(y) if isinstance(y, str) else y for y in x]), F.concat(F.lit(" "), _amount(r["a"]), F.lit(" "), _amount(r["a"] + 5))
+        p = r["p"].cast("string")
+        late = F.concat(F.date_format(r["d"], "MM/dd/yy"), F.lit(" Strange words "), p)
+        cases = [
+            F.array(said(" Purchase ", p, " ", _amount(r["a"]), " ", _amount(r["a"] + 1), " ", _amount(r["a"] + 2)), said(" Refund ", p, " ", _amount(r["a"]))),
+            F.array(F.lit("01/01 dropped words"), said(" Debit Card Purchase shop ", p, pair), F.repeat(F.lit("long "), 25), F.lit("one more"), F.lit("two more"), F.lit("three more")),
+            F.array(said(" Deposit ", p), F.trim(pair), F.lit("tail"), F.lit("Beginning Balance 5.00"), F.lit("late words")),
+            F.array(late, F.lit("first"), F.trim(pair), F.lit("  "), F.lit("if you have questions 1.00")),
+            F.array(said(" Check # ", p), F.lit("x"), F.lit("y"), F.lit("1.00"), said(" Service charge of others ", _amount(r["a"])), F.lit("Totai Subtracted 1.00")),
+            F.array(F.lit("01/02 dropped by furniture"), F.lit("PAGE 00 5.00"), said(" Opening Balance ", _amount(r["a"])), F.lit("after it 3.00")),
+        ]
+        out = cases[5]
+        for k in range(4, -1, -1):
+            out = F.when(m == k, cases[k]).otherwise(out)
+        return out
+
+    end = F.when(F.col("o") % 2 == 0, F.array(F.lit("12/31 At the end"), F.lit("of the page"))).otherwise(F.array(F.lit("12/31 At the end")))
+    lines = _pages(_lines(spark, sf), F.concat(F.array(F.lit("not dated 1.00")), F.flatten(F.transform("ls", row)), end))
+    out = st.dated_lines(lines)
+    return out.select("file", "date_text", "description", *[dbl(c).alias(c) for c in ("subtracted", "added", "balance")])
+
+
+@query("""SELECT c_custkey AS file, CASE c_custkey % 6 WHEN 0 THEN 'April 30, 2025' WHEN 1 THEN 'April 1 - May 2, 2024' WHEN 2 THEN '04/01/2023 - 04/30/2023' WHEN 3 THEN 'June 3, 2022 through July 2, 2022' END AS period_text,
+CASE c_custkey % 6 WHEN 0 THEN 'Apr 2025' WHEN 1 THEN 'Apr 2024' WHEN 3 THEN 'Jun 2022' END AS period, CASE c_custkey % 6 WHEN 0 THEN '2025' WHEN 1 THEN '2024' WHEN 3 THEN '2022' WHEN 4 THEN '2021' END AS year FROM customer""")
+def statement_periods(spark, sf):
+    """Each way in which statements print their period, a year in a copyright line, and words that only look like months."""
+    c = F.col("c_custkey")
+    texts = ["BASIC BANKING PACKAGE AS OF April 30, 2025 PAGE", "Checking April 1 - May 2, 2024 account", "Statement Period: 04/01/2023 - 04/30/2023", "June 3, 2022 through July 2, 2022", "© 2021 Bank", "Marketing 2023 report, decision of 2021"]
+    text = F.element_at(F.array(*map(F.lit, texts)), (c % 6 + 1).cast("int"))
+    pages = table(spark, sf, "customer").select(c.alias("file"), F.lit(0).alias("page_idx"), F.posexplode(F.array(F.lit("a page"), text, F.lit("the end"))).alias("line_idx", "text"))
+    return st.page_periods(pages).select("file", "period_text", "period", F.col("year").cast("string").alias("year"))
+
+
+@query("""SELECT (s_suppkey % 3) AS kind, count(*) AS n FROM supplier WHERE s_suppkey % 3 <> 2 OR s_suppkey % 2 = 0 GROUP BY 1""")
+def skipped_lines(spark, sf):
+    """Furniture of account pages and mobile lists goes, one pattern after the other; transactions stay."""
+    k = F.col("s_suppkey")
+    chrome = ["DATE  DESCRIPTION", "page 3", "$1,234.56", "Total Fees 2.00", "3.10 % APY", "Freedom Unlimited (...1234)", "12 transactions", "1-888-555", "CATEGORY"]
+    text = F.when(k % 3 == 0, "Jan 6 Purchase - $88.29 $1,000.00").when(k % 3 == 1, "total of the day").when(k % 2 == 0, "Jan 7 fees - $1.00").otherwise(F.element_at(F.array(*map(F.lit, chrome)), (k % len(chrome) + 1).cast("int")))
+    lines = table(spark, sf, "supplier").select((k % 3).alias("kind"), text.alias("text"))
+    return st.without_lines(lines, [*st.ACCOUNT_SKIP, *st.MOBILE_SKIP]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {LINES}, t AS (SELECT o, sum(a * CASE WHEN k % 4 = 0 THEN -1 ELSE 1 END) AS s FROM l GROUP BY o) SELECT o AS file, CAST(abs(s) AS DOUBLE) AS parsed, CAST(CASE WHEN o % 7 = 0 THEN s + 1 ELSE s END AS DOUBLE) AS total, CASE WHEN abs((CASE WHEN o % 7 = 0 THEN s + 1 ELSE s END) - abs(s)) > 0.01 THEN 'GAP' ELSE 'MATCH' END AS status FROM t""")

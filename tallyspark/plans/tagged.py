@@ -8,10 +8,6 @@ from tallyspark.functions.vendor import vendor_name
 from tallyspark.operators import tagging as t
 from tallyspark.plans.common import dbl, money, query, table
 
-#: Fixed values of the debit and credit test, credits first.
-CREDITS = ["Incoming Wire Transfer", "Incoming Wire", "Insufficient Funds", "ACH Electronic Credit", "Deposit", "Transfer From", "Direct Dep", "Wire Transfer Credit", "Zelle Credit", "Other Credit", "Refund", "Interest Payment", "Purchase Return"]
-DEBITS = ["Wire Transfer Fee", "Incoming Wire Fee", "Debit Card Purchase", "ACH Electronic Debit", "Check #", "Check#", "Recurring Card Purchase", "Bill Payment", "Online Payment", "Zelle Payment", "Zelle Debit", "Wire Transfer Debit", "ATM Withdrawal", "Cash Withdrawal", "Debit Pay", "Citibank Online Pmt", "Transfer To", "Transter to", "Outgoing Domestic", "Domestic Funds Transfer", "Service Fee", "Mobile Purchase", "Purchase"]
-
 
 def _rows(spark, sf):
     """Line items as transactions of the part's brand; every third is an income."""
@@ -132,12 +128,18 @@ def ledger_rules(spark, sf):
     return three_levels(x, "section", "sub", F.col("p_type").alias("line"), "a").select("section", "line", dbl("total").alias("total"), "n")
 
 
-@query("""WITH lib AS (SELECT r_name, CASE WHEN r_regionkey % 2 = 0 THEN 'MALE' ELSE 'ANY' END AS g, r_regionkey AS k FROM region)
-SELECT n_nationkey, CASE WHEN n_regionkey % 2 = 1 THEN 'ref' || CAST(n_regionkey AS VARCHAR) WHEN n_nationkey % 2 = 0 THEN 'ref' || CAST(n_regionkey AS VARCHAR) END AS ref FROM nation""")
+@query("""SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'male0' ELSE 'any0' END WHEN 1 THEN CASE WHEN n_nationkey % 2 = 1 THEN 'blank1' END WHEN 2 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'male2' END WHEN 3 THEN 'any3' END AS icon,
+CASE WHEN n_regionkey IN (0, 4) THEN 'image' || n_regionkey END AS image FROM nation""")
 def fallback_match(spark, sf):
-    lib = table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.when(F.col("r_regionkey") % 2 == 0, "MALE").otherwise("any").alias("variant"), F.concat(F.lit("ref"), F.col("r_regionkey").cast("string")).alias("ref"))
+    """Icons by variant, with what is for any (the first of two) where there is none; an exact one without a ref gives none. Images
+    whatever their variant; the first of a key counts."""
+    k = F.col("r_regionkey")
+    entries = [(0, "icon", "male", "male0"), (0, "icon", "ANY", "any0"), (0, "icon", "", "late0"), (0, "image", "male", "image0"), (0, "image", "ANY", "late0"), (1, "icon", "male", " "), (1, "icon", "", "blank1"), (2, "icon", "male", "male2"), (3, "icon", "ANY", ""), (3, "icon", "", "any3"), (3, "image", "ANY", ""), (3, "image", "", "late3"), (4, "image", "female", "image4")]
+    rule = F.explode(F.filter(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(i).alias("place"), F.lit(a).alias("role"), F.lit(v).alias("variant"), F.lit(x).alias("ref")) for i, (r, a, v, x) in enumerate(entries)]), lambda e: e["r"] == k))
+    lib = table(spark, sf, "region").select(k.alias("n_regionkey"), rule.alias("e")).select("n_regionkey", "e.place", "e.role", "e.variant", "e.ref")
     rows = table(spark, sf, "nation").select("n_nationkey", "n_regionkey", F.when(F.col("n_nationkey") % 2 == 0, "male").otherwise("female").alias("variant"))
-    return t.best_match(rows, lib, "n_regionkey", "variant").select("n_nationkey", "ref")
+    icons = t.best_match(rows, lib, "n_regionkey", "variant", "icon", ["place"]).withColumnRenamed("ref", "icon")
+    return t.best_match(icons, lib, "n_regionkey", None, "image", ["place"]).select("n_nationkey", "icon", F.col("ref").alias("image"))
 
 
 @query("""SELECT n_nationkey, CASE WHEN n_regionkey % 2 = 1 THEN 'group' || CAST(n_regionkey AS VARCHAR) ELSE CAST(n_regionkey AS VARCHAR) END AS asset FROM nation""")
@@ -151,7 +153,7 @@ def debit_credit(spark, sf):
     """Credits are tried first; misread words, parts of words and texts of neither kind."""
     texts = F.array(*map(F.lit, ["Mobile purchase return X", "ZELLE PAYMENT to X", "Returned insufficient funds - Check #12", "Something else", "TRANSTER TO savings", "x citibank online pmt 12", "Online Pmt", "", "Incoming wire fee"]))
     o = table(spark, sf, "orders").select("o_orderkey", F.get(texts, (F.col("o_orderkey") % 9).cast("int")).alias("d"))
-    return o.select("o_orderkey", t.classify_debit_credit(F.col("d"), CREDITS, DEBITS).alias("kind"))
+    return o.select("o_orderkey", t.classify_debit_credit(F.col("d")).alias("kind"))
 
 
 @query("""WITH u AS (SELECT p_brand AS tag, 0 AS part, p_partkey AS pos FROM part UNION ALL SELECT c_mktsegment, 1, c_custkey FROM customer UNION ALL SELECT p_brand, 2, p_partkey FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY part, pos) AS n FROM u) SELECT tag, part, pos FROM r WHERE n = 1""")
