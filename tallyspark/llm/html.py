@@ -25,13 +25,12 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import blocks, bounded_batches, materialize, task, text_bytes
 
-#: Bounded so that no text makes the scan quadratic: a quoted value may be of any length without < and >, or of 4096
-#: characters with them; a tag has at most 256 parts (quoted values and the text between them).
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]{0,4096}>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]{0,100})((?:\"(?:[^\"<>]*+\"|[^\"]{0,4096}\")|'(?:[^'<>]*+'|[^']{0,4096}')|[^'\"<>]++|<){0,256}+)>|<[!?][^>]{0,4096}>",
-    re.S | re.I,
-)
+#: A tag without attributes; the name of any tag; what ends a tag or begins an attribute's value.
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'=]*)(\s*)>")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP, SPACE = re.compile(r"[>=]"), re.compile(r"\s*")
+#: Elements whose content is text up to their end tag and goes with them.
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea")}
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -57,23 +56,94 @@ NOISE_TAGS = frozenset("head nav footer aside form button menu dialog fieldset".
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NOISE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|sidebar|side-?bar|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header"
-    r"|comments?|commentlist|disqus|replies|share|sharing|social|related|recommended|newsletter|subscribe|popup|modal|overlay|widgets?|pagination|pager|login|signup|copyright|disclaimer|hidden)(?:$|[\s_-])",
+    r"|comments?|commentlist|discussion|disqus|replies|share|sharing|social|related|recommended|newsletter|subscribe|popup|modal|overlay|widgets?|pagination|pager|login|signup|copyright|disclaimer|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: In a marked article a class or id names noise only as a whole: words that say so by themselves, words that do so in company, and words
+#: that name any part of a page.
+NOISE_ALONE = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion cookie cookies gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead comments commentlist disqus replies newsletter subscribe popup modal pagination pager login signup".split())
+NOISE_JOINED = NOISE_ALONE | frozenset("comment notice notices consent banner share sharing social related recommended footer reply site side".split())
+PART_NAMES = frozenset("area bar block box button buttons container content form header inner item items left link links list main outer panel post posts article articles stories right section slot top bottom unit widget wrap wrapper".split())
 #: Importance under which a node is noise, and the number of different pages that a node must occur in.
 LOW_IMPORTANCE, LEAST_PAGES = 0.05, 6
 #: Noise of so many nodes (8 bytes each) at most is broadcast; more is joined to the pages by a shuffle.
 BROADCAST_NODES = 1_000_000
 
 
-@lru_cache(20_000)
-def _attributes(text: str) -> tuple[str, bool, bool]:
-    """Of the attributes of a tag: the class as written, whether they name noise, whether they name the main part."""
+def _names_noise(name: str, is_class: bool) -> bool:
+    """Whether a class or id of an element inside an article names noise: cookie-notice does, notice-period doesn't."""
+    words = [w for w in re.split(r"[_\W\d]+|(?<=[a-z])(?=[A-Z])", name) if w]
+    low = [w.lower() for w in words]
+    if len(low) == 1:
+        return low[0] in NOISE_ALONE or (is_class and low[0] == "discussion")
+    return any(w in NOISE_JOINED for w in low) and all(w in NOISE_JOINED or w in PART_NAMES for w in low)
+
+
+def _attributes(text: str) -> tuple[str, bool, bool, bool]:
+    """Of the attributes of a tag: the class as written, whether they name noise on a page, whether in an article, whether the main part."""
+    return _known_attributes(text) if len(text) <= 1000 else _known_attributes.__wrapped__(text)
+
+
+@lru_cache(10_000)
+def _known_attributes(text: str) -> tuple[str, bool, bool, bool]:
     found = {a.lower(): html.unescape(b or c or d) for a, b, c, d in ATTRIBUTE.findall(text)}
     style = found.get("style", "").replace(" ", "").lower()
-    noise = bool(NOISE_NAMES.search(found.get("class", "")) or NOISE_NAMES.search(found.get("id", ""))) or found.get("role", "").lower() in NOISE_ROLES
-    noise |= "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
-    return found.get("class", ""), noise, found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody"
+    hidden = found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+    names = found.get("class", ""), found.get("id", "")
+    loose = hidden or any(map(NOISE_NAMES.search, names))
+    strict = hidden or any(_names_noise(x, True) for x in names[0].split()) or _names_noise(names[1], False)
+    return names[0], loose, strict, found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody"
+
+
+def _tag_end(source: str, at: int) -> int:
+    """The place of the > that ends the tag whose name ends at `at`, or -1. A quoted value may hold any text; one whose quote is
+    never closed counts as unquoted."""
+    while True:
+        m = STOP.search(source, at)
+        if not m:
+            return -1
+        if m[0] == ">":
+            return m.start()
+        at = SPACE.match(source, m.end()).end()
+        if source[at : at + 1] in ('"', "'"):
+            closed = source.find(source[at], at + 1)
+            at = closed + 1 if closed >= 0 else at + 1
+
+
+def markup(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, stop, closes, tag, attributes) of each piece of markup; comments, declarations and the elements of RAW have an empty
+    tag. Every character is looked at a bounded number of times, and nothing is bounded: what browsers take for one tag is one."""
+    at, n = source.find("<"), len(source)
+    while at >= 0:
+        m = PLAIN.match(source, at)
+        if m:
+            closes, tag, name, stop = m[1] == "/", m[2].lower(), "", m.end()
+        else:
+            after = source[at + 1 : at + 2]
+            closes = after == "/"
+            named = NAME.match(source, at + 1 + closes)
+            if not named:
+                if after in ("!", "?") or (closes and at + 2 < n):
+                    end = source.find("-->", at + 2) if source.startswith("<!--", at) else source.find(">", at + 2)
+                    stop = n if end < 0 else end + (3 if source.startswith("<!--", at) else 1)
+                    yield at, stop, False, "", ""
+                    at = source.find("<", stop)
+                else:
+                    at = source.find("<", at + 1)
+                continue
+            end = _tag_end(source, named.end())
+            stop = n if end < 0 else end + 1
+            tag, name = named[0].lower(), source[named.end() : n if end < 0 else end]
+        if tag in RAW and not closes:
+            m = RAW[tag].search(source, stop)
+            if m:
+                end = _tag_end(source, m.end())
+                stop = n if end < 0 else end + 1
+            else:
+                stop = n
+            tag = ""
+        yield at, stop, closes, tag, name
+        at = source.find("<", stop)
 
 
 class Page:
@@ -90,17 +160,14 @@ class Page:
         self.stack: list[tuple[str, int, bool, bool, bool, list[str]]] = [("", 0, False, False, False, [])]
         self.holders = [self.stack[0]]  # the open elements that aren't inline
         done = 0
-        for m in TOKEN.finditer(source):
-            if m.start() > done:
-                self._text(source[done : m.start()])
-            done = m.end()
-            tag = m[3]
-            if tag is None:
-                continue
-            if m[2]:
-                self._close(tag.lower())
-            else:
-                self._open(tag.lower(), m[4])
+        for start, stop, closes, tag, attributes in markup(source):
+            if start > done:
+                self._text(source[done:start])
+            done = stop
+            if closes:
+                self._close(tag)
+            elif tag:
+                self._open(tag, attributes)
         if done < len(source):
             self._text(source[done:])
         while len(self.stack) > 1:
@@ -178,8 +245,9 @@ class Page:
             self.hidden = len(self.stack)
             self._push((tag, *self.stack[-1][1:5], []))
             return
-        name, noise, main = _attributes(attributes) if attributes and not attributes.isspace() else ("", False, False)
+        name, loose, strict, main = _attributes(attributes) if attributes and not attributes.isspace() else ("", False, False, False)
         _, path, was_noise, was_main, link, children = self.stack[-1]
+        noise = strict if was_main else loose
         if tag not in INLINE:
             children.append(tag)
         article = was_main or main or tag in ("article", "main")

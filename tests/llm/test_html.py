@@ -71,7 +71,29 @@ def test_embedded_elements_end_where_they_end():
     assert Page("<p>a <math><mi>x</mi></math> b</p><figure><figcaption>no</figcaption></figure>").main_text(set()) == "a b"
 
 
+def test_tags_of_any_length_are_tags():
+    text = lambda x: Page(f"<body><article>{x}</article><p>outside</p></body>").main_text(set())
+    many = " ".join(f'data-{i}="v > {i}"' for i in range(3000))
+    assert text(f"<p>Good.</p><script {many}>var bad=1; if (a < b) document.write('<p>no')</script><style {many}>p{{}}</style><p {many}>End.</p>") == "Good. End."
+    assert text(f'<p>a</p><p title="{"x>" * 20000}">b</p><img alt=\'{"<p>" * 9000}\'>c') == "a b c"
+    assert text("<p>a</P ><p class=x>b</p x='>'> c<br/>d</ p>e<>f<3<p>g <!-->h--> i") == "a b c de<>f<3 g h--> i"
+    assert text("<p>a <ab" + "c" * 5000 + ">b</p>") == "a b"
+    assert Page("<p>a</p><p title='never closed>b</p>").main_text(set()) == "a b"
+
+
+@pytest.mark.parametrize("opened,stays", [
+    ('<div class="notice-period">', True), ('<section id="related">', True), ('<div class="social history">', True), ('<section id="discussion">', True), ('<p class="share-price">', True), ('<div class="header-note">', True), ('<p class="page-2">', True),
+    ('<div class="ad">', False), ('<div class="ad-slot-3">', False), ('<div class="adBox">', False), ('<div class="cookie-notice">', False), ('<ul class="share_buttons">', False), ('<section id="comments">', False), ('<div class="comment-list">', False), ('<div class="discussion">', False), ('<div class="x related-posts">', False), ("<div hidden>", False), ("<div style='display: none'>", False), ("<nav>", False), ("<form>", False),
+])
+def test_names_in_an_article(opened, stays):
+    tag = re.match(r"<(\w+)", opened)[1]
+    got = Page(f"<article><p>Good.</p>{opened}Two weeks.</{tag}><p>End.</p></article>").main_text(set())
+    assert got == ("Good. Two weeks. End." if stays else "Good. End.")
+
+
 HOSTILE = {
+    "long tags": lambda k: "<p " + "a=1 " * k + ">" + "x</p>" * k,
+    "quotes of two kinds": lambda k: "<a b=\"'\" c='\"'>" * k,
     "unclosed quotes": lambda k: '<a href="x ' * k,
     "paragraphs with blocks": lambda k: "<p><div>" * k + "x",
     "tags without an end": lambda k: "<a <a " * k,
