@@ -28,43 +28,51 @@ def first_where(cells: Column | str, test, start: Column | int = 0) -> Column:
     return F.when(at > 0, (at - 1).cast("int"))
 
 
-def shift_left(df: DataFrame, column: int, cells: str = "cells", test=has_date) -> DataFrame:
+def _at(k: int | Column) -> Column:
+    return k if isinstance(k, Column) else F.lit(k)
+
+
+def shift_left(df: DataFrame, column: int | Column, cells: str = "cells", test=has_date) -> DataFrame:
     """Right-shift repair: if the cell at `column` fails the test, everything from the first later cell that
     passes moves left to it and nulls fill the end. offset: cells moved, 0 for none."""
+    column = _at(column)
     at = first_where(cells, test, column)
     off = F.when(F.coalesce(test(cell(cells, column)), F.lit(False)), 0).otherwise(F.coalesce(at - column, F.lit(0)))
-    moved = F.concat(F.slice(cells, 1, column), F.slice(cells, F.col("offset") + column + 1, F.greatest(F.size(cells) - F.col("offset") - column, F.lit(0))), F.array_repeat(F.lit(None).cast("string"), F.col("offset")))
+    moved = F.concat(F.slice(cells, F.lit(1), column), F.slice(cells, F.col("offset") + column + 1, F.greatest(F.size(cells) - F.col("offset") - column, F.lit(0))), F.array_repeat(F.lit(None).cast("string"), F.col("offset")))
     return df.withColumn("offset", off.cast("int")).withColumn(cells, F.when(F.col("offset") > 0, moved).otherwise(F.col(cells)))
 
 
-def move_cell(df: DataFrame, source: Column, target: int, when: Column, cells: str = "cells", flag: str | None = None) -> DataFrame:
+def move_cell(df: DataFrame, source: Column, target: int | Column, when: Column, cells: str = "cells", flag: str | None = None) -> DataFrame:
     """Moves the cell at `source` to `target` and leaves null behind, where `when` holds."""
+    target = _at(target)
     out = df.withColumn("_from", F.when(when, source))
-    wide = F.concat(F.col(cells), F.array_repeat(F.lit(None).cast("string"), F.greatest(F.lit(target + 1) - F.size(cells), F.lit(0))))
+    wide = F.concat(F.col(cells), F.array_repeat(F.lit(None).cast("string"), F.greatest(target + 1 - F.size(cells), F.lit(0))))
     moved = F.transform(wide, lambda c, i: F.when(i == target, F.get(F.col(cells), F.col("_from"))).when(i == F.col("_from"), None).otherwise(c))
     out = out.withColumn("_hit", F.col("_from").isNotNull()).withColumn(cells, F.when(F.col("_hit"), moved).otherwise(F.col(cells)))
     return (out.withColumnRenamed("_hit", flag) if flag else out.drop("_hit")).drop("_from")
 
 
-def date_left_shift(df: DataFrame, column: int, cost: int, cells: str = "cells", flag: str | None = None) -> DataFrame:
+def date_left_shift(df: DataFrame, column: int | Column, cost: int | Column, cells: str = "cells", flag: str | None = None) -> DataFrame:
     """A date one cell too far left moves right, in rows with a numeric cost."""
-    return move_cell(df, F.lit(column - 1), column, blank(cell(cells, column)) & has_date(cell(cells, column - 1)) & is_money(cell(cells, cost)), cells, flag)
+    column = _at(column)
+    return move_cell(df, column - 1, column, blank(cell(cells, column)) & has_date(cell(cells, column - 1)) & is_money(cell(cells, cost)), cells, flag)
 
 
-def collapse_gain(df: DataFrame, cost: int, gain: int, cells: str = "cells", any_value: bool = False, flag: str | None = "collapsed") -> DataFrame:
+def collapse_gain(df: DataFrame, cost: int | Column, gain: int | Column, cells: str = "cells", any_value: bool = False, flag: str | None = "collapsed") -> DataFrame:
     """An empty gain cell takes the nearest number (or any value) left of it, behind the cost."""
     test = (lambda c: ~blank(c)) if any_value else (lambda c: is_money(c))
     spots = F.filter(F.transform(cells, lambda c, i: F.when((i > cost) & (i < gain) & F.coalesce(test(c), F.lit(False)), i)), lambda i: i.isNotNull())
     return move_cell(df, F.array_max(spots), gain, blank(cell(cells, gain)) & (F.size(spots) > 0) & is_money(cell(cells, cost)), cells, flag)
 
 
-def fed_tax_shift(df: DataFrame, gain: int, fed: int, cells: str = "cells", fired: str = "collapsed", flag: str | None = None) -> DataFrame:
+def fed_tax_shift(df: DataFrame, gain: int | Column, fed: int | Column, cells: str = "cells", fired: str = "collapsed", flag: str | None = None) -> DataFrame:
     """The cell behind the gain moves to the tax column, only in rows where the gain was repaired."""
-    return move_cell(df, F.lit(fed - 1), fed, F.col(fired) & blank(cell(cells, fed)) & is_money(cell(cells, fed - 1)) & F.lit(fed - 1 > gain), cells, flag)
+    fed = _at(fed)
+    return move_cell(df, fed - 1, fed, F.col(fired) & blank(cell(cells, fed)) & is_money(cell(cells, fed - 1)) & (fed - 1 > _at(gain)), cells, flag)
 
 
-def realign(grid: DataFrame, sold: int, cost: int, gain: int, optional: list[int], cells: str = "cells", acquired: int | None = None, fed: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The repaired grid and, for each sheet, how many rows each repair touched.
+def realign(grid: DataFrame, sold: int | Column, cost: int | Column, gain: int | Column, optional: list[int] | Column, cells: str = "cells", acquired: int | Column | None = None, fed: int | Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The repaired grid and, for each sheet, how many rows each repair touched. Positions are numbers or columns of the grid.
 
     First rows that slid right come back, then a date acquired that slid one cell left, a collapsed gain, and, only where
     the gain was repaired, the tax. offset, moved_right, collapsed and fed_moved say what was done to a row; rows whose
@@ -79,13 +87,32 @@ def realign(grid: DataFrame, sold: int, cost: int, gain: int, optional: list[int
     if fed is not None:
         out = fed_tax_shift(out, gain, fed, cells, flag="fed_moved")
         log["fed_moved"] = F.col("fed_moved")
-    review = F.exists(F.array(*[~blank(cell(cells, k)) & (F.coalesce(parse_money(cell(cells, k)), F.lit(0)) != 0) for k in optional]), lambda x: x)
+    places = optional if isinstance(optional, Column) else F.array(*map(F.lit, optional))
+    review = F.exists(places, lambda k: ~blank(cell(cells, k)) & (F.coalesce(parse_money(cell(cells, k)), F.lit(0)) != 0))
     # A later filter on the cells would be copied into the repairs' expressions, each time several times over.
     out = out.withColumn("review", review).withColumn(cells, F.when(F.monotonically_increasing_id() >= 0, F.col(cells)))
     log["review"] = F.col("review")
     return out, out.groupBy("file", "sheet").agg(*[F.count_if(v).alias(k) for k, v in log.items()])
 
 
+def detected_positions(grid: DataFrame, formats: DataFrame) -> DataFrame:
+    """For each file the row of `formats` (format, acquired, sold, cost, gain, optional, fed) that fits its first sheet best, with the
+    anchors found there as date_col and cost_col: the date and the cost column by the sheet's profile, scored against each format's.
+    A sheet without dates or numbers scores 0 everywhere and has the first format by name."""
+    first = grid.join(grid.groupBy("file").agg(F.min("sheet_idx").alias("sheet_idx")), ["file", "sheet_idx"], "left_semi")
+    found = anchors(profile_columns(first, ["file"]), ["file"])
+    known = formats.select("*", F.col("acquired").alias("format_date"), F.col("cost").alias("format_cost"))
+    return rank_formats(found, known).where("rank = 1").drop("format_date", "format_cost", "rank")
+
+
+def realign_detected(grid: DataFrame, formats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """realign for files of any of the formats (a fixed small table) in one pass, each by the positions that its first sheet shows;
+    the positions stay as columns of the grid."""
+    at = detected_positions(grid, formats).select("file", *[F.col(c) for c in ("format", "acquired", "sold", "cost", "gain", "optional", "fed")])
+    c = F.col
+    return realign(grid.join(at, "file"), c("sold"), c("cost"), c("gain"), c("optional"), acquired=c("acquired"), fed=c("fed"))
+
+
 def lines_of(c: Column) -> Column:
     """The lines of a cell, trimmed, without blank ones."""
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
@@ -135,11 +162,41 @@ def header_row(grid: DataFrame, keywords: list[str], by: list[str], least: int =
     return rows.groupBy(*by).agg(F.min(F.when(F.col("hits") >= least, F.col("row_idx"))).alias("header_row"))
 
 
-def header_texts(grid: DataFrame, by: list[str], last_header: str) -> DataFrame:
-    """The texts of all header rows down to `last_header`, joined per column."""
-    cells = grid.where(F.col("row_idx") <= F.col(last_header)).select(*by, "row_idx", F.posexplode("cells").alias("col", "text")).where(~blank(F.col("text")))
-    parts = F.array_sort(F.collect_list(F.struct("row_idx", "text")))
-    return cells.groupBy(*by, "col").agg(F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("header"))
+def header_span(grid: DataFrame, by: list[str], opens: Column, closes: Column, words: list[str], least: int) -> DataFrame:
+    """(by, header_start, header_end) of each sheet with a header: from the last row that opens one before the first that closes it
+    (alone, if none does); without one that opens, the first row with `least` of the words. Sheets without a header give no row."""
+    text = F.lower(F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), " "))
+    hits = F.size(F.filter(F.array(*[F.lit(k.lower()) for k in words]), lambda k: F.contains(text, k)))
+    rows = grid.select(*by, "row_idx", F.coalesce(opens, F.lit(False)).alias("_o"), F.coalesce(closes, F.lit(False)).alias("_c"), (hits >= least).alias("_d"))
+    list_of = lambda flag: F.array_sort(F.collect_list(F.when(flag, F.col("row_idx"))))
+    found = rows.where("_o or _c or _d").groupBy(*by).agg(list_of(F.col("_o")).alias("_os"), list_of(F.col("_c") & ~F.col("_o")).alias("_cs"), F.min(F.when(F.col("_d"), F.col("row_idx"))).alias("_dense"))
+    end = F.get(F.filter("_cs", lambda x: x > F.get("_os", F.lit(0))), F.lit(0))
+    start = F.array_max(F.filter("_os", lambda x: end.isNull() | (x < end)))
+    out = found.select(*by, F.when(F.size("_os") > 0, start).otherwise(F.col("_dense")).alias("header_start"), F.when(F.size("_os") > 0, F.coalesce(end, start)).otherwise(F.col("_dense")).alias("header_end"))
+    return out.where("header_start is not null")
+
+
+def header_texts(grid: DataFrame, by: list[str], span: DataFrame) -> DataFrame:
+    """(by, col, header): the texts of the rows of each sheet's header, joined per column, in lower case."""
+    rows = grid.join(span, by).where(F.col("row_idx").between(F.col("header_start"), F.col("header_end")))
+    cells = rows.select(*by, "row_idx", F.posexplode("cells").alias("col", "text")).where(F.trim("text") != "")
+    parts = F.array_sort(F.collect_list(F.struct("row_idx", F.trim("text").alias("text"))))
+    return cells.groupBy(*by, "col").agg(F.lower(F.array_join(F.transform(parts, lambda x: x["text"]), " ")).alias("header"))
+
+
+def mapped_columns(grid: DataFrame, by: list[str], span: DataFrame, rules: list[tuple[str, Column]], defaults: dict[str, int]) -> DataFrame:
+    """The rows below each sheet's header with `at`, a map of field to column: a column whose header texts fit has the field of the first
+    rule (on the column `header`) that does; of several columns the last one counts; fields that none has are at their
+    default. Sheets without a header go."""
+    field = F.lit(None).cast("string")
+    for name, rule in reversed(rules):
+        field = F.when(rule, name).otherwise(field)
+    named = header_texts(grid, by, span).select(*by, "col", field.alias("field")).where("field is not null").groupBy(*by, "field").agg(F.max("col").alias("col"))
+    maps = named.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "col")))).alias("_own"))
+    usual = F.create_map(*[x for name, k in defaults.items() for x in (F.lit(name), F.lit(k))])
+    both = F.map_zip_with(usual, F.coalesce("_own", F.create_map().cast("map<string,int>")), lambda name, usually, own: F.coalesce(own, usually))
+    sheets = span.join(maps, by, "left").select(*by, "header_end", both.alias("at"))
+    return grid.join(sheets, by).where(F.col("row_idx") > F.col("header_end")).drop("header_end")
 
 
 def cell_class(c: Column) -> Column:

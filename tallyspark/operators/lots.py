@@ -63,9 +63,42 @@ def apex_clearing(grid: DataFrame) -> DataFrame:
     return carried(grid, (F.size(g.filled("cells")) <= 2) & ~g.blank(_c(0)) & ~has_date(_c(0)), null_if_blank(_c(0)), has_date(_c(0)) & is_money(_c(7)), {"date_sold": 0, "proceeds": 2, "date_acquired": 4, "cost": 5, "wash_sale_loss": 6})
 
 
+#: The words of a header, the usual columns, and rows of totals and footers.
+ROBINHOOD_WORDS = ["quantity", "1b-", "1c-", "1d-", "1e-", "proceeds", "cost", "basis"]
+ROBINHOOD_COLUMNS = {"date_sold": 0, "quantity": 1, "proceeds": 2, "date_acquired": 3, "cost": 4, "wash_sale_loss": 5, "additional_info": 7}
+ROBINHOOD_SKIP = r"important tax information|furnished to the internal revenue service|irs determines|negligence penalty|taxpayers are ultimately responsible|security total|security subtotal|^\s*totals"
+
+
+def robinhood_rules() -> list[tuple[str, Column]]:
+    """Which field a column has, by the texts of its header; the first rule that fits counts."""
+    has = lambda *words: F.forall(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("header"), w))
+    return [
+        ("date_sold", has("1c-") | has("sold", "disposed")),
+        ("quantity", has("quantity") & ~has("1")),
+        ("proceeds", has("1d-") | (has("proceeds") & ~has("reported"))),
+        ("date_acquired", has("1b-") | has("date", "acquired")),
+        ("cost", has("1e-") | has("cost", "basis")),
+        ("accrued_market_discount", has("1f-") | has("accrued", "market", "discount")),
+        ("wash_sale_loss", has("1g-") | has("wash", "sale")),
+        ("additional_info", has("additional", "info")),
+    ]
+
+
 def robinhood(grid: DataFrame) -> DataFrame:
-    named = ~g.blank(_c(0)) & ~has_date(_c(0)) & F.array_join(g.filled("cells"), " ").rlike(r"(?i)cusip|^[A-Z][A-Za-z .,&'-]+$")
-    return carried(grid, named, null_if_blank(_c(0)), has_date(_c(0)) & is_money(_c(2)), {"date_sold": 0, "proceeds": 2, "date_acquired": 3, "cost": 4, "wash_sale_loss": 5}, within_sheet=True)
+    """Columns by the texts of a header of several rows; a row that names a security, then its lots. Sheets without a header and
+    lots before the first name go."""
+    by, text = ["file", "sheet_idx"], F.array_join(F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))), " ")
+    low, up = F.lower(text), F.upper(text)
+    opens = low.contains("1a-") & low.contains("description")
+    closes = (low.contains("sold") | low.contains("disposed")) & low.contains("quantity")
+    rows = g.mapped_columns(grid, by, g.header_span(grid, by, opens, closes, ROBINHOOD_WORDS, 4), robinhood_rules(), ROBINHOOD_COLUMNS)
+    security = up.rlike(r"CUSIP ?:|\b(?:INC|CORP|LTD|PLC|COMPANY|CO)\b.*\b(?:COMMON|STOCK|CLASS)\b|[A-Z]{2,}\s+(?:INC|CORP)\.?\s+(?:COMMON\s+)?STOCK")
+    named = F.get(F.filter("cells", lambda c: (F.length(F.trim(c)) > 10) & F.upper(c).rlike("CUSIP|STOCK|INC")), F.lit(0))
+    named = F.coalesce(F.trim(F.regexp_replace(F.trim(F.replace(named, F.lit("(cont'd)"), F.lit(""))), r"/\s*Symbol:\s*$", "")), F.nullif(F.array_join(F.slice(g.filled("cells"), 1, 2), " "), F.lit("")))
+    field = lambda name: F.get("cells", F.try_element_at("at", F.lit(name)))
+    rows = rows.where(~low.rlike(ROBINHOOD_SKIP)).withColumn("_d", security)
+    rows = carry_forward(rows, by, ["row_idx"], F.when(F.col("_d"), named), "description", drop_before=True).where(~F.col("_d") & has_date(field("date_sold")))
+    return _lot(rows.withColumn("cells", F.array(*[field(n) for n in LOT[5:11]])), {n: k for k, n in enumerate(LOT[5:11])})
 
 
 def pershing(grid: DataFrame) -> DataFrame:

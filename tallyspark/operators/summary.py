@@ -188,3 +188,12 @@ def typed_columns(df: DataFrame, types: dict[str, str], number: dict[str, Column
         elif kind != "text":
             out = out.withColumn(f"{c}_number", number[c])
     return out
+
+
+def totals_by_levels(df: DataFrame, category: str, account: str, currency: str, amount: str) -> DataFrame:
+    """n and total of each category by account and currency, by either, and in all: grouping sets of one pass. level says which of
+    both a row is for ('account', 'currency', 'both', 'all'); a null account or currency of the rows stays a group of its own."""
+    sets = df.groupingSets([[category, account, currency], [category, account], [category, currency], [category]], category, account, currency)
+    out = sets.agg(F.count("*").alias("n"), F.sum(amount).alias("total"), F.grouping(account).alias("_a"), F.grouping(currency).alias("_c"))
+    level = F.when((F.col("_a") == 0) & (F.col("_c") == 0), "both").when(F.col("_a") == 0, "account").when(F.col("_c") == 0, "currency").otherwise("all")
+    return out.withColumn("level", level).drop("_a", "_c")

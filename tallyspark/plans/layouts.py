@@ -63,12 +63,22 @@ def lots_apex_clearing(spark, sf):
     return _read(_grid(items, F.concat(F.array(_row(F.col("name"), "")), rows, F.array(_row("Totals", "", "10", "", "", "", "", "1"), _row("01/01/2020", "1", "9", "", "", "", "", "no number")))), "apex_clearing")
 
 
-@query(_lots_sql("'Order ' || o || ' CUSIP 1'"))
+@query(_lots_sql("'ACME INC COMMON STOCK / CUSIP: ' || o") + " WHERE o % 4 <> 3")
 def lots_robinhood(spark, sf):
+    """Sheets with three shapes of header: over several rows with columns moved, in one row, with the usual columns; of a fourth kind
+    without one nothing is read. Rows before the first name, totals and footers go."""
     items = _items(spark, sf)
-    rows = F.transform("rs", lambda r: _row(r["s"], "1", r["p"], r["a"], r["c"], r["w"], r["g"]))
-    name = F.concat(F.lit("Order "), F.col("o").cast("string"), F.lit(" CUSIP 1"))
-    return _read(_grid(items, F.concat(F.array(_row("01/01/2020", "1", "10", "01/01/2020", "9", "", "1"), _row(name)), rows, F.array(_row("Total proceeds", "1", "5", "", "", "", "")))), "robinhood")
+    kind = F.col("o") % 4
+    moved = lambda r: _row("1", r["s"], "", r["a"], r["p"], r["c"], "x", F.concat(r["w"], F.lit(" W")))
+    usual = lambda r: _row(r["s"], "1", F.concat(F.lit("$"), r["p"]), r["a"], r["c"], r["w"], r["g"], "")
+    heads = F.when(kind == 0, F.array(_row("1a- Description of property"), _row("", "1c- Date", "", "1b- Date", "1d- Proceeds", "1e- Cost or", "", "1g- Wash"), _row("Quantity", "sold or disposed", "", "acquired", "", "other basis", "", "sale loss"))).when(kind == 1, F.array(_row("1c- Date", "Quantity", "1d- Proceeds", "1b- acquired", "1e- cost basis", "1g- wash sale", "gain", "info"))).when(kind == 2, F.array(_row("title"), _row("date", "quantity", "proceeds reported", "acquired", "cost basis", "", "", "1e-"))).otherwise(F.array(_row("Statement of the year")))
+    name = F.concat(F.lit("ACME INC COMMON STOCK / CUSIP: "), F.col("o").cast("string"), F.when(kind == 0, " / Symbol:").otherwise(""))
+    one = F.get("rs", F.lit(0))
+    last = F.when(kind == 2, F.array(_row("", "", "", "", "", "", "", "5.00"))).otherwise(F.array().cast("array<array<string>>"))
+    lots = F.when(kind == 0, F.transform("rs", moved)).when(kind == 2, F.transform("rs", lambda r: _row(r["s"], "1", r["p"], r["a"], "", r["w"], r["g"], r["c"]))).otherwise(F.transform("rs", usual))
+    before = F.array(F.when(kind == 0, moved(one)).otherwise(usual(one)))
+    rows = F.concat(heads, before, F.array(_row(name)), lots, last, F.array(_row("Security total", "01/01/2020", "5", "01/01/2020", "5", "5"), _row("Totals :", "01/01/2020", "1", "01/01/2020", "5"), _row("01/01/2020", "the IRS determines", "5", "01/01/2020", "5")))
+    return _read(_grid(items, rows), "robinhood")
 
 
 @query(f"""WITH {ITEMS}, f AS (SELECT o, arg_min(sold, k) AS sold1, count(*) AS n FROM l GROUP BY o), d AS (SELECT o, acquired AS acquired2 FROM l WHERE k = 2)
@@ -170,6 +180,51 @@ def grid_realign_log(spark, sf):
     return g.realign(_damaged(spark, sf), 3, 5, 8, [6, 7], acquired=2, fed=10)[1]
 
 
+FORMATS = [("a", 2, 3, 5, 8, [6, 7], 10), ("b", 5, 6, 8, 11, [9, 10], None), ("c", 1, 2, 4, 6, [5], None)]
+DETECTED = "CASE o % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END"
+
+
+def _mixed(spark, sf) -> DataFrame:
+    """Files of three formats: a whole first sheet and a second with one damage in each row by its number (as _damaged has them)."""
+    items = _items(spark, sf)
+
+    def row(r, i, lead, optional, damaged):
+        kind = i % 5 if damaged else F.lit(0)
+        none, text = [F.lit("")] * optional, [F.lit("x")] * (lead - 1)
+        cells = lambda *middle: F.array(*text, *middle, *[F.lit("")] * 2)
+        plain = cells(F.lit(""), r["a"], r["s"], r["p"], r["c"], *none[1:], r["w"], r["g"])
+        one = cells(r["a"], F.lit(""), r["s"], r["p"], r["c"], *none, r["g"])
+        two = cells(F.lit(""), r["a"], r["s"], r["p"], r["c"], *none[1:], r["g"], F.lit(""))
+        four = cells(F.lit(""), r["a"], F.lit(""), r["s"], r["p"], r["c"], *none, r["g"])
+        return F.when(kind == 1, one).when(kind == 2, two).when(kind == 4, four).otherwise(plain)
+
+    def sheet(damaged):
+        shape = lambda lead, optional: F.transform("rs", lambda r, i: row(r, i, lead, optional, damaged))
+        shapes = [shape(2, 2), shape(5, 2), shape(1, 1)]
+        return F.when(F.col("o") % 3 == 0, shapes[0]).when(F.col("o") % 3 == 1, shapes[1]).otherwise(shapes[2])
+
+    part = lambda k, rows: items.select(F.col("o").alias("file"), F.lit(k).alias("sheet_idx"), F.lit(f"s{k}").alias("sheet"), F.posexplode(rows).alias("row_idx", "cells"))
+    return part(0, sheet(False)).unionByName(part(1, sheet(True)))
+
+
+def _formats(spark) -> DataFrame:
+    return spark.createDataFrame(FORMATS, "format string, acquired int, sold int, cost int, gain int, optional array<int>, fed int")
+
+
+@query(f"WITH {ITEMS} SELECT o AS file, {DETECTED} AS format, k - 1 AS row_idx, acquired, sold, CAST(p AS DOUBLE) AS proceeds, CAST(c AS DOUBLE) AS cost, CAST(p - c AS DOUBLE) AS gain, CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS \"offset\", k % 5 = 2 AS moved_right, k % 5 = 3 AS collapsed FROM l")
+def grid_realign_detected(spark, sf):
+    """One table of files of several formats, each repaired by the positions that its first sheet shows."""
+    fixed, _ = g.realign_detected(_mixed(spark, sf), _formats(spark))
+    c = lambda n: F.get("cells", F.col(n))
+    return fixed.where("sheet_idx = 1").select("file", "format", F.col("row_idx").cast("bigint").alias("row_idx"), c("acquired").alias("acquired"), c("sold").alias("sold"), dbl(F.get("cells", F.col("cost") - 1)).alias("proceeds"), dbl(c("cost")).alias("cost"), dbl(c("gain")).alias("gain"), "offset", "moved_right", "collapsed")
+
+
+@query(f"WITH {ITEMS} SELECT o AS file, {DETECTED} AS format, CASE o % 3 WHEN 0 THEN 2 WHEN 1 THEN 5 ELSE 1 END AS date_col, CASE o % 3 WHEN 0 THEN 5 WHEN 1 THEN 8 ELSE 4 END AS cost_col, 80 AS score FROM l GROUP BY o")
+def detected_anchors(spark, sf):
+    """The date and cost columns of each file's first sheet by its cells, and the format that they fit."""
+    return g.detected_positions(_mixed(spark, sf), _formats(spark)).select("file", "format", "date_col", "cost_col", "score")
+
+
 @query(f"""WITH {ITEMS}, x AS (SELECT o, 8 + 1 AS col, count(*) FILTER (k % 5 IN (1, 2, 3)) AS empty, count(*) FILTER (k % 5 = 4) AS "numeric", count(*) AS n, CAST(5 * count(*) FILTER (k % 5 = 4) AS DOUBLE) AS t, CAST(coalesce(sum(abs(p - c)) FILTER (k % 5 = 0), 0) AS DOUBLE) AS g, count(*) FILTER (k % 5 = 0) AS n0 FROM l GROUP BY o)
 SELECT o AS file, CAST(col AS INTEGER) AS col, empty, "numeric" + n0 AS "numeric", CAST(0 AS BIGINT) AS text, t + g AS total, CASE WHEN "numeric" + n0 = n THEN 'FULL COL' WHEN "numeric" + n0 > 0 THEN 'PARTIAL SHIFT?' ELSE '' END AS flag FROM x WHERE "numeric" + n0 > 0""")
 def right_of_anchor(spark, sf):

@@ -248,3 +248,11 @@ def headings(spark, sf):
     """Heading lines with the number of the next numbered line of their file."""
     l = table(spark, sf, "orders").select(F.col("o_custkey").alias("f"), F.row_number().over(o.Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("bigint").alias("line"), "o_orderkey").withColumn("num", F.when(F.col("o_orderkey") % 3 == 0, F.col("line")))
     return o.heading_of_next(l, "f", "line", "num", F.col("o_orderkey") % 3 == 1).select("f", "line", dbl("heading_for").alias("heading_for"))
+
+
+@query("""SELECT o_orderpriority AS category, CAST(o_custkey % 5 AS VARCHAR) AS account, o_orderstatus AS currency, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, CASE WHEN grouping(CAST(o_custkey % 5 AS VARCHAR)) = 0 AND grouping(o_orderstatus) = 0 THEN 'both' WHEN grouping(CAST(o_custkey % 5 AS VARCHAR)) = 0 THEN 'account' WHEN grouping(o_orderstatus) = 0 THEN 'currency' ELSE 'all' END AS level
+FROM orders GROUP BY GROUPING SETS ((o_orderpriority, CAST(o_custkey % 5 AS VARCHAR), o_orderstatus), (o_orderpriority, CAST(o_custkey % 5 AS VARCHAR)), (o_orderpriority, o_orderstatus), (o_orderpriority))""")
+def totals_by_levels(spark, sf):
+    """Category totals by account and currency, by either and in all, in one pass."""
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("category"), (F.col("o_custkey") % 5).cast("string").alias("account"), F.col("o_orderstatus").alias("currency"), money("o_totalprice").alias("amount"))
+    return s.totals_by_levels(o, "category", "account", "currency", "amount").select("category", "account", "currency", "n", dbl("total").alias("total"), "level")

@@ -24,7 +24,8 @@ def LOT(first, second, proceeds, third=""):  # noqa: N802
      [("ACME INC CUSIP: 123", A, S, "1000.00", "-900.50", "2184.79"), ("ACME INC CUSIP: 123", "Various", S, "7.00", "8.00", None)]),
     ("fidelity", [[["", "", A, S, "1", "2"], ["ACME CORP"], ["Sale", "3", A, S, "11", "9", "", "", "2"]]], [("ACME CORP", A, S, "11.00", "9.00", None)]),
     ("apex_clearing", [[["ACME", ""], [S, "1", "10", "", A, "9", "1.5", "1"], ["Totals", "", "10"]]], [("ACME", A, S, "10.00", "9.00", "1.50")]),
-    ("robinhood", [[["Acme Corp CUSIP 1"], [S, "1", "10", A, "9", "", "1"]]], [("Acme Corp CUSIP 1", A, S, "10.00", "9.00", None)]),
+    ("robinhood", [[["1c- Date", "Quantity", "1d- Proceeds", "1b-", "1e-"], [S, "1", "10", A, "9"], ["Acme Corp CUSIP: 1"], [S, "1", "10", A, "9", "156.26 W", "1"], ["Totals", "", "10"]], [["Acme Corp CUSIP: 1"], [S, "1", "10", A, "9", "", "1"]]], [("Acme Corp CUSIP: 1", A, S, "10.00", "9.00", "156.26")]),
+    ("robinhood", [[["1a- Description"], ["", "1d-", "1f- accrued"], ["sold / disposed quantity", "Proceeds", "market discount", "cost basis", "1b- date acquired"], ["APPLE INC. COMMON STOCK (cont'd) / Symbol:"], [S, "10", "2", "9", A]]], [("APPLE INC. COMMON STOCK", A, S, "10.00", "9.00", None)]),
     ("pershing", [[["Description (Box 1a): ACME"]], [["SELL", "2", f"{A}\n{A}", f"{S}", "66.74 \n148.24 ", "1"], ["", "", A, S, "9", "8"], ["", "", "no date", S, "9", "8"], ["BUY", "", A, S, "9", "8"]]],
      [("ACME", A, S, "66.74", "1.00", None), ("ACME", A, S, "148.24", None, None), ("ACME", A, S, "9.00", "8.00", None)]),
     ("pershing", [[["LIQUIDATION", "2", "", "", "5\n6\n\n7", ""]]], [("UNKNOWN", None, None, "5.00", None, None), ("UNKNOWN", None, None, "6.00", None, None), ("UNKNOWN", None, None, "7.00", None, None)]),
