@@ -15,7 +15,7 @@ few sets all pairs within the Hamming bound are verified on the sets; the sets o
 kept as rows.
 Folded sketches of long documents are too wide to travel with each key: their pairs must share an eighth of d keys
 more, half of them with few sets or half with many, and are counted before their folds are compared.
-Verified pairs give components. Sets of very large keys then meet one of their key's largest component for some rounds,
+Verified pairs give components. Sets of larger keys then meet one of their key's largest component for some rounds,
 which joins most of a large group, and at last pairs of larger keys of different components within the bound are verified. Every
 pair that qualifies shares a key, and pairs inside a component need no test, so no link between components is
 lost and no group is expanded into all pairs. Keys that very many sets hold are dealt in parts of bounded size.
@@ -30,7 +30,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import WordHashes, bins_for, blocks, bounded_batches, components, discard, from_planes, joined_components, list_array, materialize, materialize_kinds, mix, pack, planes, remove, small, stretches, task, text_bytes, unpack
@@ -45,16 +45,16 @@ BROADCAST_ROWS = 2_000_000
 SMALL = 16
 #: Sets of a key that meet in one task.
 PART = 4096
-#: Sets that those of a larger key meet at once, and the rounds in which keys of more than MANY sets meet one of their largest
-#: component before pairs are tried.
-LEADERS, ROUNDS, MANY = 2, 2, 1024
+#: Sets that those of a larger key meet at once, and the rounds in which they meet one of their key's largest component before
+#: pairs are tried.
+LEADERS, ROUNDS = 2, 2
 #: Bits of a folded sketch for each shingle of the largest difference, the 64-bit words of it that travel with each key, and
 #: those over which nothing travels.
 FOLD_BITS, CARRIED, WIDE = 4, 12, 22
 LIGHT = np.uint64(1 << 47)
 MADE = "kind int, doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, block string, head binary, who binary, folds binary, bin int, keys binary"
-HELD = "key bigint, part int, parts int, n int, band int, h1 bigint, fold binary"
-HELD_ARROW = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("n", pa.int32()), ("band", pa.int32()), ("h1", pa.int64()), ("fold", pa.binary())])
+HELD = "key bigint, part int, parts int, n int, band int, h1 bigint, often int, fold binary"
+HELD_ARROW = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("n", pa.int32()), ("band", pa.int32()), ("h1", pa.int64()), ("often", pa.int32()), ("fold", pa.binary())])
 MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), *HELD_ARROW])
 
 
@@ -76,6 +76,12 @@ class Bands:
             self.bounds.append(max(self.bounds[-1] + 2, int(self.bounds[-1] * STEP)))
         return int(np.searchsorted(self.bounds, size, side="right")) - 1
 
+    def shared_if_wide(self, band: int) -> int:
+        """The keys that a pair of a band with wide folds shares: 1 and an eighth of its largest difference."""
+        while len(self.bounds) <= band + 1:
+            self.at(self.bounds[-1])
+        return 1 + self.difference(2 * (self.bounds[band + 1] - 1)) // 8
+
     def shape(self, band: int) -> tuple[int, int, int, int, int]:
         """Words k of the sketch, spare words g, bits up to which a word is light, words of the folded sketch, and how
         many keys a pair shares at least after both have left out g.
@@ -88,7 +94,7 @@ class Bands:
                 self.at(self.bounds[-1])
             low, d = self.bounds[band], self.difference(2 * (self.bounds[band + 1] - 1))
             fold = max(1, -(-FOLD_BITS * d // 64))
-            shared = 1 + (d // 8 if fold > self.wide else 0)
+            shared = self.shared_if_wide(band) if fold > self.wide else 1
             self.shapes[band] = (d + shared, 0, 0, fold, shared)
             for light, k in ((x, k) for x in (1, 0) for k in range(d + shared + 1, 2 * d + shared + 7)):
                 mean = low / k
@@ -378,7 +384,8 @@ def _met(t: pa.Table, small: int, bands: Bands) -> pa.Table:
             if n > small and rows.parts[at] == 1:
                 more[at : at + n] = rows.with_partner(at, n, bands.num, bands.den)
         more = np.flatnonzero(more)
-        held.append(pa.table([*(pa.array(c[more], f.type) for c, f in zip(rows.columns, HELD_ARROW)), pa.array([x.tobytes() for x in rows.fold[more]], pa.binary())], schema=HELD_ARROW))
+        often = np.where(rows.parts > 1, rows.parts * PART, np.repeat(run, run))  # the same for all sets of a key
+        held.append(pa.table([*(pa.array(c[more], f.type) for c, f in zip([*rows.columns, often], HELD_ARROW)), pa.array([x.tobytes() for x in rows.fold[more]], pa.binary())], schema=HELD_ARROW))
     both, counted = np.unique(np.concatenate(pairs, axis=1), axis=1), np.concatenate(counted, axis=1)
     out = [{"kind": np.full(both.shape[1], 0), "a": both[0], "b": both[1]}]
     out += [{"kind": np.full(counted.shape[1], 2), "a": counted[0], "b": counted[1], "band": counted[2], "n": counted[3], "parts": counted[4]}]
@@ -486,6 +493,15 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([set_hashes(u)[0] for u in sets], pa.int64()), list_array(np.concatenate(sets).view(np.int64), [len(x) for x in sets], pa.int64())], names=["h1", "items"])
 
 
+def _fewest(wide: DataFrame, bands: Bands) -> DataFrame:
+    """Of the rows of a set in a band of wide folds those that are enough: its pairs share `need` larger keys or more, so each set may
+    leave out the need - 1 that come last in an order that holds for all, the most frequent keys. A set with fewer has none."""
+    need = F.create_map(*[F.lit(x) for b in range(1, 70) for x in (b, (bands.shared_if_wide(b) + 1) // 2)])
+    own = Window.partitionBy("h1", "band")
+    ranked = wide.withColumn("_rank", F.row_number().over(own.orderBy("often", "key"))).withColumn("_n", F.count("*").over(own))
+    return ranked.where(F.col("_rank") <= F.col("_n") - F.element_at(need, F.col("band")) + 1).drop("_rank", "_n", "often")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of set hashes whose sets meet the threshold, as edges (u, v); sets are made only of documents in a pair."""
     pairs = materialize(pairs.distinct(), "jaccard-pairs")
@@ -549,11 +565,11 @@ def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int =
     of_doc = made.where("n_shingles > 0").groupBy("doc_id").agg(F.min("h1").alias("v"), F.max("h1").alias("top")).where("v < top").select("doc_id", "v")
     repeats = materialize(made.where("n_shingles > 0").join(of_doc, "doc_id").select(F.col("h1").alias("u"), "v"), "jaccard-repeats")
     labels = components(edges.unionByName(repeats) if repeats.rows["n"] else edges)
-    large = large.select("key", "part", "parts", "n", "band", "h1", "fold")
-    many = materialize(large.groupBy("key").count().where(F.col("count") > MANY).select("key"), "jaccard-many")
-    rounds = [large.join(small(many, many.rows["n"], BROADCAST_ROWS), "key", "left_semi")] * (ROUNDS if many.rows["n"] else 0)
-    for turn, met in enumerate([*rounds, large]):
+    large = large.select("key", "part", "parts", "n", "band", "h1", "often", "fold")
+    narrow = large.where(F.length("fold") > 0).drop("often")
+    for turn in range(ROUNDS + 1):
         # Keys whose sets lie in more than one component may hide a link between components.
+        met = narrow if turn < ROUNDS or folds is None else narrow.unionByName(_fewest(large.where(F.length("fold") == 0), bands))
         few = small(labels, labels.rows["n"], BROADCAST_ROWS).withColumnRenamed("node", "h1")
         tagged = met.join(few, "h1", "left").withColumn("component", F.coalesce("component", "h1"))
         split = materialize(tagged.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key"), "jaccard-split")
@@ -561,10 +577,10 @@ def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int =
             discard(split)
             continue
         rest = tagged.join(small(split, split.rows["n"], BROADCAST_ROWS), "key", "left_semi")
-        if folds is not None:
+        if turn == ROUNDS and folds is not None:
             carried = F.length("fold") > 0
             rest = rest.where(carried).unionByName(rest.where(~carried).drop("fold").join(folds.select("h1", "band", F.col("folds").alias("fold")), ["h1", "band"]))
-        if turn < len(rounds):
+        if turn < ROUNDS:
             dealt = rest.repartition("key", "part").sortWithinPartitions("key", "part")
             near = dealt.mapInArrow(partial(_with_one, turn=turn, num=num, den=den), "a bigint, b bigint")
         else:
@@ -576,7 +592,6 @@ def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int =
         discard(split)
         if more.rows["n"]:
             labels = joined_components(labels, more)
-    discard(many)
     for path in (pairs_path, large_path, shared_path, tables[3][1]):
         remove(spark, path)
 

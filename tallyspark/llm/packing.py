@@ -4,7 +4,7 @@ Texts become pieces of at most `capacity` token ids. Pieces are dealt evenly ove
 number of rows, each packed by best-fit decreasing. Dual-feasible functions give a lower bound for each
 partition: where it equals the number of bins the partition is certified and gives back only its emptiest bin;
 a partition with a gap gives back every bin that isn't full. What is given back is exchanged: dealt anew over
-fewer partitions and packed again, until one partition is left, an exchange saves no bin, or the bins are as few as the
+fewer partitions and packed again, until one partition is left, an exchange saves no bin, TURNS are over, or the bins are as few as the
 bound of the whole, which follows from a histogram of the lengths (`capacity` rows at most).
 """
 
@@ -26,6 +26,9 @@ from tallyspark.llm.common import bounded_batches, materialize, stretches
 ROWS_A_PARTITION = 20_000
 #: Further runs of best fit, on slightly changed orders, in a partition with a gap.
 TRIES = 16
+#: Exchanges at most. Each deals what the one before gave back over fewer partitions, so that later ones save ever less; the numbers
+#: of sequences have room for 63.
+TURNS = 32
 
 
 _tokenizers: dict[str, object] = {}
@@ -43,6 +46,21 @@ def _core(word: bytes) -> bytes:
     return core.lower() if core[-1:].isalnum() else word.lower()
 
 
+def check_words(source: str) -> None:
+    """Raise unless a tokenizer's file (JSON) is of the kind whose texts fall into words that are encoded once each: lower-cased, cut
+    at white space, which is dropped, letters apart from punctuation, and no added token that could stand in a word without QUOTED."""
+    import json
+
+    spec = json.loads(source)
+    kinds = lambda x: {x.get("type"), *(n.get("type") for n in x.get("normalizers", []) + x.get("pretokenizers", []))} if x else set()
+    split = [n for n in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if n.get("type") == "Split" and n.get("invert") and n.get("behavior") == "Removed"]
+    pattern = split[0]["pattern"].get("Regex", "") if split else ""
+    words = "Lowercase" in kinds(spec.get("normalizer")) and "[\\p{L}]+" in pattern and "[^\\s\\p{L}\\p{N}]+" in pattern
+    odd = [t["content"] for t in spec.get("added_tokens", []) if QUOTED.decode() not in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    if not words or odd or spec.get("truncation") or spec.get("padding"):
+        raise ValueError(f"texts for this tokenizer can't be encoded word by word: {odd or spec.get('pre_tokenizer')}")
+
+
 def _word_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
     """Encodes words with a tokenizer file, each core and each tail once; a process keeps one tokenizer."""
     if path not in _tokenizers:
@@ -89,7 +107,9 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048
     takes words by themselves, as the word-level BPE files do, ASCII ones without regard to case and apart from
     punctuation after their last letter or digit: each distinct word is encoded once in the corpus. Special tokens that a text
     quotes are found as the file has it. A null or empty text is the one id `end`; a null doc_id and repeated rows are kept as they are; other
-    columns are ignored. ids: little-endian, 32 bits."""
+    columns are ignored. ids: little-endian, 32 bits. A tokenizer of another kind is an error."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        check_words(f.read())
     cut = (partial(_pieces, capacity=capacity, end=end), "doc_id bigint, piece int, start bigint, length bigint, ids binary")
     return encode_words(documents, _white_space, lambda: _word_encoder(tokenizer_path), _core, cut)
 
@@ -188,9 +208,9 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     whole = rows.where(F.col("length") == capacity).select("row", (F.lit(-1).cast("bigint") - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     todo, placed = rows.where(F.col("length") < capacity).select("row", "length"), [whole]
     n, turn, fewest = int(counts[:capacity].sum()), 0, None
-    while n:  # until a turn saves no bin; one partition is the last
+    while n:  # until a turn saves no bin; one partition or turn TURNS is the last
         parts = -(-n // ROWS_A_PARTITION)
-        last = parts == 1
+        last = parts == 1 or turn + 1 == TURNS
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)))
         packed = dealt.groupBy("part").applyInArrow(_packer(capacity, turn, last), "row bigint, length bigint, sequence_id bigint, offset bigint, open boolean")
         packed = materialize(packed, "packed")

@@ -73,10 +73,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = read(spark, sf_dir, "embeddings")
-    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    whole = x.where(finite).select("vec_id", F.transform("embedding", lambda v: F.floor(v.cast("double") * 1024)).alias("vec"))
-    return top_k(whole, F.col("vec_id") % 100 == 0, k=10)
+    x = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return top_k(x, F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,3 +101,42 @@ def test_columns_of_made_names(spark):
     rows = best_fit_pack(df, 100).collect()
     assert sorted((r.id, r.length, r.row, r.part, r.open, r.piece) for r in rows) == [(1, 60, "a", 5, True, 9), (2, 50, "b", 5, False, 9), (2, 50, "b", 5, False, 9)]
     assert check(rows, 100) == 2
+
+
+def test_only_tokenizers_of_words(spark):
+    import json
+
+    import public_tokenizers
+
+    from tallyspark.llm.packing import check_words, token_pieces
+
+    df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="word by word"):
+        token_pieces(df, public_tokenizers.path("byte_bpe_50k.json"))
+    spec = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    check_words(json.dumps(spec))
+    cased = spec | {"normalizer": {"type": "NFC"}}
+    with pytest.raises(ValueError, match="word by word"):
+        check_words(json.dumps(cased))
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"content": "STOP"})
+    with pytest.raises(ValueError, match="STOP"):
+        check_words(json.dumps(spec))
+
+
+def test_exchanges_end_at_the_last_turn(spark, monkeypatch):
+    from tallyspark.llm import packing
+
+    monkeypatch.setattr(packing, "ROWS_A_PARTITION", 40)
+    monkeypatch.setattr(packing, "TRIES", 0)
+    df = spark.range(900).selectExpr("id AS doc_id", "600 + id * 37 % 400 AS length")
+    found = {}
+    for turns in (1, 2, 32):
+        monkeypatch.setattr(packing, "TURNS", turns)
+        rows = packing.best_fit_pack(df).collect()
+        assert len(rows) == 900
+        bins = {}
+        for r in rows:
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert all(sum(n for _, n in b) <= 2048 and sorted(o for o, _ in b)[0] == 0 for b in bins.values())
+        found[turns] = len(bins)
+    assert found[1] >= found[2] >= found[32]
