@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import tagging as t
+from tallyspark.operators.shared import shared_folder
 from tallyspark.plans.common import dbl, money, query, table
 from tallyspark.sources import files, sinks
 from tallyspark.streaming.upsert import Buckets, Snapshots, memory_step, stream_into, stream_snapshots, upsert, upsert_counts
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster shares; a local one only where Spark itself is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='tallyspark-')}"
-    return f"{base}/tallyspark-files/{name}-{uuid.uuid4().hex}"
-
-
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS balance FROM customer WHERE c_custkey % 4 <> 0""")
 def csv_rows(spark, sf):
     """A headed CSV with every column text; rows whose required column is blank go."""
-    path = _folder(spark, "csv")
+    path = shared_folder(spark, "csv")
     c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, " -- ").otherwise(F.col("c_name")).alias("c_name"), money("c_acctbal").alias("balance"))
     c.write.option("header", True).csv(path)
     out = files.read_csv(spark, path, required="c_name")
@@ -41,7 +28,7 @@ def csv_rows(spark, sf):
 SELECT CAST(i AS INTEGER) AS row_idx, CAST(l_orderkey AS VARCHAR) AS k, 'part "' || l_partkey || '",' || chr(10) || 'next line' AS name, CAST(a AS DOUBLE) AS amount, '' AS last FROM l""")
 def grid_csv_rows(spark, sf):
     """Headless CSV files with quotes, separators and line breaks inside cells, one file for each order."""
-    path = _folder(spark, "grid")
+    path = shared_folder(spark, "grid")
     line = F.concat(F.col("l_orderkey").cast("string"), F.lit(',"part ""'), F.col("l_partkey").cast("string"), F.lit('"",\nnext line",'), money("l_extendedprice").cast("string"), F.lit(","))
     li = table(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_extendedprice", line.alias("line")).alias("r"))
     text = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n").alias("value"))
@@ -63,7 +50,7 @@ def file_periods(spark, sf):
 @query("""SELECT 'period=' || o_orderpriority AS period, count(*) AS n, CAST(sum(o_orderkey) AS DOUBLE) AS keys FROM orders GROUP BY 1""")
 def folder_periods(spark, sf):
     """Text lines below folders, with the folder's name as period."""
-    path = _folder(spark, "folders")
+    path = shared_folder(spark, "folders")
     o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("value"), F.col("o_orderpriority").alias("period"))
     o.write.partitionBy("period").text(path)
     out = files.read_folders(spark, path).where("text <> ''")
@@ -73,7 +60,7 @@ def folder_periods(spark, sf):
 @query("""SELECT o_orderpriority AS list_id, count(*) AS cards, count(*) FILTER (o_orderstatus = 'F') AS closed FROM orders GROUP BY 1""")
 def board_cards(spark, sf):
     """Boards as JSON documents: a board's lists and cards come out as tables."""
-    path = _folder(spark, "boards")
+    path = shared_folder(spark, "boards")
     o = table(spark, sf, "orders")
     cards = o.groupBy((F.col("o_orderkey") % 50).alias("b")).agg(F.collect_list(F.struct(F.col("o_orderpriority").alias("idList"), (F.col("o_orderstatus") == "F").alias("closed"))).alias("cards"), F.transform(F.collect_set("o_orderpriority"), lambda x: F.struct(x.alias("id"), x.alias("name"), F.lit(1.0).alias("pos"))).alias("lists"))
     cards.select("lists", "cards").repartition(50, "cards").write.option("maxRecordsPerFile", 1).json(path)
@@ -84,7 +71,7 @@ def board_cards(spark, sf):
 @query("""SELECT CAST(s_suppkey AS VARCHAR) AS vendor_name, 'Fuel' AS tag, CASE WHEN s_suppkey % 2 = 0 THEN 'claude' ELSE 'preparer' END AS source FROM supplier WHERE s_suppkey % 5 <> 0""")
 def memory_rows(spark, sf):
     """A vendor memory with headers in other cases and spaces; blank rows go; the old source name is read as the new one."""
-    path = _folder(spark, "memory")
+    path = shared_folder(spark, "memory")
     s = table(spark, sf, "supplier")
     blank = F.col("s_suppkey") % 5 == 0
     rows = s.select(F.when(~blank, F.col("s_suppkey").cast("string")).alias("Vendor_Name "), F.when(~blank, "Fuel").alias("TAG"), F.when(~blank, F.when(F.col("s_suppkey") % 2 == 0, "auto").otherwise("preparer")).alias(" source"))
@@ -106,7 +93,7 @@ def vocabulary_tabs(spark, sf):
 @query("""SELECT n_nationkey AS priority, n_name AS pattern FROM nation WHERE n_regionkey = 2""")
 def locale_rules(spark, sf):
     """The rules of one locale of a table of JSON lines."""
-    path = _folder(spark, "rules")
+    path = shared_folder(spark, "rules")
     table(spark, sf, "nation").select(F.col("n_nationkey").alias("priority"), F.col("n_name").alias("pattern"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("locale")).write.json(path)
     return files.read_rules(spark, path, "r2").select("priority", "pattern")
 
@@ -123,7 +110,7 @@ def report_rows(spark, sf):
 @query("""SELECT 'ORDER ' || o_orderkey AS "Desc", CASE WHEN o_orderkey % 5 = 0 THEN 'Various' ELSE strftime(o_orderdate, '%m/%d/%Y') END AS "Date Acquired", strftime(o_orderdate, '%m/%d/%Y') AS "Date Sold", CASE WHEN o_orderkey % 2 = 0 THEN 'L' ELSE 'S' END AS "Type", CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS "Proceeds", -100.5 AS "Cost", CAST(2184.79 AS DOUBLE) AS "Fed Tax Withheld" FROM orders""")
 def tax_import(spark, sf):
     """Lots written as the tax-import table with its fixed columns, and read back."""
-    path = _folder(spark, "tax")
+    path = shared_folder(spark, "tax")
     o = table(spark, sf, "orders")
     lots = o.select(F.concat(F.lit(" ORDER "), F.col("o_orderkey").cast("string")).alias("description"), F.when(F.col("o_orderkey") % 5 == 0, "VARIOUS").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date_acquired"), F.date_format("o_orderdate", "M/d/yyyy").alias("date_sold"), F.concat(F.lit("$"), F.format_number(money("o_totalprice"), 2), F.lit(" ")).alias("proceeds"), F.lit("(100.50)").alias("cost"), F.when(F.col("o_orderkey") % 2 == 0, "Long-term").otherwise("short").alias("type"), F.lit("2,184.79 W").alias("fed_tax_withheld"))
     sinks.write_tax_table(sinks.tax_table(lots), path)
@@ -136,7 +123,7 @@ def tax_import(spark, sf):
 @query("""SELECT CAST(year(o_orderdate) AS VARCHAR) AS folder, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1""")
 def outputs_by_period(spark, sf):
     """One folder for each period, with its first day as a sort key."""
-    path = _folder(spark, "by-period")
+    path = shared_folder(spark, "by-period")
     o = table(spark, sf, "orders").select(F.date_format("o_orderdate", "MMM yyyy").alias("period"), money("o_totalprice").alias("a"))
     sinks.write_by(o, path, "period", period=True)
     back = spark.read.parquet(path)
@@ -146,7 +133,7 @@ def outputs_by_period(spark, sf):
 @query("""WITH r AS (SELECT o_orderkey % 4 AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS a FROM orders) SELECT 'Matches' AS output, count(*) FILTER (k < 2) + 2 AS n, CAST(2 * sum(a) FILTER (k < 2) AS DOUBLE) AS total FROM r UNION ALL SELECT 'Near', count(*) FILTER (k = 2), CAST(sum(a) FILTER (k = 2) AS DOUBLE) FROM r""")
 def category_files(spark, sf):
     """Matches with a total row for each category, and near misses, as outputs of their own; an empty one isn't written."""
-    path = _folder(spark, "categories")
+    path = shared_folder(spark, "categories")
     o = table(spark, sf, "orders").select(F.concat(F.lit("c"), (F.col("o_orderkey") % 4).cast("string")).alias("category"), money("o_totalprice").alias("a"))
     made = sinks.category_outputs(o.where("category < 'c2'"), o.where("category = 'c2'"), "a") | {"Empty": o.where("category = 'zz'")}
     done = sinks.write_outputs(made, path, skip_empty=("Empty",))
@@ -161,7 +148,7 @@ def category_files(spark, sf):
 SELECT 'Tagged' AS output, count(*) AS n FROM a UNION ALL SELECT 'Personal', count(*) FILTER (starts_with(tag, 'Personal -')) FROM a UNION ALL SELECT 'Review with Client', count(*) FILTER (s = 'rwc') FROM a UNION ALL SELECT 'Summary', count(DISTINCT tag) FROM a""")
 def tagged_files(spark, sf):
     """The named outputs of a tagged file."""
-    path = _folder(spark, "tagged")
+    path = shared_folder(spark, "tagged")
     k = F.col("o_orderkey") % 3
     rows = table(spark, sf, "orders").select("o_orderkey", F.when(k == 0, "Personal - ATM").when(k == 1, "Fuel").otherwise(t.REVIEW).alias("tag"), F.when(k == 2, "rwc").otherwise("preparer").alias("tag_source"))
     done = sinks.write_outputs(t.split_outputs(rows, rows.groupBy("tag").count()), path)
@@ -215,7 +202,7 @@ def _streamed(rows: DataFrame, state: Buckets, step, path: str) -> DataFrame:
 @query("""SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL""")
 def streamed_upserts(spark, sf):
     """Readings upserted from a stream of eight batches: the last value of each key, whatever the files and batches it came in."""
-    path = _folder(spark, "stream")
+    path = shared_folder(spark, "stream")
     e = table(spark, sf, "events").select("user_id", "event_type", "value", F.struct("ts", "event_id").alias("at"))
     e.repartition(8).write.parquet(f"{path}/in")
     last = lambda current, batch: upsert(current, batch.join(current.select("user_id", "event_type", F.col("at").alias("_had")), ["user_id", "event_type"], "left").where("_had is null or at > _had").drop("_had"), ["user_id", "event_type"], "value", "at", ["at"])
@@ -226,7 +213,7 @@ def streamed_upserts(spark, sf):
 @query("""SELECT count(*) FILTER (c_custkey % 100 = 0) AS saved, count(*) FILTER (c_custkey % 100 = 50) AS removed, count(*) FILTER (c_custkey % 100 <> 50) AS n, sum(CASE WHEN c_custkey % 100 = 0 THEN 2.0 ELSE 1.0 END) FILTER (c_custkey % 100 <> 50) AS total, true AS only_touched FROM customer""")
 def bucketed_upserts(spark, sf):
     """A batch of few keys on a table in buckets: counts observed while it is written, and only buckets with a key of it are new."""
-    path = _folder(spark, "buckets")
+    path = shared_folder(spark, "buckets")
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
     state = Buckets(spark, f"{path}/state", "k bigint, v double, at int", ["k"], buckets=256)
     state.apply(lambda current, batch: batch, c.select("k", F.lit(1.0).alias("v"), F.lit(0).alias("at")), 0)
@@ -244,7 +231,7 @@ def bucketed_upserts(spark, sf):
 def streamed_snapshots(spark, sf):
     """Snapshots over eight batches, each date in all of them: every file of a date counts. Read again from the start, from
     other files and by another feed they add nothing."""
-    path = _folder(spark, "snapshots")
+    path = shared_folder(spark, "snapshots")
     o = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("snapshot_date"))
     o.repartition(8).write.parquet(f"{path}/in")
     stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
@@ -257,7 +244,7 @@ def streamed_snapshots(spark, sf):
 @query("""SELECT s_suppkey AS vendor, arg_max('t' || x, x) AS tag FROM (SELECT s_suppkey, unnest([1, 2, 3]) AS x FROM supplier) WHERE x < 3 OR s_suppkey % 2 = 0 GROUP BY 1""")
 def streamed_memory(spark, sf):
     """A memory that grows over three runs of four batches: entries of the model and the preparer, the last of each vendor."""
-    path = _folder(spark, "growing")
+    path = shared_folder(spark, "growing")
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("vendor"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("x"))
     rows = s.select("vendor", F.concat(F.lit("t"), F.col("x").cast("string")).alias("tag"), F.when((F.col("x") == 3) & (F.col("vendor") % 2 == 1), "lookup").when(F.col("x") == 1, "claude").otherwise("preparer").alias("source"), "x")
     state = Buckets(spark, f"{path}/state", "vendor bigint, tag string, source string, x int", ["vendor"], buckets=16)
