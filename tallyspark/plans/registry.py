@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.plans import files_io, layouts, ledger, merging, ordered, pages, parsing, reports, tagged
+from tallyspark.plans import assessing, files_io, layouts, ledger, merging, ordered, pages, parsing, reports, tagged
 from tallyspark.plans.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "files_io", "layouts", "ledger", "merging", "ordered", "pages", "parsing", "reports", "tagged"]
+__all__ = ["ORACLES", "QUERIES", "assessing", "files_io", "layouts", "ledger", "merging", "ordered", "pages", "parsing", "reports", "tagged"]
