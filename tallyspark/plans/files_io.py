@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators import tagging as t
@@ -39,6 +39,22 @@ def grid_csv_rows(spark, sf):
     return cells.select("row_idx", c(0).alias("k"), c(1).alias("name"), dbl(c(2)).alias("amount"), c(3).alias("last"))
 
 
+@query("""WITH x AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) - 1 AS s, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS i FROM orders)
+SELECT 'customer ' || o_custkey || '.xlsx' AS file, CAST(s AS INTEGER) AS sheet_idx, 'status <' || o_orderstatus || '>' AS sheet, CAST(i AS INTEGER) AS row_idx, CAST(o_orderkey AS VARCHAR) AS k, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS amount FROM x
+UNION ALL SELECT DISTINCT 'customer ' || o_custkey || '.xlsx', CAST(s AS INTEGER), 'status <' || o_orderstatus || '>', 0, 'Key & "name"', NULL FROM x""")
+def workbook_sheets(spark, sf):
+    """A workbook for each customer with a sheet for each status, written as archives and read back sheet by sheet."""
+    o = table(spark, sf, "orders")
+    by = Window.partitionBy("o_custkey")
+    rows = o.select("o_custkey", "o_orderstatus", (F.dense_rank().over(by.orderBy("o_orderstatus")) - 1).alias("sheet_idx"), F.row_number().over(Window.partitionBy("o_custkey", "o_orderstatus").orderBy("o_orderkey")).alias("row_idx"), F.array(F.col("o_orderkey").cast("string"), F.lit(None), money("o_totalprice").cast("string")).alias("cells"))
+    heads = rows.where("row_idx = 1").withColumns({"row_idx": F.lit(0), "cells": F.array(F.lit('Key & "name"'), F.lit(None), F.lit(None))})
+    grid = rows.unionByName(heads).select(F.concat(F.lit("customer "), "o_custkey", F.lit(".xlsx")).alias("file"), "sheet_idx", F.concat(F.lit("status <"), "o_orderstatus", F.lit(">")).alias("sheet"), "row_idx", "cells")
+    path = shared_folder(spark, "books")
+    sinks.workbooks(grid).write.parquet(path)
+    c = lambda k: F.get("cells", F.lit(k))
+    return files.workbook_grid(spark.read.parquet(path)).select("file", "sheet_idx", "sheet", "row_idx", c(0).alias("k"), dbl(c(2)).alias("amount"))
+
+
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%b %Y') AS period, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE o_orderkey % 3 <> 0""")
 def file_periods(spark, sf):
     """Periods of file names that begin with a day; names that don't have none."""

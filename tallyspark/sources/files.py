@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -16,6 +19,8 @@ from pyspark.sql.utils import AnalysisException
 from tallyspark.functions.text import natural_key, null_if_blank
 
 GRID = "file string, sheet_idx int, sheet string, row_idx int, cells array<string>"
+#: Rows of a sheet that are in memory at a time.
+BATCH_ROWS = 4096
 _N = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
@@ -49,40 +54,86 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def workbook_rows(content: bytes) -> Iterator[tuple[int, str, int, list[str | None]]]:
-    """(sheet_idx, sheet, row_idx, cells as text) of a workbook, in its order."""
+def _member(z: zipfile.ZipFile, content: bytes, name: str) -> tuple[bytes, bool]:
+    """A member of an archive as it is stored, and whether it is deflated: nothing is inflated."""
+    info = z.getinfo(name)
+    at = info.header_offset
+    names, extra = struct.unpack("<HH", content[at + 26 : at + 30])
+    start = at + 30 + names + extra
+    return content[start : start + info.compress_size], info.compress_type == zipfile.ZIP_DEFLATED
+
+
+def _elements(stored: bytes, deflated: bool, tag: str, below: str) -> Iterator[ElementTree.Element]:
+    """The elements of a tag, each dropped before the next is read; `below` is the tag of their parent."""
+    parser, parent = ElementTree.XMLPullParser(["start", "end"]), None
+    inflate = zlib.decompressobj(-15) if deflated else None
+    for at in range(0, len(stored), 1 << 14):
+        piece = stored[at : at + (1 << 14)]
+        parser.feed(inflate.decompress(piece) if inflate else piece)
+        for event, e in parser.read_events():
+            if event == "start" and e.tag == below:
+                parent = e
+            elif event == "end" and e.tag == tag:
+                yield e
+                if parent is not None:
+                    parent.clear()
+
+
+def workbook_sheets(content: bytes) -> Iterator[tuple[int, str, bytes, bool, bytes, bool]]:
+    """(sheet_idx, sheet, its stored member, deflated, the stored shared texts, deflated) of a workbook, in its order."""
     z = zipfile.ZipFile(io.BytesIO(content))
-    shared = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        shared = ["".join(t.text or "" for t in s.iter(f"{_N}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_N}si")]
+    shared = _member(z, content, "xl/sharedStrings.xml") if "xl/sharedStrings.xml" in z.namelist() else (b"", False)
     targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
     for k, s in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_N}sheet")):
         target = targets[s.get(f"{_R}id")]
-        tree = ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
-        for row in tree.iter(f"{_N}row"):
-            cells: list[str | None] = []
-            for c in row.iter(f"{_N}c"):
-                at = _column(c.get("r")) if c.get("r") else len(cells)
-                cells += [None] * (at + 1 - len(cells))
-                v = c.find(f"{_N}v")
-                if c.get("t") == "inlineStr":
-                    cells[at] = "".join(t.text or "" for t in c.iter(f"{_N}t"))
-                elif v is not None and v.text is not None:
-                    cells[at] = shared[int(v.text)] if c.get("t") == "s" else v.text
-            yield k, s.get("name"), int(row.get("r")) - 1, cells
+        yield k, s.get("name"), *_member(z, content, target.lstrip("/") if target.startswith("/") else f"xl/{target}"), *shared
+
+
+def sheet_rows(member: bytes, deflated: bool, shared: bytes, shared_deflated: bool) -> Iterator[tuple[int, list[str | None]]]:
+    """(row_idx, cells as text) of one sheet, read as a stream. Rows and cells without a place follow the one before."""
+    texts = ["".join(t.text or "" for t in s.iter(f"{_N}t")) for s in _elements(shared, shared_deflated, f"{_N}si", f"{_N}sst")]
+    at_row = -1
+    for row in _elements(member, deflated, f"{_N}row", f"{_N}sheetData"):
+        at_row = int(row.get("r")) - 1 if row.get("r") else at_row + 1
+        cells: list[str | None] = []
+        for c in row.iter(f"{_N}c"):
+            at = _column(c.get("r")) if c.get("r") else len(cells)
+            cells += [None] * (at + 1 - len(cells))
+            v = c.find(f"{_N}v")
+            if c.get("t") == "inlineStr":
+                cells[at] = "".join(t.text or "" for t in c.iter(f"{_N}t"))
+            elif v is not None and v.text is not None:
+                cells[at] = texts[int(v.text)] if c.get("t") == "s" else v.text
+        yield at_row, cells
+
+
+def workbook_grid(books: DataFrame) -> DataFrame:
+    """All sheets of workbooks (file, content) as grids.
+
+    First each archive's directory gives a row for each sheet, with the sheet still deflated; then sheets are dealt to tasks, which read
+    the rows as a stream and hand them on in batches of at most BATCH_ROWS. A sheet of any length takes the memory of its shared
+    texts and one batch. A null content has no rows; a file that is no workbook is an error."""
+
+    def directory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for file, content in zip(b["file"], b["content"]):
+                if content is not None:
+                    yield pd.DataFrame([(file, *s) for s in workbook_sheets(bytes(content))], columns=["file", "sheet_idx", "sheet", "member", "deflated", "shared", "shared_deflated"])
 
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s in b.itertuples(index=False):
+                read = sheet_rows(bytes(s.member), s.deflated, bytes(s.shared), s.shared_deflated)
+                while part := list(itertools.islice(read, BATCH_ROWS)):
+                    yield pd.DataFrame([(s.file, s.sheet_idx, s.sheet, *r) for r in part], columns=["file", "sheet_idx", "sheet", "row_idx", "cells"])
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """All sheets of many workbooks as grids; each file is parsed by one task, files in parallel."""
+    sheets = books.select("file", "content").mapInPandas(directory, "file string, sheet_idx int, sheet string, member binary, deflated boolean, shared binary, shared_deflated boolean")
+    return sheets.repartition("file", "sheet_idx").mapInPandas(rows, GRID)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for file, content in zip(b["file"], b["content"]):
-                rows = [(file, *r) for r in workbook_rows(bytes(content))]
-                yield pd.DataFrame(rows, columns=["file", "sheet_idx", "sheet", "row_idx", "cells"])
 
-    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("file"), "content")
-    return files.mapInPandas(parse, GRID)
+def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """All sheets of the workbooks below a path as grids (workbook_grid)."""
+    return workbook_grid(spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("file"), "content"))
 
 
 def report_rows(grid: DataFrame, date: int, category: int, amount: int, skip: int = 5) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape, quoteattr
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +74,39 @@ def merged_memory(old: DataFrame, new: DataFrame, keys: list[str], order: list[s
 def new_snapshots(existing: DataFrame, incoming: DataFrame, date: str = "snapshot_date") -> DataFrame:
     """Incoming rows of dates that aren't recorded yet."""
     return incoming.join(existing.select(date).distinct(), date, "left_anti")
+
+
+def workbook_bytes(sheets: list[tuple[str, list[list[str | None]]]]) -> bytes:
+    """A workbook of text cells: (sheet name, rows of cells) in their order; empty cells are left out."""
+    space = "http://schemas.openxmlformats.org/"
+    main, link = f"{space}spreadsheetml/2006/main", f"{space}officeDocument/2006/relationships"
+    name = lambda j: name(j // 26 - 1) + chr(65 + j % 26) if j >= 26 else chr(65 + j)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        part = lambda k: f"{space}package/2006/content-types" if k else f"{space}package/2006/relationships"
+        kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        over = "".join(f'<Override PartName="/xl/worksheets/s{k}.xml" ContentType="{kinds}.worksheet+xml"/>' for k in range(len(sheets)))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{part(1)}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/>{over}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{part(0)}"><Relationship Id="r" Type="{link}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{link}"><sheets>' + "".join(f'<sheet name={quoteattr(s)} sheetId="{k + 1}" r:id="r{k}"/>' for k, (s, _) in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{part(0)}">' + "".join(f'<Relationship Id="r{k}" Type="{link}/worksheet" Target="worksheets/s{k}.xml"/>' for k in range(len(sheets))) + "</Relationships>")
+        for k, (_, rows) in enumerate(sheets):
+            with z.open(f"xl/worksheets/s{k}.xml", "w") as f:
+                f.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
+                for i, row in enumerate(rows):
+                    cells = "".join(f'<c r="{name(j)}{i + 1}" t="inlineStr"><is><t xml:space="preserve">{escape(c)}</t></is></c>' for j, c in enumerate(row) if c is not None)
+                    f.write(f'<row r="{i + 1}">{cells}</row>'.encode())
+                f.write(b"</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def workbooks(grid: DataFrame) -> DataFrame:
+    """(file, content): the grids as workbooks, sheets and rows in their order. A file is made in one task, as it is opened by one user;
+    gaps between row numbers close."""
+
+    def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["sheet_idx", "row_idx"], kind="stable")
+        sheets = [(part["sheet"].iloc[0], [list(c) for c in part["cells"]]) for _, part in rows.groupby("sheet_idx", sort=True)]
+        return pd.DataFrame({"file": [key[0]], "content": [workbook_bytes(sheets)]})
+
+    return grid.groupBy("file").applyInPandas(make, "file string, content binary")

@@ -127,3 +127,35 @@ def test_vendor_names(spark):
     cases = {"Card Purchase - STARBUCKS SEATTLE WA": "STARBUCKS SEATTLE WA", "Card Purchase 01/15 12:34 #1234 | TARGET STORE | Retail": "TARGET STORE", "ZELLE PAYMENT TO JOHN SMITH REF123456": "Zelle: JOHN SMITH", "ATM WITHDRAWAL AT MAIN ST": "ATM Withdrawal", "CHECK #1042": "Check", "ACH: American Express": "American Express", "OT Crpj ACME TOOLS": "ACME TOOLS", "SERVICE CHARGE 12": "Bank Service Charge"}
     df = spark.createDataFrame([(k,) for k in cases], "d string").select("d", vendor_name(F.col("d")).alias("v"), personal_tag(F.col("d")).alias("p"))
     assert {r.d: r.v for r in df.collect()} == cases
+
+
+def test_sheets_are_streams_of_bounded_memory(spark, tmp_path):
+    import tracemalloc
+
+    rows = [[f"k{i}", None, "a <b> & c", str(i)] for i in range(200_000)]
+    content = sinks.workbook_bytes([("small", [["x"]]), ('long "one"', rows)])
+    (tmp_path / "b.xlsx").write_bytes(content)
+    sheets = list(files.workbook_sheets(content))
+    assert [s[:2] for s in sheets] == [(0, "small"), (1, 'long "one"')] and len(sheets[1][2]) < len(content)
+    tracemalloc.start()
+    n = sum(1 for _ in files.sheet_rows(*sheets[1][2:]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 200_000 and peak < 8_000_000
+    grid = files.read_workbooks(spark, str(tmp_path))
+    assert grid.where("sheet_idx = 1").agg(F.count("*"), F.sum("row_idx"), F.sum(F.get("cells", F.lit(3)).cast("bigint"))).first()[:] == (200_000, 19_999_900_000, 19_999_900_000)
+    assert grid.where("row_idx = 7 AND sheet_idx = 1").first().cells == ["k7", None, "a <b> & c", "7"]
+
+
+def test_shared_texts_and_rows_without_places(spark):
+    out = io.BytesIO()
+    n = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(io.BytesIO(workbook({"S": []}))) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in ("xl/workbook.xml", "xl/_rels/workbook.xml.rels"):
+            z.writestr(name, old.read(name))
+        z.writestr("xl/sharedStrings.xml", f"<sst {n}><si><t>one</t></si><si><r><t>t</t></r><r><t>wo</t></r></si></sst>")
+        z.writestr("xl/worksheets/s0.xml", f'<worksheet {n}><sheetData><row><c t="s"><v>1</v></c><c><v>2.5</v></c></row><row/><row r="9"><c r="AB9" t="s"><v>0</v></c></row><row><c/></row></sheetData></worksheet>')
+    books = spark.createDataFrame([("a", bytearray(out.getvalue())), ("b", None)], "file string, content binary")
+    got = {r.row_idx: r.cells for r in files.workbook_grid(books).collect()}
+    assert got == {0: ["two", "2.5"], 1: [], 8: [None] * 27 + ["one"], 9: [None]}
+    assert files.workbook_grid(books.where("false")).count() == 0
