@@ -21,6 +21,8 @@ from tallyspark.functions.text import natural_key, null_if_blank
 GRID = "file string, sheet_idx int, sheet string, row_idx int, cells array<string>"
 #: Rows of a sheet that are in memory at a time.
 BATCH_ROWS = 4096
+#: Bytes of sheets, still deflated, that a task gathers before it hands them on; a larger sheet goes alone.
+BATCH_BYTES = 1 << 22
 _N = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
@@ -114,18 +116,26 @@ def workbook_grid(books: DataFrame) -> DataFrame:
     the rows as a stream and hand them on in batches of at most BATCH_ROWS. A sheet of any length takes the memory of its shared
     texts and one batch. A null content has no rows; a file that is no workbook is an error."""
 
+    def batched(rows: Iterator[tuple], columns: list[str], size, most: int) -> Iterator[pd.DataFrame]:
+        """Frames of rows whose sizes come to `most`: a frame for each small sheet would take longer than its reading."""
+        part, so_far = [], 0
+        for r in rows:
+            part.append(r)
+            so_far += size(r)
+            if so_far >= most:
+                yield pd.DataFrame(part, columns=columns)
+                part, so_far = [], 0
+        if part:
+            yield pd.DataFrame(part, columns=columns)
+
     def directory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for file, content in zip(b["file"], b["content"]):
-                if content is not None:
-                    yield pd.DataFrame([(file, *s) for s in workbook_sheets(bytes(content))], columns=["file", "sheet_idx", "sheet", "member", "deflated", "shared", "shared_deflated"])
+        found = ((file, *s) for b in batches for file, content in zip(b["file"], b["content"]) if content is not None for s in workbook_sheets(bytes(content)))
+        return batched(found, ["file", "sheet_idx", "sheet", "member", "deflated", "shared", "shared_deflated"], lambda r: len(r[3]) + len(r[5]) + 256, BATCH_BYTES)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for s in b.itertuples(index=False):
-                read = sheet_rows(bytes(s.member), s.deflated, bytes(s.shared), s.shared_deflated)
-                while part := list(itertools.islice(read, BATCH_ROWS)):
-                    yield pd.DataFrame([(s.file, s.sheet_idx, s.sheet, *r) for r in part], columns=["file", "sheet_idx", "sheet", "row_idx", "cells"])
+        sheets = (s for b in batches for s in b.itertuples(index=False))
+        read = ((s.file, s.sheet_idx, s.sheet, *r) for s in sheets for r in sheet_rows(bytes(s.member), s.deflated, bytes(s.shared), s.shared_deflated))
+        return batched(read, ["file", "sheet_idx", "sheet", "row_idx", "cells"], lambda r: 1, BATCH_ROWS)
 
     sheets = books.select("file", "content").mapInPandas(directory, "file string, sheet_idx int, sheet string, member binary, deflated boolean, shared binary, shared_deflated boolean")
     return sheets.repartition("file", "sheet_idx").mapInPandas(rows, GRID)

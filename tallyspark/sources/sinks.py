@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
@@ -18,6 +20,10 @@ TAX_COLUMNS = ["TSJ", "F", "State", "City", "Form 8949 Check Box", "Desc", "Date
 TAX_AMOUNTS = ["Proceeds", "Cost", "AMT Cost Basis", "Accrued Discount", "Wash Sale Loss", "Fed Tax Withheld"]
 
 
+#: Bytes of workbooks that a task gathers before it hands them on; a larger workbook goes alone.
+BATCH_BYTES = 1 << 22
+
+
 def tax_table(lots: DataFrame) -> DataFrame:
     """Lots (description, date_acquired, date_sold, proceeds, cost, accrued_market_discount, wash_sale_loss, type and
     perhaps fed_tax_withheld) as the tax-import table; columns without a source are null."""
@@ -102,11 +108,21 @@ def workbook_bytes(sheets: list[tuple[str, list[list[str | None]]]]) -> bytes:
 
 def workbooks(grid: DataFrame) -> DataFrame:
     """(file, content): the grids as workbooks, sheets and rows in their order. A file is made in one task, as it is opened by one user;
-    gaps between row numbers close."""
-
-    def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["sheet_idx", "row_idx"], kind="stable")
-        sheets = [(part["sheet"].iloc[0], [list(c) for c in part["cells"]]) for _, part in rows.groupby("sheet_idx", sort=True)]
-        return pd.DataFrame({"file": [key[0]], "content": [workbook_bytes(sheets)]})
-
-    return grid.groupBy("file").applyInPandas(make, "file string, content binary")
+    gaps between row numbers close. A task goes through its files in their order and holds the rows of one file, and of one batch."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for b in batches for r in zip(b["file"], b["sheet_idx"], b["sheet"], b["cells"]))
+        made, size = [], 0
+        for file, of_file in itertools.groupby(rows, key=lambda r: r[0]):
+            sheets = [(part[0][2], [list(r[3]) for r in part]) for part in (list(p) for _, p in itertools.groupby(of_file, key=lambda r: r[1]))]
+            content = workbook_bytes(sheets)
+            made.append((file, content))
+            size += len(content)
+            if size >= BATCH_BYTES:
+                yield pd.DataFrame(made, columns=["file", "content"])
+                made, size = [], 0
+        if made:
+            yield pd.DataFrame(made, columns=["file", "content"])
+
+    dealt = grid.select("file", "sheet_idx", "sheet", "row_idx", "cells").repartition("file").sortWithinPartitions("file", "sheet_idx", "row_idx")
+    return dealt.mapInPandas(make, "file string, content binary")

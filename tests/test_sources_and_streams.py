@@ -159,3 +159,13 @@ def test_shared_texts_and_rows_without_places(spark):
     got = {r.row_idx: r.cells for r in files.workbook_grid(books).collect()}
     assert got == {0: ["two", "2.5"], 1: [], 8: [None] * 27 + ["one"], 9: [None]}
     assert files.workbook_grid(books.where("false")).count() == 0
+
+
+def test_small_workbooks_share_a_task_and_its_batches(spark):
+    # A call of Python and a frame for each small workbook take longer than making it.
+    rows = [(f"f{k}", j, f"s{j}", i, [f"{k}", None, f"{i}"]) for k in range(50) for j in (1, 0) for i in (1, 0)]
+    grid = spark.createDataFrame(rows, files.GRID)
+    books = sinks.workbooks(grid)
+    assert "FlatMapGroups" not in books._jdf.queryExecution().executedPlan().toString()
+    got = files.workbook_grid(books).select("file", "sheet_idx", "sheet", "row_idx", "cells").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(rows, key=str)
