@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyspark.functions.text import bind
+
 
 def bmi(weight_kg: Column, height_cm: Column) -> Column:
     return F.when(height_cm > 0, F.round(weight_kg / F.pow(height_cm / 100, 2), 1))
@@ -37,12 +39,20 @@ def effective_rate(principal: Column, payment: Column, months: Column, steps: in
     """Yearly percent at which `payment` pays the principal off, by bisection; null if the payments are too few."""
     start = F.struct(F.lit(0.0).alias("lo"), F.lit(high).alias("hi"))
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        over = emi(principal, F.greatest(mid, F.lit(1e-12)), months) > payment
-        return F.struct(F.when(over, s["lo"]).otherwise(mid).alias("lo"), F.when(over, mid).otherwise(s["hi"]).alias("hi"))
+    def solved(v: Column) -> Column:
+        # v holds the row's values: an expression used in a step is computed in each step. Neighbouring doubles have no middle left to try.
+        def over(mid: Column) -> Column:
+            r = F.greatest(mid, F.lit(1e-12)) / 1200
+            return bind(r, lambda r: bind(F.pow(1 + r, v["months"]), lambda grown: v["principal"] * r * grown / (grown - 1) > v["payment"]))
+
+        def halve(s: Column, _: Column) -> Column:
+            moved = lambda mid: F.when(over(mid), F.struct(s["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct(mid.alias("lo"), s["hi"].alias("hi")))
+            return bind((s["lo"] + s["hi"]) / 2, lambda mid: F.when((mid == s["lo"]) | (mid == s["hi"]), s).otherwise(moved(mid)))
+
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: F.round((s["lo"] + s["hi"]) / 2, 4))
+        return F.when((v["payment"] > 0) & (v["months"] > 0) & (v["payment"] * v["months"] >= v["principal"]), found)
 
-    return F.when((payment > 0) & (months > 0) & (payment * months >= principal), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: F.round((s["lo"] + s["hi"]) / 2, 4)))
+    return bind(F.struct(principal.alias("principal"), payment.alias("payment"), months.alias("months")), solved)
 
 
 def overdraft_cost(principal: Column, fd_percent: Column, spread: Column, months: Column) -> Column:

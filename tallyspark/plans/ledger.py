@@ -175,7 +175,7 @@ FROM (SELECT *, r * pow(1 + r, 60) / (pow(1 + r, 60) - 1) > (1 + 0.07 * 5) / 60
 SELECT c_custkey, (SELECT round((lo + hi) / 2, 4) FROM b WHERE i = 200) AS rate FROM customer""")
 def effective_rates(spark, sf):
     """The rate at which flat payments pay a loan off, by bisection."""
-    q = table(spark, sf, "customer").select("c_custkey", F.round(F.abs("c_acctbal") + 1000, 2).alias("p"))
+    q = table(spark, sf, "customer").select("c_custkey", F.round(F.abs("c_acctbal") + 1000, 2).alias("p")).repartition("c_custkey")  # a step of rows that are few bytes and much work
     return q.select("c_custkey", fm.effective_rate(F.col("p"), fm.flat_emi(F.col("p"), F.lit(7.0), F.lit(60)), F.lit(60)).alias("rate"))
 
 

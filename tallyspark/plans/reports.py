@@ -157,7 +157,7 @@ def derived_all(spark, sf):
 @query("""WITH q AS (SELECT c_custkey, CAST(round(abs(c_acctbal) + 1000, 2) AS DOUBLE) AS p FROM customer) SELECT c_custkey, true AS solves, round(p, 4) AS principal, CASE WHEN c_custkey % 3 <> 0 THEN round(p / 60, 6) END AS free FROM q""")
 def loan_solutions(spark, sf):
     """The rate found by bisection pays the loan off with the payment; the payment gives the principal back; guards give null."""
-    q = table(spark, sf, "customer").select("c_custkey", F.round(F.abs("c_acctbal") + 1000, 2).alias("p"))
+    q = table(spark, sf, "customer").select("c_custkey", F.round(F.abs("c_acctbal") + 1000, 2).alias("p")).repartition("c_custkey")  # a step of rows that are few bytes and much work
     pay = fm.flat_emi(F.col("p"), F.lit(7.0), F.lit(60))
     q = q.withColumn("pay", pay).withColumn("rate", fm.effective_rate(F.col("p"), pay, F.lit(60)))
     solves = F.abs(fm.emi(F.col("p"), F.col("rate"), F.lit(60)) - F.col("pay")) < 0.01
