@@ -25,3 +25,12 @@ def test_natural_order_ranks_in_several_tasks(spark):
 
     plan = QUERIES["natural_order"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(_range" in plan
+
+
+def test_places_bind_their_key_once(spark):
+    # The key stood in the comparison with every bound and was computed for each of them.
+    df = spark.range(300).selectExpr("id * 7 % 300 AS v")
+    key = F.upper(F.lpad(F.col("v").cast("string"), 6, "0"))
+    out = places(df, key, "place", 30)
+    assert all(r.place == r.v + 1 for r in out.collect())
+    assert "<= upper(" not in out._jdf.queryExecution().optimizedPlan().toString()
