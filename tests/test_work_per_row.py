@@ -22,3 +22,13 @@ def test_dates_of_every_shape(spark):
     got = [r.d for r in spark.createDataFrame([(t,) for t in texts], "t string").select(sheet_date(F.col("t")).alias("d")).collect()]
     day, month = date(1996, 3, 5), date(1996, 3, 1)
     assert got == [day, day, day, day, month, month, date(1996, 1, 1), date(1996, 3, 5), date(1996, 3, 5), None, date(1996, 1, 1)]
+
+
+def test_dates_and_amounts_of_cells_by_patterns(spark):
+    from tallyspark.functions.text import has_date, money_text, parse_money
+
+    parts = ["01/02/2020", "1-2-20", "2020-01-02 x", "Various", " ", "$", "\n", "\t", "x", "12", "1,234.56", "(1.5)", "W", "1e3", "--", "1.2.3"]
+    df = spark.createDataFrame([(a + b + c,) for a in parts for b in parts for c in parts] + [(None,)], "c string")
+    c = F.col("c")
+    assert df.where(~parse_money(c).eqNullSafe(money_text(c).try_cast("decimal(18,2)"))).count() == 0
+    assert "exists(" not in df.select(has_date(c))._jdf.queryExecution().optimizedPlan().toString()
