@@ -24,15 +24,22 @@ class Field(NamedTuple):
 #: Date formats of assessment sheets in the order in which they are tried; a month alone is its first day.
 SHEET_DATES = ["d/M/yyyy", "yyyy-MM-dd", "d MMM yyyy", "d MMMM yyyy", "MMM yyyy", "MMMM yyyy"]
 
+#: What a text of each format looks like at least; others can't be read by it.
+_SHAPES = {f: r"^[^/]+/[^/]+/[^/]+$" if "/" in f else r"^[^-]+-[^-]+-.+$|^-.*-.*-" if "-" in f else r"^\S+ \S+ \S+$" if f.startswith("d ") else r"^\S+ \S+$" for f in SHEET_DATES}
+
 
 def sheet_date(c: Column) -> Column:
     """DATE of a year (its first day), a serial number of days from 1899-12-30 or a text with the day first; else null."""
 
-    def read(t: Column) -> Column:
-        n = t.try_cast("double")
+    def number(n: Column) -> Column:
         whole = F.when((n == F.floor(n)) & n.between(1900, 2100), F.make_date(n.cast("int"), F.lit(1), F.lit(1)))
         serial = F.when((n >= 1) & (n < 100000), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(n).cast("int")))
-        return F.coalesce(whole, serial, *[F.try_to_date(t, f) for f in SHEET_DATES])
+        return F.coalesce(whole, serial)
+
+    def read(t: Column) -> Column:
+        # A failed cast or parse raises an exception inside, so texts of other shapes aren't tried.
+        n = F.when(~t.rlike(r"/|\d-|[^\x00-\x20] +[^\x00-\x20]"), t).try_cast("double")
+        return F.coalesce(bind(n, number), *[F.try_to_date(F.when(t.rlike(_SHAPES[f]), t), f) for f in SHEET_DATES])
 
     return bind(null_if_blank(c), read)
 
