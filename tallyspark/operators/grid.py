@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import has_date, is_money, null_if_blank, parse_money
+from tallyspark.operators.shared import computed
 
 
 def cell(cells: Column | str, at: int | Column) -> Column:
@@ -163,40 +168,55 @@ def header_row(grid: DataFrame, keywords: list[str], by: list[str], least: int =
 
 
 def header_span(grid: DataFrame, by: list[str], opens: Column, closes: Column, words: list[str], least: int) -> DataFrame:
-    """(by, header_start, header_end) of each sheet with a header: from the last row that opens one before the first that closes it
-    (alone, if none does); without one that opens, the first row with `least` of the words. Sheets without a header give no row."""
+    """The rows of each sheet with a header, with header_start and header_end: from the last row that opens one before the first that
+    closes it (alone, if none does); without one that opens, the first row with `least` of the words. Sheets without a header go."""
     text = F.lower(F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), " "))
-    hits = F.size(F.filter(F.array(*[F.lit(k.lower()) for k in words]), lambda k: F.contains(text, k)))
-    rows = grid.select(*by, "row_idx", F.coalesce(opens, F.lit(False)).alias("_o"), F.coalesce(closes, F.lit(False)).alias("_c"), (hits >= least).alias("_d"))
-    list_of = lambda flag: F.array_sort(F.collect_list(F.when(flag, F.col("row_idx"))))
-    found = rows.where("_o or _c or _d").groupBy(*by).agg(list_of(F.col("_o")).alias("_os"), list_of(F.col("_c") & ~F.col("_o")).alias("_cs"), F.min(F.when(F.col("_d"), F.col("row_idx"))).alias("_dense"))
-    end = F.get(F.filter("_cs", lambda x: x > F.get("_os", F.lit(0))), F.lit(0))
-    start = F.array_max(F.filter("_os", lambda x: end.isNull() | (x < end)))
-    out = found.select(*by, F.when(F.size("_os") > 0, start).otherwise(F.col("_dense")).alias("header_start"), F.when(F.size("_os") > 0, F.coalesce(end, start)).otherwise(F.col("_dense")).alias("header_end"))
-    return out.where("header_start is not null")
-
-
-def header_texts(grid: DataFrame, by: list[str], span: DataFrame) -> DataFrame:
-    """(by, col, header): the texts of the rows of each sheet's header, joined per column, in lower case."""
-    rows = grid.join(span, by).where(F.col("row_idx").between(F.col("header_start"), F.col("header_end")))
-    cells = rows.select(*by, "row_idx", F.posexplode("cells").alias("col", "text")).where(F.trim("text") != "")
-    parts = F.array_sort(F.collect_list(F.struct("row_idx", F.trim("text").alias("text"))))
-    return cells.groupBy(*by, "col").agg(F.lower(F.array_join(F.transform(parts, lambda x: x["text"]), " ")).alias("header"))
-
-
-def mapped_columns(grid: DataFrame, by: list[str], span: DataFrame, rules: list[tuple[str, Column]], defaults: dict[str, int]) -> DataFrame:
-    """The rows below each sheet's header with `at`, a map of field to column: a column whose header texts fit has the field of the first
-    rule (on the column `header`) that does; of several columns the last one counts; fields that none has are at their
-    default. Sheets without a header go."""
-    field = F.lit(None).cast("string")
-    for name, rule in reversed(rules):
-        field = F.when(rule, name).otherwise(field)
-    named = header_texts(grid, by, span).select(*by, "col", field.alias("field")).where("field is not null").groupBy(*by, "field").agg(F.max("col").alias("col"))
-    maps = named.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "col")))).alias("_own"))
-    usual = F.create_map(*[x for name, k in defaults.items() for x in (F.lit(name), F.lit(k))])
-    both = F.map_zip_with(usual, F.coalesce("_own", F.create_map().cast("map<string,int>")), lambda name, usually, own: F.coalesce(own, usually))
-    sheets = span.join(maps, by, "left").select(*by, "header_end", both.alias("at"))
-    return grid.join(sheets, by).where(F.col("row_idx") > F.col("header_end")).drop("header_end")
+    rows = computed(grid.dropna(subset=by), {"_t": text})
+    hits = reduce(add, [F.contains("_t", F.lit(k.lower())).cast("int") for k in words])
+    rows = computed(rows, {"_o": F.coalesce(opens, F.lit(False)), "_c": F.coalesce(closes, F.lit(False)), "_d": hits >= least}).drop("_t")
+    # One order for all windows of a sheet, so that its rows are sorted once.
+    w = Window.partitionBy(*by).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = F.col("row_idx")
+    rows = rows.withColumns({"_first": F.min(F.when(F.col("_o"), at)).over(w), "_dense": F.min(F.when(F.col("_d"), at)).over(w)})
+    rows = rows.withColumn("_end", F.min(F.when(F.col("_c") & ~F.col("_o") & (at > F.col("_first")), at)).over(w))
+    rows = rows.withColumn("_start", F.max(F.when(F.col("_o") & (F.col("_end").isNull() | (at < F.col("_end"))), at)).over(w))
+    rows = rows.withColumns({"header_start": F.coalesce("_start", "_dense"), "header_end": F.when(F.col("_start").isNull(), F.col("_dense")).otherwise(F.coalesce("_end", "_start"))})
+    return rows.where("header_start is not null").drop("_o", "_c", "_d", "_first", "_dense", "_end", "_start")
+
+
+def header_texts(rows: Column) -> Column:
+    """For each column the texts of the cells of a header's rows (an array of cells), joined, in lower case."""
+    width = F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
+    texts = lambda k: F.filter(F.transform(rows, lambda cells: F.trim(F.get(cells, k))), lambda x: x != "")
+    return F.transform(F.slice(F.sequence(F.lit(0), width), 1, width), lambda k: F.lower(F.array_join(texts(k), " ")))
+
+
+def mapped_columns(rows: DataFrame, by: list[str], rules: Callable[[Column], list[tuple[str, Column]]], defaults: dict[str, int], carried: dict[str, Column]) -> DataFrame:
+    """The rows below each sheet's header (rows of header_span) with `at`, a struct of field to column: a column whose header texts fit
+    has the field of the first rule that does; of several columns the last one counts; fields that none has are at their
+    default. `carried` are values of which each row has the last one at or before it below the header.
+
+    A header's rows are gathered beside those above and in it alone; the rows below it get its columns."""
+
+    def field(header: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, rule in reversed(rules(header)):
+            out = F.when((header != "") & rule, name).otherwise(out)
+        return out
+
+    ends = F.col("row_idx") == F.col("header_end")
+    rows = rows.withColumn("_below", F.col("row_idx") > F.col("header_end"))
+    so_far = Window.unboundedPreceding, Window.currentRow
+    inside = F.collect_list(F.when(F.col("row_idx").between(F.col("header_start"), F.col("header_end")), F.col("cells")))
+    rows = rows.withColumn("_rows", inside.over(Window.partitionBy(*by, "_below").orderBy("row_idx").rowsBetween(*so_far)))
+    rows = computed(rows, {"_fields": F.when(ends, F.transform(header_texts(F.col("_rows")), field))}).drop("_rows")
+    last = lambda name: F.when(F.array_contains("_fields", name), F.size("_fields") - F.array_position(F.reverse("_fields"), F.lit(name)).cast("int"))
+    names = dict.fromkeys([name for name, _ in rules(F.lit(""))] + list(defaults))
+    at = F.struct(*[F.coalesce(last(name), F.lit(defaults.get(name)).cast("int")).alias(name) for name in names])
+    rows = computed(rows, {"_at": F.when(ends, at)}).drop("_fields")
+    w = Window.partitionBy(*by).orderBy("_below", "row_idx").rowsBetween(*so_far)
+    values = {name: F.last(F.when(F.col("_below"), value), ignorenulls=True).over(w) for name, value in carried.items()}
+    return rows.withColumns({"at": F.last("_at", ignorenulls=True).over(w)} | values).where("_below").drop("_below", "_at", "header_start", "header_end")
 
 
 def cell_class(c: Column) -> Column:

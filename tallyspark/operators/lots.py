@@ -6,6 +6,8 @@ kind (paired rows, merged cells, descriptions that follow) is composed from the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.text import has_date, is_date, is_money, null_if_blank, parse_money
 from tallyspark.operators import grid as g
 from tallyspark.operators.order import carry_forward, described
+from tallyspark.operators.shared import computed
 
 ORDER = ["sheet_idx", "row_idx"]
 LOT = ["file", "sheet", "sheet_idx", "row_idx", "description", "date_acquired", "date_sold", "proceeds", "cost", "accrued_market_discount", "wash_sale_loss", "fed_tax_withheld", "type"]
@@ -69,9 +72,9 @@ ROBINHOOD_COLUMNS = {"date_sold": 0, "quantity": 1, "proceeds": 2, "date_acquire
 ROBINHOOD_SKIP = r"important tax information|furnished to the internal revenue service|irs determines|negligence penalty|taxpayers are ultimately responsible|security total|security subtotal|^\s*totals"
 
 
-def robinhood_rules() -> list[tuple[str, Column]]:
+def robinhood_rules(header: Column) -> list[tuple[str, Column]]:
     """Which field a column has, by the texts of its header; the first rule that fits counts."""
-    has = lambda *words: F.forall(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("header"), w))
+    has = lambda *words: reduce(and_, [F.contains(header, F.lit(w)) for w in words])
     return [
         ("date_sold", has("1c-") | has("sold", "disposed")),
         ("quantity", has("quantity") & ~has("1")),
@@ -88,16 +91,19 @@ def robinhood(grid: DataFrame) -> DataFrame:
     """Columns by the texts of a header of several rows; a row that names a security, then its lots. Sheets without a header and
     lots before the first name go."""
     by, text = ["file", "sheet_idx"], F.array_join(F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))), " ")
-    low, up = F.lower(text), F.upper(text)
+    rows = computed(computed(grid, {"_text": text}), {"_low": F.lower("_text")})
+    low, up = F.col("_low"), F.upper("_text")
     opens = low.contains("1a-") & low.contains("description")
     closes = (low.contains("sold") | low.contains("disposed")) & low.contains("quantity")
-    rows = g.mapped_columns(grid, by, g.header_span(grid, by, opens, closes, ROBINHOOD_WORDS, 4), robinhood_rules(), ROBINHOOD_COLUMNS)
     security = up.rlike(r"CUSIP ?:|\b(?:INC|CORP|LTD|PLC|COMPANY|CO)\b.*\b(?:COMMON|STOCK|CLASS)\b|[A-Z]{2,}\s+(?:INC|CORP)\.?\s+(?:COMMON\s+)?STOCK")
     named = F.get(F.filter("cells", lambda c: (F.length(F.trim(c)) > 10) & F.upper(c).rlike("CUSIP|STOCK|INC")), F.lit(0))
     named = F.coalesce(F.trim(F.regexp_replace(F.trim(F.replace(named, F.lit("(cont'd)"), F.lit(""))), r"/\s*Symbol:\s*$", "")), F.nullif(F.array_join(F.slice(g.filled("cells"), 1, 2), " "), F.lit("")))
-    field = lambda name: F.get("cells", F.try_element_at("at", F.lit(name)))
-    rows = rows.where(~low.rlike(ROBINHOOD_SKIP)).withColumn("_d", security)
-    rows = carry_forward(rows, by, ["row_idx"], F.when(F.col("_d"), named), "description", drop_before=True).where(~F.col("_d") & has_date(field("date_sold")))
+    field = lambda name: F.get("cells", F.col(f"at.{name}"))
+    rows = g.header_span(rows, by, opens, closes, ROBINHOOD_WORDS, 4)
+    # Rows of totals and footers name no security and are no lots.
+    rows = computed(rows, {"_d": F.when(~low.rlike(ROBINHOOD_SKIP), security)}).drop("_text", "_low")
+    rows = g.mapped_columns(rows, by, robinhood_rules, ROBINHOOD_COLUMNS, {"description": F.when(F.col("_d"), named)})
+    rows = rows.where(~F.col("_d") & F.col("description").isNotNull() & has_date(field("date_sold")))
     return _lot(rows.withColumn("cells", F.array(*[field(n) for n in LOT[5:11]])), {n: k for k, n in enumerate(LOT[5:11])})
 
 

@@ -1,10 +1,11 @@
-"""Tables that are used more than once, in the folder that the cluster shares."""
+"""Tables that are used more than once, in the folder that the cluster shares, and columns that are."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -24,3 +25,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The columns, computed once for a row: a later filter on them would otherwise be pushed below and compute each use again."""
+    return df.withColumns({name: F.when(F.monotonically_increasing_id() >= 0, c) for name, c in columns.items()})

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import grid as g
 from tallyspark.operators import lots as lt
-from tallyspark.plans.common import dbl, money, query, table
+from tallyspark.plans.common import dbl, dealt, money, query, table
 
 ITEMS = """l AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey) AS k, l_partkey AS part, CAST(l_extendedprice AS DECIMAL(18,2)) AS p, CAST(l_quantity AS DECIMAL(18,2)) AS c, CAST(l_tax AS DECIMAL(18,2)) AS w, strftime(l_shipdate, '%m/%d/%Y') AS acquired, strftime(l_shipdate + INTERVAL 30 DAY, '%m/%d/%Y') AS sold FROM lineitem)"""
 
 
 def _items(spark, sf) -> DataFrame:
     """(o, rs): the line items of an order in their order, with texts of dates and amounts."""
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey", F.date_format("l_shipdate", "MM/dd/yyyy").alias("a"), F.date_format(F.date_add("l_shipdate", 30), "MM/dd/yyyy").alias("s"), money("l_extendedprice").cast("string").alias("p"), money("l_quantity").cast("string").alias("c"), money("l_tax").cast("string").alias("w"), (money("l_extendedprice") - money("l_quantity")).cast("string").alias("g")).alias("r"))
-    return li.groupBy("o").agg(F.array_sort(F.collect_list("r")).alias("rs")).withColumn("name", F.concat(F.lit("ORDER "), F.col("o").cast("string")))
+    li = dealt(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_tax"), "o")
+    r = F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey", F.date_format("l_shipdate", "MM/dd/yyyy").alias("a"), F.date_format(F.date_add("l_shipdate", 30), "MM/dd/yyyy").alias("s"), money("l_extendedprice").cast("string").alias("p"), money("l_quantity").cast("string").alias("c"), money("l_tax").cast("string").alias("w"), (money("l_extendedprice") - money("l_quantity")).cast("string").alias("g"))
+    return li.groupBy("o").agg(F.array_sort(F.collect_list(r)).alias("rs")).withColumn("name", F.concat(F.lit("ORDER "), F.col("o").cast("string")))
 
 
 def _row(*cells: str | Column | None) -> Column:

@@ -32,3 +32,22 @@ def test_dates_and_amounts_of_cells_by_patterns(spark):
     c = F.col("c")
     assert df.where(~parse_money(c).eqNullSafe(money_text(c).try_cast("decimal(18,2)"))).count() == 0
     assert "exists(" not in df.select(has_date(c))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_grid_with_headers_is_read_once(spark):
+    from tallyspark.operators.lots import lots
+
+    grid = spark.createDataFrame([("f", 0, "s", 0, ["x"])], "file string, sheet_idx int, sheet string, row_idx int, cells array<string>")
+    plan = lots(grid, "robinhood")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+    # A text of a row is put together and lowered once, not for each word that it may hold.
+    assert plan.count("lower(array_join") <= 2
+
+
+def test_items_are_dealt_by_their_rows(spark, monkeypatch):
+    from tallyspark.plans import common, layouts
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(common, "ROWS_A_TASK", 500)
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert layouts._items(spark, sf).rdd.getNumPartitions() == -(-rows // 500)
