@@ -51,3 +51,29 @@ def test_items_are_dealt_by_their_rows(spark, monkeypatch):
     monkeypatch.setattr(common, "ROWS_A_TASK", 500)
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert layouts._items(spark, sf).rdd.getNumPartitions() == -(-rows // 500)
+
+
+def test_lines_are_dealt_by_their_rows_and_markers_are_looked_for_once(spark, monkeypatch):
+    from tallyspark.operators import statements as st
+    from tallyspark.plans import common, pages
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(common, "ROWS_A_TASK", 500)
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    lines = pages._lines(spark, sf)
+    assert lines.rdd.getNumPartitions() == -(-rows // 500)
+    plan = st.dated_lines(spark.createDataFrame([("f", 0, 0, "x")], "file string, page_idx int, line_idx int, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("OLR") == 1
+
+
+def test_words_by_their_first_character_are_the_same_words(spark):
+    from tallyspark.functions.text import contains_any
+    from tallyspark.operators.statements import MARKERS
+
+    words = [*MARKERS, "^x", "-y]", "é z", "\\d", "a&&b"]
+    texts = [f"{a}{w[:k]}{b}" for w in words for k in (1, len(w) - 1, len(w)) for a in ("", "1 ", "q") for b in ("", ".", "Z")]
+    texts += [t.swapcase() for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    body = "|".join(r"\Q" + w + r"\E" for w in words)
+    assert df.where(contains_any(F.col("t"), words) != F.col("t").rlike(f"(?i)(?:{body})")).count() == 0
+    assert df.where(contains_any(F.col("t"), words, whole=True) != F.col("t").rlike(rf"(?i)(?:^|[^A-Za-z0-9_])(?:{body})(?:$|[^A-Za-z0-9_])")).count() == 0
