@@ -77,3 +77,11 @@ def test_words_by_their_first_character_are_the_same_words(spark):
     body = "|".join(r"\Q" + w + r"\E" for w in words)
     assert df.where(contains_any(F.col("t"), words) != F.col("t").rlike(f"(?i)(?:{body})")).count() == 0
     assert df.where(contains_any(F.col("t"), words, whole=True) != F.col("t").rlike(rf"(?i)(?:^|[^A-Za-z0-9_])(?:{body})(?:$|[^A-Za-z0-9_])")).count() == 0
+
+
+def test_statements_are_made_in_the_tasks_of_their_items(spark, monkeypatch):
+    from tallyspark.plans import common, pages
+
+    monkeypatch.setattr(common, "ROWS_A_TASK", 1000)
+    statement = pages._statement(spark, "/root/testdata/sf0.001")
+    assert statement.rdd.getNumPartitions() == pages._lines(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 5
