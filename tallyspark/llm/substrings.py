@@ -20,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WordHashes, bins_for, blocks, bounded_batches, from_planes, list_array, materialize, mix, planes, task, text_bytes
+from tallyspark.llm.common import WordHashes, bins_for, blocks, bounded_batches, bytes_of, from_planes, list_array, materialize, mix, planes, task, text_bytes
 
 #: Bytes of text in a block; its windows take many times as much.
 BLOCK = 1 << 20
+#: Bytes of text in a bucket of documents; the places of its windows take 16 times as much at most.
+BUCKET_BYTES = 16 << 20
 #: Bits of a window's start; above them, where rows share a doc_id, stands a 32-bit hash of the text.
 START_BITS = 31
 #: Intervals of so many bytes at most are broadcast to the documents; more are joined by a shuffle.
@@ -167,6 +169,12 @@ def _spans(t: pa.Table, length: int) -> pa.Table:
     return pa.table({"doc_of_spans": pa.array(ids, pa.int64()), "starts": list_array(start[first], n, pa.int64()), "stops": list_array(stop, n, pa.int64())})
 
 
+def buckets_for(size: int, cores: int) -> int:
+    """Buckets of documents for `size` bytes of text. Every bin writes a row for each bucket, so buckets don't follow the shuffle
+    partitions, which the bins follow, but the text, and the cores where it is small."""
+    return max(2 * cores, -(-size // BUCKET_BYTES))
+
+
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -204,6 +212,14 @@ def _cut(batches: Iterator[pa.RecordBatch], apart: bool, joined: bool) -> Iterat
         yield pa.RecordBatch.from_arrays(out, names=[*t.column_names, "n_words", "spans", "kept"])
 
 
+def later_places(docs: DataFrame, length: int, apart: bool) -> DataFrame:
+    """Windows that start earlier too, packed by buckets of documents: a row for each bin and bucket at most."""
+    size = bytes_of(docs)
+    bins, buckets = bins_for(docs, size=size), buckets_for(size, docs.sparkSession.sparkContext.defaultParallelism)
+    packed = docs.where("doc_id is not null").mapInArrow(partial(_pack, length=length, bins=2 * bins, apart=apart), PACKED)
+    return packed.groupBy("bin").applyInArrow(lambda t: _later(t, buckets), "bucket int, doc binary, n binary, start binary")
+
+
 def remove_repeats(documents: DataFrame, length: int = 50, joined: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in `keep` with n_words, spans (array of removed word intervals start, stop) and kept, the text left.
 
@@ -220,10 +236,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, joined: bool = False,
     bounded_batches(spark)
     docs = documents.select("doc_id", "text")
     apart = not documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    bins = bins_for(docs)
-    buckets = bins
-    packed = docs.where("doc_id is not null").mapInArrow(partial(_pack, length=length, bins=2 * bins, apart=apart), PACKED)
-    later = packed.groupBy("bin").applyInArrow(lambda t: _later(t, buckets), "bucket int, doc binary, n binary, start binary")
+    later = later_places(docs, length, apart)
     spans = later.groupBy("bucket").applyInArrow(lambda t: _spans(t, length), "doc_of_spans bigint, starts array<bigint>, stops array<bigint>")
     spans = materialize(spans, "repeat-spans")
     size = spans.agg(F.coalesce(F.sum(24 + 16 * F.size("starts")), F.lit(0))).first()[0]

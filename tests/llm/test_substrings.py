@@ -59,3 +59,21 @@ def test_text_keeps_its_white_space(spark):
     rows = [(1, f"a\n\n{p}\nb"), (2, f"c\n\n{p}\n d\te")]
     got = {r.doc_id: r.kept for r in remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), 20).collect()}
     assert got == {1: rows[0][1], 2: "c\n\nd\te"}
+
+
+def test_places_are_sent_in_rows_that_dont_grow_with_the_square_of_the_partitions(spark):
+    """A bin's places go to buckets by the bytes of the text and the cores, whatever the number of shuffle partitions."""
+    from tallyspark.llm.substrings import later_places
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = corpus(3)
+    rows += [(2000 + i, rows[i][1]) for i in range(len(rows))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        sent = later_places(docs, 20, False).count()
+        got = remove_repeats(docs, 20, joined=True).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.doc_id: (r.n_words, sum(s.stop - s.start for s in r.spans), r.kept) for r in got} == brute(rows, 20)
+    assert 0 < sent <= 4 * 60 * 2 * spark.sparkContext.defaultParallelism  # with a bucket for each bin: several times as many
