@@ -10,15 +10,17 @@ them: first those of words with hardly any shingle, then the keys that most sets
 
 Steps: each block of documents packs its distinct keys for hash bins -> a bin counts its keys over all blocks and
 tells each block which of its keys others have too -> the block drops the last g keys of each sketch and packs the
-rest, with their size and a folded sketch, for bins again -> a bin finds the sets that share a key: of a key with
-few sets all pairs within the Hamming bound are verified on the sets; the sets of a key with more meet one or two of them and are
-kept as rows.
+rest, with their size and a folded sketch, for bins again -> a bin finds the sets that share a key and are within the
+Hamming bound, and tells which of them hang together, as one pair for each set and not as all pairs -> what hangs together in any
+bins is a cluster of candidates, whose sets come to one task, which verifies pairs of different components on the sets and
+gives a link for each two components that it joins. Larger clusters are dealt in parts, two of which meet in a task.
 Folded sketches of long documents are too wide to travel with each key: their pairs must share an eighth of d keys
 more, half of them with few sets or half with many, and are counted before their folds are compared.
-Verified pairs give components. Sets of larger keys then meet one of their key's largest component for some rounds,
-which joins most of a large group, and at last pairs of larger keys of different components within the bound are verified. Every
-pair that qualifies shares a key, and pairs inside a component need no test, so no link between components is
-lost and no group is expanded into all pairs. Keys that very many sets hold are dealt in parts of bounded size.
+Links give components. Keys that very many sets hold are dealt in parts of bounded size, and those, like the keys of more sets
+with wide folds, are kept as rows: their sets then meet one of their key's largest component for some rounds, which joins most
+of a large group, and at last those of different components within the bound are candidates. Every pair that qualifies shares
+a key, so both sets are in one cluster, and pairs inside a component need no test: no link between components is lost, and
+what is sent grows with the sets and not with their pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +44,18 @@ STEP = 1.25
 BLOCK = 4 << 20
 #: Ids of so many documents (8 bytes each) at most are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-#: Sets of a key up to which all its pairs are tried at once.
+#: Sets of a key up to which all its pairs are compared at once.
 SMALL = 16
 #: Sets of a key that meet in one task.
 PART = 4096
-#: Sets that those of a larger key meet at once, and the rounds in which they meet one of their key's largest component before
-#: pairs are tried.
+#: Sets that those of a dealt key meet at once, and the rounds in which they meet one of their key's largest component before
+#: the others.
 LEADERS, ROUNDS = 2, 2
+#: Sets of a cluster, and bytes of them, that are in one part; two parts meet in a task.
+CLUSTER, CLUSTER_BYTES = 2048, 16 << 20
+#: Sets of a cluster up to which its pairs are verified without a look at sketches, and the bits of those for each shingle of
+#: the largest difference.
+FEW, SKETCH_BITS = 6, 32
 #: Bits of a folded sketch for each shingle of the largest difference, the 64-bit words of it that travel with each key, and
 #: those over which nothing travels.
 FOLD_BITS, CARRIED, WIDE = 4, 12, 22
@@ -305,17 +313,45 @@ class Held:
             at = np.sort(order[~near & (order != lead)])
         return found
 
-    def with_partner(self, at: int, n: int, num: int, den: int) -> np.ndarray:
-        """Which of the n rows from `at` on, of one key, are near another one of them."""
-        out = np.zeros(n, bool)
-        every = np.arange(at, at + n)
-        for k in range(0, n, 64):
-            a, b = (x.ravel() for x in np.meshgrid(every[k : k + 64], every[k:], indexing="ij"))
-            a, b = a[b > a], b[b > a]
-            near = self.near(a, b, num, den)
-            out[a[near] - at] = True
-            out[b[near] - at] = True
-        return out
+    def stars(self, own: np.ndarray, left: np.ndarray, num: int, den: int) -> np.ndarray:
+        """What hangs together by near pairs of a row at `left` with another one at `own` (places, left among them), as pairs of
+        the first set with each other one. Rows of two parts meet if left isn't all of own; sets of one component don't."""
+        label = np.arange(len(own))
+        across = len(left) < len(own)
+        places = np.searchsorted(own, left)
+        for k in range(0, len(places), 64):
+            a, b = (x.ravel() for x in np.meshgrid(places[k : k + 64], np.arange(0 if across else k, len(own)), indexing="ij"))
+            good = label[a] != label[b]
+            good &= self.part[own[a]] != self.part[own[b]] if across else a < b
+            if self.component is not None:
+                good &= self.component[own[a]] != self.component[own[b]]
+            a, b = a[good], b[good]
+            near = self.near(own[a], own[b], num, den)
+            label = _together(label, a[near], b[near])
+        other = np.flatnonzero(label != np.arange(len(own)))
+        return np.stack([self.h1[own[label[other]]], self.h1[own[other]]])
+
+
+def _together(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the least place of what hangs together) after the places a and b are joined too."""
+    label = label.copy()
+    a, b = label[a], label[b]
+    while (apart := a != b).any():
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while ((up := label[label]) != label).any():
+            label = up
+        a, b = label[a], label[b]
+    return label
+
+
+def _stars(pairs: np.ndarray) -> np.ndarray:
+    """What hangs together by pairs (2, n) of sets, as pairs of the least set with each other one."""
+    sets, at = np.unique(pairs, return_inverse=True)
+    at = at.reshape(pairs.shape)
+    label = _together(np.arange(len(sets)), at[0], at[1])
+    other = np.flatnonzero(label != np.arange(len(sets)))
+    return np.stack([sets[label[other]], sets[other]])
 
 
 def _unpacked(rows: list[int], packed: list[bytes], bands: Bands) -> Iterator[Held]:
@@ -355,8 +391,9 @@ def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @task
 def _met(t: pa.Table, small: int, bands: Bands) -> pa.Table:
-    """Of a bin: the pairs (a, b) near enough of keys with few sets (kind 0), or how many such keys they share (kind 2, in n;
-    in parts how many they must) where folds are wide; and the rows of larger keys (kind 1)."""
+    """Of a bin: what hangs together by pairs (a, b) near enough that share a key (kind 0), or how many keys with few sets pairs
+    share (kind 2, in n; in parts how many they must) where folds are wide; and the rows of dealt keys and of larger keys with
+    wide folds (kind 1)."""
     pairs, counted, held = [np.zeros((2, 0), np.int64)], [np.zeros((5, 0), np.int64)], []
     for rows in _unpacked(t.column("rows").to_pylist(), t.column("packed").to_pylist(), bands):
         start, run = _runs(rows.key, rows.part)
@@ -368,25 +405,27 @@ def _met(t: pa.Table, small: int, bands: Bands) -> pa.Table:
                 break
             a = a[rows.near(a, a + lag, bands.num, bands.den)]
             found.append(np.stack([rows.h1[a], rows.h1[a + lag]]))
+            if rows.fold.shape[1] and len(found) > 1:
+                found = [_stars(np.concatenate(found, axis=1))]
         if rows.fold.shape[1]:
-            found += rows.with_leaders(np.flatnonzero(~few), np.repeat(np.arange(len(start)), run), bands.num, bands.den)
-        if found:
-            both, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
-            if rows.fold.shape[1]:
-                pairs.append(both)
-            else:
+            more = rows.parts > 1
+            found += rows.with_leaders(np.flatnonzero(more), np.repeat(np.arange(len(start)), run), bands.num, bands.den)
+            for at, n in zip(start.tolist(), run.tolist()):
+                if n > small and not more[at]:
+                    own = np.arange(at, at + n)
+                    found.append(rows.stars(own, own, bands.num, bands.den))
+            pairs += found
+        else:
+            more = ~few
+            if found:
+                both, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
                 band = int(rows.band[0])
                 need = (bands.shape(band)[4] + 1) // 2
                 counted.append(np.stack([*both, np.full(len(n), band), n, np.full(len(n), need)]))
-        # Of a larger key only sets that are near another one of it can be in a pair by it.
-        more = ~few
-        for at, n in zip(start.tolist(), run.tolist()) if rows.fold.shape[1] else ():
-            if n > small and rows.parts[at] == 1:
-                more[at : at + n] = rows.with_partner(at, n, bands.num, bands.den)
         more = np.flatnonzero(more)
         often = np.where(rows.parts > 1, rows.parts * PART, np.repeat(run, run))  # the same for all sets of a key
         held.append(pa.table([*(pa.array(c[more], f.type) for c, f in zip([*rows.columns, often], HELD_ARROW)), pa.array([x.tobytes() for x in rows.fold[more]], pa.binary())], schema=HELD_ARROW))
-    both, counted = np.unique(np.concatenate(pairs, axis=1), axis=1), np.concatenate(counted, axis=1)
+    both, counted = _stars(np.concatenate(pairs, axis=1)), np.concatenate(counted, axis=1)
     out = [{"kind": np.full(both.shape[1], 0), "a": both[0], "b": both[1]}]
     out += [{"kind": np.full(counted.shape[1], 2), "a": counted[0], "b": counted[1], "band": counted[2], "n": counted[3], "parts": counted[4]}]
     tables = [pa.table([pa.array(x[f.name], f.type) if f.name in x else pa.nulls(len(x["kind"]), f.type) for f in MET], schema=MET) for x in out]
@@ -462,7 +501,7 @@ def _with_one(batches: Iterator[pa.RecordBatch], turn: int, num: int, den: int)
 
 @task
 def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs near enough of different components of a key, or of two parts of a key."""
+    """What hangs together by pairs near enough of different components of a key, or of two parts of a key."""
     for t in _whole_runs(batches, ["key", "i", "j"]):
         i, j = np.asarray(t.column("i"), dtype=np.int64), np.asarray(t.column("j"), dtype=np.int64)
         for rows, at in _of_table(t):
@@ -471,17 +510,9 @@ def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
             for s, n in zip(start.tolist(), run.tolist()):
                 own = np.arange(s, s + n)
                 left = own[rows.part[own] == i[at][s]]
-                for k in range(0, len(left), 64):
-                    a, b = np.meshgrid(left[k : k + 64], own, indexing="ij")
-                    a, b = a.ravel(), b.ravel()
-                    good = np.flatnonzero((rows.component[a] != rows.component[b]) & ((rows.part[b] != rows.part[a]) | (a < b)))
-                    a, b = a[good], b[good]
-                    if i[at][s] != j[at][s]:
-                        a, b = a[rows.part[b] != rows.part[a]], b[rows.part[b] != rows.part[a]]
-                    ok = rows.near(a, b, num, den)
-                    pairs = np.stack([rows.h1[a[ok]], rows.h1[b[ok]]])
-                    out.append(np.sort(pairs, axis=0))
-            both = np.unique(np.concatenate(out, axis=1), axis=1)
+                if i[at][s] == j[at][s] or len(left) < n:  # else only one of two parts has rows
+                    out.append(rows.stars(own, left, num, den))
+            both = _stars(np.concatenate(out, axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
 
@@ -490,7 +521,71 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
     hashes = WordHashes()
     for t in blocks(batches):
         sets = [shingles(x, n, hashes) for x in text_bytes(t.column("text"))]
-        yield pa.RecordBatch.from_arrays([pa.array([set_hashes(u)[0] for u in sets], pa.int64()), list_array(np.concatenate(sets).view(np.int64), [len(x) for x in sets], pa.int64())], names=["h1", "items"])
+        sizes = [len(x) for x in sets]
+        yield pa.RecordBatch.from_arrays([pa.array([set_hashes(u)[0] for u in sets], pa.int64()), pa.array(sizes, pa.int64()), list_array(np.concatenate(sets).view(np.int64), sizes, pa.int64())], names=["h1", "size", "items"])
+
+
+def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many items a sorted set shares with each other one; none is empty."""
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    sizes = np.array([len(x) for x in others])
+    return np.add.reduceat((one[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
+def _joins(sets: list[np.ndarray], component: np.ndarray, part: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Places of sets of a cluster that meet the threshold, for each two components that they join. Of two parts only sets of
+    different ones meet. Sketches as wide as the sets need rule out pairs, the others are counted."""
+    size = np.array([len(x) for x in sets])
+    top, found, words = np.unique(component, return_inverse=True)[1], [], None
+    first = np.flatnonzero(part == part[0])
+    across = len(first) < len(sets)
+    if len(sets) > FEW:
+        words = 1 + SKETCH_BITS * (2 * int(size.max()) * (den - num) // (den + num)) // 64
+        bits = np.zeros((len(sets), 8 * words), np.uint8)
+        for k, x in enumerate(sets):
+            place = ((x & np.uint64(0xFFFFFFFF)) * np.uint64(64 * words)) >> np.uint64(32)
+            bits[k] = np.packbits((np.bincount(place.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8))
+        bits = bits.view(np.uint64)
+    for a in first.tolist():
+        b = np.flatnonzero(part != part[0]) if across else np.arange(a + 1, len(sets))
+        b = b[top[b] != top[a]]
+        b = b[np.minimum(size[a], size[b]) * den >= np.maximum(size[a], size[b]) * num]
+        if words:
+            most = (size[a] + size[b]) * (den - num) // (den + num)
+            step = 1 + 4_000_000 // words
+            apart = [np.bitwise_count(bits[b[k : k + step]] ^ bits[a]).sum(axis=1, dtype=np.int64) for k in range(0, len(b), step)]
+            b = b[np.concatenate(apart) <= most] if apart else b
+        for k in range(0, len(b), 256):
+            some = b[k : k + 256]
+            some = some[top[some] != top[a]]
+            if not len(some):
+                continue
+            some = some[_common(sets[a], [sets[x] for x in some.tolist()]) * (num + den) >= (size[a] + size[some]) * num]
+            for x in some.tolist():
+                if top[x] != top[a]:
+                    top[top == top[x]] = top[a]
+                    found.append((a, x))
+    return found
+
+
+@task
+def _links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) between components of a cluster, or of two parts of it."""
+    for t in _whole_runs(batches, ["cluster", "i", "j"]):
+        cluster, i, j, h1, component, part = (np.asarray(t.column(c), dtype=np.int64) for c in ("cluster", "i", "j", "h1", "component", "part"))
+        items = t.column("items").combine_chunks()
+        values = np.asarray(items.flatten()).view(np.uint64)
+        ends = np.cumsum(np.asarray(pc.list_value_length(items), dtype=np.int64))
+        sets = [values[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        u, v = [], []
+        for s, n in zip(*(x.tolist() for x in _runs(cluster, i, j))):
+            if i[s] != j[s] and (part[s : s + n] == part[s]).all():
+                continue
+            for a, b in _joins(sets[s : s + n], component[s : s + n], part[s : s + n], num, den):
+                u.append(h1[s + a])
+                v.append(h1[s + b])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def _fewest(wide: DataFrame, bands: Bands) -> DataFrame:
@@ -502,23 +597,33 @@ def _fewest(wide: DataFrame, bands: Bands) -> DataFrame:
     return ranked.where(F.col("_rank") <= F.col("_n") - F.element_at(need, F.col("band")) + 1).drop("_rank", "_n", "often")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of set hashes whose sets meet the threshold, as edges (u, v); sets are made only of documents in a pair."""
-    pairs = materialize(pairs.distinct(), "jaccard-pairs")
-    if not pairs.rows["n"]:
-        none = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        none.rows = pairs.rows
+def _verified(pairs: DataFrame, labels: DataFrame | None, docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (u, v) of sets that meet the threshold, as many as join what all pairs would join of the clusters in which the
+    candidates (a, b) hang together; `labels` has the components so far. Sets are made only of documents in a cluster."""
+    clusters = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rows = clusters.rows["n"]
+    if not rows:
+        none = clusters.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        none.rows = clusters.rows
         return none
-    held = small(pairs.select(F.explode(F.array("a", "b")).alias("h1")), 2 * pairs.rows["n"], BROADCAST_ROWS)
-    ids = materialize(classes.join(held, "h1", "left_semi").select(F.col("rep").alias("doc_id")), "jaccard-ids")
+    clusters_ = clusters.select(F.col("node").alias("h1"), F.col("component").alias("cluster"))
+    ids = materialize(classes.join(small(clusters_, rows, BROADCAST_ROWS), "h1", "left_semi").select(F.col("rep").alias("doc_id")), "jaccard-ids")
     few = small(ids, ids.rows["n"], BROADCAST_ROWS)
-    sets = materialize(docs.join(few, "doc_id", "left_semi").mapInArrow(partial(_sets, n=n), "h1 bigint, items array<bigint>"), "jaccard-sets")
-    left = sets.select(F.col("h1").alias("a"), F.col("items").alias("ia"))
-    right = sets.select(F.col("h1").alias("b"), F.col("items").alias("ib"))
-    both = F.size(F.array_intersect("ia", "ib"))
-    good = pairs.join(left, "a").join(right, "b").where(both * (num + den) >= (F.size("ia") + F.size("ib")) * num).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges = materialize(good, "jaccard-links")
-    for made in (pairs, ids, sets):
+    sets = materialize(docs.join(few, "doc_id", "left_semi").mapInArrow(partial(_sets, n=n), "h1 bigint, size bigint, items array<bigint>"), "jaccard-sets")
+    of = sets.select("h1", "size").dropDuplicates(["h1"]).join(small(clusters_, rows, BROADCAST_ROWS), "h1")
+    if labels is not None:
+        of = of.join(small(labels, labels.rows["n"], BROADCAST_ROWS).withColumnRenamed("node", "h1"), "h1", "left")
+    of = of.withColumn("component", F.coalesce("component", "h1") if labels is not None else F.col("h1"))
+    parts = F.greatest(F.ceil(F.count("*") / CLUSTER), F.ceil(F.sum("size") * 8 / CLUSTER_BYTES)).cast("int")
+    per = of.groupBy("cluster").agg(parts.alias("parts")).where("parts > 1")  # few rows: a cluster has thousands of sets or megabytes
+    of = of.join(F.broadcast(per), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    of = materialize(of.withColumn("part", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int")).select("h1", "cluster", "component", "part", "parts"), "jaccard-clusters")
+    met = of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("h1", "cluster", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    met = small(met, of.agg(F.sum("parts")).first()[0], BROADCAST_ROWS // 4)
+    dealt = sets.select("h1", "items").join(met, "h1").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    edges = materialize(dealt.mapInArrow(partial(_links, num=num, den=den), "u bigint, v bigint"), "jaccard-links")
+    for made in (clusters, ids, sets, of):
         discard(made)
     return edges
 
@@ -561,13 +666,13 @@ def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int =
         for x in ("a", "b"):
             often = often.join(folds.select(F.col("h1").alias(x), "band", F.col("size").alias(f"n{x}"), F.col("folds").alias(f"f{x}")), [x, "band"])
         pairs = pairs.unionByName(often.mapInArrow(partial(_near_wide, num=num, den=den), "a bigint, b bigint"))
-    edges = _verified(pairs, docs, classes, n, num, den)
+    edges = _verified(pairs, None, docs, classes, n, num, den)
     of_doc = made.where("n_shingles > 0").groupBy("doc_id").agg(F.min("h1").alias("v"), F.max("h1").alias("top")).where("v < top").select("doc_id", "v")
     repeats = materialize(made.where("n_shingles > 0").join(of_doc, "doc_id").select(F.col("h1").alias("u"), "v"), "jaccard-repeats")
     labels = components(edges.unionByName(repeats) if repeats.rows["n"] else edges)
     large = large.select("key", "part", "parts", "n", "band", "h1", "often", "fold")
     narrow = large.where(F.length("fold") > 0).drop("often")
-    for turn in range(ROUNDS + 1):
+    for turn in range(0 if large.isEmpty() else ROUNDS + 1):
         # Keys whose sets lie in more than one component may hide a link between components.
         met = narrow if turn < ROUNDS or folds is None else narrow.unionByName(_fewest(large.where(F.length("fold") == 0), bands))
         few = small(labels, labels.rows["n"], BROADCAST_ROWS).withColumnRenamed("node", "h1")
@@ -588,7 +693,7 @@ def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int =
             ij = rest.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
             dealt = whole.unionByName(ij.drop("other")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
             near = dealt.mapInArrow(partial(_across, num=num, den=den), "a bigint, b bigint")
-        more = _verified(near, docs, classes, n, num, den)
+        more = _verified(near, labels, docs, classes, n, num, den)
         discard(split)
         if more.rows["n"]:
             labels = joined_components(labels, more)

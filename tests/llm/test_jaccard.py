@@ -62,3 +62,37 @@ def test_odd_rows(spark):
     got = sorted(jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string, component_id int"), 4, 85, 100).collect(), key=str)
     assert sorted(map(tuple, got), key=str) == sorted([(5, 0, 5), (6, 0, 6), (7, 1, 7), (7, 1, 7), (9, 1, 7), (None, 1, None), (11, 1, 11)], key=str)
     assert jaccard_classes(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize("cluster,few", [(2048, 6), (5, 0), (3, 100)])
+def test_near_copies_below_the_threshold_make_no_pairs(spark, monkeypatch, cluster, few):
+    """Copies of one text with changes of their own: most pairs are within the bound of the sketches and don't qualify. What is
+    sent grows with the copies, not with their pairs."""
+    monkeypatch.setattr(jaccard, "CLUSTER", cluster, raising=False)
+    monkeypatch.setattr(jaccard, "FEW", few, raising=False)
+    sent = []
+
+    def materialize(df, name, real=jaccard.materialize):
+        made = real(df, name)
+        sent.append((name, made.rows["n"]))
+        return made
+
+    def kinds(df, name, n, real=jaccard.materialize_kinds):
+        made = real(df, name, n)
+        sent.extend((name, t.count()) for t, _ in made if name == "jaccard-met")
+        return made
+
+    monkeypatch.setattr(jaccard, "materialize", materialize)
+    monkeypatch.setattr(jaccard, "materialize_kinds", kinds)
+    r = random.Random(7)
+    base = [f"w{r.randrange(400)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in r.sample(range(120), r.choice([0, 1, 3, 4])):
+            w[k] = f"x{r.randrange(10_000)}"
+        rows.append((i, " ".join(w)))
+    got = {tuple(x) for x in jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 4, 85, 100).collect()}
+    assert got == brute(rows, 4, 85, 100)
+    assert all(n <= len(rows) * (1 if name != "jaccard-met" else 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))) for name, n in sent if name in ("jaccard-met", "jaccard-pairs", "jaccard-clusters"))
+    assert cluster < 2048 or all(n < len(rows) for name, n in sent if name == "jaccard-links")
