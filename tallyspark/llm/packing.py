@@ -216,10 +216,11 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         packed = materialize(packed, "packed")
         bins, opened, n = packed.agg(F.count_distinct("sequence_id"), F.count_distinct(F.expr("if(open, sequence_id, null)")), F.count_if("open")).first()
         if done + bins == bound or fewest is not None and done + bins >= fewest:  # as few as can be, or nothing saved
-            placed.append(packed.select("row", "sequence_id", "offset"))
+            best = before.where("open") if fewest is not None and done + bins > fewest else packed  # a turn can need more than the one before
+            placed.append(best.select("row", "sequence_id", "offset"))
             break
         placed.append(packed.where("not open").select("row", "sequence_id", "offset"))
-        fewest = done + bins
+        fewest, before = done + bins, packed
         done += bins - opened
         todo = packed.where("open").select("row", "length")
         turn += 1

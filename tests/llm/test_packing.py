@@ -140,3 +140,23 @@ def test_exchanges_end_at_the_last_turn(spark, monkeypatch):
         assert all(sum(n for _, n in b) <= 2048 and sorted(o for o, _ in b)[0] == 0 for b in bins.values())
         found[turns] = len(bins)
     assert found[1] >= found[2] >= found[32]
+
+
+def test_a_turn_that_needs_more_sequences_is_not_taken(spark, monkeypatch):
+    """In one partition the second turn packs these pieces into one sequence more than the first."""
+    from tallyspark.llm import packing
+
+    monkeypatch.setattr(packing, "ROWS_A_PARTITION", 40)
+    monkeypatch.setattr(packing, "TRIES", 0)
+    df = spark.range(0, 900, 1, 1).selectExpr("id AS doc_id", "600 + id * 37 % 400 AS length")
+    found = []
+    for turns in (1, 2):
+        monkeypatch.setattr(packing, "TURNS", turns)
+        rows = packing.best_fit_pack(df).collect()
+        bins = {}
+        for r in rows:
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert len(rows) == 900
+        assert all(sum(n for n in (x[1] for x in sorted(b))) <= 2048 and all(o == sum(x[1] for x in sorted(b)[:k]) for k, (o, _) in enumerate(sorted(b))) for b in bins.values())
+        found.append(len(bins))
+    assert found[0] >= found[1]
