@@ -14,10 +14,10 @@ rest, with their size and a folded sketch, for bins again -> a bin finds the set
 Hamming bound, and tells which of them hang together, as one pair for each set and not as all pairs -> what hangs together in any
 bins is a cluster of candidates, whose sets come to one task, which verifies pairs of different components on the sets and
 gives a link for each two components that it joins. Larger clusters are dealt in parts, two of which meet in a task.
-Folded sketches of long documents are too wide to travel with each key: their pairs must share an eighth of d keys
-more, half of them with few sets or half with many, and are counted before their folds are compared.
-Links give components. Keys that very many sets hold are dealt in parts of bounded size, and those, like the keys of more sets
-with wide folds, are kept as rows: their sets then meet one of their key's largest component for some rounds, which joins most
+Folded sketches of long documents are too wide to travel with each key: their shingles are dealt to slices by hash, and in at
+least one slice a pair differs in at most its share of d (pigeonhole again), so each slice has sketches and keys of its own.
+Links give components. Keys that very many sets hold are dealt in parts of bounded size, and those are
+kept as rows: their sets then meet one of their key's largest component for some rounds, which joins most
 of a large group, and at last those of different components within the bound are candidates. Every pair that qualifies shares
 a key, so both sets are in one cluster, and pairs inside a component need no test: no link between components is lost, and
 what is sent grows with the sets and not with their pairs.
@@ -33,7 +33,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import WordHashes, bins_for, blocks, bounded_batches, components, discard, from_planes, joined_components, list_array, materialize, materialize_kinds, mix, pack, planes, remove, small, stretches, task, text_bytes, unpack
@@ -56,13 +56,13 @@ CLUSTER, CLUSTER_BYTES = 2048, 16 << 20
 #: Sets of a cluster up to which its pairs are verified without a look at sketches, and the bits of those for each shingle of
 #: the largest difference.
 FEW, SKETCH_BITS = 6, 32
-#: Bits of a folded sketch for each shingle of the largest difference, the 64-bit words of it that travel with each key, and
-#: those over which nothing travels.
-FOLD_BITS, CARRIED, WIDE = 4, 12, 22
+#: Bits of a folded sketch for each shingle of the largest difference, the 64-bit words of it that travel with each key, those
+#: over which a set is cut into slices, and the words of a slice.
+FOLD_BITS, CARRIED, WIDE, SLICE = 4, 12, 22, 6
 LIGHT = np.uint64(1 << 47)
 MADE = "kind int, doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, block string, head binary, who binary, folds binary, bin int, keys binary"
-HELD = "key bigint, part int, parts int, n int, band int, h1 bigint, often int, fold binary"
-HELD_ARROW = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("n", pa.int32()), ("band", pa.int32()), ("h1", pa.int64()), ("often", pa.int32()), ("fold", pa.binary())])
+HELD = "key bigint, part int, parts int, n int, band int, h1 bigint, fold binary"
+HELD_ARROW = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("n", pa.int32()), ("band", pa.int32()), ("h1", pa.int64()), ("fold", pa.binary())])
 MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), *HELD_ARROW])
 
 
@@ -84,39 +84,40 @@ class Bands:
             self.bounds.append(max(self.bounds[-1] + 2, int(self.bounds[-1] * STEP)))
         return int(np.searchsorted(self.bounds, size, side="right")) - 1
 
-    def shared_if_wide(self, band: int) -> int:
-        """The keys that a pair of a band with wide folds shares: 1 and an eighth of its largest difference."""
+    def most(self, band: int) -> int:
+        """The largest difference of two sets that meet in a band."""
         while len(self.bounds) <= band + 1:
             self.at(self.bounds[-1])
-        return 1 + self.difference(2 * (self.bounds[band + 1] - 1)) // 8
+        return self.difference(2 * (self.bounds[band + 1] - 1))
 
-    def shape(self, band: int) -> tuple[int, int, int, int, int]:
-        """Words k of the sketch, spare words g, bits up to which a word is light, words of the folded sketch, and how
-        many keys a pair shares at least after both have left out g.
+    def slices(self, band: int) -> int:
+        """How many slices the sets of a band are cut into: of a qualifying pair one slice differs in at most the largest difference
+        divided by their number."""
+        fold = max(1, -(-FOLD_BITS * self.most(band) // 64))
+        return 1 if fold <= self.wide else -(-fold // max(1, min(self.wide, SLICE)))
 
-        Of k = d + s + g words at least s + g are the same, so with at most g light words a document's heavy
-        words are enough. k is the least for which the band's smallest sets have rarely more light words. s is 1, but
-        where folded sketches are wide an eighth of d more."""
+    def shape(self, band: int) -> tuple[int, int, int, int]:
+        """Of a slice: words k of the sketch, spare words g, bits up to which a word is light, words of the folded sketch.
+
+        Of k = d + 1 + g words at least 1 + g are the same, so with at most g light words a document's heavy
+        words are enough. k is the least for which the band's smallest sets have rarely more light words."""
         if band not in self.shapes:
-            while len(self.bounds) <= band + 1:
-                self.at(self.bounds[-1])
-            low, d = self.bounds[band], self.difference(2 * (self.bounds[band + 1] - 1))
+            slices = self.slices(band)
+            low, d = self.bounds[band] / slices, self.most(band) // slices
             fold = max(1, -(-FOLD_BITS * d // 64))
-            shared = self.shared_if_wide(band) if fold > self.wide else 1
-            self.shapes[band] = (d + shared, 0, 0, fold, shared)
-            for light, k in ((x, k) for x in (1, 0) for k in range(d + shared + 1, 2 * d + shared + 7)):
+            self.shapes[band] = (d + 1, 0, 0, fold)
+            for light, k in ((x, k) for x in (1, 0) for k in range(d + 2, 2 * d + 8)):
                 mean = low / k
                 share = math.exp(-mean) * (1 + mean * light)  # Poisson
-                if k - d - shared >= k * share + 2.5 * math.sqrt(k * share * (1 - share)):
-                    self.shapes[band] = (k, k - d - shared, light, fold, shared)
+                if k - d - 1 >= k * share + 2.5 * math.sqrt(k * share * (1 - share)):
+                    self.shapes[band] = (k, k - d - 1, light, fold)
                     break
         return self.shapes[band]
 
     def carried(self, band: int) -> int:
-        """Words of a folded sketch that travel with each key: none of a wide one. Fewer words bound the difference less
-        well but still tell unrelated sets apart."""
-        fold = self.shape(band)[3]
-        return 0 if fold > self.wide else min(fold, CARRIED)
+        """Words of a folded sketch that travel with each key. Fewer words bound the difference less well but still tell
+        unrelated sets apart."""
+        return min(self.shape(band)[3], CARRIED)
 
     def of(self, size: int) -> range:
         """Bands in which a set of this size takes part: those of its own and of larger partners."""
@@ -151,6 +152,15 @@ def sketch(u: np.ndarray, k: int, light: int, fold: int) -> tuple[np.ndarray, np
     return words, bits.reshape(k, 64).sum(1) > light, np.bitwise_xor.reduce(padded.reshape(-1, fold), axis=0)
 
 
+def in_slices(u: np.ndarray, slices: int) -> list[np.ndarray]:
+    """The shingles of each slice, by bits of their hashes that sketches don't use."""
+    if slices == 1:
+        return [u]
+    no = (((u >> np.uint64(32)) & np.uint64(0x3FFFFFF)) * np.uint64(slices)) >> np.uint64(26)
+    order = np.argsort(no, kind="stable")
+    return np.split(u[order], np.searchsorted(no[order], np.arange(1, slices, dtype=np.uint64)))
+
+
 def set_hashes(u: np.ndarray) -> tuple[int, int]:
     """Two 64-bit hashes of a set, as signed numbers; an empty set has zeros."""
     sums = [np.add.reduce(mix(u ^ np.uint64(seed))) if len(u) else np.uint64(0) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
@@ -165,7 +175,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int, bands: Bands, bins: int
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in MADE.split(", ")])
     for t in blocks(batches, limit=BLOCK):
         doc_ids, sizes, ones, twos = t.column("doc_id").to_pylist(), [], [], []
-        seen, of_set, of_sketch, keys, folds, wide = set(), [], [], [], [np.zeros(0, np.uint64)], []
+        seen, of_set, of_sketch, keys, folds = set(), [], [], [], [np.zeros(0, np.uint64)]
         for doc_id, text in zip(doc_ids, text_bytes(t.column("text")), strict=True):
             u = shingles(text, n, hashes)
             h1, h2 = set_hashes(u)
@@ -177,17 +187,15 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int, bands: Bands, bins: int
             seen.add((len(u), h1, h2))
             of_set.append((h1, len(u)))
             for band in bands.of(len(u)):
-                k, g, light, fold, _ = bands.shape(band)
-                words, heavy, folded = sketch(u, k, light, bands.carried(band) or fold)
-                spare = g - (k - np.count_nonzero(heavy))
-                at = np.flatnonzero(heavy) if spare >= 0 else np.arange(k)
-                key = mix(words[at] ^ mix((at + band * 1_000_003).astype(np.uint64))) >> np.uint64(17)
-                keys.append(key | np.where(heavy[at], np.uint64(0), LIGHT))
-                of_sketch.append((len(of_set) - 1, band, spare if spare >= 0 else g, len(at)))
-                if bands.carried(band):
+                k, g, light, _ = bands.shape(band)
+                for no, own in enumerate(in_slices(u, bands.slices(band))):
+                    words, heavy, folded = sketch(own, k, light, bands.carried(band))
+                    spare = g - (k - np.count_nonzero(heavy))
+                    at = np.flatnonzero(heavy) if spare >= 0 else np.arange(k)
+                    key = mix(words[at] ^ mix((at + no * 1009 + band * 1_000_003).astype(np.uint64))) >> np.uint64(17)
+                    keys.append(key | np.where(heavy[at], np.uint64(0), LIGHT))
+                    of_sketch.append((len(of_set) - 1, band, spare if spare >= 0 else g, len(at)))
                     folds.append(folded)
-                else:
-                    wide.append({"kind": 3, "n_shingles": len(u), "h1": h1, "bin": band, "folds": folded.tobytes()})
         block = uuid.uuid4().hex
         none = lambda kind: pa.nulls(len(sizes), kind)
         made = {"kind": pa.array([0] * len(sizes), pa.int32()), "doc_id": t.column("doc_id").combine_chunks(), "n_shingles": pa.array(sizes, pa.int64()), "h1": pa.array(ones, pa.int64()), "h2": pa.array(twos, pa.int64())}
@@ -209,8 +217,6 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int, bands: Bands, bins: int
             own = slice(edges[x], edges[x + 1])
             rows.append({"kind": 2, "block": block, "bin": x, "keys": pack(planes(np.diff(q[own], prepend=np.uint64(0))), planes(run[own]))})
         yield pa.RecordBatch.from_pylist(rows, schema)
-        for x in range(0, len(wide), 1000):
-            yield pa.RecordBatch.from_pylist(wide[x : x + 1000], schema)
 
 
 @task
@@ -282,23 +288,24 @@ class Held:
     def __init__(self, key, part, parts, n, band, h1, fold, component=None):
         self.columns = [key, part, parts, n, band, h1]
         self.key, self.part, self.parts, self.n, self.band, self.h1 = self.columns
-        self.fold, self.component = fold, component  # fold: (rows, words), without words for wide ones
+        self.fold, self.component = fold, component  # fold: (rows, words)
 
-    def near(self, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Which of the rows (a, b) of a band may qualify by their sizes and by the Hamming bound."""
+    def near(self, a: np.ndarray, b: np.ndarray, bands: Bands) -> np.ndarray:
+        """Which of the rows (a, b) of a band may qualify by their sizes and by the Hamming bound of a slice."""
         small, large = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
-        out = (small * den >= large * num) & (self.h1[a] != self.h1[b])
+        out = (small * bands.den >= large * bands.num) & (self.h1[a] != self.h1[b])
         at = np.flatnonzero(out)
-        if not self.fold.shape[1]:
+        if not len(at):
             return out
+        slices = bands.slices(int(self.band[0]))
         step = 1 + 500_000 // self.fold.shape[1]
         for k in range(0, len(at), step):
             s = at[k : k + step]
             distance = np.bitwise_count(self.fold[a[s]] ^ self.fold[b[s]]).sum(axis=1, dtype=np.int64)
-            out[s] = distance <= (small[s] + large[s]) * (den - num) // (den + num)
+            out[s] = distance <= bands.difference(small[s] + large[s]) // slices
         return out
 
-    def with_leaders(self, at: np.ndarray, no: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    def with_leaders(self, at: np.ndarray, no: np.ndarray, bands: Bands) -> list[np.ndarray]:
         """The near pairs of rows at `at` of one key (no) each with one set of it, and of those that aren't near with a second one."""
         found = []
         for turn in range(LEADERS):
@@ -308,12 +315,12 @@ class Held:
             first, size = _runs(no[order])
             lead = np.repeat(order[first], size)
             near = np.zeros(len(order), bool)
-            near[order != lead] = self.near(lead[order != lead], order[order != lead], num, den)
+            near[order != lead] = self.near(lead[order != lead], order[order != lead], bands)
             found.append(np.sort(np.stack([self.h1[lead[near]], self.h1[order[near]]]), axis=0))
             at = np.sort(order[~near & (order != lead)])
         return found
 
-    def stars(self, own: np.ndarray, left: np.ndarray, num: int, den: int) -> np.ndarray:
+    def stars(self, own: np.ndarray, left: np.ndarray, bands: Bands) -> np.ndarray:
         """What hangs together by near pairs of a row at `left` with another one at `own` (places, left among them), as pairs of
         the first set with each other one. Rows of two parts meet if left isn't all of own; sets of one component don't."""
         label = np.arange(len(own))
@@ -326,7 +333,7 @@ class Held:
             if self.component is not None:
                 good &= self.component[own[a]] != self.component[own[b]]
             a, b = a[good], b[good]
-            near = self.near(own[a], own[b], num, den)
+            near = self.near(own[a], own[b], bands)
             label = _together(label, a[near], b[near])
         other = np.flatnonzero(label != np.arange(len(own)))
         return np.stack([self.h1[own[label[other]]], self.h1[own[other]]])
@@ -391,10 +398,8 @@ def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @task
 def _met(t: pa.Table, small: int, bands: Bands) -> pa.Table:
-    """Of a bin: what hangs together by pairs (a, b) near enough that share a key (kind 0), or how many keys with few sets pairs
-    share (kind 2, in n; in parts how many they must) where folds are wide; and the rows of dealt keys and of larger keys with
-    wide folds (kind 1)."""
-    pairs, counted, held = [np.zeros((2, 0), np.int64)], [np.zeros((5, 0), np.int64)], []
+    """Of a bin: what hangs together by pairs (a, b) near enough that share a key (kind 0), and the rows of dealt keys (kind 1)."""
+    pairs, held = [np.zeros((2, 0), np.int64)], []
     for rows in _unpacked(t.column("rows").to_pylist(), t.column("packed").to_pylist(), bands):
         start, run = _runs(rows.key, rows.part)
         few = (rows.parts == 1) & (np.repeat(run, run) <= small)
@@ -403,47 +408,27 @@ def _met(t: pa.Table, small: int, bands: Bands) -> pa.Table:
             a = np.flatnonzero(few[: max(len(few) - lag, 0)] & (np.arange(lag, len(few)) < after[: max(len(few) - lag, 0)]))
             if not len(a):
                 break
-            a = a[rows.near(a, a + lag, bands.num, bands.den)]
+            a = a[rows.near(a, a + lag, bands)]
             found.append(np.stack([rows.h1[a], rows.h1[a + lag]]))
-            if rows.fold.shape[1] and len(found) > 1:
+            if len(found) > 1:
                 found = [_stars(np.concatenate(found, axis=1))]
-        if rows.fold.shape[1]:
-            more = rows.parts > 1
-            found += rows.with_leaders(np.flatnonzero(more), np.repeat(np.arange(len(start)), run), bands.num, bands.den)
-            for at, n in zip(start.tolist(), run.tolist()):
-                if n > small and not more[at]:
-                    own = np.arange(at, at + n)
-                    found.append(rows.stars(own, own, bands.num, bands.den))
-            pairs += found
-        else:
-            more = ~few
-            if found:
-                both, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
-                band = int(rows.band[0])
-                need = (bands.shape(band)[4] + 1) // 2
-                counted.append(np.stack([*both, np.full(len(n), band), n, np.full(len(n), need)]))
+        more = rows.parts > 1
+        found += rows.with_leaders(np.flatnonzero(more), np.repeat(np.arange(len(start)), run), bands)
+        for at, n in zip(start.tolist(), run.tolist()):
+            if n > small and not more[at]:
+                own = np.arange(at, at + n)
+                found.append(rows.stars(own, own, bands))
+        pairs += found
         more = np.flatnonzero(more)
-        often = np.where(rows.parts > 1, rows.parts * PART, np.repeat(run, run))  # the same for all sets of a key
-        held.append(pa.table([*(pa.array(c[more], f.type) for c, f in zip([*rows.columns, often], HELD_ARROW)), pa.array([x.tobytes() for x in rows.fold[more]], pa.binary())], schema=HELD_ARROW))
-    both, counted = _stars(np.concatenate(pairs, axis=1)), np.concatenate(counted, axis=1)
-    out = [{"kind": np.full(both.shape[1], 0), "a": both[0], "b": both[1]}]
-    out += [{"kind": np.full(counted.shape[1], 2), "a": counted[0], "b": counted[1], "band": counted[2], "n": counted[3], "parts": counted[4]}]
-    tables = [pa.table([pa.array(x[f.name], f.type) if f.name in x else pa.nulls(len(x["kind"]), f.type) for f in MET], schema=MET) for x in out]
+        held.append(pa.table([*(pa.array(c[more], f.type) for c, f in zip(rows.columns, HELD_ARROW)), pa.array([x.tobytes() for x in rows.fold[more]], pa.binary())], schema=HELD_ARROW))
+    both = _stars(np.concatenate(pairs, axis=1))
+    out = {"kind": pa.array(np.zeros(both.shape[1], np.int32)), "a": pa.array(both[0]), "b": pa.array(both[1])}
+    tables = [pa.table([out.get(f.name, pa.nulls(both.shape[1], f.type)) for f in MET], schema=MET)]
     for h in held:
         tables.append(pa.table([pa.array(np.full(h.num_rows, 1), pa.int32()), *[pa.nulls(h.num_rows, pa.int64())] * 2, *h.columns], schema=MET))
     return pa.concat_tables(tables)
 
 
-@task
-def _near_wide(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b, na, nb, fa, fb) within the Hamming bound of their folded sketches, as (a, b)."""
-    for t in batches:
-        total = np.asarray(t.column("na")).astype(np.int64) + np.asarray(t.column("nb")).astype(np.int64)
-        apart = [int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()) for x, y in zip(t.column("fa").to_pylist(), t.column("fb").to_pylist(), strict=True)]
-        good = pa.array(np.array(apart, np.int64) <= total * (den - num) // (den + num))
-        yield pa.RecordBatch.from_arrays([t.column("a").filter(good), t.column("b").filter(good)], names=["a", "b"])
-
-
 def _whole_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
     """Tables that hold whole runs of rows with the same values in `names`; the rows come sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -482,7 +467,7 @@ def _of_table(t: pa.Table) -> Iterator[tuple[Held, np.ndarray]]:
 
 
 @task
-def _with_one(batches: Iterator[pa.RecordBatch], turn: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _with_one(batches: Iterator[pa.RecordBatch], turn: int, bands: Bands) -> Iterator[pa.RecordBatch]:
     """Pairs near enough of one set of each key's largest component with the sets of its other components."""
     for t in _whole_runs(batches, ["key", "part"]):
         for rows, _ in _of_table(t):
@@ -495,12 +480,12 @@ def _with_one(batches: Iterator[pa.RecordBatch], turn: int, num: int, den: int)
             lead = order[first[best[last]]]
             a, b = lead[no], np.arange(len(no))
             other = np.flatnonzero(rows.component[a] != rows.component[b])
-            other = other[rows.near(a[other], b[other], num, den)]
+            other = other[rows.near(a[other], b[other], bands)]
             yield pa.RecordBatch.from_arrays([pa.array(f(rows.h1[a[other]], rows.h1[b[other]])) for f in (np.minimum, np.maximum)], names=["a", "b"])
 
 
 @task
-def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
     """What hangs together by pairs near enough of different components of a key, or of two parts of a key."""
     for t in _whole_runs(batches, ["key", "i", "j"]):
         i, j = np.asarray(t.column("i"), dtype=np.int64), np.asarray(t.column("j"), dtype=np.int64)
@@ -511,7 +496,7 @@ def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
                 own = np.arange(s, s + n)
                 left = own[rows.part[own] == i[at][s]]
                 if i[at][s] == j[at][s] or len(left) < n:  # else only one of two parts has rows
-                    out.append(rows.stars(own, left, num, den))
+                    out.append(rows.stars(own, left, bands))
             both = _stars(np.concatenate(out, axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
@@ -588,15 +573,6 @@ def _links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _fewest(wide: DataFrame, bands: Bands) -> DataFrame:
-    """Of the rows of a set in a band of wide folds those that are enough: its pairs share `need` larger keys or more, so each set may
-    leave out the need - 1 that come last in an order that holds for all, the most frequent keys. A set with fewer has none."""
-    need = F.create_map(*[F.lit(x) for b in range(1, 70) for x in (b, (bands.shared_if_wide(b) + 1) // 2)])
-    own = Window.partitionBy("h1", "band")
-    ranked = wide.withColumn("_rank", F.row_number().over(own.orderBy("often", "key"))).withColumn("_n", F.count("*").over(own))
-    return ranked.where(F.col("_rank") <= F.col("_n") - F.element_at(need, F.col("band")) + 1).drop("_rank", "_n", "often")
-
-
 def _verified(pairs: DataFrame, labels: DataFrame | None, docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links (u, v) of sets that meet the threshold, as many as join what all pairs would join of the clusters in which the
     candidates (a, b) hang together; `labels` has the components so far. Sets are made only of documents in a cluster."""
@@ -643,61 +619,47 @@ def jaccard_classes(documents: DataFrame, n: int = 5, num: int = 80, den: int =
     bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bands, bins = Bands(num, den, WIDE), bins_for(docs)
-    tables = materialize_kinds(docs.mapInArrow(partial(_sketches, n=n, bands=bands, bins=bins), MADE), "jaccard-sketches", 4)
-    made, held_blocks, keys, wide = (t for t, _ in tables)
+    tables = materialize_kinds(docs.mapInArrow(partial(_sketches, n=n, bands=bands, bins=bins), MADE), "jaccard-sketches", 3)
+    made, held_blocks, keys = (t for t, _ in tables)
     made = made.select("doc_id", "n_shingles", "h1", "h2")
     counts = materialize(keys.select("block", "bin", "keys").groupBy("bin").applyInArrow(lambda t: _count(t), "block string, bin int, size int, live binary"), "jaccard-counts")
     remove(spark, tables[2][1])
     back = counts.groupBy("block").agg(F.collect_list(F.struct("bin", "size", "live")).alias("back"))
     trimmed = held_blocks.select("block", "head", "who", "folds").join(back, "block").mapInArrow(partial(_trim, bins=bins, part=PART, bands=bands), "bin int, rows int, packed binary")
     meet = partial(_met, small=SMALL, bands=bands)
-    (pairs, pairs_path), (large, large_path), (shared, shared_path) = materialize_kinds(trimmed.groupBy("bin").applyInArrow(lambda t: meet(t), f"kind int, a bigint, b bigint, {HELD}"), "jaccard-met", 3)
+    (pairs, pairs_path), (large, large_path) = materialize_kinds(trimmed.groupBy("bin").applyInArrow(lambda t: meet(t), f"kind int, a bigint, b bigint, {HELD}"), "jaccard-met", 2)
     discard(counts)
     remove(spark, tables[1][1])
 
     # A set is one node, whatever the number of its documents; a document of several sets joins them.
     sets = made.where("n_shingles > 0 and doc_id is not null").groupBy("h1").agg(F.min("doc_id").alias("rep"))
     classes = materialize(sets, "jaccard-classes")
-    pairs = pairs.select("a", "b")
-    folds = None
-    if not wide.isEmpty():
-        folds = materialize(wide.select("h1", F.col("bin").alias("band"), F.col("n_shingles").cast("int").alias("size"), "folds").dropDuplicates(["h1", "band"]), "jaccard-folds")
-        often = shared.groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.first("parts").alias("need")).where("n >= need").select("a", "b", "band")
-        for x in ("a", "b"):
-            often = often.join(folds.select(F.col("h1").alias(x), "band", F.col("size").alias(f"n{x}"), F.col("folds").alias(f"f{x}")), [x, "band"])
-        pairs = pairs.unionByName(often.mapInArrow(partial(_near_wide, num=num, den=den), "a bigint, b bigint"))
-    edges = _verified(pairs, None, docs, classes, n, num, den)
+    edges = _verified(pairs.select("a", "b"), None, docs, classes, n, num, den)
     of_doc = made.where("n_shingles > 0").groupBy("doc_id").agg(F.min("h1").alias("v"), F.max("h1").alias("top")).where("v < top").select("doc_id", "v")
     repeats = materialize(made.where("n_shingles > 0").join(of_doc, "doc_id").select(F.col("h1").alias("u"), "v"), "jaccard-repeats")
     labels = components(edges.unionByName(repeats) if repeats.rows["n"] else edges)
-    large = large.select("key", "part", "parts", "n", "band", "h1", "often", "fold")
-    narrow = large.where(F.length("fold") > 0).drop("often")
+    large = large.select("key", "part", "parts", "n", "band", "h1", "fold")
     for turn in range(0 if large.isEmpty() else ROUNDS + 1):
         # Keys whose sets lie in more than one component may hide a link between components.
-        met = narrow if turn < ROUNDS or folds is None else narrow.unionByName(_fewest(large.where(F.length("fold") == 0), bands))
         few = small(labels, labels.rows["n"], BROADCAST_ROWS).withColumnRenamed("node", "h1")
-        tagged = met.join(few, "h1", "left").withColumn("component", F.coalesce("component", "h1"))
+        tagged = large.join(few, "h1", "left").withColumn("component", F.coalesce("component", "h1"))
         split = materialize(tagged.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key"), "jaccard-split")
         if not split.rows["n"]:
             discard(split)
             continue
         rest = tagged.join(small(split, split.rows["n"], BROADCAST_ROWS), "key", "left_semi")
-        if turn == ROUNDS and folds is not None:
-            carried = F.length("fold") > 0
-            rest = rest.where(carried).unionByName(rest.where(~carried).drop("fold").join(folds.select("h1", "band", F.col("folds").alias("fold")), ["h1", "band"]))
         if turn < ROUNDS:
             dealt = rest.repartition("key", "part").sortWithinPartitions("key", "part")
-            near = dealt.mapInArrow(partial(_with_one, turn=turn, num=num, den=den), "a bigint, b bigint")
+            near = dealt.mapInArrow(partial(_with_one, turn=turn, bands=bands), "a bigint, b bigint")
         else:
-            whole = rest.where("parts = 1").withColumn("i", F.col("part")).withColumn("j", F.col("part"))
-            ij = rest.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-            dealt = whole.unionByName(ij.drop("other")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            near = dealt.mapInArrow(partial(_across, num=num, den=den), "a bigint, b bigint")
+            met = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+            dealt = met.drop("other").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            near = dealt.mapInArrow(partial(_across, bands=bands), "a bigint, b bigint")
         more = _verified(near, labels, docs, classes, n, num, den)
         discard(split)
         if more.rows["n"]:
             labels = joined_components(labels, more)
-    for path in (pairs_path, large_path, shared_path, tables[3][1]):
+    for path in (pairs_path, large_path):
         remove(spark, path)
 
     linked = classes.join(labels.withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))

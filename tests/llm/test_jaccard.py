@@ -96,3 +96,27 @@ def test_near_copies_below_the_threshold_make_no_pairs(spark, monkeypatch, clust
     assert got == brute(rows, 4, 85, 100)
     assert all(n <= len(rows) * (1 if name != "jaccard-met" else 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))) for name, n in sent if name in ("jaccard-met", "jaccard-pairs", "jaccard-clusters"))
     assert cluster < 2048 or all(n < len(rows) for name, n in sent if name == "jaccard-links")
+
+
+def test_long_texts_keep_no_row_for_each_key(spark, monkeypatch):
+    """More copies of a long text, with changes of their own, than a small key has sets: what is sent grows with the copies,
+    not with their keys."""
+    sent = []
+
+    def kinds(df, name, n, real=jaccard.materialize_kinds):
+        made = real(df, name, n)
+        sent.extend(t.count() for t, _ in made if name == "jaccard-met")
+        return made
+
+    monkeypatch.setattr(jaccard, "materialize_kinds", kinds)
+    r = random.Random(3)
+    rows = []
+    for base in ([f"w{r.randrange(4000)}" for _ in range(size)] for size in (1800, 4000)):
+        for _ in range(20):
+            w = list(base)
+            for k in r.sample(range(len(w)), r.choice([0, 10, len(w) // 45, len(w) // 30])):
+                w[k] = f"x{r.randrange(10_000)}"
+            rows.append((len(rows), " ".join(w)))
+    got = {tuple(x) for x in jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 5, 80, 100).collect()}
+    assert got == brute(rows, 5, 80, 100)
+    assert sum(sent) <= len(rows) * 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
