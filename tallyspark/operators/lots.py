@@ -168,15 +168,16 @@ def charles_schwab(grid: DataFrame) -> DataFrame:
     """A primary row (date and money) and the secondary right after it (a date): description, sale date and wash sale
     come from both; the date column hangs on the row's width."""
     d = F.least(F.greatest(F.size("cells") - 5, F.lit(2)), F.lit(4))
-    kind = F.when(skip_row(), None).when(has_date(_c(d)) & (is_money(_c(d + 1)) | _c(d + 1).contains("$")), "primary").when(has_date(_c(d)), "secondary")
+    kind = F.when(~has_date(_c(d)) | skip_row(), None).when(_c(d + 1).contains("$") | is_money(_c(d + 1)), "primary").otherwise("secondary")
     w = g.Window.partitionBy("file", "sheet_idx").orderBy("row_idx")
-    rows = grid.withColumn("_k", kind).where("_k is not null").withColumn("_n", F.when(F.lead("_k").over(w) == "secondary", F.lead("cells").over(w))).where("_k = 'primary'")
+    rows = computed(grid, {"_k": kind}).where("_k is not null").withColumn("_n", F.when(F.lead("_k").over(w) == "secondary", F.lead("cells").over(w))).where("_k = 'primary'")
     second = lambda k: F.get("_n", k if isinstance(k, Column) else F.lit(k))
     both = _c(d + 1).contains("$") & (F.size(F.filter(F.split(_c(d + 1), r"\$"), lambda x: F.trim(x) != "")) > 1)
     one, two = g.split_pair(_c(d + 1))
     rows = rows.withColumn("description", F.concat_ws(" ", null_if_blank(_c(0)), null_if_blank(second(0))))
     made = F.array(_c(d), second(d), F.when(both, one.cast("string")).otherwise(_c(d + 1)), F.when(both, two.cast("string")).otherwise(_c(d + 2)), _c(d + 3), second(d + 3))
-    return _lot(rows.withColumn("cells", made), {"date_acquired": 0, "date_sold": 1, "proceeds": 2, "cost": 3, "accrued_market_discount": 4, "wash_sale_loss": 5}).where("proceeds is not null or cost is not null")
+    lots = _lot(rows.withColumn("cells", made), {"date_acquired": 0, "date_sold": 1, "proceeds": 2, "cost": 3, "accrued_market_discount": 4, "wash_sale_loss": 5})
+    return computed(lots, {c: F.col(c) for c in ("proceeds", "cost")}).where("proceeds is not null or cost is not null")
 
 
 #: Words of header and total rows, the prefix of an option's description.

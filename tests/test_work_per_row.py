@@ -44,6 +44,16 @@ def test_a_grid_with_headers_is_read_once(spark):
     assert plan.count("lower(array_join") <= 2
 
 
+def test_kinds_of_rows_and_amounts_of_pairs_are_computed_once(spark):
+    from tallyspark.functions.text import _DATE_LINE
+    from tallyspark.operators.lots import lots
+
+    grid = spark.createDataFrame([("f", 0, "s", 0, ["x"])], "file string, sheet_idx int, sheet string, row_idx int, cells array<string>")
+    plan = lots(grid, "charles_schwab").select("proceeds", "cost")._jdf.queryExecution().optimizedPlan().treeString()
+    assert plan.count(_DATE_LINE) == 1
+    assert plan.count("total|totals") == 1
+
+
 def test_items_are_dealt_by_their_rows(spark, monkeypatch):
     from tallyspark.plans import common, layouts
 
