@@ -54,6 +54,17 @@ def test_kinds_of_rows_and_amounts_of_pairs_are_computed_once(spark):
     assert plan.count("total|totals") == 1
 
 
+def test_a_numbered_row_is_matched_once_for_all_its_parts(spark):
+    from tallyspark.operators.statements import numbered_rows
+
+    texts = ["1 06 Jan 2025 06 Jan 2025 a\u0001b  c +1,234.50 12,345,678.00\u0085", "2 06  Feb 2025 06 Jan 2025 shop REF1234567890 -5.00 1,2,3.00 ", "3 31 Foo 2025 06 Jan 2025 x 5.00 1.00", "4 06 Jan 2025 x 5.00"]
+    lines = spark.createDataFrame([("f", 0, i, t) for i, t in enumerate(texts)], "file string, page_idx int, line_idx int, text string")
+    out = numbered_rows(lines)
+    got = [(r.date, r.description, str(r.amount), str(r.balance)) for r in out.orderBy("line_idx").collect()]
+    assert got == [("2025-01-06", "a\u0001b  c", "1234.50", "12345678.00"), ("2025-02-06", "shop", "-5.00", "123.00"), (None, "x", "5.00", "1.00")]
+    assert out._jdf.queryExecution().optimizedPlan().treeString().count(r"\d{4})\s+\d{2}") == 2
+
+
 def test_items_are_dealt_by_their_rows(spark, monkeypatch):
     from tallyspark.plans import common, layouts
 
